@@ -1,0 +1,144 @@
+"""Connected components and bucketed links, shared by the near-duplicate operators."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import drop, save
+
+#: Members of a bucket that are compared with each other in one go; larger buckets are cut into blocks of about this size.
+BLOCK = 1024
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for each node of the links (two long columns), the component being its least node.
+
+    Alternating star contraction: every node hands its larger neighbours to the least node that it knows, then every
+    node its smaller ones. The links shrink to one star for each component in a number of rounds that grows with the
+    logarithm of the largest component. Minima are pre-aggregated, joins on a hub are split by Spark's skew handling,
+    and each round is a table in the shared folder.
+    """
+    edges = save(links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).filter("u < v").distinct(), "links")
+    state = None
+    while True:
+        # large star: a node's larger neighbours move to the least of its neighbours and itself
+        both = edges.union(edges.select("u", "v")).toDF("n", "other")
+        least = both.groupBy("n").agg(F.min("other").alias("m")).select("n", F.least("n", "m").alias("m"))
+        moved = both.filter("other > n").join(least, "n").select(F.col("other").alias("v"), F.col("m").alias("u")).distinct()
+        # small star: a node and its smaller neighbours move to the least of them
+        least = moved.groupBy("v").agg(F.min("u").alias("m"))
+        moved = moved.join(least, "v")
+        after = moved.select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u < v").union(moved.select("v", F.col("m").alias("u"))).distinct()
+        after = save(after, "links")
+        drop(edges)
+        edges = after
+        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u") % (1 << 40))).first()
+        if seen == state:
+            break
+        state = seen
+    stars = edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
+    return stars.union(edges.select("u", "u").distinct().toDF("node", "component"))
+
+
+def in_blocks(rows: DataFrame, key: str, member: str, block: int = BLOCK) -> DataFrame:
+    """Rows of keys that have two members at least, dealt so that any two members of a key meet in a bounded group.
+
+    Adds ``own`` (the member's block) and the group's ``low`` and ``high`` block. A key of up to ``block`` rows is one
+    group (0, 0). A larger one is cut into blocks by the member's hash, and each pair of blocks is a group, so a pair
+    of members of different blocks meets once, and two of one block are to be compared where low = high.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
+    dealt = rows.join(counts, key).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64(F.lit("block"), member), F.col("_blocks")).cast("int"))
+    light = dealt.filter("_blocks = 1").withColumns({"low": F.lit(0), "high": F.lit(0)})
+    heavy = dealt.filter("_blocks > 1").withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({"low": F.least("own", "_with"), "high": F.greatest("own", "_with")}).drop("_with")
+    return light.unionByName(heavy).drop("_n", "_blocks")
+
+
+def group_runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from batches sorted by ``by``, with the starts of the groups (and the end)."""
+    held: pa.Table | None = None
+
+    def cuts(rows: pa.Table) -> np.ndarray:
+        changed = np.zeros(max(0, rows.num_rows - 1), bool)
+        for name in by:
+            values = rows.column(name).to_numpy()
+            changed |= values[1:] != values[:-1]
+        return np.concatenate(([0], np.flatnonzero(changed) + 1))
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if not rows.num_rows:
+            continue
+        held = rows if held is None else pa.concat_tables([held, rows])
+        starts = cuts(held)
+        if len(starts) > 1:
+            yield held.slice(0, int(starts[-1])), starts
+            held = held.slice(int(starts[-1]))
+    if held is not None and held.num_rows:
+        yield held, np.append(cuts(held), held.num_rows)
+
+
+def run_pairs(starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same group, as arrays of row numbers, some at a time."""
+    sizes = np.diff(starts)
+    end = np.repeat(starts[1:], sizes)
+    rows = np.arange(starts[0], starts[-1])
+    shift = 1
+    while True:
+        rows = rows[rows + shift < end[rows]]
+        if not len(rows):
+            return
+        yield rows, rows + shift
+        shift += 1
+
+
+class Forest:
+    """Union-find over the links that one task finds, to emit a spanning forest of them."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        path = []
+        while (y := self.up.setdefault(x, x)) != x:
+            path.append(x)
+            x = y
+        for y in path:
+            self.up[y] = x
+        return x
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+
+    def links(self) -> tuple[list[int], list[int]]:
+        found = [(x, self.root(x)) for x in list(self.up)]
+        return [x for x, y in found if x != y], [y for x, y in found if x != y]
+
+
+def spanning_links(rows: DataFrame, verify: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray], columns: tuple[str, ...], key: str, member: str) -> DataFrame:
+    """Links (a, b) that span what ``verify`` accepts among members that share a key.
+
+    Each task compares the pairs of its groups in numpy and hands on a spanning forest of the pairs accepted, never
+    the pairs themselves.
+    """
+    groups = in_blocks(rows, key, member).select(key, "low", "high", member, *columns).repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for part, starts in group_runs(batches, (key, "low", "high")):
+            members = part.column(member).to_numpy()
+            for i, j in run_pairs(starts):
+                good = verify(part, i, j)
+                forest.link(members[i[good]], members[j[good]])
+        a, b = forest.links()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long")

@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
+from .langid import op9_language
+from .quality import op2_quality
 from .sharding import op8_sharding
+from .simhash import op10_simhash
+from .substrings import op4_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
+    "op4_substrings": op4_substrings,
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
+    "op9_language": op9_language,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
