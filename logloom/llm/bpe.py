@@ -211,3 +211,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_round_trip(table(spark, sf_dir, "documents"))
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def encode_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Last pipeline stage: the documents with ``token_ids``, ``n_tokens`` and ``decoded``."""
+    del spark, sf_dir
+    coded = bpe_round_trip(docs, keys=tuple(docs.columns))
+    return coded.withColumn("n_tokens", F.size("token_ids").cast("long"))

@@ -7,19 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
+from .decontaminate import OP1_SQL, op1_decontaminate
+from .embeddings import op3_embeddings
 from .langid import op9_language
+from .pages import op5_pages
 from .quality import op2_quality
 from .sharding import op8_sharding
 from .simhash import op10_simhash
 from .substrings import op4_substrings
+from .token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
+    "op3_embeddings": op3_embeddings,
     "op4_substrings": op4_substrings,
+    "op5_pages": op5_pages,
+    "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}

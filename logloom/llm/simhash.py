@@ -107,3 +107,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document, linked at 4 bits or fewer."""
     found = simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of linked documents, keep the one of least id (and text hash).
+
+    Rows are known by id and text hash; rows equal in both are copies, of which one stays.
+    """
+    del spark, sf_dir
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    marked = save(add_fingerprints(keyed, ("doc_id", "_text")), "fingerprints")
+    near = save(near_components(marked.select("fingerprint").distinct()), "components")
+    heads = marked.join(near, "fingerprint", "left").groupBy(F.coalesce("component", "fingerprint").alias("component")).agg(F.min(F.struct("doc_id", "_text")).alias("head"))
+    kept = heads.select("head.*").toDF("_id", "_hash").distinct()
+    same = keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_text"] == kept["_hash"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)

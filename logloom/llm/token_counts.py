@@ -1,0 +1,91 @@
+"""Token counts of flat token files by a separator scan.
+
+A flat file is a run of token ids in which each document ends with the end-of-document id; there is no index. Blocks
+of a file are scanned on their own for the separators, in numpy. A block's summary is its number of tokens, its number
+of separators and its last one; prefix scans over these give every block its first document number and the place
+where the document that is open at its start began.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .bpe import INDEX_CHARS, codec, default_vocabulary
+from .common import pick, save, table, text_chunks
+
+#: Tokens of a block; two bytes each in files of up to 65,536 ids.
+BLOCK_TOKENS = 1 << 18
+END = 50256
+
+
+def write_token_file_blocks(docs: DataFrame, text: str = "text", vocabulary: str | None = None, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Flat token files as (file, block, tokens): each task writes one file, its texts one after the other, each
+    followed by ``end``. ``tokens`` are little-endian 16-bit ids; all blocks of a file but the last are full.
+
+    Null and empty texts are documents of no tokens. The string of the end-of-document token inside a text is an
+    ordinary end to the scan.
+    """
+    path = vocabulary or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, file, block, rest = codec(path), TaskContext.get().partitionId(), 0, np.zeros(0, np.uint16)
+
+        def rows(tokens: np.ndarray, first: int) -> pa.RecordBatch:
+            cuts = [tokens[i : i + block_tokens].astype("<u2").tobytes() for i in range(0, len(tokens), block_tokens)]
+            return pa.RecordBatch.from_arrays([pa.array([file] * len(cuts), pa.int32()), pa.array(range(first, first + len(cuts)), pa.int32()), pa.array(cuts, pa.binary())], names=["file", "block", "tokens"])
+
+        for _, texts in text_chunks(batches, chunk=INDEX_CHARS):
+            ids, ends = own.encode(texts)
+            rest = np.concatenate((rest, np.insert(ids, ends, end).astype(np.uint16)))
+            full = len(rest) // block_tokens * block_tokens
+            yield rows(rest[:full], block)
+            block, rest = block + full // block_tokens, rest[full:]
+        yield rows(rest, block)
+
+    return pick(docs, text=text).mapInArrow(run, "file int, block int, tokens binary")
+
+
+def scan_separators(blocks: DataFrame, end: int = END) -> DataFrame:
+    """(file, block, n, ends): the tokens of each block and the places of its separators, from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.frombuffer(x, "<u2") for x in batch.column(2).to_pylist()]
+            places = [np.flatnonzero(x == end) for x in tokens]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in tokens], pa.int64()), pa.array(places, pa.list_(pa.int64()))], names=["file", "block", "n", "ends"])
+
+    return pick(blocks, file="file", block="block", tokens="tokens").mapInArrow(run, "file int, block int, n long, ends array<long>")
+
+
+def document_tokens(blocks: DataFrame, end: int = END) -> DataFrame:
+    """(file, document, first_token, n_tokens) of every document of flat token files, numbered in file order.
+
+    ``n_tokens`` leaves the separator out. Tokens after a file's last separator are a document too. Two separators in
+    a row enclose a document of no tokens. An empty table gives an empty result.
+    """
+    scanned = save(scan_separators(blocks, end), "separators")
+    order = Window.partitionBy("file").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # summaries only: one short row for each block of a file
+    sums = scanned.select("file", "block", "n", F.size("ends").alias("seps"), F.array_max("ends").alias("last"))
+    sums = sums.withColumns({"at": F.coalesce(F.sum("n").over(before), F.lit(0)), "first_document": F.coalesce(F.sum("seps").over(before), F.lit(0)), "final": F.lead("block").over(order).isNull()})
+    sums = sums.withColumn("open_from", F.coalesce(F.max(F.col("at") + F.col("last") + 1).over(before), F.lit(0)))
+    placed = scanned.join(sums.select("file", "block", "at", "first_document", "open_from", "final"), ["file", "block"])
+    ends = F.transform("ends", lambda e: e + F.col("at"))
+    tail = F.when(F.col("final") & (F.coalesce(F.array_max(ends) + 1, F.col("open_from")) < F.col("at") + F.col("n")), F.array(F.col("at") + F.col("n"))).otherwise(F.array().cast("array<bigint>"))
+    ended = placed.select("file", "first_document", "open_from", F.concat(ends, tail).alias("ends"))
+    starts = F.concat(F.array("open_from"), F.transform("ends", lambda e: e + 1))
+    documents = ended.select("file", "first_document", F.posexplode(F.transform(F.arrays_zip(F.col("ends"), F.slice(starts, 1, F.size("ends")).alias("starts")), lambda z: F.struct(z["starts"].alias("start"), z["ends"].alias("end")))).alias("i", "d"))
+    return documents.select("file", (F.col("first_document") + F.col("i")).alias("document"), F.col("d.start").alias("first_token"), (F.col("d.end") - F.col("d.start")).alias("n_tokens"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document of ``documents``, counted in flat token files that hold them all."""
+    files = save(write_token_file_blocks(table(spark, sf_dir, "documents")), "tokens")
+    return document_tokens(files)
