@@ -1,0 +1,203 @@
+"""Window functions and keyed sequential features (inventory F, G5, G10, H1)."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from logloom.operators.rollups import time_bucket
+
+
+def latest_per_key(df: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
+    """The newest row of each key (F1, F3). ``row_number() = 1`` is cut down within tasks before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ts), F.desc(tie)))
+    return df.withColumn("_place", place).filter("_place = 1").drop("_place")
+
+
+def latest_per_metric(df: DataFrame, metric: str, ts: str, value: str) -> DataFrame:
+    """The newest value of each metric, by partial aggregation (F2)."""
+    return df.groupBy(metric).agg(F.max_by(value, ts).alias(value), F.max(ts).alias(ts))
+
+
+def connection_features_time(df: DataFrame, us: str = "us", seconds: float = 2.0) -> DataFrame:
+    """Over the trailing seconds of each (src_ip, dst_ip), the row included: connections, those to the same port, and
+    the shares of same, other and failed ones (F4)."""
+    span = int(seconds * 1_000_000)
+    pair = Window.partitionBy("src_ip", "dst_ip").orderBy(us).rangeBetween(-span, 0)
+    same = Window.partitionBy("src_ip", "dst_ip", "dst_port").orderBy(us).rangeBetween(-span, 0)
+    n = F.count("*").over(pair)
+    out = df.withColumns({"conn_count": n, "same_service": F.count("*").over(same), "_errors": F.sum((F.col("severity") == 4).cast("int")).over(pair)})
+    return out.withColumns({"same_service_rate": F.col("same_service") / F.col("conn_count"), "diff_service_rate": 1 - F.col("same_service") / F.col("conn_count"), "error_rate": F.col("_errors") / F.col("conn_count")}).drop("_errors")
+
+
+def connection_features_host(df: DataFrame, order: list[str], rows: int = 100) -> DataFrame:
+    """Over the last connections of each destination, this one included: distinct sources and those to its port."""
+    last = Window.partitionBy("dst_ip").orderBy(*order).rowsBetween(-(rows - 1), 0)
+    return df.withColumns({"host_sources": F.size(F.array_distinct(F.collect_list("src_ip").over(last))), "host_same_service": F.size(F.filter(F.collect_list("dst_port").over(last), lambda p: p == F.col("dst_port")))})
+
+
+def connection_rates(df: DataFrame, key: str, us: str = "us", fast_s: float = 2, slow_s: float = 600) -> DataFrame:
+    """Connections of each source in a short and a long trailing span and their acceleration, 100 at most."""
+    span = lambda s: Window.partitionBy(key).orderBy(us).rangeBetween(-int(s * 1_000_000), 0)
+    out = df.withColumns({"fast": F.count("*").over(span(fast_s)), "slow": F.count("*").over(span(slow_s))})
+    return out.withColumn("acceleration", F.least(F.col("fast") / F.greatest(F.col("slow") / (slow_s / fast_s), F.lit(0.01)), F.lit(100.0)))
+
+
+def port_entropy(df: DataFrame, key: str, order: list[str], rows: int = 200) -> DataFrame:
+    """Entropy in bits of the last destination ports of each source."""
+    ports = F.collect_list("dst_port").over(Window.partitionBy(key).orderBy(*order).rowsBetween(-(rows - 1), 0))
+    held = df.withColumn("_ports", ports)
+    n = F.size("_ports")
+    share = lambda p: F.size(F.filter("_ports", lambda x: x == p)) / n
+    bits = F.aggregate(F.array_distinct("_ports"), F.lit(0.0), lambda a, p: a - share(p) * F.log2(share(p)))
+    return held.withColumn("port_entropy", bits).drop("_ports")
+
+
+def source_novelty(df: DataFrame, keys: list[str], us: str = "us", hours: int = 24) -> DataFrame:
+    """1 where a source is new to its host or was last seen longer ago (F8)."""
+    before = F.lag(us).over(Window.partitionBy(*keys).orderBy(us, "event_id"))
+    return df.withColumn("novelty", F.coalesce((F.col(us) - before > hours * 3_600_000_000).cast("int"), F.lit(1)))
+
+
+def running_baseline_z(df: DataFrame, key: str, order: list[str], score: str = "score", least: int = 10) -> DataFrame:
+    """z of each score against all scores of its key so far, its own included; 0 for fewer than ten."""
+    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    n, mean, std = F.count("*").over(so_far), F.avg(score).over(so_far), F.stddev_pop(score).over(so_far)
+    return df.withColumn("baseline_z", F.when((n < least) | (std < 1e-6), 0.0).otherwise((F.col(score) - mean) / std))
+
+
+def cross_host_count(df: DataFrame, us: str = "us", seconds: int = 900, least: float = 0.5) -> DataFrame:
+    """Distinct hosts with a high score in the trailing span of each high-scored row, 0 for the others.
+
+    The span has no key. Rows meet in time buckets of the span's length, each in its own and the one before, so the
+    join is split by time and no task holds all rows.
+    """
+    span = seconds * 1_000_000
+    high = df.filter(F.col("score") >= least)
+    mine = high.select("event_id", F.col(us).alias("_at"), F.explode(F.array(F.floor(F.col(us) / span), F.floor(F.col(us) / span) - 1)).alias("_bucket"))
+    facts = high.select("host", F.col(us).alias("_then"), F.floor(F.col(us) / span).alias("_bucket")).distinct()
+    near = mine.join(facts, "_bucket").filter((F.col("_then") <= F.col("_at")) & (F.col("_then") >= F.col("_at") - span))
+    counts = near.groupBy("event_id").agg(F.count_distinct("host").alias("cross_hosts"))
+    return df.join(counts, "event_id", "left").withColumn("cross_hosts", F.coalesce("cross_hosts", F.lit(0)))
+
+
+def chain_check(anchors: DataFrame) -> DataFrame:
+    """Whether each anchor's previous root is the root of the anchor before it, by table."""
+    before = F.lag("merkle_root").over(Window.partitionBy("table_name").orderBy("time_from"))
+    return anchors.withColumn("chain_ok", F.coalesce(F.col("prev_root") == before, F.col("prev_root") == ""))
+
+
+def coherent_timeline(df: DataFrame, keys: list[str], order: str, ts: str) -> DataFrame:
+    """Rows out of time order in the order of arrival, and whether they are few: one, or a twentieth."""
+    before = F.lag(ts).over(Window.partitionBy(*keys).orderBy(order))
+    flagged = df.withColumn("_late", (F.col(ts) < before).cast("int"))
+    counts = flagged.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.sum("_late"), F.lit(0)).alias("late"))
+    return counts.withColumn("coherent", F.col("late") <= F.greatest(F.lit(1.0), F.col("n") * 0.05))
+
+
+def bursts(df: DataFrame, keys: list[str], us: str = "us", seconds: int = 300, least: int = 50) -> DataFrame:
+    """Buckets of a key with many rows."""
+    return df.groupBy(*keys, F.floor(F.col(us) / (seconds * 1_000_000)).alias("bucket")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def sustained_alerts(metrics: DataFrame, key: str, at: str, breach: Column, for_at_least: int) -> DataFrame:
+    """Spans in which a condition held without a break for long enough (F16): gaps and islands."""
+    order = Window.partitionBy(key).orderBy(at)
+    marked = metrics.withColumn("_on", F.coalesce(breach, F.lit(False)).cast("int"))
+    islands = marked.withColumn("_island", F.sum((F.coalesce(F.lag("_on").over(order), F.lit(-1)) != F.col("_on")).cast("int")).over(order)).filter("_on = 1")
+    spans = islands.groupBy(key, "_island").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("points"))
+    return spans.filter(F.col("end") - F.col("start") >= for_at_least).drop("_island")
+
+
+def psi_trend(df: DataFrame, feature: str, psi: str) -> DataFrame:
+    """Features by their greatest PSI."""
+    most = df.groupBy(feature).agg(F.max(psi).alias("psi"), F.count("*").alias("points"))
+    return most.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("psi"))))
+
+
+def merge_windows(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """The union of overlapping windows of each key."""
+    order = Window.partitionBy(key).orderBy(start, end)
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    grouped = df.withColumn("_new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1))).withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy(key, "_group").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("merged")).drop("_group")
+
+
+def ewma_rates(df: DataFrame, key: str, us: str = "us", order: str = "event_id", half_lives: tuple[float, float, float] = (2.0, 60.0, 600.0), window_s: float = 300.0) -> DataFrame:
+    """Exponentially decayed event and error rates of each key, and distinct actions in a restarting window.
+
+    A recurrence over a key's rows in time order, so one Arrow batch for each key. Adds rate_fast, rate_medium,
+    rate_slow, error_rate (of the medium half-life), acceleration and unique_actions.
+    """
+    added = "rate_fast double, rate_medium double, rate_slow double, error_rate double, acceleration double, unique_actions int"
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields] + [added])
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([us, order], kind="stable")
+        at = rows[us].to_numpy() / 1e6
+        error = (rows["severity"].to_numpy() >= 4).astype(float)
+        gaps = np.maximum(np.diff(at, prepend=at[:1]), 0.001)
+        rates = np.zeros((len(rows), 4))
+        state = np.zeros(4)
+        for i, gap in enumerate(gaps):
+            decay = 0.5 ** (gap / np.array([*half_lives, half_lives[1]])) if i else np.zeros(4)
+            state = state * decay + np.array([1, 1, 1, error[i]])
+            rates[i] = state
+        distinct, begin, seen = np.zeros(len(rows), int), None, set()
+        for i, action in enumerate(rows["event_type"]):
+            if begin is None or at[i] - begin > window_s:
+                begin, seen = at[i], set()
+            seen.add(action)
+            distinct[i] = len(seen)
+        return rows.assign(rate_fast=rates[:, 0], rate_medium=rates[:, 1], rate_slow=rates[:, 2], error_rate=rates[:, 3], acceleration=rates[:, 0] / np.maximum(rates[:, 2], 0.01), unique_actions=distinct)
+
+    return df.groupBy(key).applyInPandas(fold, schema)
+
+
+def kill_chain(df: DataFrame, key: str, stage: str, us: str = "us", order: str = "event_id", gate: float = 0.3, idle_s: float = 3600.0) -> DataFrame:
+    """Attack stage of each key so far: it only advances, on scores over the gate.
+
+    When nothing has passed the gate for long enough, the stage starts anew. Adds chain_stage and chain_velocity, the
+    inverse of the mean of the last five transition times (a second at least; 0 before two transitions).
+    """
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields] + ["chain_stage int, chain_velocity double"])
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([us, order], kind="stable")
+        stages, speeds = [], []
+        now, last, times = 0, None, []
+        for at, step, score in zip(rows[us].to_numpy() / 1e6, rows[stage], rows["score"], strict=True):
+            last = at if last is None else last
+            if at - last > idle_s:
+                now, times = 0, []
+            if score > gate:
+                if step > now:
+                    now = int(step)
+                    times.append(at - last)
+                last = at
+            stages.append(now)
+            speeds.append(1 / max(float(np.mean(times[-5:])), 1.0) if len(times) > 1 else 0.0)
+        return rows.assign(chain_stage=stages, chain_velocity=speeds)
+
+    return df.groupBy(key).applyInPandas(fold, schema)
+
+
+def alert_gate(df: DataFrame, keys: list[str], us: str = "us", order: str = "event_id", least: float = 0.8, quiet_s: float = 300.0) -> DataFrame:
+    """High scores, each key's alerts at least so many seconds apart, counted from the last one kept (H1)."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([us, order], kind="stable")
+        keep, last = [], None
+        for at in rows[us]:
+            good = last is None or at - last >= quiet_s * 1e6
+            last = at if good else last
+            keep.append(good)
+        return rows[keep]
+
+    return df.filter(F.col("score") >= least).groupBy(*keys).applyInPandas(fold, df.schema)
+
+
+def daily_counts(df: DataFrame, key: str, ts: str = "ts") -> DataFrame:
+    return df.groupBy(key, time_bucket(F.col(ts), 86400).alias("day")).agg(F.count("*").alias("n"))
