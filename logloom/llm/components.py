@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, save
@@ -46,17 +46,22 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def in_blocks(rows: DataFrame, key: str, member: str, block: int = BLOCK) -> DataFrame:
-    """Rows of keys that have two members at least, dealt so that any two members of a key meet in a bounded group.
+    """Rows dealt so that any two members of a key meet in a bounded group, groups of one left out, sorted by group.
 
     Adds ``own`` (the member's block) and the group's ``low`` and ``high`` block. A key of up to ``block`` rows is one
     group (0, 0). A larger one is cut into blocks by the member's hash, and each pair of blocks is a group, so a pair
     of members of different blocks meets once, and two of one block are to be compared where low = high.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1")
-    dealt = rows.join(counts, key).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64(F.lit("block"), member), F.col("_blocks")).cast("int"))
-    light = dealt.filter("_blocks = 1").withColumns({"low": F.lit(0), "high": F.lit(0)})
-    heavy = dealt.filter("_blocks > 1").withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({"low": F.least("own", "_with"), "high": F.greatest("own", "_with")}).drop("_with")
-    return light.unionByName(heavy).drop("_n", "_blocks")
+    heavy = save(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > block), "heavy")
+    if heavy.count() <= 200_000:  # two numbers each
+        heavy = F.broadcast(heavy)
+    dealt = rows.join(heavy, key, "left").withColumn("_blocks", F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")).withColumn("own", F.pmod(F.xxhash64(F.lit("block"), member), F.col("_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    met = dealt.withColumn("_with", other).withColumns({"low": F.least("own", "_with"), "high": F.greatest("own", "_with")}).drop("_with", "_n", "_blocks")
+    by = [key, "low", "high"]
+    # the window's sort and partitioning are those that the groups need next
+    alone = F.count("*").over(Window.partitionBy(*by))
+    return met.repartition(*by).withColumn("_met", alone).filter("_met > 1").drop("_met").sortWithinPartitions(*by)
 
 
 def group_runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -129,7 +134,7 @@ def spanning_links(rows: DataFrame, verify: Callable[[pa.Table, np.ndarray, np.n
     Each task compares the pairs of its groups in numpy and hands on a spanning forest of the pairs accepted, never
     the pairs themselves.
     """
-    groups = in_blocks(rows, key, member).select(key, "low", "high", member, *columns).repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
+    groups = in_blocks(rows, key, member).select(key, "low", "high", member, *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()

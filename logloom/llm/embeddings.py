@@ -160,7 +160,7 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     entries = codes.select("node", "code", F.explode(quantiser.entries(F.col("code"))).alias("entry"))
     by = ["entry", "low", "high"]
     shape = "entry long, low int, high int, own int, node long, code long"
-    met = in_blocks(entries, "entry", "node").select(*by, "own", "node", "code").repartition(*by).sortWithinPartitions(*by).mapInArrow(find, shape)
+    met = in_blocks(entries, "entry", "node").select(*by, "own", "node", "code").mapInArrow(find, shape)
     full = met.join(classes.select("node", "n", "vector"), "node")
     found = save(full.repartition(*by).sortWithinPartitions(*by).mapInArrow(rerank, "node long, other long, links long"), "links")
 
