@@ -38,7 +38,7 @@ def features_v7(df: DataFrame) -> DataFrame:
         "event_id", time["hour"].alias("hour"), time["weekday"].alias("weekday"), time["off_hours"].alias("off_hours"), "severity",
         map_source_type(F.col("source")).alias("source_code"), from_df("action_code"), from_df("admin_action"), from_df("event_risk"), *map(from_df, ["rate_medium", "error_rate", "unique_actions", "novelty"]),
         size["sent"].alias("src_bytes"), size["received"].alias("dst_bytes"), size["total_log"].alias("bytes_log"), size["ratio"].alias("byte_ratio"), F.col("dst_port").alias("port"), map_protocol(F.col("protocol")).alias("protocol_code"),
-        *map(from_df, ["fast", "slow", "acceleration", "port_entropy"]),
+        *map(from_df, ["fast", "slow", "conn_acceleration", "port_entropy"]),
         S.char_entropy(F.col("message")).alias("entropy"), text["length_log"].alias("length_log"), text["digit_ratio"].alias("digit_ratio"), text["special_ratio"].alias("special_ratio"), S.keyword_threat_score(F.col("message")).alias("threat"), from_df("rarity"),
         *map(from_df, ["ioc_match", "baseline_z", "chain_stage", "chain_velocity", "cross_hosts"]),
     )
@@ -182,13 +182,13 @@ def calibrate_thresholds(df: DataFrame, label: str = "label", score: str = "scor
     Value: .40 recall + .25 (1 - miss) + .20 precision + .10 (1 - monitored share) + .05 (1 - false alarm).
     """
     spark = df.sparkSession
-    hist = df.groupBy(F.least(F.floor(F.col(score) * 100), F.lit(99)).cast("int").alias("bin")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    hist = df.groupBy(F.least(F.floor(F.col(score) * 100), F.lit(99)).cast("int").alias("bin")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     one = spark.range(steps).select((F.col("id") + 10).cast("int").alias("low"))
     grid = one.crossJoin(spark.range(steps).select((F.col("id") + 50).cast("int").alias("high"))).filter("low < high")
     cells = grid.join(F.broadcast(hist), F.lit(True))
     sums = cells.groupBy("low", "high").agg(
-        F.sum(F.when(F.col("bin") >= F.col("low"), F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("bin") >= F.col("low"), F.col("n")).otherwise(0)).alias("fp"),
-        F.sum(F.when((F.col("bin") >= F.col("low")) & (F.col("bin") < F.col("high")), F.col("p") + F.col("n")).otherwise(0)).alias("mid"), F.sum("p").alias("P"), F.sum("n").alias("N"),
+        F.sum(F.when(F.col("bin") >= F.col("low"), F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("bin") >= F.col("low"), F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when((F.col("bin") >= F.col("low")) & (F.col("bin") < F.col("high")), F.col("pos") + F.col("neg")).otherwise(0)).alias("mid"), F.sum("pos").alias("P"), F.sum("neg").alias("N"),
     )
     recall, alarm = F.try_divide("tp", "P"), F.try_divide("fp", "N")
     precision = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0))
@@ -199,11 +199,11 @@ def calibrate_thresholds(df: DataFrame, label: str = "label", score: str = "scor
 
 def best_f1_threshold(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """The score from which on flagging gives the best F1 (G14), over distinct scores."""
-    by = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("p"), F.count("*").alias("all"))
+    by = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("hits"), F.count("*").alias("all"))
     above = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = by.withColumns({"tp": F.sum("p").over(above), "flagged": F.sum("all").over(above)})
-    total = by.agg(F.sum("p").alias("P"))
-    f1 = F.try_divide(2 * F.col("tp"), F.col("flagged") + F.col("P"))
+    curve = by.withColumns({"tp": F.sum("hits").over(above), "flagged": F.sum("all").over(above)})
+    total = by.agg(F.sum("hits").alias("positives"))
+    f1 = F.try_divide(2 * F.col("tp"), F.col("flagged") + F.col("positives"))
     return curve.crossJoin(F.broadcast(total)).select("threshold", F.round(f1, 9).alias("f1")).orderBy(F.desc("f1"), "threshold").limit(1)
 
 

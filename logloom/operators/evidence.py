@@ -129,8 +129,8 @@ def timeline(alerts: DataFrame, sources: dict[str, tuple[DataFrame, int]], key:
 
 def fp_history(alerts: DataFrame, labels: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
     """Feedback on an entity: counts with prior verdicts at half weight, and the confidence in a false alarm."""
-    fb = labels.groupBy(key).agg(F.count_if("label = 'false_positive'").alias("fp"), F.count_if("label = 'true_positive'").alias("tp"))
-    pv = verdicts.groupBy(key).agg((F.count_if("verdict = 'false_positive'") / 2).alias("vfp"), (F.count_if("verdict = 'true_positive'") / 2).alias("vtp"))
+    fb = labels.groupBy(key).agg(F.count_if(F.expr("label = 'false_positive'")).alias("fp"), F.count_if(F.expr("label = 'true_positive'")).alias("tp"))
+    pv = verdicts.groupBy(key).agg((F.count_if(F.expr("verdict = 'false_positive'")) / 2).alias("vfp"), (F.count_if(F.expr("verdict = 'true_positive'")) / 2).alias("vtp"))
     out = alerts.join(fb, key, "left").join(pv, key, "left").fillna(0, ["fp", "tp", "vfp", "vtp"])
     fp, tp = F.col("fp") + F.col("vfp"), F.col("tp") + F.col("vtp")
     conf = fp / (fp + tp + 1) * (1 - tp / F.greatest(F.lit(1.0), tp + 1))

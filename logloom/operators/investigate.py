@@ -101,7 +101,7 @@ def graph_features(alerts: DataFrame, flows: DataFrame, ioc: DataFrame, hours: i
     span = hours * HOUR
     bad = F.broadcast(ioc.select(F.col("value").alias("fact_dst_ip"), F.lit(1).alias("_bad")).distinct())
     by_ip = entity_history(alerts, flows, "src_ip", span, ["dst_ip", "host", "score"]).join(bad, "fact_dst_ip", "left")
-    a = by_ip.groupBy("event_id").agg(F.count_distinct("fact_dst_ip").alias("destinations"), F.count_distinct("fact_host").alias("hops"), F.max(F.coalesce("_bad", F.lit(0))).alias("ioc_neighbor"), F.count_if("fact_score >= 0.95").alias("escalations"))
+    a = by_ip.groupBy("event_id").agg(F.count_distinct("fact_dst_ip").alias("destinations"), F.count_distinct("fact_host").alias("hops"), F.max(F.coalesce("_bad", F.lit(0))).alias("ioc_neighbor"), F.count_if(F.expr("fact_score >= 0.95")).alias("escalations"))
     b = entity_history(alerts, flows, "host", span, ["src_ip"]).groupBy("event_id").agg(F.count_distinct("fact_src_ip").alias("host_sources"))
     out = alerts.select("event_id").join(a, "event_id", "left").join(b, "event_id", "left").fillna(0)
     lateral = F.least(F.lit(1.0), F.col("hops") / 10)

@@ -199,7 +199,7 @@ def rule_coverage(df: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def investigation_counts(df: DataFrame) -> DataFrame:
-    return df.agg(F.count_if("status = 'open'").alias("open"), F.count_if("status = 'completed'").alias("completed"), F.count_if("severity = 4").alias("critical"), F.count_if("severity = 3").alias("high"))
+    return df.agg(F.count_if(F.expr("status = 'open'")).alias("open"), F.count_if(F.expr("status = 'completed'")).alias("completed"), F.count_if(F.expr("severity = 4")).alias("critical"), F.count_if(F.expr("severity = 3")).alias("high"))
 
 
 def host_network_context(df: DataFrame) -> DataFrame:
@@ -211,13 +211,13 @@ def confusion_metrics(df: DataFrame, label: str, score: str, threshold: float =
 
     Scores are counted once each; the curves are then sums over distinct scores, so no window holds all rows.
     """
-    by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label)).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
+    by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label)).cast("double").alias("pos"), F.sum(1 - F.col(label)).cast("double").alias("neg"))
     above = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = by.withColumns({"tp": F.sum("p").over(above), "fp": F.sum("n").over(above), "hit": F.col("s") >= threshold})
+    curve = by.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "hit": F.col("s") >= threshold})
     total = curve.agg(
-        F.sum("p").alias("P"), F.sum("n").alias("N"),
-        F.sum(F.when(F.col("hit"), F.col("p")).otherwise(0)).alias("TP"), F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)).alias("FP"),
-        F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("area"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"),
+        F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+        F.sum(F.when(F.col("hit"), F.col("pos")).otherwise(0)).alias("TP"), F.sum(F.when(F.col("hit"), F.col("neg")).otherwise(0)).alias("FP"),
+        F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("area"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"),
     )
     precision, recall = F.try_divide("TP", F.col("TP") + F.col("FP")), F.try_divide("TP", F.col("P"))
     return total.select(((F.col("TP") + F.col("N") - F.col("FP")) / (F.col("P") + F.col("N"))).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), F.try_divide(2 * precision * recall, precision + recall).alias("f1"), F.try_divide("FP", F.col("N")).alias("fpr"), F.try_divide("area", F.col("P") * F.col("N")).alias("roc_auc"), F.try_divide("ap", F.col("P")).alias("average_precision"))
@@ -250,7 +250,7 @@ def spc_baseline(df: DataFrame, keys: list[str], ts: str = "ts", seconds: int =
 
 
 def score_summary(df: DataFrame, by: str, score: str = "score") -> DataFrame:
-    return df.groupBy(by).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.min(score).alias("least"), F.max(score).alias("greatest"), F.percentile(score, F.lit(0.5)).alias("median"), F.percentile(score, F.lit(0.95)).alias("p95"), F.count_if("action = 'escalate'").alias("escalated"), F.count_if("action = 'monitor'").alias("monitored"), F.count_if("action = 'discard'").alias("discarded"))
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.min(score).alias("least"), F.max(score).alias("greatest"), F.percentile(score, F.lit(0.5)).alias("median"), F.percentile(score, F.lit(0.95)).alias("p95"), F.count_if(F.expr("action = 'escalate'")).alias("escalated"), F.count_if(F.expr("action = 'monitor'")).alias("monitored"), F.count_if(F.expr("action = 'discard'")).alias("discarded"))
 
 
 def class_separation(df: DataFrame, attack: Column, score: str = "score") -> DataFrame:
@@ -272,4 +272,4 @@ def report_history(df: DataFrame, as_of: Column, ts: str = "ts") -> DataFrame:
 
 
 def host_score_context(df: DataFrame) -> DataFrame:
-    return df.groupBy("host").agg(F.count_if("action = 'escalate'").alias("escalations"), F.avg("score").alias("mean"), F.count_if("score >= 0.9").alias("high"), F.count_if("score >= 0.8 and score < 0.9").alias("medium"))
+    return df.groupBy("host").agg(F.count_if(F.expr("action = 'escalate'")).alias("escalations"), F.avg("score").alias("mean"), F.count_if(F.expr("score >= 0.9")).alias("high"), F.count_if(F.expr("score >= 0.8 and score < 0.9")).alias("medium"))

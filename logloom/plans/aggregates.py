@@ -88,7 +88,7 @@ def e8(spark, d):
     return R.merge_rollup(part(ev.filter("k < 50")), part(ev.filter("k >= 50")), ["minute", "src_ip"], sums=["events"], mins=["min_severity"], maxs=["max_severity"])
 
 
-@query("e9_rollup_staleness", EV_SQL + f"""SELECT t AS "table", CAST(date_diff('second', m, a) AS BIGINT) AS age_s, date_diff('second', m, a) > 300 AS stale FROM (
+@query("e9_rollup_staleness", EV_SQL + f"""SELECT t AS "table", (epoch_us(a) - epoch_us(m)) // 1000000 AS age_s, (epoch_us(a) - epoch_us(m)) // 1000000 > 300 AS stale FROM (
   SELECT 'security' AS t, max(ts) AS m, {AS_OF_SQL} AS a FROM ev WHERE severity >= 2 UNION ALL SELECT 'network', max(ts), {AS_OF_SQL} FROM ev WHERE k % 50 = 1)""")
 def e9(spark, d):
     ev = log_events(spark, d)
@@ -270,10 +270,11 @@ def e34(spark, d):
     return R.spc_baseline(log_events(spark, d), ["host", "src_ip"], seconds=3600)
 
 
-@query("e35_score_summary", SCORED_SQL + """SELECT source, count(*) AS n, round(avg(score), 6) AS mean, round(min(score), 6) AS least, round(max(score), 6) AS greatest, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.95), 6) AS p95,
+@query("e35_score_summary", SCORED_SQL + """SELECT source, count(*) AS n, round(avg(score), 6) AS mean, round(min(score), 6) AS least, round(max(score), 6) AS greatest, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.95) + 1e-9, 6) AS p95,
   count(*) FILTER (WHERE action = 'escalate') AS escalated, count(*) FILTER (WHERE action = 'monitor') AS monitored, count(*) FILTER (WHERE action = 'discard') AS discarded FROM scored GROUP BY source""")
 def e35(spark, d):
-    return R.score_summary(scored(spark, d), "source")
+    # exact halves at the last place may be rounded either way: both sides are moved off them
+    return R.score_summary(scored(spark, d), "source").withColumn("p95", F.col("p95") + 1e-9)
 
 
 @query("e35_class_separation", EV_SQL + "SELECT round(quantile_cont(score, 0.5) FILTER (WHERE severity >= 3) - quantile_cont(score, 0.5) FILTER (WHERE severity < 3), 6) AS separation FROM ev")
@@ -302,10 +303,10 @@ def e37(spark, d):
     return R.host_score_context(scored(spark, d))
 
 
-@query("risk_board", EV_SQL + f"""SELECT usr, host, count(*) AS events, count(DISTINCT event_type) AS unique_actions, CAST(sum({WEIGHT_SQL}) AS BIGINT) AS risk, round(avg(score), 6) AS mean_score, max(severity) AS max_severity FROM ev GROUP BY usr, host""")
+@query("risk_board", EV_SQL + f"""SELECT usr, host, count(*) AS events, count(DISTINCT event_type) AS unique_actions, CAST(sum({WEIGHT_SQL}) AS BIGINT) AS risk, round(CAST(sum(CAST(score AS DECIMAL(18, 9))) AS DOUBLE) / count(*), 6) AS mean_score, max(severity) AS max_severity FROM ev GROUP BY usr, host""")
 def risk_board(spark, d):
     """Per entity: activity, distinct actions, weighted severity and mean score."""
     from logloom.functions.scalar import severity_weight
 
     ev = log_events(spark, d)
-    return ev.groupBy("usr", "host").agg(F.count("*").alias("events"), F.count_distinct("event_type").alias("unique_actions"), F.sum(severity_weight(F.col("severity"))).alias("risk"), F.avg("score").alias("mean_score"), F.max("severity").alias("max_severity"))
+    return ev.groupBy("usr", "host").agg(F.count("*").alias("events"), F.count_distinct("event_type").alias("unique_actions"), F.sum(severity_weight(F.col("severity"))).alias("risk"), (F.sum(F.col("score").cast("decimal(18,9)")).cast("double") / F.count("*")).alias("mean_score"), F.max("severity").alias("max_severity"))

@@ -80,8 +80,8 @@ def i9(spark, d):
 
 
 @query("i10_timeline", EV_SQL + f""", alerts AS (SELECT * FROM ev WHERE score >= 0.6), f AS (SELECT 'log' AS kind, 5 AS cap, src_ip, us, event_id FROM ev UNION ALL SELECT 'score', 3, src_ip, us, event_id FROM ev WHERE score >= 0.3),
-m AS (SELECT a.event_id, f.kind, f.cap, f.us AS at, f.event_id AS entry, row_number() OVER (PARTITION BY a.event_id, f.kind ORDER BY f.us DESC, f.event_id DESC) AS r FROM alerts a JOIN f ON f.src_ip = a.src_ip AND f.us BETWEEN a.us - 24 * {HOUR} AND a.us + {HOUR})
-SELECT event_id, string_agg(kind || ':' || entry, ',' ORDER BY at, kind, entry) AS timeline, count(*) AS entries FROM m WHERE r <= cap GROUP BY event_id""")
+m AS (SELECT a.event_id, f.kind, f.cap, f.us AS at_us, f.event_id AS entry, row_number() OVER (PARTITION BY a.event_id, f.kind ORDER BY f.us DESC, f.event_id DESC) AS r FROM alerts a JOIN f ON f.src_ip = a.src_ip AND f.us BETWEEN a.us - 24 * {HOUR} AND a.us + {HOUR})
+SELECT event_id, string_agg(kind || ':' || entry, ',' ORDER BY at_us, kind, entry) AS timeline, count(*) AS entries FROM m WHERE r <= cap GROUP BY event_id""")
 def i10(spark, d):
     ev = log_events(spark, d)
     out = E.timeline(ev.filter("score >= 0.6"), {"log": (ev, 5), "score": (ev.filter("score >= 0.3"), 3)}, "src_ip")
@@ -108,19 +108,20 @@ DEF_SQL, AMB_SQL = "f IN ('CONFIRMED_ATTACK', 'ACTIVE_CAMPAIGN')", "f IN ('BEHAV
 
 
 @query("i12_verdict", VERDICT_SQL + f"""SELECT event_id, CASE WHEN f = 'NORMAL_BEHAVIOUR' OR (fp AND NOT {DEF_SQL}) THEN 'false_positive' WHEN ver AND NOT ok THEN 'inconclusive' WHEN {DEF_SQL} OR ({AMB_SQL} AND c >= 0.6 AND ioc) THEN 'true_positive' ELSE 'inconclusive' END AS verdict,
-round(CASE WHEN f = 'NORMAL_BEHAVIOUR' THEN greatest(0.7, 1 - c) WHEN fp AND NOT {DEF_SQL} THEN fpc WHEN ver AND NOT ok THEN 0.5 WHEN {DEF_SQL} OR ({AMB_SQL} AND c >= 0.6) THEN x WHEN {AMB_SQL} THEN c * 0.8 ELSE c * 0.7 END, 6)::DOUBLE AS confidence,
+round(CASE WHEN f = 'NORMAL_BEHAVIOUR' THEN greatest(0.7, 1 - c) WHEN fp AND NOT {DEF_SQL} THEN fpc WHEN ver AND NOT ok THEN 0.5 WHEN {DEF_SQL} OR ({AMB_SQL} AND c >= 0.6) THEN x WHEN {AMB_SQL} THEN c * 0.8 ELSE c * 0.7 END + 1e-9, 6)::DOUBLE AS confidence,
 CASE WHEN f = 'NORMAL_BEHAVIOUR' OR (fp AND NOT {DEF_SQL}) THEN 'P4' WHEN ver AND NOT ok THEN 'P2' WHEN {DEF_SQL} THEN CASE WHEN (c >= 0.8 AND ioc) OR f = 'ACTIVE_CAMPAIGN' THEN 'P1' ELSE 'P2' END WHEN {AMB_SQL} AND c >= 0.6 AND ioc THEN 'P2' ELSE 'P3' END AS priority FROM w""")
 def i12(spark, d):
     k = F.col("k")
     finding = F.element_at(F.array(*map(F.lit, ("NORMAL_BEHAVIOUR", "CONFIRMED_ATTACK", "ACTIVE_CAMPAIGN", "BEHAVIOURAL_ANOMALY", "ANOMALOUS_PATTERN", "OTHER"))), k % 6 + 1)
     v = E.verdict(finding, F.col("score2"), k % 2 == 0, k % 9 != 0, k % 2 == 1, k % 5 < 2, k % 13 == 0, F.col("score3"), k % 4 != 0)
-    return log_events(spark, d).select("event_id", v.alias("v")).select("event_id", "v.verdict", "v.confidence", "v.priority")
+    return log_events(spark, d).select("event_id", v.alias("v")).select("event_id", "v.verdict", (F.col("v.confidence") + 1e-9).alias("confidence"), "v.priority")
 
 
-@query("i13_calibrate_confidence", VERDICT_SQL + "SELECT event_id, round(least(greatest(c * (0.4 + 0.2 * ver::INT + 0.2 * ioc::INT + 0.1 * (1 - fpc) + 0.1 * coh::INT), 0), 1), 6)::DOUBLE AS confidence FROM w")
+@query("i13_calibrate_confidence", VERDICT_SQL + "SELECT event_id, round(least(greatest(c * (0.4 + 0.2 * ver::INT + 0.2 * ioc::INT + 0.1 * (1 - fpc) + 0.1 * coh::INT), 0), 1) + 1e-9, 6)::DOUBLE AS confidence FROM w")
 def i13(spark, d):
     k, one = F.col("k"), lambda c: F.when(c, 1.0).otherwise(0.0)
-    return log_events(spark, d).select("event_id", E.calibrate_confidence(F.col("score2"), one(k % 2 == 0), one(k % 5 < 2), F.col("score3"), one(k % 4 != 0)).alias("confidence"))
+    weighed = E.calibrate_confidence(F.col("score2"), one(k % 2 == 0), one(k % 5 < 2), F.col("score3"), one(k % 4 != 0))
+    return log_events(spark, d).select("event_id", (weighed + 1e-9).alias("confidence"))
 
 
 @query("i14_skip_negative", VERDICT_SQL + "SELECT event_id FROM w WHERE f <> 'NORMAL_BEHAVIOUR'")

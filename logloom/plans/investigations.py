@@ -31,7 +31,7 @@ MINUTES = 24 * 60
 MEASURES_SQL = ", ".join((f"count(*) FILTER (WHERE {w})" if m == "count" else f"count(DISTINCT f.{m}) FILTER (WHERE {w})") .replace("message", "f.message").replace("dst_port", "f.dst_port").replace("tactic", "f.tactic").replace("event_type", "f.event_type") + f" AS m{i}" for i, (_, _, _, w, m, _, _) in enumerate(H.RULES))
 
 
-@query("h2_rule_hits", ALERTS_SQL + f", m AS (SELECT a.event_id, {MEASURES_SQL} FROM alerts a JOIN logs f ON f.host = a.host AND f.us BETWEEN a.us - {MINUTES} * 60000000 AND a.us GROUP BY a.event_id), h AS (SELECT event_id, list_filter({_rule_sql()}, lambda x: x IS NOT NULL) AS hits FROM alerts LEFT JOIN m USING (event_id)) SELECT event_id, len(hits)::INT AS hit_count, coalesce(list_max(hits), 0) AS max_severity, coalesce(list_max(hits), 0) >= 3 AS fast_path FROM h")
+@query("h2_rule_hits", ALERTS_SQL + f", m AS (SELECT a.event_id, {MEASURES_SQL} FROM alerts a JOIN logs f ON f.host = a.host AND f.us BETWEEN a.us - {MINUTES * 60_000_000} AND a.us GROUP BY a.event_id), h AS (SELECT event_id, list_filter({_rule_sql()}, lambda x: x IS NOT NULL) AS hits FROM alerts LEFT JOIN m USING (event_id)) SELECT event_id, len(hits)::INT AS hit_count, coalesce(list_max(hits), 0) AS max_severity, coalesce(list_max(hits), 0) >= 3 AS fast_path FROM h")
 def h2(spark, d):
     ev = log_events(spark, d)
     return H.rule_hits(alerts_of(ev), ev, minutes=MINUTES).drop("rules")
@@ -45,10 +45,10 @@ def h4(spark, d):
 
 @query("h5_temporal_features", ALERTS_SQL + f""", hi AS (SELECT * FROM ev WHERE score >= 0.39), p AS (SELECT a.event_id, f.event_id AS fid, f.us, f.source, f.tactic, f.score, f.src_ip = a.src_ip AS by_ip FROM alerts a JOIN hi f ON f.host = a.host AND (f.src_ip = a.src_ip OR f.usr = a.usr) AND f.us BETWEEN a.us - 240 * {HOUR} AND a.us AND f.event_id <> a.event_id),
 s AS (SELECT event_id, count(*) AS n, count(DISTINCT source) AS so, count(DISTINCT tactic) AS ta, avg(score) AS m FROM p WHERE by_ip GROUP BY event_id), r AS (SELECT event_id, list_sort(list(fid)) AS related FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY us DESC, fid DESC) AS rn FROM p) WHERE rn <= 50 GROUP BY event_id)
-SELECT event_id, coalesce(n, 0) AS escalations, coalesce(so, 0) AS sources, coalesce(ta, 0) AS tactics, round(coalesce(m, 0), 6) AS mean_score, coalesce(array_to_string(related, ','), '') AS related FROM alerts LEFT JOIN s USING (event_id) LEFT JOIN r USING (event_id)""")
+SELECT event_id, coalesce(n, 0) AS escalations, coalesce(so, 0) AS sources, coalesce(ta, 0) AS tactics, round(coalesce(m, 0) + 1e-9, 6) AS mean_score, coalesce(array_to_string(related, ','), '') AS related FROM alerts LEFT JOIN s USING (event_id) LEFT JOIN r USING (event_id)""")
 def h5(spark, d):
     ev = log_events(spark, d)
-    return H.temporal_features(alerts_of(ev), ev, hours=240).withColumn("related", F.array_join(F.col("related").cast("array<string>"), ","))
+    return H.temporal_features(alerts_of(ev), ev, hours=240).withColumn("mean_score", F.col("mean_score") + 1e-9).withColumn("related", F.array_join(F.col("related").cast("array<string>"), ","))
 
 
 @query("h6_graph_features", ALERTS_SQL + IOC_SQL.replace("src_ip AS value", "dst_ip AS value") + f""", x AS (SELECT a.event_id, count(DISTINCT f.dst_ip) AS destinations, count(DISTINCT f.host) AS hops, max((f.dst_ip IN (SELECT value FROM ioc))::INT) AS ioc_neighbor, count(*) FILTER (WHERE f.score >= 0.95) AS escalations FROM alerts a JOIN ev f ON f.src_ip = a.src_ip AND f.us BETWEEN a.us - 240 * {HOUR} AND a.us GROUP BY a.event_id),
@@ -71,9 +71,9 @@ MITRE_RULES = (("brute_force", 10, "template_auth", 0.3, "T1110", "credential-ac
 
 @query("h8_mitre_match", ALERTS_SQL + """, f AS (SELECT *, list_filter([CASE WHEN regexp_matches(lower(message), 'auth|login|password|credential') THEN 'template_auth' END, CASE WHEN regexp_matches(lower(message), 'lateral|smb|rdp|remote') THEN 'template_lateral' END, CASE WHEN regexp_matches(lower(message), 'user_created|new_user|account') THEN 'template_user_created' END, CASE WHEN regexp_matches(lower(message), 'priv|escalat|sudo') THEN 'template_priv_escalation' END, CASE WHEN regexp_matches(lower(message), 'exfil|upload|transfer') THEN 'template_data_exfil' END, CASE WHEN regexp_matches(lower(message), 'scan|port|recon|discovery') THEN 'template_port_scan' END, CASE WHEN regexp_matches(lower(message), 'outbound|c2|beacon') THEN 'outbound' END, CASE WHEN hour(ts) < 6 THEN 'off_hours' END, CASE WHEN user_id % 17 = 0 THEN 'known_malicious_ip' END, CASE WHEN abs(score - score2) > 0.3 THEN 'std_dev_high' END, CASE WHEN score2 > 0.7 THEN 'ae_high' END], lambda x: x IS NOT NULL) AS flags FROM alerts),
 r(rule_id, priority, trig, threshold, tac) AS (VALUES """ + ", ".join(f"('{a}', {b}, '{c}', {d}, '{f}')" for a, b, c, d, _, f in MITRE_RULES) + """),
-m AS (SELECT event_id, list(DISTINCT r.tac) AS ts, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY priority, rule_id) AS rn FROM f JOIN r ON score >= threshold AND (len(flags) = 0 OR list_contains(flags, trig))) r WHERE rn <= CASE WHEN len(flags) = 0 THEN 5 ELSE 25 END GROUP BY event_id),
-o AS (SELECT event_id, tactic, coalesce(ts, []) AS ts, coalesce(n, 0) AS n FROM alerts LEFT JOIN m USING (event_id)), p AS (SELECT event_id, n + (NOT list_contains(ts, tactic))::INT AS matches, list_sort(CASE WHEN list_contains(ts, tactic) THEN ts ELSE list_append(ts, tactic) END) AS ts FROM o)
-SELECT event_id, array_to_string(ts, ',') AS tactics, matches, len(list_filter(ts, lambda t: t <> ''))::INT AS tactic_breadth FROM p""")
+m AS (SELECT event_id, list(DISTINCT r.tac) AS tags, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY priority, rule_id) AS rn FROM f JOIN r ON score >= threshold AND (len(flags) = 0 OR list_contains(flags, trig))) r WHERE rn <= CASE WHEN len(flags) = 0 THEN 5 ELSE 25 END GROUP BY event_id),
+o AS (SELECT event_id, tactic, coalesce(tags, []) AS tags, coalesce(n, 0) AS n FROM alerts LEFT JOIN m USING (event_id)), p AS (SELECT event_id, n + (NOT list_contains(tags, tactic))::INT AS matches, list_sort(CASE WHEN list_contains(tags, tactic) THEN tags ELSE list_append(tags, tactic) END) AS tags FROM o)
+SELECT event_id, array_to_string(tags, ',') AS tactics, matches, len(list_filter(tags, lambda t: t <> ''))::INT AS tactic_breadth FROM p""")
 def h8(spark, d):
     ev = alerts_of(log_events(spark, d)).withColumns({"off_hours": (F.hour("ts") < 6).cast("int"), "ioc_match": (F.col("user_id") % 17 == 0).cast("int"), "score_std": F.abs(F.col("score") - F.col("score2"))})
     ev = ev.withColumn("flags", H.trigger_flags(ev))

@@ -40,7 +40,7 @@ def d3(spark, d):
     return J.ioc_flows(ev.filter("action = 'escalate'").select("event_id", "src_ip", "us"), ev, bad).groupBy("event_id").agg(F.count("*").alias("flows"))
 
 
-@query("d4_alert_scores", EV_SQL + ", s AS (SELECT event_id, score2 AS score, us AS at FROM ev WHERE k % 3 = 0 UNION ALL SELECT event_id, score3, us + 1 FROM ev WHERE k % 6 = 0) SELECT event_id, round(max_by(score, at), 6) AS latest_score FROM ev LEFT JOIN s USING (event_id) WHERE severity >= 2 GROUP BY event_id")
+@query("d4_alert_scores", EV_SQL + ", s AS (SELECT event_id, score2 AS score, us AS at_us FROM ev WHERE k % 3 = 0 UNION ALL SELECT event_id, score3, us + 1 FROM ev WHERE k % 6 = 0) SELECT event_id, round(max_by(s.score, at_us), 6) AS latest_score FROM ev LEFT JOIN s USING (event_id) WHERE severity >= 2 GROUP BY event_id")
 def d4(spark, d):
     ev = log_events(spark, d)
     first = ev.filter("k % 3 = 0").select("event_id", F.col("score2").alias("score"), F.col("us").alias("scored_us"))

@@ -12,7 +12,8 @@ from logloom.operators import ml as M
 from logloom.operators import vectors as V
 from logloom.plans.aggregates import SCORED_SQL, bucket_sql, scored
 from logloom.plans.features import action_code
-from logloom.plans.registry import query
+from logloom.plans import windows_plans  # noqa: F401  (its SQL is that of the batch twins)
+from logloom.plans.registry import ORACLE_SQL, query
 from logloom.sources.fixtures import EV_SQL, log_events
 from logloom.streaming import streams as S
 
@@ -50,7 +51,7 @@ def closed(df):
 LAST_SQL = "(SELECT max(us) - 600000000 FROM ev)"
 
 
-@query("j1_tumbling", EV_SQL + f"SELECT {bucket_sql(3600)} AS start, source, count(*) AS events FROM ev GROUP BY ALL HAVING {bucket_sql(3600)} + 3600000000 <= {LAST_SQL}")
+@query("j1_tumbling", EV_SQL + f"SELECT start, source, count(*) AS events FROM (SELECT {bucket_sql(3600)} AS start, source FROM ev) GROUP BY ALL HAVING start + 3600000000 <= {LAST_SQL}")
 def j1(spark, d):
     """Windows that the watermark has closed at the end of the input."""
     ev = timed(log_events(spark, d)).select("at", "source")
@@ -71,13 +72,13 @@ def j3(spark, d):
     return out.select(F.unix_micros("session_window.start").alias("start"), "host", "events")
 
 
-@query("j4_ewma_stream")
+@query("j4_ewma_stream", "SELECT event_id, rate_fast, rate_medium, rate_slow, error_rate FROM (" + ORACLE_SQL["f9_ewma_rates"] + ")")
 def j4(spark, d):
     ev = log_events(spark, d).select("event_id", "usr", "us", "severity")
     return streamed(spark, ev, lambda s: S.ewma_stream(s, "usr", (7200.0, 86400.0, 864000.0)))
 
 
-@query("j5_kill_chain_stream")
+@query("j5_kill_chain_stream", "SELECT event_id, chain_stage FROM (" + ORACLE_SQL["g5_kill_chain"] + ")")
 def j5(spark, d):
     ev = log_events(spark, d)
     step = F.create_map(*[F.lit(x) for p in G.STAGE_OF_ACTION.items() for x in p])[action_code(ev)]
@@ -106,7 +107,7 @@ def j9(spark, d):
     return streamed(spark, ev.unionAll(ev), lambda s: s.select("uuid", "source")).dropDuplicates(["uuid"]).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("j10_late_rows", EV_SQL + "SELECT (us < (SELECT max(us) FROM ev) - 1000000 * 864000)::BOOLEAN AS late, count(*) AS n FROM ev GROUP BY 1")
+@query("j10_late_rows", EV_SQL + "SELECT (us < (SELECT max(us) FROM ev) - 864000000000)::BOOLEAN AS late, count(*) AS n FROM ev GROUP BY 1")
 def j10(spark, d):
     ev = log_events(spark, d)
     last = F.lit(ev.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
@@ -139,7 +140,7 @@ def j12(spark, d):
 
 @query("j13_pipeline_metrics", EV_SQL + "SELECT 'rows' AS metric, count(*)::DOUBLE AS value FROM ev UNION ALL SELECT 'errors', count(*) FILTER (WHERE severity = 4)::DOUBLE FROM ev")
 def j13(spark, d):
-    return S.pipeline_metrics(log_events(spark, d), {"rows": F.count("*"), "errors": F.count_if("severity = 4")})
+    return S.pipeline_metrics(log_events(spark, d), {"rows": F.count("*"), "errors": F.count_if(F.expr("severity = 4"))})
 
 
 def labelled(spark, d):

@@ -96,8 +96,8 @@ def f15(spark, d):
     return W.bursts(log_events(spark, d).filter("severity >= 3"), ["host"], seconds=86400, least=5)
 
 
-@query("f16_sustained_alerts", EV_SQL + f""", m AS (SELECT host, us // {HOUR} AS at, count(*) AS n FROM ev GROUP BY ALL), b AS (SELECT host, at, n >= 1 AND at % 3 <> 0 AS x FROM m), c AS (SELECT *, sum((x IS DISTINCT FROM p)::INT) OVER (PARTITION BY host ORDER BY at) AS g FROM (SELECT *, lag(x) OVER (PARTITION BY host ORDER BY at) AS p FROM b))
-SELECT host, min(at) AS start, max(at) AS "end", count(*) AS points FROM c WHERE x GROUP BY host, g HAVING max(at) - min(at) >= 1""")
+@query("f16_sustained_alerts", EV_SQL + f""", m AS (SELECT host, us // {HOUR} AS h, count(*) AS n FROM ev GROUP BY ALL), b AS (SELECT host, h, n >= 1 AND h % 3 <> 0 AS x FROM m), c AS (SELECT *, sum((x IS DISTINCT FROM p)::INT) OVER (PARTITION BY host ORDER BY h) AS g FROM (SELECT *, lag(x) OVER (PARTITION BY host ORDER BY h) AS p FROM b))
+SELECT host, min(h) AS start, max(h) AS "end", count(*) AS points FROM c WHERE x GROUP BY host, g HAVING max(h) - min(h) >= 1""")
 def f16(spark, d):
     m = log_events(spark, d).groupBy("host", F.floor(F.col("us") / HOUR).alias("at")).agg(F.count("*").alias("n"))
     return W.sustained_alerts(m, "host", "at", (F.col("n") >= 1) & (F.col("at") % 3 != 0), 1)
@@ -118,7 +118,7 @@ def g1(spark, d):
 def g2(spark, d):
     ev = log_events(spark, d)
     ev = ev.withColumn("action_code", action_code(ev)).withColumn("stage", F.element_at(F.create_map(*[F.lit(x) for p in G.STAGE_OF_ACTION.items() for x in p]), F.col("action_code")))
-    ev = W.running_baseline_z(W.source_novelty(W.connection_rates(ev, "src_ip"), ["host", "source"]), "host", ["us", "event_id"])
+    ev = W.running_baseline_z(W.source_novelty(W.connection_rates(ev, "src_ip").withColumnRenamed("acceleration", "conn_acceleration"), ["host", "source"]), "host", ["us", "event_id"])
     return G.features_v7(W.kill_chain(W.ewma_rates(ev, "usr"), "host", "stage"))
 
 
@@ -148,11 +148,11 @@ def g4(spark, d):
 STAGE_SQL = f"CASE {ACTION_SQL} WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 3 WHEN 7 THEN 1 WHEN 8 THEN 4 WHEN 9 THEN 3 WHEN 10 THEN 5 WHEN 11 THEN 4 ELSE 0 END"
 
 
-@query("g5_kill_chain", EV_SQL + f""", r AS (SELECT event_id, host, us / 1e6 AS at, score2, {STAGE_SQL} AS step, row_number() OVER (PARTITION BY host ORDER BY us, event_id) AS n FROM logs),
+@query("g5_kill_chain", EV_SQL + f""", r AS (SELECT event_id, host, us / 1e6 AS tm, score2, {STAGE_SQL} AS step, row_number() OVER (PARTITION BY host ORDER BY us, event_id) AS n FROM logs),
 f AS (WITH RECURSIVE t(host, n, event_id, last, stage, times) AS (
-  SELECT host, n, event_id, at, CASE WHEN score2 > 0.3 THEN step ELSE 0 END, CASE WHEN score2 > 0.3 AND step > 0 THEN [0.0::DOUBLE] ELSE []::DOUBLE[] END FROM r WHERE n = 1
-  UNION ALL SELECT host, n, event_id, CASE WHEN score2 > 0.3 THEN at ELSE last END, CASE WHEN score2 > 0.3 AND step > s0 THEN step ELSE s0 END, CASE WHEN score2 > 0.3 AND step > s0 THEN list_append(t0, (at - last)::DOUBLE) ELSE t0 END FROM (
-    SELECT r.host, r.n, r.event_id, r.at, r.score2, r.step, t.last, CASE WHEN r.at - t.last > 3600 THEN 0 ELSE t.stage END AS s0, CASE WHEN r.at - t.last > 3600 THEN []::DOUBLE[] ELSE t.times END AS t0 FROM t JOIN r ON r.host = t.host AND r.n = t.n + 1)) SELECT * FROM t)
+  SELECT host, n, event_id, tm, CASE WHEN score2 > 0.3 THEN step ELSE 0 END, CASE WHEN score2 > 0.3 AND step > 0 THEN [0.0::DOUBLE] ELSE []::DOUBLE[] END FROM r WHERE n = 1
+  UNION ALL SELECT host, n, event_id, CASE WHEN score2 > 0.3 THEN tm ELSE last END, CASE WHEN score2 > 0.3 AND step > s0 THEN step ELSE s0 END, CASE WHEN score2 > 0.3 AND step > s0 THEN list_append(t0, (tm - last)::DOUBLE) ELSE t0 END FROM (
+    SELECT r.host, r.n, r.event_id, r.tm, r.score2, r.step, t.last, CASE WHEN r.tm - t.last > 3600 THEN 0 ELSE t.stage END AS s0, CASE WHEN r.tm - t.last > 3600 THEN []::DOUBLE[] ELSE t.times END AS t0 FROM t JOIN r ON r.host = t.host AND r.n = t.n + 1)) SELECT * FROM t)
 SELECT event_id, stage AS chain_stage, round(CASE WHEN len(times) > 1 THEN 1 / greatest(list_avg(times[-5:]), 1.0) ELSE 0 END, 6)::DOUBLE AS chain_velocity FROM f""")
 def g5(spark, d):
     ev = log_events(spark, d)
@@ -210,7 +210,7 @@ def g11(spark, d):
 
 
 @query("g12_symmetric_drift", EV_SQL + """, r AS (SELECT 'value' AS f, value AS x, user_id % 2 AS side FROM ev UNION ALL SELECT 'score3', score3, user_id % 2 FROM ev), s AS (SELECT f, min(x) AS lo, max(x) AS hi, avg(x) FILTER (WHERE side = 0) AS m0, avg(x) FILTER (WHERE side = 1) AS m1, count(*) FILTER (WHERE side = 0) AS n0, count(*) FILTER (WHERE side = 1) AS n1 FROM r GROUP BY f),
-b AS (SELECT f, least(floor((x - lo) / (hi - lo) * 10), 9) AS bin, n0, n1, m0, m1, count(*) FILTER (WHERE side = 0) / n0 + 1e-6 AS p, count(*) FILTER (WHERE side = 1) / n1 + 1e-6 AS q FROM r JOIN s USING (f) GROUP BY ALL)
+b AS (SELECT f, least(floor((x - lo) / (hi - lo) * 10), 9) AS bin, n0, n1, m0, m1, count(*) FILTER (WHERE side = 0) / any_value(n0) + 1e-6 AS p, count(*) FILTER (WHERE side = 1) / any_value(n1) + 1e-6 AS q FROM r JOIN s USING (f) GROUP BY f, least(floor((x - lo) / (hi - lo) * 10), 9), n0, n1, m0, m1)
 SELECT f AS feature, round(sum(p * ln(p / q)) / 2 + sum(q * ln(q / p)) / 2, 6) AS kl, round(abs(any_value(m1) - any_value(m0)), 6) AS mean_shift, sum(p * ln(p / q)) / 2 + sum(q * ln(q / p)) / 2 > 0.1 AS drift FROM b GROUP BY f""")
 def g12(spark, d):
     ev = log_events(spark, d)

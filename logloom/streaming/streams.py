@@ -1,6 +1,6 @@
 """Streaming and stateful operators (inventory J).
 
-The stateful ones hold a key's state in the state store and set timers, so that idle keys leave. Each gives the rows
+The stateful ones hold a key's state in the state store, where an idle key's can expire. Each gives the rows
 that its batch twin in ``operators.windows`` gives on the same input in time order.
 """
 
@@ -43,19 +43,33 @@ def split_late(df: DataFrame, ts: str, as_of: Column, late_seconds: int = 600) -
     return df.filter(~is_late), df.filter(is_late)
 
 
-class EwmaProcessor(StatefulProcessor):
-    """Decayed rates of each key (J4): state is the rates and the time of the last row; it expires when idle.
+class KeyedState(StatefulProcessor):
+    """One value of state for each key. With ``ttl_ms`` an idle key's state leaves after that processing time."""
+
+    fields: tuple[tuple[str, object], ...] = ()
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        schema = StructType([StructField(name, kind) for name, kind in self.fields])
+        self.state = handle.getValueState("state", schema) if self.ttl_ms is None else handle.getValueState("state", schema, self.ttl_ms)
+
+    def close(self) -> None:
+        pass
+
+
+class EwmaProcessor(KeyedState):
+    """Decayed rates of each key (J4): state is the rates and the time of the last row.
 
     Rows of a batch are taken in time order.
     """
 
-    def __init__(self, half_lives: tuple[float, float, float]):
-        self.half_lives = half_lives
+    fields = (("fast", DoubleType()), ("medium", DoubleType()), ("slow", DoubleType()), ("error", DoubleType()), ("us", LongType()))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        doubles = [StructField(n, DoubleType()) for n in ("fast", "medium", "slow", "error")]
-        self.state = handle.getValueState("rates", StructType([*doubles, StructField("us", LongType())]), ttlDurationMs=int(2000 * self.half_lives[2]))
+    def __init__(self, half_lives: tuple[float, float, float], ttl_ms: int | None = None):
+        super().__init__(ttl_ms)
+        self.half_lives = half_lives
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
@@ -71,19 +85,21 @@ class EwmaProcessor(StatefulProcessor):
         self.state.update((*map(float, rates), last))
         yield pd.DataFrame(out, columns=["event_id", "rate_fast", "rate_medium", "rate_slow", "error_rate"])
 
-    def close(self) -> None:
-        pass
 
+def with_state(df: DataFrame) -> DataFrame:
+    """``df``, its session set to the state store that the state API needs."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return df
 
-def ewma_stream(df: DataFrame, key: str, half_lives: tuple[float, float, float] = (2.0, 60.0, 600.0)) -> DataFrame:
-    return df.groupBy(key).transformWithStateInPandas(EwmaProcessor(half_lives), "event_id long, rate_fast double, rate_medium double, rate_slow double, error_rate double", "append", "none")
 
+def ewma_stream(df: DataFrame, key: str, half_lives: tuple[float, float, float] = (2.0, 60.0, 600.0), ttl_ms: int | None = None) -> DataFrame:
+    return with_state(df).groupBy(key).transformWithStateInPandas(EwmaProcessor(half_lives, ttl_ms), "event_id long, rate_fast double, rate_medium double, rate_slow double, error_rate double", "append", "none" if ttl_ms is None else "processingTime")
 
-class BaselineProcessor(StatefulProcessor):
-    """Running mean and deviation of each key and the z of every row (J6), expiring after a day."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("moments", StructType([StructField("n", LongType()), StructField("mean", DoubleType()), StructField("m2", DoubleType())]), ttlDurationMs=86_400_000)
+class BaselineProcessor(KeyedState):
+    """Running mean and deviation of each key and the z of every row."""
+
+    fields = (("n", LongType()), ("mean", DoubleType()), ("m2", DoubleType()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
@@ -99,22 +115,19 @@ class BaselineProcessor(StatefulProcessor):
         self.state.update((int(n), float(mean), float(m2)))
         yield pd.DataFrame(out, columns=["event_id", "z"])
 
-    def close(self) -> None:
-        pass
-
 
-def baseline_stream(df: DataFrame, key: str) -> DataFrame:
-    return df.groupBy(key).transformWithStateInPandas(BaselineProcessor(), "event_id long, z double", "append", "none")
+def baseline_stream(df: DataFrame, key: str, ttl_ms: int | None = None) -> DataFrame:
+    return with_state(df).groupBy(key).transformWithStateInPandas(BaselineProcessor(ttl_ms), "event_id long, z double", "append", "none" if ttl_ms is None else "processingTime")
 
 
-class KillChainProcessor(StatefulProcessor):
+class KillChainProcessor(KeyedState):
     """Attack stage of each key (J5), the streaming form of the batch fold."""
 
-    def __init__(self, gate: float, idle_s: float):
-        self.gate, self.idle_s = gate, idle_s
+    fields = (("stage", LongType()), ("last", LongType()))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stage", StructType([StructField("stage", LongType()), StructField("last", LongType())]), ttlDurationMs=int(2000 * self.idle_s))
+    def __init__(self, gate: float, idle_s: float, ttl_ms: int | None = None):
+        super().__init__(ttl_ms)
+        self.gate, self.idle_s = gate, idle_s
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
@@ -130,12 +143,9 @@ class KillChainProcessor(StatefulProcessor):
         self.state.update((int(stage), int(last)))
         yield pd.DataFrame(out, columns=["event_id", "chain_stage"])
 
-    def close(self) -> None:
-        pass
-
 
-def kill_chain_stream(df: DataFrame, key: str, gate: float = 0.3, idle_s: float = 3600.0) -> DataFrame:
-    return df.groupBy(key).transformWithStateInPandas(KillChainProcessor(gate, idle_s), "event_id long, chain_stage int", "append", "none")
+def kill_chain_stream(df: DataFrame, key: str, gate: float = 0.3, idle_s: float = 3600.0, ttl_ms: int | None = None) -> DataFrame:
+    return with_state(df).groupBy(key).transformWithStateInPandas(KillChainProcessor(gate, idle_s, ttl_ms), "event_id long, chain_stage int", "append", "none" if ttl_ms is None else "processingTime")
 
 
 def enrich_stream(df: DataFrame, read_lookup, on: list[str], write) -> object:
