@@ -1,6 +1,7 @@
 """Every registered query of the log operators against its SQL in DuckDB, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from logloom.plans import registry
@@ -12,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows_of(frame) -> list[tuple]:
     frame = frame[sorted(frame.columns)].astype(object)
-    text = lambda x: "" if x is None or x != x else f"{float(x):.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    text = lambda x: "" if pd.isna(x) else f"{float(x):.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     return sorted(tuple(text(x) for x in row) for row in frame.itertuples(index=False))
 
 
