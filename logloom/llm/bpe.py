@@ -214,7 +214,8 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the documents with ``token_ids``, ``n_tokens`` and ``decoded``."""
+    """Last pipeline stage: the documents with ``token_ids``, ``n_tokens`` and ``decoded``; columns of these names are
+    replaced."""
     del spark, sf_dir
-    coded = bpe_round_trip(docs, keys=tuple(docs.columns))
+    coded = bpe_round_trip(docs, keys=tuple(c for c in docs.columns if c not in ("token_ids", "decoded", "n_tokens")))
     return coded.withColumn("n_tokens", F.size("token_ids").cast("long"))

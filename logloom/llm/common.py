@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +28,15 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[F.col(f"c{df.columns.index(old)}").alias(new) for new, old in columns.items()])
 
 
+def masked(stage: Callable[[DataFrame], DataFrame], df: DataFrame, known: tuple[str, ...]) -> DataFrame:
+    """``stage`` applied to ``df`` with all but the known columns under neutral names, which are then given back.
+
+    So a stage may add what columns it likes: no column of ``df``, whatever its name, is taken for another.
+    """
+    names = [n if n in known else f"_other{i}" for i, n in enumerate(df.columns)]
+    return stage(df.toDF(*names)).select(*names).toDF(*df.columns)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; on a local master without one, a new temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)

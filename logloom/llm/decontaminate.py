@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pick, table
+from .common import masked, pick, table
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
@@ -108,6 +108,10 @@ GROUP BY d.doc_id, i.item_id HAVING count(*) / any_value(n) >= 0.8 - 1e-12
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: drop the documents that contain a benchmark item. What a document contains hangs on its text
     alone, so it is looked up by the text's digest; null ids and repeated rows need no care."""
-    marked = docs.withColumn("_text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    found = contained_items(marked, table(spark, sf_dir, "benchmark"), key="_text_key").select("_text_key").distinct()
-    return marked.join(found, "_text_key", "left_anti").select(*docs.columns)
+
+    def stage(d: DataFrame) -> DataFrame:
+        marked = d.withColumn("_text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+        found = contained_items(marked, table(spark, sf_dir, "benchmark"), key="_text_key").select("_text_key").distinct()
+        return marked.join(found, "_text_key", "left_anti")
+
+    return masked(stage, docs, ("text",))

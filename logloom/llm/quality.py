@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table, text_chunks
+from .common import masked, pick, table, text_chunks
 
 #: Labelled documents that the fit uses at most: those with the least hash of their id.
 MAX_LABELLED = 6_000
@@ -173,4 +173,4 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: drop the documents that score under the threshold."""
     ranker = fit_ranker(docs, table(spark, sf_dir, "labels"), lambda c: F.lit(True))
-    return score_quality(docs, ranker).filter(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+    return masked(lambda d: score_quality(d, ranker).filter(F.col("quality_score") >= THRESHOLD), docs, ("text",))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, save, table, text_chunks
+from .common import masked, pick, save, table, text_chunks
 from .components import connected_components, spanning_links
 
 BITS = 64
@@ -115,10 +115,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are known by id and text hash; rows equal in both are copies, of which one stays.
     """
     del spark, sf_dir
+    return masked(_one_of_each_group, docs, ("doc_id", "text"))
+
+
+def _one_of_each_group(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_text", F.xxhash64("text"))
     marked = save(add_fingerprints(keyed, ("doc_id", "_text")), "fingerprints")
     near = save(near_components(marked.select("fingerprint").distinct()), "components")
     heads = marked.join(near, "fingerprint", "left").groupBy(F.coalesce("component", "fingerprint").alias("component")).agg(F.min(F.struct("doc_id", "_text")).alias("head"))
     kept = heads.select("head.*").toDF("_id", "_hash").distinct()
     same = keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_text"] == kept["_hash"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, save, table, text_chunks
+from .common import masked, pick, save, table, text_chunks
 
 WINDOW = 35
 GRAM = 8
@@ -289,6 +289,9 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_repeated_words(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: remove repeated passages from the texts; texts without any stay as they are."""
     del spark, sf_dir
-    out = remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+    def stage(d: DataFrame) -> DataFrame:
+        out = remove_repeats(d)
+        return out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
+
+    return masked(stage, docs, ("text", "n_chars"))

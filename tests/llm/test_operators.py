@@ -313,3 +313,17 @@ def test_pipeline(spark):
     assert items.count() == 0
     digest = {hashlib.sha256(r.text.encode()).hexdigest() for r in rows}
     assert len(digest) == len(rows)
+
+
+def test_stages_leave_other_columns_alone(spark, docs):
+    """Columns named like those that the stages add keep their values."""
+    import corpus_pipeline
+
+    names = ["quality_score", "n_words", "n_removed", "kept_text", "_text", "_text_key", "fingerprint", "component", "key", "starts", "copied", "c1"]
+    clash = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), *[F.lit(n).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, DATA)
+        assert out.columns == clash.columns
+        assert all(r[n] == n for r in out.collect() for n in names)
+        assert stage(spark, clash.filter("false"), DATA).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, clash, DATA).count() == clash.count()
