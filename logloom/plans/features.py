@@ -335,3 +335,54 @@ def a13(spark, d):
 def a11(spark, d):
     counts = log_events(spark, d).groupBy("host").agg(F.count("*").alias("n"))
     return counts.select(I.markdown_row(["host", "n"]).alias("line"))
+
+
+@query("b10_default_severity", EV_SQL + f"SELECT event_id, {RANK_SQL} AS severity FROM logs WHERE {TYPE_SQL} <> 'security'")
+def b10(spark, d):
+    """Events that are not security events take their severity from the level."""
+    ev = log_events(spark, d).withColumn("c", N.classify_event(F.col("message"), F.col("level")))
+    return ev.filter("c.event_type <> 'security'").select("event_id", F.col("c.severity").alias("severity"))
+
+
+@query("c11_like_match", EV_SQL + "SELECT event_id, host ILIKE ('HOST-' || (k % 3) || '%') AS hit FROM ev")
+def c11(spark, d):
+    return log_events(spark, d).select("event_id", S.like_match(F.col("host"), F.concat(F.lit("HOST-"), F.col("k") % 3, F.lit("%"))).alias("hit"))
+
+
+@query("a6_append_sink", EV_SQL + f"SELECT {TYPE_SQL} AS event_type, CAST(ts AS DATE)::VARCHAR AS event_date, count(*) AS n FROM logs GROUP BY ALL")
+def a6(spark, d):
+    """Two micro-batches, one of them written twice, are read back whole and once."""
+    from logloom.plans.stream_plans import shared_root
+
+    root = shared_root(spark)
+    ev = log_events(spark, d)
+    ev = ev.withColumn("event_type", N.classify_event(F.col("message"), F.col("level"))["event_type"]).select("event_id", "ts", "event_type", "k")
+    for batch in (0, 1, 1):
+        I.append_sink(ev.filter(F.col("k") % 2 == batch), batch, root)
+    return spark.read.parquet(root).groupBy("event_type", F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("n"))
+
+
+@query("a8_hunter_task", EV_SQL + ", s AS (SELECT host, max_by(k, us) AS chain_stage FROM ev GROUP BY host) SELECT event_id, chain_stage FROM ev JOIN s USING (host) WHERE score >= 0.95")
+def a8(spark, d):
+    ev = log_events(spark, d).withColumn("action", F.when(F.col("score") >= 0.95, "escalate").otherwise("discard"))
+    stages = ev.select("host", "us", F.col("k").alias("chain_stage"), F.lit(0.0).alias("chain_velocity"))
+    return I.hunter_task(ev.select("event_id", "host", "action"), stages).select("event_id", "chain_stage")
+
+
+@query("a10_map_dataset", EV_SQL + "SELECT CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS label, CASE WHEN event_type = 'view' THEN 'normal' ELSE event_type END AS attack_type, 'intrusions' AS source, count(*) AS n, round(sum(bytes_out), 6)::DOUBLE AS bytes_out FROM ev GROUP BY ALL")
+def a10(spark, d):
+    """The log rows in the columns of a labelled intrusion set, through its mapping."""
+    raw = log_events(spark, d).select(F.col("duration_ms").cast("string").alias("duration"), F.col("bytes_out").cast("string").alias("src_bytes"), F.col("bytes_in").cast("string").alias("dst_bytes"), F.when(F.col("event_type") == "view", "normal").otherwise(F.col("event_type")).alias("class"))
+    out = I.map_dataset(raw, I.DATASETS["intrusions"], "intrusions")
+    return out.groupBy("label", "attack_type", "source").agg(F.count("*").alias("n"), F.sum("bytes_out").alias("bytes_out"))
+
+
+@query("e4_sketch_merge")
+def e4_sketch(spark, d):
+    """Distinct actions by mergeable sketches, two halves merged: approximate, so without SQL."""
+    from logloom.operators import rollups as R
+
+    ev = log_events(spark, d)
+    part = lambda df: R.entity_frequency(df, ["host"], "event_type", sketch=True)
+    merged = R.merge_rollup(part(ev.filter("k < 50")), part(ev.filter("k >= 50")), ["minute", "host"], sums=["events"], sketches=["actions_sketch"])
+    return merged.select("minute", "host", "events", F.hll_sketch_estimate("actions_sketch").alias("unique_actions"))
