@@ -22,6 +22,8 @@ def shared_root(spark) -> str:
     """A new folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="spark-")

@@ -1,4 +1,7 @@
-"""Make the package importable in Python workers that were started without it."""
+"""Make the package importable in the Python workers of a local session that was started without it.
+
+On a cluster the package is given to the executors with ``--py-files`` or installed there.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +15,9 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once for each application, as ``--py-files`` would."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
+    """Send the package to the workers once for each application, as ``--py-files`` would."""
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if app in _shipped or not (master == "local" or master.startswith("local[")):
         return
     folder = Path(tempfile.mkdtemp(prefix="spark-"))
     shutil.copytree(Path(__file__).parent, folder / "package" / "logloom", ignore=shutil.ignore_patterns("__pycache__"))
