@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import pick, table, text_chunks
 
 #: Characters of text whose pieces share one index. A rank costs the same for few or many positions, so this is large.
-INDEX_CHARS = 24 << 20
+INDEX_CHARS = 8 << 20
 
 
 class Numbers(dict):
@@ -163,12 +163,12 @@ class PairIndexCodec:
         The strings of special tokens give their ids.
         """
         number = Numbers()
-        cut = [np.fromiter(map(number.__getitem__, p), np.int64, len(p)) for p in (self._pieces(t or "") for t in texts)]
+        cut = [np.fromiter(map(number.__getitem__, p), np.int32, len(p)) for p in (self._pieces(t or "") for t in texts)]
         flat, starts, lengths = self.merge_all([p.encode() if p not in self.specials else b"" for p in number])
         for piece, i in self.specials.items():
             if piece in number:
                 starts[number[piece]], lengths[number[piece]], flat = len(flat), 1, np.append(flat, np.int32(i))
-        which = np.concatenate(cut) if cut else np.zeros(0, np.int64)
+        which = np.concatenate(cut) if cut else np.zeros(0, np.int32)
         sizes = np.concatenate(([0], np.cumsum(lengths[which])))
         return ragged(flat, starts, lengths, which), sizes[np.cumsum([len(x) for x in cut], dtype=np.int64)]
 
