@@ -2,7 +2,8 @@
 
 Every page is cut into blocks of text, and its containers are scored by the article text that they hold. Each page
 votes for the generalised tag-class path of its best container; Spark adds up the votes of each host. Then the blocks
-of the container at the host's winning path are the page's text. A page without a container there uses its own best.
+of all containers at the host's winning path, in page order, are the page's text. A page without a container there uses
+the path of its own best.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ RAW_TAGS = "script|style|textarea|title|xmp|noembed|noframes"
 #: Words in a class or id that mark what is not the article.
 SKIPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside rail notice notices notification alert cookie cookies consent gdpr popup modal overlay form search login signup subscribe subscription newsletter comment comments commentlist disqus replies reply respond share sharing social related recommended widget toolbar pagination pager hidden".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+#: Of these, and of names, those that may mark a wrapper of the whole page: there they skip only what is not most of its text.
+WRAPPER_TAGS = frozenset("nav header footer aside form".split())
+NEVER_NAMES = frozenset("hidden comment comments commentlist disqus replies reply respond".split())
 CONTENT_NAMES = frozenset("article content post entry story body text main".split())
 #: An opening tag closes these open elements, unless one of the second set lies between.
 CLOSES = {
@@ -45,14 +49,18 @@ ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 class Element:
-    __slots__ = ("bonus", "chars", "depth", "first", "last", "parent", "path", "skipped", "tag")
+    __slots__ = ("bonus", "chars", "depth", "doubtful", "end", "first", "held", "last", "never", "parent", "path", "skipped", "tag")
 
-    def __init__(self, tag: str, parent: Element | None, attributes: str, first: int):
+    def __init__(self, tag: str, parent: Element | None, attributes: str, first: int, spared: bool = False):
         self.tag, self.parent, self.first, self.last = tag, parent, first, first
         self.depth = parent.depth + 1 if parent else 0
-        self.chars = 0
-        self.skipped = bool(parent and parent.skipped) or tag in SKIPPED_TAGS
+        self.chars = self.held = self.end = 0
+        self.never = bool(parent and parent.never) or tag in SKIPPED_TAGS - WRAPPER_TAGS
+        self.doubtful = tag in WRAPPER_TAGS
         self.bonus, classes = tag in ("article", "main"), ""
         if attributes and not attributes.isspace():
             found = {k.lower(): (a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)}
@@ -60,19 +68,50 @@ class Element:
             roles = found.get("role", "").lower()
             if tag not in ("html", "body"):
                 hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-                self.skipped |= hidden or roles in SKIPPED_ROLES or not SKIPPED_NAMES.isdisjoint(names)
-            self.bonus |= roles == "main" or not CONTENT_NAMES.isdisjoint(names)
+                self.never |= hidden or not NEVER_NAMES.isdisjoint(names)
+                self.doubtful |= roles in SKIPPED_ROLES or not SKIPPED_NAMES.isdisjoint(names)
+                self.bonus |= roles == "main" or not CONTENT_NAMES.isdisjoint(names)
             classes = "".join(sorted("." + re.sub(r"\d+", "N", c) for c in found.get("class", "").split()))
+        self.skipped = bool(parent and parent.skipped) or self.never or (self.doubtful and not spared)
         self.path = f"{parent.path}>{tag}{classes}" if parent and parent.path else f"{tag}{classes}"
 
 
-def read_page(page: str | None) -> tuple[list[str], list[tuple[str, int, int, float]]]:
+def wrappers(elements: list[Element]) -> frozenset[int]:
+    """Numbers of the skipped elements that hold most of the page's text outside links, and so are no side matter.
+
+    An element stays skipped if an article-like one stands beside it, or one around it has over a tenth as much text.
+    """
+    half = (elements[0].chars + elements[0].held) / 2
+    large = [i for i, e in enumerate(elements) if e.doubtful and not e.never and e.held > half]
+    article = [i for i, e in enumerate(elements) if e.bonus and not e.skipped] if large else []
+    return frozenset(i for i in large if not any(elements[j].chars * 10 > elements[i].held if j < i < elements[j].end else not i < j < elements[i].end for j in article))
+
+
+def outermost(best: Element, blocks: list[str], own: list[int], headings: set[int]) -> Element:
+    """``best`` or the last container around it that adds only text of the article: blocks that are not mostly links, in
+    an article-like container, or headings."""
+    e, outer = best.parent, best
+    while e and e.tag not in ("html", "body", "#page"):
+        if e.tag in CONTAINER_TAGS:
+            added = [*range(e.first, outer.first), *range(outer.last, e.last)]
+            if not all(2 * own[i] > len(blocks[i]) and (e.bonus or i in headings) for i in added):
+                break
+            if added:
+                outer = e
+        e = e.parent
+    return outer
+
+
+def read_page(page: str | None, spared: frozenset[int] = frozenset()) -> tuple[list[str], list[tuple[str, int, int, float]]]:
     """The kept blocks of a page, and its containers as (path, first block, last block, score), best first.
 
     Score: share of the page's kept text that is not in links, more for article-like tags and names, and a little for
-    depth, so that of containers with the same text the innermost counts.
+    depth, so that of containers with the same text the innermost counts. The first is then the outermost around the
+    best that adds only text of the article. ``spared`` are numbers of elements that are not skipped by tag or name.
     """
     blocks: list[str] = []
+    owned: list[int] = []
+    headings: set[int] = set()
     root = Element("#page", None, "", 0)
     root.path = ""
     stack, elements = [root], [root]
@@ -86,6 +125,9 @@ def read_page(page: str | None) -> tuple[list[str], list[tuple[str, int, int, fl
             if text:
                 blocks.append(text)
                 own = max(0, len(text) - linked)
+                owned.append(own)
+                if any(e.tag in HEADINGS for e in stack):
+                    headings.add(len(blocks) - 1)
                 for e in stack:
                     e.chars += own
             parts.clear()
@@ -93,9 +135,15 @@ def read_page(page: str | None) -> tuple[list[str], list[tuple[str, int, int, fl
 
     def close(upto: int) -> None:
         for e in stack[upto:]:
-            e.last = len(blocks)
+            e.last, e.end = len(blocks), len(elements)
         del stack[upto:]
 
+    def hold(text: str) -> None:
+        n = len(" ".join(text.split()))
+        if n:
+            for e in stack:
+                e.held += n
+
     at, links = 0, 0
     page = page or ""
     for m in TOKEN.finditer(page):
@@ -103,6 +151,8 @@ def read_page(page: str | None) -> tuple[list[str], list[tuple[str, int, int, fl
             text = page[at : m.start()]
             parts.append(text)
             linked += len(text) if links else 0
+        elif m.start() > at and not links and not stack[-1].never:
+            hold(page[at : m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -140,16 +190,23 @@ def read_page(page: str | None) -> tuple[list[str], list[tuple[str, int, int, fl
                     break
         if m[4].endswith("/") and tag in ("svg", "path", "use"):
             continue
-        element = Element(tag, stack[-1], m[4], len(blocks))
+        element = Element(tag, stack[-1], m[4], len(blocks), len(elements) in spared)
         stack.append(element)
         elements.append(element)
     if at < len(page) and not stack[-1].skipped:
         parts.append(page[at:])
+    elif at < len(page) and not links and not stack[-1].never:
+        hold(page[at:])
     flush()
     close(0)
+    if root.held and not spared and (found := wrappers(elements)):
+        return read_page(page, found)
     total = root.chars or 1
-    found = [(e.path, e.first, e.last, e.chars / total + 0.6 * e.bonus + 0.01 * min(e.depth, 20)) for e in elements if e.chars and not e.skipped and (e.tag in CONTAINER_TAGS or e is root)]
-    return blocks, sorted(found, key=lambda c: -c[3])
+    score = lambda e: e.chars / total + 0.6 * e.bonus + 0.01 * min(e.depth, 20)
+    kept = sorted((e for e in elements if e.chars and not e.skipped and (e.tag in CONTAINER_TAGS or e is root)), key=lambda e: -score(e))
+    if kept:
+        kept.insert(0, kept.pop(kept.index(outermost(kept[0], blocks, owned, headings))))
+    return blocks, [(e.path, e.first, e.last, score(e)) for e in kept]
 
 
 def parsed_pages(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
@@ -178,7 +235,7 @@ def winning_paths(parsed: DataFrame) -> DataFrame:
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
-    """``key``, ``url`` and ``text`` of every page: the blocks of its main container, joined by an empty line.
+    """``key``, ``url`` and ``text`` of every page: the blocks of its main containers, joined by an empty line.
 
     Null and empty pages, and pages without article text, have an empty text; pages without a host vote together.
     Repeated rows keep a row each; an empty table gives an empty result; other columns are left out.
@@ -188,10 +245,12 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", sour
     if winners.count() <= 100_000:  # a host and a path each: some tens of MB at most
         winners = F.broadcast(winners)
     joined = parsed.join(winners, "host", "left")
-    # of several containers at the winning path the best; containers are sorted by score
-    at_winner = F.get(F.filter("containers", lambda c: c["path"] == F.col("winner")), F.lit(0))
-    chosen = F.coalesce(at_winner, F.get("containers", F.lit(0)))
-    text = F.array_join(F.slice("blocks", chosen["first"] + 1, chosen["last"] - chosen["first"]), "\n\n")
+    # all containers of a path, which are equally deep and so never within each other; the first container is the best
+    own = F.get("containers", F.lit(0))["path"]
+    path = F.when(F.exists("containers", lambda c: c["path"] == F.col("winner")), F.col("winner")).otherwise(own)
+    chosen = F.array_sort(F.transform(F.filter("containers", lambda c: c["path"] == F.col("path")), lambda c: F.struct(c["first"], c["last"])))
+    text = F.array_join(F.flatten(F.transform(chosen, lambda c: F.slice("blocks", c["first"] + 1, c["last"] - c["first"]))), "\n\n")
+    joined = joined.withColumn("path", path)
     return joined.select(F.col("key").alias(key), F.col("url").alias(url), F.coalesce(text, F.lit("")).alias("text"))
 
 

@@ -254,6 +254,25 @@ def test_pages_agree_by_host(spark):
     assert got[9] == "small article"
 
 
+def test_pages_keep_whole_articles(spark):
+    """Split articles, titles beside a long body, and wrappers whose tag or name marks side matter."""
+    a, b, c = "first part. " * 60, "second part. " * 37, "long body. " * 400
+    cut = lambda *x: "\n\n".join(" ".join(t.split()) for t in x)
+    cases = [
+        (f'<body><div class="page"><div class="text-block">{a}</div><img src=x><div class="text-block">{b}</div></div>', cut(a, b)),
+        (f'<body><article><h1>Title</h1><div class="body">{c}</div></article><div class="box">box</div>', cut("Title", c)),
+        (f'<body><div class="wrap"><h1>Title</h1><div class="txt">{c}</div></div><div class="box">box</div>', cut("Title", c)),
+        (f'<body><main><ul><li><a href=x>link</a></ul><article>{c}</article></main>', cut(c)),
+        (f'<body><form id="f"><div class="sidebar-layout"><p>{a}<p>{b}</div><div class="ad">buy</div></form>', cut(a, b)),
+        (f'<body><main><form><nav>menu</nav><p>{a}</form></main>', cut(a)),
+        (f'<body><article><p>{a}</article><div class="comments">{c}</div><footer>{c}</footer>', cut(a)),
+        (f'<body><article></article><div class="ad">{a}</div><footer>{a}{c}</footer>', ""),
+    ]
+    rows = [(i, f"http://h{i}.org/", page) for i, (page, _) in enumerate(cases)]
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: text for i, (_, text) in enumerate(cases)}
+
+
 def test_quality(spark, docs):
     more = DATA.replace("0.001", "0.01")  # the smallest tables have 19 held-out labels
     rows = {r.doc_id: r for r in quality.op2_quality(spark, more).collect()}
