@@ -231,9 +231,11 @@ def repeated_starts(docs: DataFrame, text: str = "text") -> DataFrame:
     A text with exact copies shows only the repeats it shares with itself and with other texts.
     """
     rows = pick(docs, text=text).select(F.xxhash64("text").alias("key"), "text").filter(F.col("text").isNotNull())
+    # a row for each text: copies are put together within tasks before the shuffle, which both scans of the texts share
+    rows = rows.groupBy("key").agg(F.first("text").alias("text"))
     found = rows.mapInArrow(_anchor_rows, "gram long, key long, low int, high int, sure boolean")
     dealt = found.repartition(F.when(F.col("sure"), F.xxhash64("key", "low")).otherwise(F.col("gram"))).sortWithinPartitions("sure", "gram", "key", "low")
-    runs = dealt.mapInArrow(_met_twice, "key long, low int, high int").groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    runs = dealt.mapInArrow(_met_twice, "key long, low int, high int").groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
     texts = runs.join(rows, "key").select("key", F.col("runs.low").alias("low"), F.col("runs.high").alias("high"), "text")
     suffixes = texts.mapInArrow(_suffix_rows, "prefix long, rest long, key long, start int, sure boolean")
     dealt = suffixes.repartition(F.when(F.col("sure"), F.xxhash64("key", "start")).otherwise(F.col("prefix"))).sortWithinPartitions("prefix", "rest", "key", "start")
@@ -254,6 +256,8 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     starts = save(repeated_starts(docs, text), "repeats").groupBy("key").agg(F.sort_array(F.collect_set("start")).alias("starts"))
     copies = plain.groupBy("key").agg(F.count("*").alias("copies"))
     known = copies.filter("copies > 1").select("key", F.lit(True).alias("copied")).join(starts, "key", "full")
+    # a text with copies is removed as a whole, so its copies need no list each
+    known = known.select("key", "copied", F.when(F.col("copied").isNull(), F.col("starts")).alias("starts"))
     joined = plain.join(known, "key", "left").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,19 @@ def words(text):
     return (text or "").encode().split()
 
 
+def test_substrings_copies_are_one_text(spark):
+    """Repeats of a text with many copies are gathered once and not once for each copy."""
+    draw = random.Random(8)
+    passage = " ".join(draw.choices(WORDS, k=60))
+    text = f"{passage} {' '.join(draw.choices(WORDS, k=60))} {passage}"
+    copies = spark.createDataFrame([(i, text if i else passage) for i in range(41)], "doc_id long, text string").repartition(1)
+    starts = substrings.repeated_starts(copies)
+    assert starts.distinct().count() == 3 * (60 - substrings.WINDOW + 1)
+    assert starts.count() <= 2 * starts.distinct().count()
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(copies).collect()}
+    assert got == {0: (60, 60)} | {i: (180, 180) for i in range(1, 41)}
+
+
 def test_substrings(docs, empty):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     windows = Counter(tuple(w[i : i + 35]) for w in (words(t) for _, t in rows) for i in range(len(w) - 34))
