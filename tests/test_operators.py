@@ -114,3 +114,20 @@ def test_reports(spark, tmp_path):
         ingest.export_report(df, fmt, f"file://{tmp_path}/{fmt}", f"file://{tmp_path}/history")
     assert spark.read.text(f"file://{tmp_path}/markdown").first()[0] == "| a | 1 |"
     assert spark.read.parquet(f"file://{tmp_path}/history").count() == 3
+
+
+def test_folds_carry_state_over_batches(spark):
+    """A key's history is never one frame: results are the same when its rows come in many batches."""
+    rows = [(i, ("a", "b", None)[i % 3], i * 40_000_000, (i * 7 % 10) / 10, i % 5, i % 6, f"t{i % 4}") for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, host string, us long, score double, severity int, step int, event_type string")
+    folds = [lambda: windows.ewma_rates(df, "host"), lambda: windows.kill_chain(df, "host", "step"), lambda: windows.alert_gate(df, ["host"])]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for fold in folds:
+        whole = sorted(map(tuple, fold().collect()))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        try:
+            out = fold()
+            assert sorted(map(tuple, out.collect())) == whole and whole
+            assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
