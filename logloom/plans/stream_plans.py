@@ -32,10 +32,13 @@ def shared_root(spark) -> str:
 
 
 def streamed(spark, df, transform, mode: str = "append"):
-    """The result of a stream over the rows of a frame: written to files, read as a stream to its end."""
+    """The result of a stream over the rows of a frame: written to files, read as a stream to its end.
+
+    All files are one micro-batch, however many: they are not in time order, so of a second batch most rows were late.
+    """
     root = shared_root(spark)
     df.write.parquet(f"{root}/in")
-    out = transform(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(f"{root}/in"))
+    out = transform(spark.readStream.schema(df.schema).parquet(f"{root}/in"))
     S.run_available(out, f"{root}/out", f"{root}/checkpoint", mode)
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 

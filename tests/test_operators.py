@@ -131,3 +131,14 @@ def test_folds_carry_state_over_batches(spark):
             assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
         finally:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_streams_of_many_files_lose_no_rows(spark):
+    """Thousands of files, the newest rows first: none is late."""
+    from logloom.plans import stream_plans
+    from logloom.streaming import streams
+
+    n = 2200
+    rows = spark.range(0, n, 1, n).select(F.timestamp_micros((n - 1 - F.col("id")) * 60_000_000).alias("at"), F.lit("s").alias("source"))
+    out = stream_plans.streamed(spark, rows, lambda s: streams.tumbling_counts(s, "at", ["source"], "1 hour")).agg(F.sum("events")).first()[0]
+    assert out == (n - 1 - 10) // 60 * 60
