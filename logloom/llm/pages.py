@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +44,21 @@ CLOSES = {
     "th": (frozenset("td th".split()), frozenset("tr table".split())),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
+#: Elements nested deeper than this count as text of the one at this depth; so paths and scans of open elements are bounded.
+MAX_DEPTH = 256
+
+
+def token_pattern(attributes: str) -> re.Pattern:
+    """A comment, an element of raw text, a tag or a declaration. No part of it is matched in more than one way, so it
+    takes time in proportion to what it reads."""
+    return re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({attributes})>|<[!?][^>]*+>", re.S | re.I)
+
+
+TOKEN = token_pattern(r"""(?:[^'">]|"[^"]*+"|'[^']*+')*+""")
+#: Used from the first tag on whose quotes are open to the end of the page: there a tag ends at the next ``>``.
+LOOSE_TOKEN = token_pattern("[^>]*+")
+TAG_START = re.compile("</?[a-zA-Z]")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'<>]++)))?""")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -53,27 +66,33 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Element:
-    __slots__ = ("bonus", "chars", "depth", "doubtful", "end", "first", "held", "last", "never", "parent", "path", "skipped", "tag")
+    __slots__ = ("article", "bonus", "chars", "depth", "doubtful", "end", "first", "heading", "held", "last", "never", "parent", "path", "skipped", "tag")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str, first: int, spared: bool = False):
         self.tag, self.parent, self.first, self.last = tag, parent, first, first
         self.depth = parent.depth + 1 if parent else 0
         self.chars = self.held = self.end = 0
         self.never = bool(parent and parent.never) or tag in SKIPPED_TAGS - WRAPPER_TAGS
-        self.doubtful = tag in WRAPPER_TAGS
+        self.article = tag == "article" or bool(parent and parent.article)
+        self.heading = tag in HEADINGS or bool(parent and parent.heading)
+        own_header = tag == "header" and self.article  # the title of the article, not of the site
+        self.doubtful = tag in WRAPPER_TAGS and not own_header
         self.bonus, classes = tag in ("article", "main"), ""
         if attributes and not attributes.isspace():
-            found = {k.lower(): (a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)}
+            found: dict[str, str] = {}
+            for k, a, b, c in ATTRIBUTE.findall(attributes):
+                found.setdefault(k.lower(), a or b or c or "")
             names = {w.lower() for v in (found.get("class", ""), found.get("id", "")) for w in NAME_WORD.findall(v)}
             roles = found.get("role", "").lower()
             if tag not in ("html", "body"):
                 hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
                 self.never |= hidden or not NEVER_NAMES.isdisjoint(names)
-                self.doubtful |= roles in SKIPPED_ROLES or not SKIPPED_NAMES.isdisjoint(names)
+                self.doubtful |= roles in SKIPPED_ROLES or not SKIPPED_NAMES.isdisjoint(names - {"header"} if own_header else names)
                 self.bonus |= roles == "main" or not CONTENT_NAMES.isdisjoint(names)
             classes = "".join(sorted("." + re.sub(r"\d+", "N", c) for c in found.get("class", "").split()))
         self.skipped = bool(parent and parent.skipped) or self.never or (self.doubtful and not spared)
-        self.path = f"{parent.path}>{tag}{classes}" if parent and parent.path else f"{tag}{classes}"
+        # the tag-class path from the root, as a hash: a path of any depth takes eight bytes
+        self.path = xxhash.xxh64_intdigest(f"{parent.path if parent else 0}>{tag}{classes}") - (1 << 63)
 
 
 def wrappers(elements: list[Element]) -> frozenset[int]:
@@ -84,7 +103,17 @@ def wrappers(elements: list[Element]) -> frozenset[int]:
     half = (elements[0].chars + elements[0].held) / 2
     large = [i for i, e in enumerate(elements) if e.doubtful and not e.never and e.held > half]
     article = [i for i, e in enumerate(elements) if e.bonus and not e.skipped] if large else []
-    return frozenset(i for i in large if not any(elements[j].chars * 10 > elements[i].held if j < i < elements[j].end else not i < j < elements[i].end for j in article))
+
+    def side_matter(i: int) -> bool:
+        around, e = [], elements[i].parent
+        while e:
+            if e.bonus and not e.skipped:
+                around.append(e)
+            e = e.parent
+        inside = bisect_left(article, elements[i].end) - bisect_left(article, i)
+        return len(article) > inside + len(around) or any(e.chars * 10 > elements[i].held for e in around)
+
+    return frozenset(i for i in large if not side_matter(i))
 
 
 def outermost(best: Element, blocks: list[str], own: list[int], headings: set[int]) -> Element:
@@ -102,19 +131,22 @@ def outermost(best: Element, blocks: list[str], own: list[int], headings: set[in
     return outer
 
 
-def read_page(page: str | None, spared: frozenset[int] = frozenset()) -> tuple[list[str], list[tuple[str, int, int, float]]]:
-    """The kept blocks of a page, and its containers as (path, first block, last block, score), best first.
+def read_page(page: str | None, spared: frozenset[int] = frozenset()) -> tuple[list[str], list[tuple[int, int, int, float]]]:
+    """The kept blocks of a page, and its containers as (hash of the path, first block, last block, score), best first.
 
     Score: share of the page's kept text that is not in links, more for article-like tags and names, and a little for
     depth, so that of containers with the same text the innermost counts. The first is then the outermost around the
     best that adds only text of the article. ``spared`` are numbers of elements that are not skipped by tag or name.
+    Time and memory are in proportion to the page's length, however it is nested or broken.
     """
+    page = page or ""
     blocks: list[str] = []
     owned: list[int] = []
     headings: set[int] = set()
     root = Element("#page", None, "", 0)
-    root.path = ""
     stack, elements = [root], [root]
+    opened: Counter[str] = Counter()  # open elements of each tag
+    too_deep: Counter[str] = Counter()  # open tags below the greatest depth
     parts: list[str] = []
     linked = 0
 
@@ -123,52 +155,64 @@ def read_page(page: str | None, spared: frozenset[int] = frozenset()) -> tuple[l
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append(text)
                 own = max(0, len(text) - linked)
+                if stack[-1].heading:
+                    headings.add(len(blocks))
+                blocks.append(text)
                 owned.append(own)
-                if any(e.tag in HEADINGS for e in stack):
-                    headings.add(len(blocks) - 1)
-                for e in stack:
-                    e.chars += own
+                stack[-1].chars += own
             parts.clear()
         linked = 0
 
     def close(upto: int) -> None:
-        for e in stack[upto:]:
+        for e in reversed(stack[upto:]):
             e.last, e.end = len(blocks), len(elements)
+            opened[e.tag] -= 1
+            if e.parent:
+                e.parent.chars += e.chars
+                e.parent.held += e.held
         del stack[upto:]
 
-    def hold(text: str) -> None:
-        n = len(" ".join(text.split()))
-        if n:
-            for e in stack:
-                e.held += n
-
-    at, links = 0, 0
-    page = page or ""
-    for m in TOKEN.finditer(page):
-        if m.start() > at and not stack[-1].skipped:
-            text = page[at : m.start()]
+    def read_text(text: str) -> None:
+        nonlocal linked
+        if not stack[-1].skipped:
             parts.append(text)
             linked += len(text) if links else 0
-        elif m.start() > at and not links and not stack[-1].never:
-            hold(page[at : m.start()])
-        at = m.end()
+        elif not links and not stack[-1].never:
+            stack[-1].held += len(" ".join(text.split()))
+
+    at = look = links = 0
+    pattern, last = TOKEN, page.rfind(">")
+    while 0 <= (low := page.find("<", look)) < last:
+        m = pattern.match(page, low)
+        if m is None:
+            if pattern is TOKEN and TAG_START.match(page, low):
+                pattern = LOOSE_TOKEN
+            else:  # a sign of its own
+                look = low + 1
+            continue
+        if low > at:
+            read_text(page[at:low])
+        at = look = m.end()
         tag = m[3]
         if tag is None:
             continue
         tag = tag.lower()
+        block = tag in BLOCK_TAGS
         if m[2]:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in BLOCK_TAGS:
+            if block:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if tag not in BLOCK_TAGS and stack[i].tag in BLOCK_TAGS:  # an inline end tag stays within its block
-                    break
+            if too_deep[tag] > 0:
+                too_deep[tag] -= 1
+            elif opened[tag] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close(i)
+                        break
+                    if not block and stack[i].tag in BLOCK_TAGS:  # an inline end tag stays within its block
+                        break
             continue
         if tag in VOID_TAGS:
             if tag == "hr":
@@ -178,25 +222,28 @@ def read_page(page: str | None, spared: frozenset[int] = frozenset()) -> tuple[l
             continue
         if tag == "a":
             links += 1
-        if tag in BLOCK_TAGS:
+        if block:
             flush()
             links = 0
             ends, stops = CLOSES.get(tag, CLOSES["p"])
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    close(i)
-                    break
-                if stack[i].tag in stops:
-                    break
+            if any(opened[t] > 0 for t in ends):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in ends:
+                        close(i)
+                        break
+                    if stack[i].tag in stops:
+                        break
         if m[4].endswith("/") and tag in ("svg", "path", "use"):
             continue
+        if len(stack) > MAX_DEPTH:
+            too_deep[tag] += 1
+            continue
         element = Element(tag, stack[-1], m[4], len(blocks), len(elements) in spared)
         stack.append(element)
+        opened[tag] += 1
         elements.append(element)
-    if at < len(page) and not stack[-1].skipped:
-        parts.append(page[at:])
-    elif at < len(page) and not links and not stack[-1].never:
-        hold(page[at:])
+    if at < len(page):
+        read_text(page[at:])
     flush()
     close(0)
     if root.held and not spared and (found := wrappers(elements)):
@@ -212,7 +259,7 @@ def read_page(page: str | None, spared: frozenset[int] = frozenset()) -> tuple[l
 def parsed_pages(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
     """(key, url, host, blocks, containers) of every page."""
     rows = pick(pages, key=key, url=url, text=source)
-    shape = pa.list_(pa.struct([("path", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
+    shape = pa.list_(pa.struct([("path", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
@@ -221,13 +268,15 @@ def parsed_pages(pages: DataFrame, key: str, url: str, source: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([b for b, _ in read], pa.list_(pa.string())), pa.array(containers, shape)], names=["key", "url", "blocks", "containers"])
 
     kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(run, f"key {kinds['key']}, url {kinds['url']}, blocks array<string>, containers array<struct<path:string,first:int,last:int,score:double>>")
+    out = rows.mapInArrow(run, f"key {kinds['key']}, url {kinds['url']}, blocks array<string>, containers array<struct<path:long,first:int,last:int,score:double>>")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", 1))
     return out.withColumn("host", host)
 
 
 def winning_paths(parsed: DataFrame) -> DataFrame:
-    """(host, winner): the path with the greatest sum of the pages' best scores; of equal ones the least path."""
+    """(host, winner): the path with the greatest sum of the pages' best scores; of equal ones the least path.
+
+    A path is known by its 64-bit hash."""
     votes = parsed.filter(F.size("containers") > 0).select("host", F.col("containers")[0]["path"].alias("path"), F.col("containers")[0]["score"].alias("score"))
     # whole thousandths, so that the sum does not depend on its order
     sums = votes.groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 1000).cast("long")).alias("votes"))

@@ -286,6 +286,62 @@ def test_pages_keep_whole_articles(spark):
     assert got == {i: text for i, (_, text) in enumerate(cases)}
 
 
+def test_pages_vote_as_by_brute_force(spark):
+    """Every page of a table against votes and choices made without Spark."""
+    from urllib.parse import urlsplit
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/pages.parquet").select("page_id", "url", "html").collect()]
+    read = {i: pages.read_page(h) for i, _, h in rows}
+    host = {i: urlsplit(u or "").netloc.lower() for i, u, _ in rows}
+    votes = {}
+    for i, _, _ in rows:
+        if read[i][1]:
+            path, _, _, score = read[i][1][0]
+            own = votes.setdefault(host[i], Counter())
+            own[path] += int(score * 1000 + 0.5)
+    winner = {h: min(c, key=lambda p: (-c[p], p)) for h, c in votes.items()}
+    want = {}
+    for i, _, _ in rows:
+        blocks, containers = read[i]
+        path = next((c[0] for c in containers if c[0] == winner.get(host[i])), containers[0][0] if containers else None)
+        spans = sorted((a, b) for p, a, b, _ in containers if p == path)
+        want[i] = "\n\n".join(t for a, b in spans for t in blocks[a:b])
+    got = {r.page_id: (r.text, r.n_chars) for r in pages.op5_pages(spark, DATA.replace("0.001", "0.01")).collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+    assert len(votes) > 1 and all(want.values())
+
+
+def test_pages_whose_wrappers_bear_names_of_side_matter(spark):
+    text = "some text of the article here. " * 20
+    own = " ".join(text.split())
+    cases = [
+        (f'<div class="page no-sidebar"><article>{text}</article></div>', own),
+        (f'<div class="layout-with-sidebar"><div class="c">{text}</div></div>', own),
+        (f'<article class="post related-topic">{text}</article>', own),
+        (f'<header class="top">site</header><article><header class="entry-header"><h1>Title</h1></header>{text}</article>', f"Title\n\n{own}"),
+        (f'<p data-class="ad" class="x">{text}</p>', own),
+    ]
+    rows = [(i, f"http://n{i}.org/", page) for i, (page, _) in enumerate(cases)]
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(cases)}
+
+
+@pytest.mark.parametrize(
+    "shape", [lambda n: "<div>" * n + "x", lambda n: '<a "' * n, lambda n: '<a ">" ' * n + '"', lambda n: "<b>" * n + "</i>" * n, lambda n: "<!" * n, lambda n: "<nav>t " * n, lambda n: "<p " + "class " * n + ">t", lambda n: '<div class="story">' * 300 + "<div>t</div>" * n]
+)
+def test_broken_pages_take_time_in_proportion(shape):
+    import time
+
+    def took(n):
+        page = shape(n)
+        began = time.process_time()
+        pages.read_page(page)
+        return time.process_time() - began
+
+    took(100)
+    assert took(16_000) < 40 * took(1_000) + 0.05
+
+
 def test_quality(spark, docs):
     more = DATA.replace("0.001", "0.01")  # the smallest tables have 19 held-out labels
     rows = {r.doc_id: r for r in quality.op2_quality(spark, more).collect()}
