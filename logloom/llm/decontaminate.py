@@ -1,11 +1,12 @@
 """Benchmark decontamination by size-partitioned MinHash containment search. DataFrame expressions only.
 
-Items are put in classes by their number of shingles, each class spanning a power of two. The signature of an item is
-its shingles of least hash (a bottom-k MinHash sketch), and k follows from the upper end of its class: an item of that
-size that a document contains to 0.8 misses at most k - 1 shingles, so that any such document holds one of the
-signature at least. The sketch is of the short side only, so a long document costs no recall. Documents with too few
-words for a class are not compared with it. A document that meets a signature is a candidate, and its contained
-shingles are then counted exactly, as text.
+1. Items are put in size classes by their number of shingles, each class spanning a power of two. The signature of an
+   item is its shingles of least hash (a bottom-k MinHash sketch), and k follows from the upper end of its class: a
+   document that contains such an item to 0.8 misses at most k - 1 shingles, so it holds one of the signature at least.
+   The sketch is of the short side only, so a long document costs no recall.
+2. The shingle hashes of the documents are joined with the signatures alone. Each signature row carries its class's
+   least number of words, and a shorter document does not meet the class. The pairs that meet are the candidates.
+3. The candidates alone are verified: the distinct shingles of the item that the document holds are counted, as text.
 """
 
 from __future__ import annotations
@@ -14,70 +15,86 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import masked, pick, table
+from .common import masked, pick, save, table
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
-#: Up to so many rows of item shingles (of some 100 bytes) are broadcast; more are joined by a shuffle.
+#: Up to so many rows of signatures, item shingles or candidates are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:
     """Lower-cased runs of letters, marks and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
-
-
-def shingles_of(words: Column, length: int) -> Column:
-    """All runs of ``length`` words, joined by a space; none if there are fewer words."""
-    spans = F.sequence(F.lit(1), F.greatest(F.size(words) - (length - 1), F.lit(1)))
-    joined = F.transform(spans, lambda i: F.array_join(F.slice(words, i, length), " "))
-    return F.when(F.size(words) >= length, joined).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
 def index_items(items: DataFrame, item: str = "item_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
-    """One row for each distinct shingle of each item: item, shingle, its length in words, the item's count of
-    shingles, the least number of words of a containing document, and whether the shingle is in the signature.
+    """One row for each distinct shingle of each item: item, shingle, its hash, its length in words, the item's count
+    of shingles, its class (the logarithm of the count, rounded down), the least number of words of a document that
+    contains an item of the class, and whether the shingle is in the signature.
 
     An item of fewer than five words is one shingle of its own length; one without words has no rows.
     """
     words = pick(items, item=item, text=text).select("item", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(SHINGLE_WORDS))
-    spans = F.transform(F.sequence(F.lit(1), F.size("words") - length + 1), lambda i: F.array_join(F.slice("words", i, length), " "))
-    rows = words.select("item", length.alias("length"), F.explode(F.array_distinct(spans)).alias("shingle")).distinct()
+    spans = F.transform(F.sequence(F.lit(1), F.size("words") - length + 1), lambda i: F.slice("words", i, length))
+    rows = words.select("item", length.alias("length"), F.explode(F.array_distinct(spans)).alias("s")).select("item", "length", F.array_join("s", " ").alias("shingle"), F.xxhash64("s").alias("hash")).distinct()
     counts = rows.groupBy("item", "length").agg(F.count("*").alias("size"))
-    top = F.pow(F.lit(2.0), F.floor(F.log2(F.col("size"))) + 1) - 1  # the largest size of the class
-    sketch = (top - F.ceil(top * containment - 1e-9) + 1).alias("sketch")
-    sized = rows.join(counts.select("item", "length", "size", sketch), ["item", "length"])
-    place = F.row_number().over(Window.partitionBy("item", "length").orderBy(F.xxhash64("shingle"), "shingle"))
-    least = (F.ceil(F.col("size") * containment - 1e-9) + F.col("length") - 1).alias("least_words")
-    return sized.withColumn("in_sketch", place <= F.col("sketch")).select("item", "shingle", "length", "size", least, "in_sketch")
+    size_class = F.floor(F.log2(F.col("size"))).cast("int")
+    sized = rows.join(counts, ["item", "length"]).withColumn("class", size_class)
+    top = F.pow(F.lit(2.0), F.col("class") + 1) - 1  # the largest size of the class
+    sketch = top - F.ceil(top * containment - 1e-9) + 1
+    place = F.row_number().over(Window.partitionBy("item", "length").orderBy("hash", "shingle"))
+    least = F.ceil(F.pow(F.lit(2.0), F.col("class")) * containment - 1e-9) + F.col("length") - 1
+    return sized.withColumns({"least_words": least.cast("int"), "in_sketch": place <= sketch})
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it has no more than ``rows`` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def signature_meetings(words: DataFrame, index: DataFrame) -> DataFrame:
+    """(key, item) for every shingle of a document (key, words) that is in the signature of an item, repeats included."""
+    signatures = index.filter("in_sketch").select("item", "hash", "length", "least_words")
+    lengths = [r[0] for r in index.select("length").distinct().orderBy("length").collect()]  # 1 to 5 at most
+    if not lengths:
+        return words.select("key", F.lit(None).alias("item")).filter("false")
+    held = words.select("key", "words", F.size("words").alias("n_words"), F.explode(F.sequence(F.lit(1), F.size("words"))).alias("at"))
+    if len(lengths) > 1:
+        held = held.withColumn("length", F.explode(F.array(*map(F.lit, lengths))))
+    else:
+        held = held.withColumn("length", F.lit(lengths[0]))
+    held = held.filter("at + length - 1 <= n_words").select("key", "n_words", F.xxhash64(F.slice("words", F.col("at"), F.col("length"))).alias("hash"), "length")
+    return held.join(small(signatures), ["hash", "length"]).filter("n_words >= least_words").select("key", "item")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """(key, item, containment): the items of whose distinct shingles a document holds 0.8 or more.
 
-    Null texts have no words. Documents of the same key, null included, count as one; repeated items likewise. Empty
-    tables on either side give an empty result. Other columns are left out.
+    Null texts have no words. Rows of the same key, null included, count as one document, of which one row at least
+    must be long enough for the item's class. Rows of the same item are one item with the shingles of all. Items with
+    the same words are searched for once. Long texts are read whole. Empty tables on either side give an empty result. Other columns are
+    left out.
     """
-    index = index_items(items, item, item_text, containment)
-    # one to five lengths in words, and the number of rows
-    lengths = {r["length"]: r["n"] for r in index.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    docs_ = pick(docs, key=key, text=text).select("key", words_of(F.col("text")).alias("words"))
-    pieces = []
-    for length, n in sorted(lengths.items()):
-        own = index.filter(F.col("length") == length).drop("length")
-        held = docs_.select("key", F.size("words").alias("n_words"), F.explode(shingles_of(F.col("words"), length)).alias("shingle"))
-        met = held.join(F.broadcast(own) if n <= BROADCAST_ROWS else own, "shingle").filter("n_words >= least_words")
-        pieces.append(met.select("key", "item", "shingle", "size", "in_sketch"))
-    if not pieces:
-        return pick(docs, key=key).join(pick(items, item=item), F.lit(False)).select(F.col("key").alias(key), F.col("item").alias(item), F.lit(0.0).alias("containment"))
-    met = pieces[0]
-    for more in pieces[1:]:
-        met = met.unionAll(more)
-    once = met.groupBy("key", "item", "shingle").agg(F.max("size").alias("size"), F.max("in_sketch").alias("in_sketch"))
-    found = once.groupBy("key", "item").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.max("in_sketch").alias("candidate"))
+    named = pick(items, item=item, text=item_text).select("item", F.array_join(words_of(F.col("text")), " ").alias("text")).filter("text <> ''")
+    bodies = named.groupBy("item").agg(F.sort_array(F.collect_set("text")).alias("texts")).withColumn("body", F.sha2(F.array_join("texts", "\n"), 256))
+    same = save(bodies.select("item", "body"), "items")
+    once = bodies.dropDuplicates(["body"]).select("body", F.explode("texts").alias("text"))
+    index = save(index_items(once, "body", "text", containment), "index")
+    rows = pick(docs, key=key, text=text)
+    words = rows.select("key", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    pairs = save(signature_meetings(words, index).distinct(), "candidates").select(F.col("key").alias("met"), "item")
+    # the shingles of the items go to the candidate documents, in which each is looked for between blanks
+    shingles = index.groupBy("item", "length", "size").agg(F.collect_list("shingle").alias("shingles"))
+    met = rows.join(small(pairs), F.col("key").eqNullSafe(F.col("met"))).join(small(shingles), "item")
+    line = F.concat(F.lit(" "), F.array_join(words_of(F.col("text")), " "), F.lit(" "))
+    each = met.select("key", "item", "size", "shingles", line.alias("line")).select("key", "item", "size", "line", F.explode("shingles").alias("shingle"))
+    held = each.filter(F.contains(F.col("line"), F.concat(F.lit(" "), F.col("shingle"), F.lit(" ")))).select("key", "item", "size", "shingle").distinct()
     share = F.col("n") / F.col("size")
-    return found.filter(F.col("candidate") & (share >= containment - 1e-12)).select(F.col("key").alias(key), F.col("item").alias(item), share.alias("containment"))
+    found = held.groupBy("key", "item", "size").agg(F.count("*").alias("n")).filter(share >= containment - 1e-12)
+    whole = found.select("key", F.col("item").alias("body"), share.alias("containment")).join(small(same), "body")
+    return whole.select(F.col("key").alias(key), F.col("item").alias(item), "containment")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,6 +221,31 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contained_items(docs, item_rows.filter("false")).count() == 0
 
 
+def test_signatures_meet_few_documents(spark):
+    """The signature join gives far fewer rows than a join with all shingles, and shorter documents do not meet a class."""
+    more = DATA.replace("0.001", "0.01")
+    index = decontaminate.index_items(spark.read.parquet(f"{more}/benchmark.parquet"))
+    words = spark.read.parquet(f"{more}/documents.parquet").select(F.col("doc_id").alias("key"), decontaminate.words_of(F.col("text")).alias("words"))
+    met = decontaminate.signature_meetings(words, index)
+    full = decontaminate.signature_meetings(words, index.withColumns({"in_sketch": F.lit(True), "least_words": F.lit(0)}))
+    assert 0 < met.count() < 0.6 * full.count()
+    assert met.distinct().count() <= full.distinct().count()
+    held = {(r.doc_id, r.item_id) for r in decontaminate.op1_decontaminate(spark, more).collect()}
+    assert held <= {tuple(r) for r in met.distinct().collect()}
+    cut = words.withColumn("words", F.slice("words", 1, 11))
+    assert decontaminate.signature_meetings(cut, index.filter("size >= 16")).count() == 0
+
+
+def test_decontamination_repeats(spark):
+    """Items of equal words, ids with several texts, null ids, and a long text without a match."""
+    w = WORDS[:40]
+    items = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w).upper()), (3, " ".join(WORDS[50:60])), (3, " ".join(WORDS[50:60])), (None, " ".join(WORDS[70:90]))], "item_id long, text string")
+    long = " ".join(WORDS * 20)
+    docs_ = [(5, " ".join(w[:38])), (5, " ".join(w)), (None, long), (7, " ".join(WORDS[::-1] * 20))]
+    got = {(r.doc_id, r.item_id, r.containment) for r in decontaminate.contained_items(spark.createDataFrame(docs_, "doc_id long, text string"), items).collect()}
+    assert got == {(5, 1, 1.0), (5, 2, 1.0), (None, 1, 1.0), (None, 2, 1.0), (None, 3, 1.0), (None, None, 1.0)}
+
+
 def test_the_sketch_never_misses(spark):
     """An item that is contained to 0.8 meets its signature whichever shingles are missing."""
     index = decontaminate.index_items(spark.createDataFrame([(i, " ".join(WORDS[: 5 + i])) for i in range(0, 120, 7)], "item_id long, text string"))
