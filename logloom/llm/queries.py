@@ -14,7 +14,7 @@ from .pages import op5_pages
 from .quality import op2_quality
 from .sharding import op8_sharding
 from .simhash import op10_simhash
-from .substrings import op4_substrings
+from .substrings import OP4_SQL, op4_substrings
 from .token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_substrings": OP4_SQL}

@@ -1,17 +1,20 @@
 """Substring deduplication with prefix-partitioned suffix trees over words.
 
-1. Anchors. In each window of 35 words the 8-word gram with the least hash is its anchor. Equal windows have equal
-   anchors, so only windows whose anchor is met at two places can repeat; a shuffle on the anchor finds these.
-2. Suffixes. The suffix that starts at each such window is dealt out by its prefix, as symbols that stand for words
-   0-11, 12-23 and 24-34. A task meets its suffixes in sorted order and builds one subtree for each prefix; the prefix
-   of a subtree is as long as it has to be for the subtree to fit in memory.
-3. Subtrees. An internal node at depth 35 or more stands for a maximal repeat, and its leaves are the places where a
-   repeated window starts.
-4. The places go back to their documents, whose covered words are removed.
-
-A place is (hash of the whole text, word number): exact copies of a text are one text here, and a text with copies has
-all its windows repeated. Anchors and windows that repeat within one task are settled there and send a single
-representative through the shuffle, so a passage that a third of all documents share stays small.
+1. Prefixes. Of the suffixes that start inside a window of 35 words, the one whose prefix of 8 words has the least hash
+   is the window's anchor, so equal windows have equal anchors. All prefixes are counted first; those that more than
+   ``HEAVY`` suffixes share are lengthened: a window is then anchored by another prefix, and by one of 20 words if it
+   has heavy ones only.
+2. Partitions. Neighbouring windows with the same anchor are one piece of text of 35 to 62 words, and pieces are dealt
+   out by the anchor's prefix. So all suffixes that may share 35 words meet, and each word travels about four times.
+3. Subtrees. A task sorts the suffixes of a prefix by their words and takes the longest common prefixes of neighbours,
+   which are the depths of the suffix tree's internal nodes. The leaves under a node of depth 35 or more are the places
+   of a maximal repeat. Words are compared as words, never by hashes. A subtree over the memory bound is built in parts.
+4. The places go back to their texts, whose covered words are removed. A repeat that is longer than a piece is a chain of
+   nodes in several subtrees; its words are covered by these together.
+
+A place is (digest of the whole text, word number): exact copies of a text are one text here, and a text with copies
+has all its windows repeated. Pieces that repeat within one task are settled there and send a single representative
+through the shuffle, so a passage that a third of all documents share stays small.
 """
 
 from __future__ import annotations
@@ -23,18 +26,25 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from .common import masked, pick, save, table, text_chunks
 
 WINDOW = 35
-GRAM = 8
-#: Words of a suffix's symbols.
-SYMBOLS = (12, 12, 11)
+#: Words of a prefix, and of one that is lengthened.
+PREFIX, LONG_PREFIX = 8, 20
+#: Suffixes of a prefix over which it is lengthened.
+HEAVY = 20_000
+#: The most frequent heavy prefixes, of 8 bytes each, that are lengthened; the order of prefixes changes no result.
+MAX_HEAVY = 100_000
 #: Suffixes of a subtree that is built at a time.
-SUBTREE = 200_000
-#: Rows that a task gathers before it settles local repeats.
-GATHER = 2_000_000
+SUBTREE = 100_000
+#: Bytes of pieces among which a task looks for repeats of its own before it starts anew.
+GATHER_BYTES = 24 << 20
+#: Copies of a text from which on its rows are dealt out by their own content instead of the text.
+MANY_COPIES = 1_000
 BASE = 0x9E3779B97F4A7C15
+LONG = np.uint64(1 << 63)
 
 
 class WordHashes(dict):
@@ -56,8 +66,8 @@ class Rolling:
     powers = np.ones(1, np.uint64)
     inverses = np.ones(1, np.uint64)
 
-    def __init__(self, words: list[bytes], hashes: WordHashes):
-        n = len(words)
+    def __init__(self, values: np.ndarray):
+        n = len(values)
         if n >= len(self.powers):
             size = max(2 * n, 1 << 14)
             step = np.full(size, BASE, np.uint64)
@@ -65,7 +75,6 @@ class Rolling:
             Rolling.powers = np.cumprod(step)
             step[1:] = pow(BASE, -1, 1 << 64)
             Rolling.inverses = np.cumprod(step)
-        values = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * self.powers[:n], out=self.sums[1:])
 
@@ -76,170 +85,217 @@ class Rolling:
         return h ^ h >> np.uint64(32)
 
 
-def settle(columns: list[np.ndarray], group: tuple[int, ...], place: tuple[int, ...]) -> list[np.ndarray]:
-    """Rows plus a column ``sure``: true for rows whose group has two places here.
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    n = len(values) - width + 1
+    found = [np.lib.stride_tricks.sliding_window_view(values[at : min(at + 100_000, n) + width - 1], width).argmin(1) + at for at in range(0, n, 100_000)]
+    return np.concatenate(found) + np.arange(n) - np.repeat(np.arange(0, n, 100_000), [min(100_000, n - at) for at in range(0, n, 100_000)])
 
-    Of each such group one row is repeated with ``sure`` false, to meet the same group of other tasks.
+
+def anchors(words: list[bytes], hashes: WordHashes, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix hash of each anchor of a text and the first and last window that it is the anchor of.
+
+    ``heavy`` holds the hashes of prefixes to be lengthened, in ascending order.
     """
-    order = np.lexsort([columns[i] for i in (*place[::-1], *group[::-1])])
-    columns = [c[order] for c in columns]
-    n = len(order)
-    if not n:
-        return [*columns, np.zeros(0, bool)]
-    differs = lambda which: np.concatenate(([True], np.any([columns[i][1:] != columns[i][:-1] for i in which], axis=0)))
-    starts = np.flatnonzero(differs(group))
-    places = np.add.reduceat(differs(group + place).astype(np.int64), starts)
-    sure = np.repeat(places > 1, np.diff(np.append(starts, n)))
-    first = starts[places > 1]
-    return [*(np.concatenate((c, c[first])) for c in columns), np.concatenate((sure, np.zeros(len(first), bool)))]
+    rolling = Rolling(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+    short = rolling.of(np.arange(len(words) - PREFIX + 1), PREFIX) >> np.uint64(1)
+    if len(heavy):
+        near = np.minimum(np.searchsorted(heavy, short), len(heavy) - 1)
+        short = np.where(heavy[near] == short, LONG, short)
+    at = sliding_argmin(short, WINDOW - PREFIX + 1)
+    prefix = short[at]
+    lengthened = prefix == LONG
+    if lengthened.any():
+        long = rolling.of(np.arange(len(words) - LONG_PREFIX + 1), LONG_PREFIX) | LONG
+        other = sliding_argmin(long, WINDOW - LONG_PREFIX + 1)
+        at = np.where(lengthened, other, at)
+        prefix = np.where(lengthened, long[other], prefix)
+    low = np.concatenate(([0], np.flatnonzero((at[1:] != at[:-1]) | (prefix[1:] != prefix[:-1])) + 1))
+    return prefix[low], low, np.append(low[1:] - 1, len(at) - 1)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes]]]:
+    """Key and words of the texts that are long enough; of copies in a row of some millions of characters, the first."""
+    seen: set[bytes] = set()
+    for batch, texts in text_chunks(batches):
+        if len(seen) > 200_000:
+            seen.clear()
+        for key, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+            if key not in seen:
+                seen.add(key)
+                words = word_list(text)
+                if len(words) >= WINDOW:
+                    yield key, words
 
 
-def batch_of(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
+def _count_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(prefix, n): how many anchors of a task have each prefix, counted within some millions of them."""
+    hashes, none = WordHashes(), np.zeros(0, np.uint64)
 
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        prefix, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(n, pa.int64())], names=["prefix", "n"])
 
-def _gathered(rows: Iterator[list[np.ndarray]], group: tuple[int, ...], place: tuple[int, ...], names: list[str]) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
-    for columns in rows:
-        held.append(columns)
-        n += len(columns[0])
-        if n >= GATHER:
-            yield batch_of(settle([np.concatenate(c) for c in zip(*held, strict=True)], group, place), names)
+    for _, words in _texts(batches):
+        held.append(anchors(words, hashes, none)[0])
+        n += len(held[-1])
+        if n > 1_000_000:
+            yield counted(held)
             held, n = [], 0
     if held:
-        yield batch_of(settle([np.concatenate(c) for c in zip(*held, strict=True)], group, place), names)
+        yield counted(held)
 
 
-def anchors(words: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor of a text and the first and last window that it is the anchor of."""
-    rolling = Rolling(words, hashes)
-    grams = rolling.of(np.arange(len(words) - GRAM + 1), GRAM)
-    width = WINDOW - GRAM + 1
-    found = [np.lib.stride_tricks.sliding_window_view(grams[at : at + 200_000 + width - 1], width).argmin(1) + np.arange(at, min(at + 200_000, len(grams) - width + 1)) for at in range(0, len(grams) - width + 1, 200_000)]
-    at = np.concatenate(found)
-    low = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    return grams[at[low]], low.astype(np.int32), np.append(low[1:] - 1, len(at) - 1).astype(np.int32)
+PIECE = pa.schema([("prefix", pa.int64()), ("key", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("piece", pa.binary())])
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+def piece_rows(batches: Iterator[pa.RecordBatch], heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pieces as (prefix, key, low, high, piece): text and numbers of the first and last window, and the words.
 
-    def rows() -> Iterator[list[np.ndarray]]:
-        for batch, texts in text_chunks(batches):
-            for key, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                words = word_list(text)
-                if len(words) >= WINDOW:
-                    gram, low, high = anchors(words, hashes)
-                    yield [gram, np.full(len(gram), key, np.int64), low, high]
-
-    yield from _gathered(rows(), (0,), (1, 2), ["gram", "key", "low", "high", "sure"])
-
-
-def _met_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sure, gram, key, low), those that are sure or share their gram with another place."""
-    last = None  # the last place of the batch before: gram, key, low, high, and whether it has been handed on
-    for batch in batches:
-        gram, key, low, high, sure = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        yield batch_of([x[sure] for x in (key, low, high)], ["key", "low", "high"])
-        gram, key, low, high = (x[~sure] for x in (gram, key, low, high))
-        if last is not None:
-            gram, key, low, high = (np.append(np.array([y], x.dtype), x) for x, y in zip((gram, key, low, high), last, strict=True))
-        if not len(gram):
-            continue
-        new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (key[1:] != key[:-1]) | (low[1:] != low[:-1])))
-        gram, key, low, high = (x[new] for x in (gram, key, low, high))
-        shared = gram[1:] == gram[:-1]
-        good = np.concatenate((shared, [False])) | np.concatenate(([False], shared))
-        yield batch_of([x[good] for x in (key, low, high)], ["key", "low", "high"])
-        last = (gram[-1], key[-1], low[-1], high[-1])
-
-
-def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes at the windows that may repeat: prefix symbol, the other two symbols in one number, key, start."""
+    Of pieces that are equal within the task the first goes on; the windows of all of them are known to repeat, and
+    are given once more without ``prefix`` and ``piece``.
+    """
     hashes = WordHashes()
-
-    def rows() -> Iterator[list[np.ndarray]]:
-        for batch, texts in text_chunks(batches):
-            keys, lows, highs = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-            for i, (key, text) in enumerate(zip(keys, texts, strict=True)):
-                rolling = Rolling(word_list(text), hashes)
-                low, high = lows[i].values.to_numpy(), highs[i].values.to_numpy()
-                n = high - low + 1
-                starts = np.unique(np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()))
-                second, third = rolling.of(starts + SYMBOLS[0], SYMBOLS[1]), rolling.of(starts + SYMBOLS[0] + SYMBOLS[1], SYMBOLS[2])
-                rest = second & np.uint64(0xFFFFFFFF00000000) | third >> np.uint64(32)
-                yield [rolling.of(starts, SYMBOLS[0]), rest, np.full(len(starts), key, np.int64), starts.astype(np.int32)]
-
-    yield from _gathered(rows(), (0, 1), (2, 3), ["prefix", "rest", "key", "start", "sure"])
-
-
-def deep_leaves(prefix: np.ndarray, rest: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Whether each suffix is a leaf under an internal node of depth 35 or more of the tree of all these suffixes.
-
-    The suffixes are in sorted order, where the leaves of a node are neighbours: the depth of the lowest node above two
-    neighbours is the length of their common prefix (0, 12, 24 or 35 words). Rows of the same place are one leaf.
+    seen: dict[bytes, tuple | None] = {}
+    rows: list[tuple] = []
+    held = 0
+    for key, words in _texts(batches):
+        prefix, low, high = anchors(words, hashes, heavy)
+        line = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        starts = np.concatenate(([0], ends[:-1]))
+        for p, a, b, x, y in zip(prefix.view(np.int64).tolist(), low.tolist(), high.tolist(), starts[low].tolist(), (ends[high + WINDOW - 1] - 1).tolist(), strict=True):
+            piece = line[x:y]
+            if piece not in seen:
+                seen[piece] = (None, key, a, b, None)
+                rows.append((p, key, a, b, piece))
+                held += y - x
+            else:
+                if first := seen[piece]:
+                    rows.append(first)
+                    seen[piece] = None
+                rows.append((None, key, a, b, None))
+        if len(rows) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECE.types, strict=True)], schema=PIECE)
+            rows = []
+        if held > GATHER_BYTES:
+            seen, held = {}, 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECE.types, strict=True)], schema=PIECE)
+
+
+def subtree_leaves(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """Depth of the deepest internal node above each suffix; suffixes of different trees share nothing.
+
+    ``words`` are numbers of at least 1, ``starts`` the suffixes' places there, ``lengths`` where they end. In sorted
+    order the depth of the lowest node above two neighbours is the length of their common prefix.
     """
-    if not len(prefix):
-        return np.zeros(0, bool)
-    second = rest.view(np.uint64) >> np.uint64(32)
-    depth = np.zeros(len(prefix) - 1, np.int64)
-    same = prefix[1:] == prefix[:-1]
-    depth[same] = SYMBOLS[0]
-    same &= second[1:] == second[:-1]
-    depth[same] = SYMBOLS[0] + SYMBOLS[1]
-    same &= rest[1:] == rest[:-1]
-    depth[same] = WINDOW
-    cuts = np.concatenate(([0], np.flatnonzero(depth < WINDOW) + 1))  # nodes of depth 35, or single leaves
-    other = np.concatenate(([True], (depth < WINDOW) | (key[1:] != key[:-1]) | (start[1:] != start[:-1])))
-    leaves = np.add.reduceat(other.astype(np.int64), cuts)
-    return np.repeat(leaves > 1, np.diff(np.append(cuts, len(prefix))))
-
-
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of repeated windows from suffixes sorted by (prefix, rest, key, start)."""
-    held: list[list[np.ndarray]] = []
-    n = 0
+    width = int(lengths.max(initial=0))
+    padded = np.concatenate((words, np.zeros(width, words.dtype)))
+    rows = np.zeros((len(starts), width + 1), ">u4")
+    rows[:, 0] = tree
+    rows[:, 1:] = np.lib.stride_tricks.sliding_window_view(padded, width)[starts]
+    rows[:, 1:][np.arange(width) >= lengths[:, None]] = 0
+    order = np.argsort(rows.view(f"V{4 * (width + 1)}")[:, 0], kind="stable")
+    rows = rows[order]
+    differs = rows[1:] != rows[:-1]
+    common = np.where(differs.any(1), differs.argmax(1) - 1, width)
+    common = np.minimum(common, np.minimum(lengths[order][1:], lengths[order][:-1]))
+    depth = np.empty(len(starts), np.int64)
+    depth[order] = np.maximum(np.concatenate((common, [0])), np.concatenate(([0], common))).clip(0)
+    return depth
+
+
+def grow_subtrees(rows: list[tuple[int, bytes, int, int, bytes]]) -> list[tuple[bytes, int, int]]:
+    """(key, low, high): runs of windows that repeat among the pieces of whole prefixes, given in order of prefix."""
+    number: dict[bytes, int] = {}
+    cut = [piece.split(b" ") for *_, piece in rows]
+    for words in cut:
+        for w in words:
+            number.setdefault(w, len(number) + 1)
+    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+    flat = np.fromiter((number[w] for words in cut for w in words), np.uint32, int(sizes.sum()))
+    counts = sizes - (WINDOW - 1)  # suffixes of each piece that hold a window
+    begin = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(rows)), counts)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = begin[row] + within
+    tree = np.unique(np.fromiter((r[0] for r in rows), np.int64, len(rows)), return_inverse=True)[1][row]
+    lengths = (begin + sizes)[row] - starts
+    repeated = np.zeros(len(row), bool)
+    if len(row) <= 2 * SUBTREE:
+        repeated = subtree_leaves(flat, starts, lengths, tree) >= WINDOW
+    else:  # suffixes with equal windows fall in the same part
+        parts = -(-len(row) // SUBTREE)
+        part = Rolling(flat.astype(np.uint64)).of(starts, WINDOW) % np.uint64(parts)
+        for p in range(parts):
+            own = np.flatnonzero(part == p)
+            if len(own):
+                repeated[own] = subtree_leaves(flat, starts[own], lengths[own], tree[own]) >= WINDOW
+    # runs of neighbouring windows within a piece
+    good = np.flatnonzero(repeated)
+    if not len(good):
+        return []
+    new = np.concatenate(([True], (row[good[1:]] != row[good[:-1]]) | (good[1:] != good[:-1] + 1)))
+    first, last = good[new], good[np.concatenate((new[1:], [True]))]
+    return [(rows[r][1], rows[r][2] + a, rows[r][2] + b) for r, a, b in zip(row[first].tolist(), within[first].tolist(), within[last].tolist(), strict=True)]
+
+
+RUN = pa.schema([("key", pa.binary()), ("low", pa.int32()), ("high", pa.int32())])
+
+
+def repeats_of_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of repeated windows, from pieces sorted by (prefix, key, low)."""
+
+    def runs(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), RUN.types, strict=True)], schema=RUN)
+
+    ready: list[tuple] = []  # pieces of whole prefixes
+    group: list[tuple] = []  # those of the prefix that is being read
+    windows, place = 0, None
     for batch in batches:
-        prefix, rest, key, start, sure = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        yield batch_of([key[sure], start[sure]], ["key", "start"])
-        held.append([x[~sure] for x in (prefix, rest, key, start)])
-        n += len(held[-1][0])
-        if n < SUBTREE:
-            continue
-        rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-        # the subtrees end where the first symbol changes; if that is nowhere, a longer prefix cuts them
-        for changed in (rows[0][1:] != rows[0][:-1], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])):
-            if changed.any():
-                break
-        if changed.any():
-            cut = int(np.flatnonzero(changed)[-1]) + 1
-        else:  # one window only: its first and last place stand for all
-            cut = len(rows[0])
-        good = deep_leaves(*rows)[:cut]
-        yield batch_of([rows[2][:cut][good], rows[3][:cut][good]], ["key", "start"])
-        held = [[x[[0, -1]] if cut == len(x) else x[cut:] for x in rows]]
-        n = len(held[0][0])
-    if held:
-        rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-        good = deep_leaves(*rows)
-        yield batch_of([rows[2][good], rows[3][good]], ["key", "start"])
-
-
-def repeated_starts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, start): text hash and word number of every window start that repeats at another place.
+        known = batch.filter(pa.compute.is_null(batch.column(0)))
+        if known.num_rows:
+            yield pa.RecordBatch.from_arrays(known.columns[1:4], schema=RUN)
+        fresh = batch.filter(pa.compute.is_valid(batch.column(0)))
+        for row in zip(*(c.to_pylist() for c in fresh.columns), strict=True):
+            if row[:3] == place:  # a copy of the text in another task
+                continue
+            if place is not None and row[0] != place[0]:
+                if len(group) > 1:
+                    ready += group
+                    windows += sum(r[3] - r[2] + 1 for r in group)
+                group = []
+                if windows >= SUBTREE:
+                    if found := grow_subtrees(ready):
+                        yield runs(found)
+                    ready, windows = [], 0
+            group.append(row)
+            place = row[:3]
+    if len(group) > 1:
+        ready += group
+    if ready and (found := grow_subtrees(ready)):
+        yield runs(found)
+
+
+def text_key(text: F.Column) -> F.Column:
+    """The text's digest of 16 bytes; null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def repeated_runs(docs: DataFrame, text: str = "text", heavy: int = HEAVY) -> DataFrame:
+    """(key, low, high): text digest and first and last word number of runs of window starts that repeat elsewhere.
 
     A text with exact copies shows only the repeats it shares with itself and with other texts.
     """
-    rows = pick(docs, text=text).select(F.xxhash64("text").alias("key"), "text").filter(F.col("text").isNotNull())
-    # a row for each text: copies are put together within tasks before the shuffle, which both scans of the texts share
-    rows = rows.groupBy("key").agg(F.first("text").alias("text"))
-    found = rows.mapInArrow(_anchor_rows, "gram long, key long, low int, high int, sure boolean")
-    dealt = found.repartition(F.when(F.col("sure"), F.xxhash64("key", "low")).otherwise(F.col("gram"))).sortWithinPartitions("sure", "gram", "key", "low")
-    runs = dealt.mapInArrow(_met_twice, "key long, low int, high int").groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-    texts = runs.join(rows, "key").select("key", F.col("runs.low").alias("low"), F.col("runs.high").alias("high"), "text")
-    suffixes = texts.mapInArrow(_suffix_rows, "prefix long, rest long, key long, start int, sure boolean")
-    dealt = suffixes.repartition(F.when(F.col("sure"), F.xxhash64("key", "start")).otherwise(F.col("prefix"))).sortWithinPartitions("prefix", "rest", "key", "start")
-    return dealt.mapInArrow(_subtrees, "key long, start int")
+    rows = pick(docs, text=text).filter(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
+    counts = rows.mapInArrow(_count_prefixes, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+    # at most MAX_HEAVY numbers reach the driver
+    most = counts.filter(F.col("n") > heavy).orderBy(F.desc("n"), "prefix").limit(MAX_HEAVY).collect()
+    lengthen = np.sort(np.array([r.prefix for r in most], np.int64).view(np.uint64))
+    pieces = rows.mapInArrow(lambda batches: piece_rows(batches, lengthen), "prefix long, key binary, low int, high int, piece binary")
+    dealt = pieces.repartition(F.coalesce("prefix", F.xxhash64("key", "low"))).sortWithinPartitions("prefix", "key", "low")
+    return dealt.mapInArrow(repeats_of_prefixes, "key binary, low int, high int")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -247,40 +303,48 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Every word that a repeated window of 35 words covers is removed, at all its places; windows are judged on the
     input. Null and empty texts have no words and an empty ``kept_text``. Repeated rows count as places of their own.
-    Texts of fewer than 35 words lose nothing. Columns of the added names are replaced; an empty table stays empty.
+    Very long texts are read whole. Texts of fewer than 35 words lose nothing. Columns of the added names, in any case,
+    are replaced; an empty table stays empty.
     """
     names = docs.columns
     at = names.index(text)
-    kept = [i for i, n in enumerate(names) if n not in ("n_words", "n_removed", "kept_text")]
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))]).select(*[f"c{i}" for i in kept]).withColumn("key", F.xxhash64(f"c{at}"))
-    starts = save(repeated_starts(docs, text), "repeats").groupBy("key").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    copies = plain.groupBy("key").agg(F.count("*").alias("copies"))
-    known = copies.filter("copies > 1").select("key", F.lit(True).alias("copied")).join(starts, "key", "full")
+    kept = [i for i, n in enumerate(names) if n.lower() not in ("n_words", "n_removed", "kept_text")]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))]).select(*[f"c{i}" for i in sorted({*kept, at})]).withColumn("key", text_key(F.col(f"c{at}")))
+    runs = save(repeated_runs(docs, text), "repeats").groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    copies = save(plain.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
     # a text with copies is removed as a whole, so its copies need no list each
-    known = known.select("key", "copied", F.when(F.col("copied").isNull(), F.col("starts")).alias("starts"))
-    joined = plain.join(known, "key", "left").drop("key")
+    known = copies.select("key", F.lit(True).alias("copied")).join(runs, "key", "full")
+    known = known.select("key", "copied", F.when(F.col("copied").isNull(), F.col("runs")).alias("runs"))
+    # rows of a text with many copies are known as such at once, and dealt out by their other columns
+    many = copies.filter(F.col("copies") >= MANY_COPIES).select("key", F.lit(True).alias("many"))
+    if many.count() <= 200_000:  # 17 bytes each
+        many = F.broadcast(many)
+    own = [f.name for f in plain.schema.fields if isinstance(f.dataType, AtomicType)]
+    spread = F.unhex(F.md5(F.concat(F.hex("key"), F.xxhash64(*own).cast("string")).cast("binary")))
+    marked = plain.join(many, "key", "left").withColumn("key", F.when(F.col("many"), spread).otherwise(F.col("key")))
+    joined = marked.join(known, "key", "left").drop("key").withColumn("copied", F.coalesce("many", "copied")).drop("many")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, f"c{at}"):
-            copied, starts = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
+            copied, found = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("copied", "runs"))
             counts, removed, left = [], [], []
             for i, text in enumerate(texts):
                 words = word_list(text)
                 n = len(words)
                 if n >= WINDOW and copied[i]:
                     words = []
-                elif n >= WINDOW and starts[i].is_valid:
-                    found = starts[i].values.to_numpy()
+                elif n >= WINDOW and found[i]:
                     change = np.zeros(n + 1, np.int64)
-                    np.add.at(change, found, 1)
-                    np.add.at(change, found + WINDOW, -1)
+                    np.add.at(change, [r["low"] for r in found[i]], 1)
+                    np.add.at(change, [r["high"] + WINDOW for r in found[i]], -1)
                     words = [w for w, c in zip(words, np.cumsum(change[:-1]).tolist(), strict=True) if not c]
                 counts.append(n)
                 removed.append(n - len(words))
                 left.append(b" ".join(words).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string())], names=[*batch.schema.names[:-2], "n_words", "n_removed", "kept_text"])
+            columns = [batch.column(batch.schema.get_field_index(f"c{i}")) for i in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string())], names=[*(f"c{i}" for i in kept), "n_words", "n_removed", "kept_text"])
 
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.drop("key").schema.fields), "n_words long, n_removed long, kept_text string"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.select(*[f"c{i}" for i in kept]).schema.fields), "n_words long, n_removed long, kept_text string"])
     return joined.mapInArrow(run, schema).toDF(*[names[i] for i in kept], "n_words", "n_removed", "kept_text")
 
 
@@ -290,8 +354,31 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP4_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), cut AS (
+  SELECT r, list_transform(range(1, len(w) - 33), lambda i: array_to_string(w[i:i + 34], ' ')) AS s FROM texts WHERE len(w) >= 35
+), windows AS (SELECT r, unnest(s) AS s, generate_subscripts(s, 1) AS j FROM cut),
+repeated AS (SELECT r, j FROM (SELECT r, j, count(*) OVER (PARTITION BY s) AS n FROM windows) WHERE n > 1),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM texts),
+covered AS (
+  SELECT words.r, words.j, word, count(repeated.j) OVER (PARTITION BY words.r ORDER BY words.j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM words LEFT JOIN repeated ON words.r = repeated.r AND words.j = repeated.j
+), kept AS (
+  SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM covered GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""
+
+
 def drop_repeated_words(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: remove repeated passages from the texts; texts without any stay as they are."""
+    """Pipeline stage: remove repeated passages from the texts; texts without any stay as they are, ``n_chars`` follows.
+
+    Null and empty texts, very long ones, repeated rows and empty tables are as in ``remove_repeats``; other columns,
+    whatever their names, keep their values.
+    """
     del spark, sf_dir
 
     def stage(d: DataFrame) -> DataFrame:

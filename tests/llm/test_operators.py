@@ -43,9 +43,10 @@ def test_substrings_copies_are_one_text(spark):
     passage = " ".join(draw.choices(WORDS, k=60))
     text = f"{passage} {' '.join(draw.choices(WORDS, k=60))} {passage}"
     copies = spark.createDataFrame([(i, text if i else passage) for i in range(41)], "doc_id long, text string").repartition(1)
-    starts = substrings.repeated_starts(copies)
-    assert starts.distinct().count() == 3 * (60 - substrings.WINDOW + 1)
-    assert starts.count() <= 2 * starts.distinct().count()
+    runs = substrings.repeated_runs(copies).collect()
+    places = {(bytes(r.key), i) for r in runs for i in range(r.low, r.high + 1)}
+    assert len(places) == 3 * (60 - substrings.WINDOW + 1)
+    assert len(runs) <= 2 * len(places)
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(copies).collect()}
     assert got == {0: (60, 60)} | {i: (180, 180) for i in range(1, 41)}
 
@@ -68,23 +69,45 @@ def test_substrings(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
-def test_subtrees_across_batches():
-    """Runs that go on from batch to batch and subtrees over the limit give the same leaves."""
-    import pyarrow as pa
-
-    draw = np.random.default_rng(2)
-    rows = sorted((int(p), int(r), int(k), int(s)) for p, r, k, s in draw.integers(0, (6, 4, 40, 5), (3000, 4)))
-    places = Counter()
-    for p, r, k, s in set(rows):
-        places[p, r] += 1
-    want = {(k, s) for p, r, k, s in rows if places[p, r] > 1}
-    table = pa.table({"prefix": [x[0] for x in rows], "rest": [x[1] for x in rows], "key": [x[2] for x in rows], "start": pa.array([x[3] for x in rows], pa.int32()), "sure": [False] * len(rows)})
-    limit, substrings.SUBTREE = substrings.SUBTREE, 50
-    try:
-        out = [b for b in substrings._subtrees(iter(table.to_batches(max_chunksize=37)))]
-    finally:
-        substrings.SUBTREE = limit
-    assert {(k, s) for b in out for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)} == want
+def brute_windows(texts, size=35):
+    """Places (text number, word number) of the windows that repeat."""
+    at = {}
+    for k, t in enumerate(texts):
+        w = words(t)
+        for i in range(len(w) - size + 1):
+            at.setdefault(tuple(w[i : i + size]), []).append((k, i))
+    return {p for places in at.values() if len(places) > 1 for p in places}
+
+
+@pytest.mark.parametrize("heavy", [substrings.HEAVY, 3, 0])
+def test_lengthened_prefixes_change_no_result(spark, heavy, monkeypatch):
+    """Prefixes that are light, partly heavy or all heavy, parts of subtrees, repeats over 62 words and within a text."""
+    draw = random.Random(4)
+    some = lambda n, w=WORDS: " ".join(draw.choices(w, k=n))
+    passages, opening = [some(150), some(60), some(36)], some(9)
+    texts = [f"{opening} {some(60)} {draw.choice(passages)} {some(10)}" for _ in range(60)]
+    texts += [some(400, ["yes", "no"]), "a " * 200, passages[0] + " x " + passages[0], some(34), "", opening + " " + some(40)]
+    monkeypatch.setattr(substrings, "SUBTREE", 300)
+    monkeypatch.setattr(substrings, "GATHER_BYTES", 4000)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    key = {bytes(r.k): r.doc_id for r in df.select("doc_id", substrings.text_key(F.col("text")).alias("k")).collect()}
+    got = {(key[bytes(r.key)], i) for r in substrings.repeated_runs(df, heavy=heavy).collect() for i in range(r.low, r.high + 1)}
+    assert got == brute_windows(texts)
+
+
+def test_subtrees_have_the_depth_of_the_repeat():
+    flat = np.array([1, 2, 3, 4, 5, 9, 1, 2, 3, 4, 6, 9, 7, 2, 3], np.uint32)
+    starts, lengths = np.array([0, 6, 1, 7, 13]), np.array([5, 5, 4, 4, 2])
+    assert substrings.subtree_leaves(flat, starts, lengths, np.zeros(5, int)).tolist() == [4, 4, 3, 3, 2]
+    assert substrings.subtree_leaves(flat, starts, lengths, np.array([0, 1, 2, 2, 3])).tolist() == [0, 0, 3, 3, 0]
+
+
+def test_texts_with_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "MANY_COPIES", 10)
+    text = " ".join(WORDS[:50])
+    rows = [(i, text if i % 3 else None) for i in range(60)] + [(99, " ".join(WORDS[10:80]))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (50, 50) if i % 3 else (0, 0) for i in range(60)} | {99: (70, 40)}
 
 
 def test_simhash(spark, docs, empty):
