@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,10 +255,10 @@ def repeats_of_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     group: list[tuple] = []  # those of the prefix that is being read
     windows, place = 0, None
     for batch in batches:
-        known = batch.filter(pa.compute.is_null(batch.column(0)))
+        known = batch.filter(pc.is_null(batch.column(0)))
         if known.num_rows:
             yield pa.RecordBatch.from_arrays(known.columns[1:4], schema=RUN)
-        fresh = batch.filter(pa.compute.is_valid(batch.column(0)))
+        fresh = batch.filter(pc.is_valid(batch.column(0)))
         for row in zip(*(c.to_pylist() for c in fresh.columns), strict=True):
             if row[:3] == place:  # a copy of the text in another task
                 continue
