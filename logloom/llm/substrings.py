@@ -5,7 +5,8 @@
    ``HEAVY`` suffixes share are lengthened: a window is then anchored by another prefix, and by one of 20 words if it
    has heavy ones only.
 2. Partitions. Neighbouring windows with the same anchor are one piece of text of 35 to 62 words, and pieces are dealt
-   out by the anchor's prefix. So all suffixes that may share 35 words meet, and each word travels about four times.
+   out by the anchor's prefix. So all suffixes that may share 35 words meet, and each word travels about four times,
+   compressed with a dictionary of the table's own pieces.
 3. Subtrees. A task sorts the suffixes of a prefix by their words and takes the longest common prefixes of neighbours,
    which are the depths of the suffix tree's internal nodes. The leaves under a node of depth 35 or more are the places
    of a maximal repeat. Words are compared as words, never by hashes. A subtree over the memory bound is built in parts.
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
@@ -44,6 +46,8 @@ SUBTREE = 100_000
 GATHER_BYTES = 24 << 20
 #: Copies of a text from which on its rows are dealt out by their own content instead of the text.
 MANY_COPIES = 1_000
+#: Pieces that the compression dictionary is made of at most, and their greatest length.
+SAMPLE_PIECES, SAMPLE_BYTES = 4_000, 2_000
 BASE = 0x9E3779B97F4A7C15
 LONG = np.uint64(1 << 63)
 
@@ -147,16 +151,40 @@ def _count_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield counted(held)
 
 
+def _sample_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    draw = np.random.default_rng(1)
+    for n, (_, words) in enumerate(_texts(batches)):
+        if n * 4 > SAMPLE_PIECES:
+            return
+        at = draw.integers(0, len(words) - WINDOW + 1, 4).tolist()
+        found = [b" ".join(words[i : i + 48]) for i in at]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x in found if len(x) <= SAMPLE_BYTES], pa.binary())], names=["piece"])
+
+
+def piece_dictionary(rows: DataFrame) -> bytes:
+    """A compression dictionary from a bounded sample of (key, text); which one it is changes no result."""
+    sample = [bytes(r[0]) for r in rows.mapInArrow(_sample_pieces, "piece binary").limit(SAMPLE_PIECES).collect()]
+    try:
+        return zstandard.train_dictionary(1 << 16, sample).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too few pieces to learn from
+        return b" ".join(sample)[: 1 << 16]
+
+
+def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(data) if data else None
+
+
 PIECE = pa.schema([("prefix", pa.int64()), ("key", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("piece", pa.binary())])
 
 
-def piece_rows(batches: Iterator[pa.RecordBatch], heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pieces as (prefix, key, low, high, piece): text and numbers of the first and last window, and the words.
+def piece_rows(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, dictionary: bytes) -> Iterator[pa.RecordBatch]:
+    """Pieces as (prefix, key, low, high, piece): text and numbers of the first and last window, and the words,
+    compressed.
 
     Of pieces that are equal within the task the first goes on; the windows of all of them are known to repeat, and
     are given once more without ``prefix`` and ``piece``.
     """
-    hashes = WordHashes()
+    hashes, pack = WordHashes(), zstandard.ZstdCompressor(level=1, dict_data=_dictionary(dictionary)).compress
     seen: dict[bytes, tuple | None] = {}
     rows: list[tuple] = []
     held = 0
@@ -169,12 +197,14 @@ def piece_rows(batches: Iterator[pa.RecordBatch], heavy: np.ndarray) -> Iterator
             piece = line[x:y]
             if piece not in seen:
                 seen[piece] = (None, key, a, b, None)
-                rows.append((p, key, a, b, piece))
+                rows.append((p, key, a, b, pack(piece)))
                 held += y - x
             else:
                 if first := seen[piece]:
                     rows.append(first)
                     seen[piece] = None
+                if rows and rows[-1][:2] == (None, key) and rows[-1][3] + 1 == a:  # goes on from the piece before
+                    a = rows.pop()[2]
                 rows.append((None, key, a, b, None))
         if len(rows) > 20_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECE.types, strict=True)], schema=PIECE)
@@ -245,12 +275,13 @@ def grow_subtrees(rows: list[tuple[int, bytes, int, int, bytes]]) -> list[tuple[
 RUN = pa.schema([("key", pa.binary()), ("low", pa.int32()), ("high", pa.int32())])
 
 
-def repeats_of_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeats_of_prefixes(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
     """Runs of repeated windows, from pieces sorted by (prefix, key, low)."""
 
     def runs(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), RUN.types, strict=True)], schema=RUN)
 
+    unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary)).decompress
     ready: list[tuple] = []  # pieces of whole prefixes
     group: list[tuple] = []  # those of the prefix that is being read
     windows, place = 0, None
@@ -264,7 +295,7 @@ def repeats_of_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 continue
             if place is not None and row[0] != place[0]:
                 if len(group) > 1:
-                    ready += group
+                    ready += [(*r[:4], unpack(r[4])) for r in group]
                     windows += sum(r[3] - r[2] + 1 for r in group)
                 group = []
                 if windows >= SUBTREE:
@@ -274,7 +305,7 @@ def repeats_of_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             group.append(row)
             place = row[:3]
     if len(group) > 1:
-        ready += group
+        ready += [(*r[:4], unpack(r[4])) for r in group]
     if ready and (found := grow_subtrees(ready)):
         yield runs(found)
 
@@ -294,9 +325,10 @@ def repeated_runs(docs: DataFrame, text: str = "text", heavy: int = HEAVY) -> Da
     # at most MAX_HEAVY numbers reach the driver
     most = counts.filter(F.col("n") > heavy).orderBy(F.desc("n"), "prefix").limit(MAX_HEAVY).collect()
     lengthen = np.sort(np.array([r.prefix for r in most], np.int64).view(np.uint64))
-    pieces = rows.mapInArrow(lambda batches: piece_rows(batches, lengthen), "prefix long, key binary, low int, high int, piece binary")
+    dictionary = piece_dictionary(rows)
+    pieces = rows.mapInArrow(lambda batches: piece_rows(batches, lengthen, dictionary), "prefix long, key binary, low int, high int, piece binary")
     dealt = pieces.repartition(F.coalesce("prefix", F.xxhash64("key", "low"))).sortWithinPartitions("prefix", "key", "low")
-    return dealt.mapInArrow(repeats_of_prefixes, "key binary, low int, high int")
+    return dealt.mapInArrow(lambda batches: repeats_of_prefixes(batches, dictionary), "key binary, low int, high int")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
