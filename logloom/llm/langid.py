@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network runs over the UTF-8 bytes of white-space separated words, forwards and backwards, and labels every
-position with log-probabilities of the languages; a document's probabilities are pooled over all its positions. As
-the recurrent state starts anew in each word, the labels of a word are the same wherever it stands, and a task
-computes them once for each distinct word. Training is backpropagation through time in numpy.
+The network runs over the UTF-8 bytes of a whole document, forwards and backwards, and labels every position with
+log-probabilities of the languages; a document's probabilities are pooled over all its positions. Documents are read in
+windows side by side. The state is carried into a window by running over the bytes next to it first, those before it
+forwards and those after it backwards, so a position's label hangs on the words around it wherever the windows are cut.
+Training is backpropagation through time in numpy.
 """
 
 from __future__ import annotations
@@ -19,16 +20,21 @@ from pyspark.sql import functions as F
 from .common import pick, table, text_chunks
 from .quality import remainder
 
-#: Documents that training uses at most over all languages, and words of each of them, spread over the whole text.
-MAX_DOCUMENTS, MAX_WORDS = 3_000, 60
-#: Bytes of a longer word are cut into segments of this length.
-SEGMENT = 24
-HIDDEN = 16
+#: Documents that training uses at most over all languages, and bytes of their texts, each of which is used whole: the
+#: size of the sample that reaches the driver.
+MAX_DOCUMENTS, MAX_BYTES = 3_000, 1_200_000
+#: Bytes of a window, and bytes on either side over which its state is carried.
+STRIDE, CARRY = 512, 64
+#: Bytes of a training sequence.
+SEQUENCE = 128
+#: Windows that are read side by side.
+ROWS = 1024
+HIDDEN = 8
 LETTER = regex.compile(r"\p{L}")
 
 
-def segments(word: bytes) -> list[bytes]:
-    return [word[i : i + SEGMENT] for i in range(0, len(word), SEGMENT)]
+def text_bytes(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -76,25 +82,72 @@ class ByteGRU:
             states[t] = h = new
         return states, cache
 
-    def log_probabilities(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mask = (np.arange(len(data))[:, None] < lengths).astype(np.float32)
-        hidden = np.concatenate([self.layer(side, data, mask, False)[0] for side in "fb"], 2)
-        logits = hidden @ self.p["out"] + self.p["bias"]
+    def run_rows(self, side: str, data: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Hidden states of one layer over rows in descending order of length, of which ``active[t]`` go on to ``t``.
+
+        ``data`` is in the order of reading: reversed for the backward layer.
+        """
+        H = self.hidden
+        wx, wh = self.p[f"x{side}"] + self.p[f"c{side}"], self.p[f"h{side}"]
+        # a sigmoid is half of one and a tanh of half the argument
+        wx, wh = np.concatenate([wx[:, : 2 * H] / 2, wx[:, 2 * H :]], 1), np.concatenate([wh[:, : 2 * H] / 2, wh[:, 2 * H :]], 1)
+        w_gates, w_new = np.ascontiguousarray(wh[:, : 2 * H]), np.ascontiguousarray(wh[:, 2 * H :])
+        states = np.zeros((*data.shape, H), np.float32)
+        h = np.zeros((data.shape[1], H), np.float32)
+        for t, k in enumerate(active.tolist()):
+            h = h[:k]
+            x = wx.take(data[t, :k], 0)
+            gates = h @ w_gates
+            gates += x[:, : 2 * H]
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            g = (gates[:, H:] * h) @ w_new
+            g += x[:, 2 * H :]
+            np.tanh(g, out=g)
+            h = g + gates[:, :H] * (h - g)
+            states[t, :k] = h
+        return states
+
+    def window_scores(self, windows: list[bytes], skips: np.ndarray, takes: np.ndarray) -> np.ndarray:
+        """For each window the sum of the log-probabilities of its ``takes`` positions after the first ``skips``.
+
+        Windows come in descending order of length.
+        """
+        lengths = np.fromiter(map(len, windows), np.int64, len(windows))
+        width = int(lengths.max(initial=0))
+        flat = np.frombuffer(b"".join(windows), np.uint8)
+        place = np.arange(width)[:, None]
+        inside = place < lengths
+        begin = np.cumsum(lengths) - lengths
+        data = flat[np.minimum(begin + place, len(flat) - 1)]
+        back = flat[np.clip(begin + lengths - 1 - place, 0, len(flat) - 1)]
+        active = inside.sum(1)
+        H, out, bias = self.hidden, self.p["out"], self.p["bias"]
+        logits = self.run_rows("f", data, active) @ out[:H]
+        backward = self.run_rows("b", back, active) @ out[H:]
+        logits += backward[np.clip(lengths - 1 - place, 0, None), np.arange(len(windows))]
+        logits += bias
         logits -= logits.max(2, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(2, keepdims=True)), mask
-
-    def word_scores(self, words: list[bytes], batch: int = 4096) -> np.ndarray:
-        """For each word the sum of its positions' log-probabilities, and their number in the last column."""
-        parts = [(len(s), s, i) for i, w in enumerate(words) for s in segments(w)]
-        parts.sort(key=lambda p: p[0])  # rows of a batch have like lengths
-        out = np.zeros((len(words), len(self.languages) + 1))
-        for at in range(0, len(parts), batch):
-            some = parts[at : at + batch]
-            data, lengths = self.matrix([s for _, s, _ in some])
-            found, mask = self.log_probabilities(data, lengths)
-            which = np.fromiter((i for _, _, i in some), np.int64, len(some))
-            np.add.at(out, (which, slice(0, -1)), (found * mask[:, :, None]).sum(0))
-            np.add.at(out[:, -1], which, lengths)
+        logits -= np.log(np.exp(logits).sum(2, keepdims=True))
+        logits *= ((place >= skips) & (place < skips + takes))[:, :, None]
+        return logits.sum(0, dtype=np.float64)
+
+    def scores(self, texts: list[bytes], stride: int = STRIDE, carry: int = CARRY) -> np.ndarray:
+        """For each text the sum of its positions' log-probabilities, and their number in the last column."""
+        parts = []
+        for i, text in enumerate(texts):
+            for at in range(0, len(text), stride):
+                low, high = max(0, at - carry), min(len(text), at + stride + carry)
+                parts.append((high - low, i, low, high, at - low, min(stride, len(text) - at)))
+        parts.sort(key=lambda p: -p[0])  # rows of a batch have like lengths
+        out = np.zeros((len(texts), len(self.languages) + 1))
+        for k in range(0, len(parts), ROWS):
+            some = parts[k : k + ROWS]
+            _, which, low, high, skips, takes = (np.array(c) for c in zip(*some, strict=True))
+            found = self.window_scores([texts[i][a:b] for i, a, b in zip(which.tolist(), low.tolist(), high.tolist(), strict=True)], skips, takes)
+            np.add.at(out, (which, slice(0, -1)), found)
+            np.add.at(out[:, -1], which, takes)
         return out
 
     def loss_and_gradients(self, data: np.ndarray, lengths: np.ndarray, target: np.ndarray, weight: np.ndarray):
@@ -118,7 +171,7 @@ class ByteGRU:
         back = d @ p["out"].T
         for k, side in enumerate("fb"):
             cache, wh = runs[side][1], p[f"h{side}"]
-            gx, gh, carried = np.zeros_like(p[f"x{side}"]), np.zeros_like(wh), np.zeros((data.shape[1], H), np.float32)
+            steps, gh, carried = np.zeros((*data.shape, 3 * H), wh.dtype), np.zeros_like(wh), np.zeros((data.shape[1], H), np.float32)
             for t in range(len(data) - 1, -1, -1) if side == "f" else range(len(data)):
                 h, z, r, g = cache[t]
                 m = mask[t][:, None]
@@ -130,26 +183,27 @@ class ByteGRU:
                 gates = np.concatenate([dz, dr], 1)
                 gh[:, : 2 * H] += h.T @ gates
                 gh[:, 2 * H :] += (r * h).T @ dg
-                np.add.at(gx, data[t], np.concatenate([gates, dg], 1))
+                steps[t] = np.concatenate([gates, dg], 1)
                 carried = dh * (1 - m * (1 - z)) + drh * r + gates @ wh[:, : 2 * H].T
+            gx = np.stack([np.bincount(data.ravel(), column, 256) for column in steps.reshape(-1, 3 * H).T], 1).astype(wh.dtype)
             grads |= {f"x{side}": gx, f"h{side}": gh, f"c{side}": gx.sum(0)}
         return loss, grads
 
-    def fit(self, words: list[bytes], target: np.ndarray, epochs: int = 4, batch: int = 512, rate: float = 0.01, seed: int = 5) -> ByteGRU:
-        """Adam over batches of words of like length; languages weigh the same whatever their number of words."""
-        parts = [(s, y) for w, y in zip(words, target.tolist(), strict=True) for s in segments(w)]
+    def fit(self, texts: list[bytes], target: np.ndarray, epochs: int = 3, batch: int = 128, rate: float = 0.015, seed: int = 5) -> ByteGRU:
+        """Adam over batches of sequences, into which whole texts are cut; languages weigh the same whatever their size."""
+        parts = [(s[i : i + SEQUENCE], y) for s, y in zip(texts, target.tolist(), strict=True) for i in range(0, len(s), SEQUENCE)]
         counts = np.bincount([y for _, y in parts], minlength=len(self.languages))
         weight = (len(parts) / len(self.languages) / np.maximum(counts, 1)).astype(np.float32)
         draw, step = np.random.default_rng(seed), 0
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        # small samples are gone over more often
+        epochs = max(epochs, min(40, 200 * batch // max(1, len(parts))))
         total = max(1, epochs * -(-len(parts) // batch))
         for _ in range(epochs):
             order = draw.permutation(len(parts))
-            order = order[np.argsort([len(parts[i][0]) + draw.random() * 2 for i in order], kind="stable")]
-            cuts = [order[i : i + batch] for i in range(0, len(order), batch)]
-            for i in draw.permutation(len(cuts)):
-                some = [parts[j] for j in cuts[i]]
+            for at in range(0, len(order), batch):
+                some = [parts[j] for j in order[at : at + batch]]
                 data, lengths = self.matrix([s for s, _ in some])
                 y = np.array([y for _, y in some])
                 _, grads = self.loss_and_gradients(data, lengths, y, weight[y])
@@ -163,34 +217,36 @@ class ByteGRU:
         return self
 
 
-def fit_languages(docs: DataFrame, fold_filter, max_documents: int = MAX_DOCUMENTS, max_words: int = MAX_WORDS) -> ByteGRU | None:
+def fit_languages(docs: DataFrame, fold_filter, max_documents: int = MAX_DOCUMENTS, max_bytes: int = MAX_BYTES) -> ByteGRU | None:
     """Learn from ``text`` and non-null ``lang`` of the rows for which ``fold_filter(doc_id column)`` holds.
 
-    At most ``max_documents`` documents, as many of each language, and ``max_words`` evenly spaced words of each whole
-    text reach the driver. None if no row can be learned from.
+    The sample that reaches the driver has at most ``max_documents`` documents and ``max_bytes`` of text, as much of
+    each language, in the order of a hash of the id; each text is used whole, or not at all if it does not fit in. None
+    if no row can be learned from.
     """
     own = pick(docs, doc_id="doc_id", text="text", lang="lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & fold_filter(F.col("doc_id")))
     counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_documents).collect()
     if not counts:
         return None
-    quota = max(1, max_documents // len(counts))
+    quota, room = max(1, max_documents // len(counts)), max_bytes // len(counts)
     rates = docs.sparkSession.createDataFrame([(r[0], min(1.0, (2.0 * quota + 20) / r[1])) for r in counts], "lang string, rate double")
     unit = F.pmod(F.xxhash64("doc_id", F.lit("lang sample")), F.lit(1 << 20)) / F.lit(1 << 20)
-    drawn = own.join(F.broadcast(rates), "lang").filter(unit < F.col("rate"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("lang sample")), "doc_id", F.xxhash64("text"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: F.length(w) > 0)
-    spread = F.when(F.size("w") <= max_words, F.col("w")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(max_words - 1)), lambda i: F.element_at("w", (F.floor(i * F.size("w") / max_words) + 1).cast("int"))))
-    chosen = drawn.select("doc_id", "lang", "text", words.alias("w")).select("doc_id", "lang", F.xxhash64("text").alias("text"), spread.alias("w"))
-    rows = chosen.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= quota).select("lang", "w").collect()
+    size = F.octet_length("text")
+    # a text over a quarter of its language's room is passed over, so that the rest fit in whatever their order
+    drawn = own.join(F.broadcast(rates), "lang").filter((unit < F.col("rate")) & (size <= max(room // 4, 1)))
+    rank = F.struct(F.xxhash64("doc_id", F.lit("lang sample")).alias("h"), "doc_id", F.xxhash64("text").alias("t")).alias("rank")
+    first = Window.partitionBy("lang").orderBy("rank")
+    # numbers are ranked before any text is shuffled
+    ranked = drawn.select("lang", rank, size.alias("size")).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= quota)
+    upto = ranked.withColumn("upto", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("upto") <= room)
+    chosen = upto.select("lang", "rank").distinct()
+    rows = drawn.select("lang", rank, "text").join(F.broadcast(chosen), ["lang", "rank"], "left_semi").dropDuplicates(["lang", "rank"]).collect()
+    rows.sort(key=lambda r: (r.lang, r["rank"].h, str(r["rank"].doc_id), r["rank"].t))
     languages = sorted({r.lang for r in rows})
     number = {x: i for i, x in enumerate(languages)}
-    pairs = [(w.lower().encode("utf-8", "replace"), number[r.lang]) for r in rows for w in r.w]
+    pairs = [(text_bytes(r.text), number[r.lang]) for r in rows]
     model = ByteGRU(languages)
-    return model.fit([w for w, _ in pairs], np.array([y for _, y in pairs], np.int64)) if pairs else model
-
-
-#: Distinct words whose labels a task remembers before it starts anew.
-CACHE_WORDS = 300_000
+    return model.fit([w for w, _ in pairs], np.array([y for _, y in pairs], np.int64)) if any(w for w, _ in pairs) else (model if languages else None)
 
 
 def predict_languages(docs: DataFrame, model: ByteGRU | None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -203,23 +259,15 @@ def predict_languages(docs: DataFrame, model: ByteGRU | None, text: str = "text"
     rows = pick(docs, key=key, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = {}
-        scores = np.zeros((0, len(model.languages) + 1 if model else 1))
-        for batch, texts in text_chunks(batches):
-            if len(number) > CACHE_WORDS:
-                number, scores = {}, scores[:0]
-            found = [t.lower().encode("utf-8", "replace").split() if model and t and LETTER.search(t) else None for t in texts]
-            new = list({w for words in found if words for w in words} - number.keys())
-            if new:
-                number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-                scores = np.concatenate([scores, model.word_scores(new)])
+        for batch, texts in text_chunks(batches, chunk=1 << 20):
+            found = [text_bytes(t) if model and t and LETTER.search(t) else b"" for t in texts]
+            totals = model.scores(found) if model else np.zeros((len(texts), 1))
             lang, score = [], []
-            for words in found:
-                if not words:
+            for total in totals:
+                if not total[-1]:
                     lang.append("und")
                     score.append(0.0)
                     continue
-                total = scores[np.fromiter(map(number.__getitem__, words), np.int64, len(words))].sum(0)
                 pooled = total[:-1] / np.sqrt(total[-1])
                 p = np.exp(pooled - pooled.max())
                 best = int(p.argmax())

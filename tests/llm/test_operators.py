@@ -421,6 +421,35 @@ def test_language(spark, docs):
     assert got[0] == got[1] == got[2] == ("und", 0.0) and got[3][0] in ("a", "b") and 0 < got[5][1] <= 1
 
 
+def test_labels_hang_on_neighbouring_words():
+    """A position's label changes with the word next to its own, before and after; windows change next to nothing."""
+    draw = np.random.default_rng(0)
+    model = langid.ByteGRU(["a", "b", "c"], hidden=5)
+    text = bytes(draw.integers(97, 110, 3000).tolist())
+
+    def labels(data):
+        """Log-probabilities of every position by the layers that training uses, over the whole text at once."""
+        rows, lengths = model.matrix([data])
+        mask = np.ones((len(data), 1), np.float32)
+        hidden = np.concatenate([model.layer(side, rows, mask, False)[0] for side in "fb"], 2)
+        logits = hidden @ model.p["out"] + model.p["bias"]
+        return (logits - np.log(np.exp(logits).sum(2, keepdims=True)))[:, 0]
+
+    word = slice(4, 7)
+    assert abs(labels(b"the cat sat")[word] - labels(b"une cat sat")[word]).max() > 1e-4
+    assert abs(labels(b"the cat sat")[word] - labels(b"the cat wir")[word]).max() > 1e-4
+    whole = labels(text).sum(0)
+    assert np.allclose(model.scores([b"", text], stride=4000)[1], [*whole, 3000], rtol=1e-4)
+    assert np.allclose(model.scores([text[:7], text], stride=512, carry=64)[1], [*whole, 3000], rtol=1e-3)
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, ("ab " if i % 2 else "yz ") * (5 if i < 40 else 50_000), "l1" if i % 2 else "l2") for i in range(44)] + [(None, "x", None)]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), lambda c: F.lit(True), max_bytes=4_000)
+    assert model.languages == ["l1", "l2"]
+    assert model.scores([b"ab ab", b"yz yz"])[:, :2].argmax(1).tolist() == [0, 1]
+
+
 def test_gradients():
     """Backpropagation through time against finite differences."""
     model = langid.ByteGRU(["a", "b", "c"], hidden=3)
