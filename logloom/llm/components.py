@@ -45,14 +45,21 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return stars.union(edges.select("u", "u").distinct().toDF("node", "component"))
 
 
-def in_blocks(rows: DataFrame, key: str, member: str, block: int = BLOCK) -> DataFrame:
+def spread(rows: DataFrame, per_task: int = 20_000) -> DataFrame:
+    """A written table of small rows, dealt out evenly over enough tasks for what each row is about to grow to."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // per_task))
+    return rows.repartition(tasks, *rows.columns)
+
+
+def in_blocks(rows: DataFrame, key: str, member: str, heavy: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows dealt so that any two members of a key meet in a bounded group, groups of one left out, sorted by group.
 
     Adds ``own`` (the member's block) and the group's ``low`` and ``high`` block. A key of up to ``block`` rows is one
     group (0, 0). A larger one is cut into blocks by the member's hash, and each pair of blocks is a group, so a pair
-    of members of different blocks meets once, and two of one block are to be compared where low = high.
+    of members of different blocks meets once, and two of one block are to be compared where low = high. ``heavy`` has
+    (key, n) for the keys of more than ``block`` rows at least, with their number of rows or a bound of it.
     """
-    heavy = save(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > block), "heavy")
+    heavy = save(heavy.toDF(key, "_n").filter(F.col("_n") > block), "heavy")
     if heavy.count() <= 200_000:  # two numbers each
         heavy = F.broadcast(heavy)
     dealt = rows.join(heavy, key, "left").withColumn("_blocks", F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")).withColumn("own", F.pmod(F.xxhash64(F.lit("block"), member), F.col("_blocks")).cast("int"))
@@ -128,13 +135,58 @@ class Forest:
         return [x for x, y in found if x != y], [y for x, y in found if x != y]
 
 
-def spanning_links(rows: DataFrame, verify: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray], columns: tuple[str, ...], key: str, member: str) -> DataFrame:
+class Segments:
+    """Hamming tables over 64-bit codes: (column, lowest bit, bit after the highest) of each.
+
+    A row is entered in a table once for each bit of its segment, with that bit left out, so two rows share an entry if
+    their segments differ in one bit or none. An entry packs table, left-out bit and the segment's other bits in a long.
+    """
+
+    def __init__(self, tables: list[tuple[str, int, int]]):
+        if any(high - low > 48 for _, low, high in tables) or len(tables) > 511:
+            raise ValueError("segments are too long to be packed, or too many")
+        self.tables = tables
+
+    @staticmethod
+    def cut(column: str, low: int, high: int) -> F.Column:
+        return F.shiftrightunsigned(F.col(column), low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+
+    def entries(self) -> F.Column:
+        return F.array(*[self.cut(c, low, high).bitwiseAND(F.lit(~(1 << b))).bitwiseOR(F.lit((t << 6 | b) << 48)) for t, (c, low, high) in enumerate(self.tables) for b in range(high - low)])
+
+    def heavy(self, codes: DataFrame, block: int = BLOCK) -> DataFrame:
+        """(entry, bound of its rows) of all entries that may have more than ``block`` rows.
+
+        An entry joins two values of a segment, one of which has over half of its rows. So only the segments are
+        counted, a few for each row, and only the entries of frequent ones are formed.
+        """
+        values = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), self.cut(c, low, high).alias("value")) for t, (c, low, high) in enumerate(self.tables)])
+        often = codes.select(F.explode(values).alias("s")).groupBy("s.t", "s.value").agg(F.count("*").alias("n")).filter(F.col("n") > block // 2)
+        width = F.element_at(F.array(*[F.lit(high - low) for _, low, high in self.tables]), (F.col("t") + 1).cast("int"))
+        each = often.withColumn("b", F.explode(F.sequence(F.lit(0), width - 1)))
+        others = F.element_at(F.array(*[F.lit(~(1 << b)) for b in range(48)]), F.col("b") + 1)
+        entry = F.col("value").bitwiseAND(others).bitwiseOR((F.col("t") * 64 + F.col("b")) * F.lit(1 << 48))
+        return each.groupBy(entry.alias("entry")).agg((F.sum("n") + block // 2).alias("n"))
+
+    def first_entry(self, codes: list[np.ndarray], other: list[np.ndarray], columns: list[str]) -> np.ndarray:
+        """The number ``table << 6 | bit`` of the first entry that two rows of codes share; -1 if none."""
+        out = np.full(len(codes[0]), -1, np.int64)
+        differ = {c: (x ^ y).view(np.uint64) for c, x, y in zip(columns, codes, other, strict=True)}
+        for t in range(len(self.tables) - 1, -1, -1):
+            c, low, high = self.tables[t]
+            d = differ[c] >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)
+            bit = np.where(d > 0, np.bitwise_count(np.maximum(d, 1) - np.uint64(1)), 0).astype(np.int64)
+            out = np.where(np.bitwise_count(d) <= 1, t << 6 | bit, out)
+        return out
+
+
+def spanning_links(rows: DataFrame, verify: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray], columns: tuple[str, ...], key: str, member: str, heavy: DataFrame) -> DataFrame:
     """Links (a, b) that span what ``verify`` accepts among members that share a key.
 
     Each task compares the pairs of its groups in numpy and hands on a spanning forest of the pairs accepted, never
     the pairs themselves.
     """
-    groups = in_blocks(rows, key, member).select(key, "low", "high", member, *columns)
+    groups = in_blocks(rows, key, member, heavy).select(key, "low", "high", member, *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()

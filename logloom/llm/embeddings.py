@@ -5,6 +5,10 @@ balanced binary codes. A code is cut into segments, one Hamming table each; a se
 left out, so two vectors meet in a table if their segments differ in one bit or none. Pairs that meet are filtered by
 the distance of their codes and reranked by the cosine of the original vectors.
 
+How many bits differ at the least cosine hangs on the data: where all vectors share a direction, centring them, which
+keeps codes balanced, widens the angles between them. So pairs at that cosine are made from the sample, those in it are
+looked up, and rotations are added, each with a code and tables of its own, until the tables find enough of both.
+
 Two rounds keep the shuffles small: the first carries codes only and finds which vectors have a candidate in which
 entry, the second brings the vectors to just those entries. A pair may meet in several entries and counts in the first.
 """
@@ -19,61 +23,85 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick, save, table
-from .components import Forest, connected_components, group_runs, in_blocks, run_pairs
+from .components import Forest, Segments, connected_components, group_runs, in_blocks, run_pairs, spread
 
 COSINE = 0.9
 TABLES = 5
 MAX_BITS = 64
-#: Vectors that the rotation is learned on at most: those with the least hash.
+#: Vectors that the rotations are learned on at most: those with the least hash.
 MAX_SAMPLE = 20_000
-#: Candidates differ in this share of the code's bits at most. Cosine 0.9 flips 14 % of random signs, two of 64
-#: standard deviations more are far within it; unrelated vectors differ in half.
-CODE_SHARE = 0.32
+#: Share of the pairs at the least cosine that the tables must find; closer pairs are found more often.
+BOUNDARY_RECALL = 0.94
+#: Rotations at most. Where they do not suffice (vectors so close to their mean that most differ by about the least
+#: cosine), ``Quantiser.boundary_recall`` is the recall that is left.
+MAX_ROTATIONS = 16
 
 
 class Quantiser:
-    """Mean, axes and rotation of the codes."""
+    """Mean, axes and rotations of the codes, and the tables over them."""
 
-    def __init__(self, sample: np.ndarray, rounds: int = 30, seed: int = 11):
+    def __init__(self, sample: np.ndarray, cosine: float = COSINE, rounds: int = 30, seed: int = 11):
         draw = np.random.default_rng(seed)
         self.mean = sample.mean(0)
         x = sample - self.mean
         self.bits = min(MAX_BITS, sample.shape[1])
-        _, axes = np.linalg.eigh(x.T @ x)
-        axes = axes[:, ::-1][:, : self.bits]
-        v = x @ axes
+        _, main = np.linalg.eigh(x.T @ x)
+        self.main = main[:, ::-1][:, : self.bits]
+        self.axes: list[np.ndarray] = []
+        count = min(TABLES, self.bits)
+        self.edges = [self.bits * i // count for i in range(count + 1)]
+        pairs = self.boundary_pairs(sample, cosine, draw) + self.sample_pairs(sample, cosine)
+        v = (x @ self.main)[draw.permutation(len(x))[:5000]]
+        while True:
+            self.axes.append(self.main @ self.rotation(v, rounds, draw))
+            self.columns = [f"code{r}" for r in range(len(self.axes))]
+            self.tables = Segments([(c, low, high) for c in self.columns for low, high in zip(self.edges[:-1], self.edges[1:], strict=True)])
+            codes = [(self.codes(a), self.codes(b)) for a, b in pairs]
+            found = [(self.tables.first_entry(a, b, self.columns) >= 0).mean() for a, b in codes]
+            if min(found) >= BOUNDARY_RECALL or len(self.axes) == MAX_ROTATIONS:
+                break
+        self.boundary_recall = float(min(found))
+        apart = [sum(np.bitwise_count((p ^ q).view(np.uint64)).astype(int) for p, q in zip(a, b, strict=True)) for a, b in codes]
+        # pairs at the least cosine differ in more bits than this about once in 100,000
+        self.most = int(max(d.mean() + 4.5 * d.std() for d in apart)) + 1
+
+    def rotation(self, v: np.ndarray, rounds: int, draw: np.random.Generator) -> np.ndarray:
         rotation = np.linalg.qr(draw.standard_normal((self.bits, self.bits)))[0]
         for _ in range(rounds):
             signs = np.where(v @ rotation >= 0, 1.0, -1.0)
             left, _, right = np.linalg.svd(signs.T @ v)
             rotation = (left @ right).T
-        self.axes = axes @ rotation
-        count = min(TABLES, self.bits)
-        self.edges = [self.bits * i // count for i in range(count + 1)]
+        return rotation
 
-    def codes(self, unit: np.ndarray) -> np.ndarray:
-        bits = ((unit - self.mean) @ self.axes) >= 0
-        padded = np.zeros((len(unit), MAX_BITS), bool)
-        padded[:, : self.bits] = bits
-        return np.packbits(padded, axis=1, bitorder="little").view(np.int64)[:, 0]
-
-    def entries(self, code: F.Column) -> F.Column:
-        """Array of entries: (table, left-out bit) over the segment's other bits."""
+    @staticmethod
+    def boundary_pairs(sample: np.ndarray, cosine: float, draw: np.random.Generator, n: int = 4000) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs at just the cosine, turned in any direction and in that of the difference of two vectors."""
+        a = sample[draw.integers(0, len(sample), n)]
+        out = []
+        for way in (draw.standard_normal(a.shape), sample[draw.integers(0, len(sample), n)] - sample[draw.integers(0, len(sample), n)]):
+            way = way - (way * a).sum(1, keepdims=True) * a
+            length = np.sqrt((way * way).sum(1, keepdims=True))
+            good = length[:, 0] > 1e-9
+            out.append((a[good], cosine * a[good] + np.sqrt(1 - cosine * cosine) * way[good] / length[good]))
+        return [p for p in out if len(p[0])] or [(a, a)]
+
+    @staticmethod
+    def sample_pairs(sample: np.ndarray, cosine: float, n: int = 4000, most: int = 20_000) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of the sample's first vectors that have the cosine, if there are enough to tell."""
+        some, left, right = sample[:n], [], []
+        for at in range(0, len(some), 500):
+            i, j = np.nonzero(some[at : at + 500] @ some.T >= cosine)
+            left.append((i + at)[i + at < j])
+            right.append(j[i + at < j])
+        i, j = np.concatenate(left)[:most], np.concatenate(right)[:most]
+        return [(some[i], some[j])] if len(i) >= 200 else []
+
+    def codes(self, unit: np.ndarray) -> list[np.ndarray]:
         out = []
-        for t, (low, high) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)):
-            segment = F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-            out += [segment.bitwiseAND(F.lit(((1 << (high - low)) - 1) & ~(1 << b))).bitwiseOR(F.lit((t << 6 | b) << 32)) for b in range(high - low)]
-        return F.array(*out)
-
-    def first_entry(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The number ``table << 6 | bit`` of the first entry that two codes share; -1 if none."""
-        x = (a ^ b).view(np.uint64)
-        out = np.full(len(x), -1, np.int64)
-        for t in range(len(self.edges) - 2, -1, -1):
-            low, high = self.edges[t], self.edges[t + 1]
-            d = x >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)
-            bit = np.where(d > 0, np.bitwise_count(np.maximum(d, 1) - np.uint64(1)), 0).astype(np.int64)
-            out = np.where(np.bitwise_count(d) <= 1, t << 6 | bit, out)
+        for axes in self.axes:
+            padded = np.zeros((len(unit), MAX_BITS), bool)
+            padded[:, : self.bits] = ((unit - self.mean) @ axes) >= 0
+            out.append(np.packbits(padded, axis=1, bitorder="little").view(np.int64)[:, 0])
         return out
 
 
@@ -109,21 +137,21 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
         return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
     lengths = [len(r[0]) for r in sample]
     width = max(set(lengths), key=lengths.count)
-    quantiser = Quantiser(unit_rows(pa.array([list(r[0]) for r in sample], pa.list_(pa.float64())), width))
-    most = int(CODE_SHARE * quantiser.bits)
+    quantiser = Quantiser(unit_rows(pa.array([list(r[0]) for r in sample], pa.list_(pa.float64())), width), cosine)
+    columns, most = quantiser.columns, quantiser.most
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(quantiser.codes(unit_rows(batch.column(1), width)))], names=["node", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, quantiser.codes(unit_rows(batch.column(1), width)))], names=["node", *columns])
 
     def candidates(part: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        entry, codes, own, low, high = (part.column(c).to_numpy() for c in ("entry", "code", "own", "low", "high"))
+        entry, own, low, high, *codes = (part.column(c).to_numpy() for c in ("entry", "own", "low", "high", *columns))
         for i, j in run_pairs(starts):
             # members of one block meet in all groups of that block, and count in its own; others only once
             meet = (own[i] != own[j]) | (low[i] == high[i])
-            meet &= np.bitwise_count((codes[i] ^ codes[j]).view(np.uint64)) <= most
+            meet &= sum(np.bitwise_count((c[i] ^ c[j]).view(np.uint64)).astype(np.int64) for c in codes) <= most
             i, j = i[meet], j[meet]
-            good = quantiser.first_entry(codes[i], codes[j]) == entry[i] >> 32
+            good = quantiser.tables.first_entry([c[i] for c in codes], [c[j] for c in codes], columns) == entry[i] >> 48
             yield i[good], j[good]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +184,12 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
         a, b = forest.links()
         yield pa.RecordBatch.from_arrays([pa.array([*a, *links], pa.int64()), pa.array([*b, *[None] * len(links)], pa.int64()), pa.array([*[None] * len(a), *links.values()], pa.int64())], names=["node", "other", "links"])
 
-    codes = classes.select("node", "vector").mapInArrow(code, "node long, code long")
-    entries = codes.select("node", "code", F.explode(quantiser.entries(F.col("code"))).alias("entry"))
+    codes = save(classes.select("node", "vector").mapInArrow(code, ", ".join(["node long", *(f"{c} long" for c in columns)])), "codes")
+    dealt = spread(codes)
+    entries = dealt.select("node", *columns, F.explode(quantiser.tables.entries()).alias("entry"))
     by = ["entry", "low", "high"]
-    shape = "entry long, low int, high int, own int, node long, code long"
-    met = in_blocks(entries, "entry", "node").select(*by, "own", "node", "code").mapInArrow(find, shape)
+    shape = ", ".join(["entry long, low int, high int, own int, node long", *(f"{c} long" for c in columns)])
+    met = in_blocks(entries, "entry", "node", quantiser.tables.heavy(dealt)).select(*by, "own", "node", *columns).mapInArrow(find, shape)
     full = met.join(classes.select("node", "n", "vector"), "node")
     found = save(full.repartition(*by).sortWithinPartitions(*by).mapInArrow(rerank, "node long, other long, links long"), "links")
 
@@ -178,3 +207,18 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at cosine 0.9."""
     return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs and all that is reachable: for small tables.
+OP3_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+components AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN components ON components.a = vec_id LEFT JOIN counts ON counts.a = vec_id
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
 from .decontaminate import OP1_SQL, op1_decontaminate
-from .embeddings import op3_embeddings
+from .embeddings import OP3_SQL, op3_embeddings
 from .langid import op9_language
 from .pages import op5_pages
 from .quality import op2_quality
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_substrings": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_embeddings": OP3_SQL, "op4_substrings": OP4_SQL}

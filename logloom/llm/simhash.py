@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import masked, pick, save, table, text_chunks
-from .components import connected_components, spanning_links
+from .components import Segments, connected_components, spanning_links, spread
 
 BITS = 64
 SHINGLE_WORDS = 4
@@ -57,19 +57,11 @@ def add_fingerprints(df: DataFrame, keys: tuple[str, ...], text: str = "text") -
     return rows.mapInArrow(run, schema).toDF(*keys, "fingerprint")
 
 
-def variant_entries(fingerprint: F.Column, distance: int = 4) -> F.Column:
-    """Array of entries: segment number, left-out bit and the segment's other bits, packed in a long."""
-    count = distance // 2 + 1  # the fewest segments of which one has a single differing bit at most
+def segments(distance: int = 4) -> Segments:
+    """Of this many segments, the fewest, one has a single differing bit at most."""
+    count = distance // 2 + 1
     edges = [BITS * i // count for i in range(count + 1)]
-    out = []
-    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        if high - low > 54:
-            raise ValueError("distance is too small for packed entries")
-        segment = F.shiftrightunsigned(fingerprint, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-        for bit in range(high - low):
-            tag = (k << 6 | bit) << (high - low)
-            out.append(segment.bitwiseAND(F.lit(((1 << (high - low)) - 1) & ~(1 << bit))).bitwiseOR(F.lit(tag)))
-    return F.array(*out)
+    return Segments([("fingerprint", low, high) for low, high in zip(edges[:-1], edges[1:], strict=True)])
 
 
 def near_components(fingerprints: DataFrame, distance: int = 4) -> DataFrame:
@@ -78,13 +70,15 @@ def near_components(fingerprints: DataFrame, distance: int = 4) -> DataFrame:
     The component is its least fingerprint as a signed number. Entries of many fingerprints are compared in blocks;
     tasks hand on spanning forests, so no pair within a group of copies is emitted.
     """
-    entries = fingerprints.select("fingerprint", F.explode(variant_entries(F.col("fingerprint"), distance)).alias("entry"))
+    tables = segments(distance)
+    dealt = spread(fingerprints)
+    entries = dealt.select("fingerprint", F.explode(tables.entries()).alias("entry"))
 
     def verify(part: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         bits = part.column("fingerprint").to_numpy()
         return np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)) <= distance
 
-    links = spanning_links(entries, verify, (), "entry", "fingerprint")
+    links = spanning_links(entries, verify, (), "entry", "fingerprint", tables.heavy(dealt))
     return connected_components(links).toDF("fingerprint", "component")
 
 

@@ -152,7 +152,7 @@ def test_near_copies_stage_keeps_one(spark, docs):
 
 def test_blocks_meet_every_pair_once(spark):
     rows = spark.range(40).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("member"))
-    met = components.in_blocks(rows, "key", "member", block=9).collect()
+    met = components.in_blocks(rows, "key", "member", rows.groupBy("key").count(), block=9).collect()
     seen = Counter()
     groups = {}
     for r in met:
@@ -296,6 +296,36 @@ def test_embeddings(spark):
     assert embeddings.embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("shared", [0.0, 0.7])
+def test_embedding_recall_at_the_threshold(spark, shared):
+    """Pairs at cosine 0.9 to 0.92, the hardest, are found to 0.9 also where all vectors share a direction."""
+    draw = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    mean = unit(draw.standard_normal(64)) * np.sqrt(shared)
+    base = unit(mean + np.sqrt(1 - shared) * unit(draw.standard_normal((1500, 64))))
+    turn = draw.standard_normal((1500, 64))
+    turn = unit(turn - (turn * base).sum(1, keepdims=True) * base)
+    c = draw.uniform(0.9, 0.92, (1500, 1))
+    vectors = np.concatenate([base, c * base + np.sqrt(1 - c * c) * turn])
+    rows = [(i, x) for i, x in enumerate(vectors.tolist())]
+    got = {r.vec_id: r.n_links for r in embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    true = unit(vectors) @ unit(vectors).T >= 0.9
+    np.fill_diagonal(true, False)
+    assert true.sum() >= 2900 and all(got[i] <= n for i, n in enumerate(true.sum(1).tolist()))
+    assert sum(got.values()) >= 0.9 * true.sum()
+
+
+def test_heavy_entries_cover_the_entries(spark):
+    """Every entry of more rows than a block is among the heavy ones, with a bound of its rows."""
+    draw = np.random.default_rng(4)
+    codes = [int(x) for x in np.concatenate([draw.integers(0, 4, 300), draw.integers(0, 1 << 20, 300)])]
+    tables = components.Segments([("code", 0, 10), ("code", 10, 20)])
+    df = spark.createDataFrame([(x,) for x in codes], "code long")
+    counts = {r.entry: r["count"] for r in df.select(F.explode(tables.entries()).alias("entry")).groupBy("entry").count().collect()}
+    heavy = {r.entry: r.n for r in tables.heavy(df, 40).collect()}
+    assert all(heavy.get(e, 0) >= n for e, n in counts.items() if n > 40)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li>menu</ul></nav>
 <div class="ad-1">buy</div><div class="post-9"><h1>Head &amp; shoulders</h1><p><b>One<br>two<p>three&nbsp;four<div class="comments">no</div><form>x</form></div>
 <aside>side</aside><div class="post-9"></div><footer>foot</footer>"""
