@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import pick, table, text_chunks
 
-#: Characters of text whose pieces share one index. A rank costs the same for few or many positions, so this is large.
+#: Characters of text whose pieces share one index: the bound of a task's memory. A rank costs the same for few or many
+#: positions, so this is large.
 INDEX_CHARS = 8 << 20
 
 
@@ -152,21 +153,21 @@ class PairIndexCodec:
         count = np.concatenate(([0], np.cumsum(kept)))
         return ids, count[starts], count[starts + lengths] - count[starts]
 
-    def _pieces(self, text: str) -> list[str]:
-        if self.special_cut and any(s in text for s in self.specials):
+    def _pieces(self, text: str, specials: bool) -> list[str]:
+        if specials and self.special_cut and any(s in text for s in self.specials):
             return [p for part in self.special_cut(text) for p in ([part] if part in self.specials else self.cut(part))]
         return self.cut(text)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None], specials: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts (null: none) in one array, and where each text's ids end.
 
-        The strings of special tokens give their ids.
+        The strings of special tokens give their ids, or without ``specials`` those of their characters.
         """
         number = Numbers()
-        cut = [np.fromiter(map(number.__getitem__, p), np.int32, len(p)) for p in (self._pieces(t or "") for t in texts)]
-        flat, starts, lengths = self.merge_all([p.encode() if p not in self.specials else b"" for p in number])
+        cut = [np.fromiter(map(number.__getitem__, p), np.int32, len(p)) for p in (self._pieces(t or "", specials) for t in texts)]
+        flat, starts, lengths = self.merge_all([b"" if specials and p in self.specials else p.encode() for p in number])
         for piece, i in self.specials.items():
-            if piece in number:
+            if specials and piece in number:
                 starts[number[piece]], lengths[number[piece]], flat = len(flat), 1, np.append(flat, np.int32(i))
         which = np.concatenate(cut) if cut else np.zeros(0, np.int32)
         sizes = np.concatenate(([0], np.cumsum(lengths[which])))
@@ -214,8 +215,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the documents with ``token_ids``, ``n_tokens`` and ``decoded``; columns of these names are
-    replaced."""
+    """Last pipeline stage: the documents with ``token_ids``, ``n_tokens`` and ``decoded``; columns of these names, in
+    any case, are replaced.
+
+    Rows pass one by one, so repeated ones, null ids and very long texts need no care; null and empty texts have no
+    ids; an empty table stays empty.
+    """
     del spark, sf_dir
-    coded = bpe_round_trip(docs, keys=tuple(c for c in docs.columns if c not in ("token_ids", "decoded", "n_tokens")))
+    coded = bpe_round_trip(docs, keys=tuple(c for c in docs.columns if c.lower() not in ("token_ids", "decoded", "n_tokens")))
     return coded.withColumn("n_tokens", F.size("token_ids").cast("long"))

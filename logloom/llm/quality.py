@@ -130,8 +130,10 @@ def fit_ranker(docs: DataFrame, labels: DataFrame, fold_filter, max_labelled: in
     """
     usable = pick(labels, doc_id="doc_id", quality="quality").filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & fold_filter(F.col("doc_id")))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
-    texts = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_labelled)
-    rows = score_features(texts.withColumn("label", F.col("quality").cast("int")), ("label",), "text").collect()
+    # features in the scan of the texts, of which a hash alone goes on
+    texts = pick(docs, doc_id="doc_id", text="text").join(F.broadcast(sample), "doc_id").select("doc_id", F.col("quality").cast("int").alias("label"), F.xxhash64("text").alias("hash"), "text")
+    scored = score_features(texts, ("doc_id", "label", "hash"), "text")
+    rows = scored.orderBy(F.xxhash64("doc_id"), "doc_id", "hash").limit(max_labelled).collect()
     if not rows:
         return PairwiseRanker()
     return PairwiseRanker().fit(np.array([r.features for r in rows]), np.array([r.label == 1 for r in rows]))
@@ -140,12 +142,12 @@ def fit_ranker(docs: DataFrame, labels: DataFrame, fold_filter, max_labelled: in
 def score_quality(docs: DataFrame, ranker: PairwiseRanker, text: str = "text") -> DataFrame:
     """``docs`` with ``quality_score``: 0 to 1, higher for better documents; null and empty texts get a score too.
 
-    Rows pass through one by one: repeated rows, null keys and empty tables need no care. A column of that name is
-    replaced.
+    Rows pass through one by one: repeated rows, null keys, very long texts and empty tables need no care. A column of
+    that name, in any case, is replaced.
     """
     at = docs.columns.index(text)
     names = docs.columns
-    kept = [i for i, n in enumerate(names) if n != "quality_score"]
+    kept = [i for i, n in enumerate(names) if n.lower() != "quality_score"]
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))]).select(*[f"c{i}" for i in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +173,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drop the documents that score under the threshold."""
+    """Pipeline stage: drop the documents that score under the threshold.
+
+    Each row is judged by its text alone: null ids, repeated rows, null, empty and very long texts pass or go by their
+    score. Without labels all rows stay; an empty table stays empty; other columns, whatever their names, keep their values.
+    """
     ranker = fit_ranker(docs, table(spark, sf_dir, "labels"), lambda c: F.lit(True))
     return masked(lambda d: score_quality(d, ranker).filter(F.col("quality_score") >= THRESHOLD), docs, ("text",))

@@ -38,20 +38,27 @@ def rendezvous_shard(key: Column, weights: Sequence[float]) -> Column:
 def assign_shards(df: DataFrame, key: str, weights: Sequence[float], grown_weights: Sequence[float] | None = None, order: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``shard``, ``slot`` (0, 1, ... within each shard) and, given ``grown_weights``, ``grown_shard``.
 
-    Slots follow (bucket of the key's hash, key, ``order``): a shard's rows are numbered in many buckets at once and a
-    prefix sum over bucket counts joins them, so no task holds a whole shard. Repeated rows get a slot each. An empty
-    table gives an empty result; a null key is a key like any other. ``df`` must have no column of the added names.
+    Slots follow (bucket of the hash of key and ``order``, key, ``order``): a shard's rows are numbered in many buckets
+    at once and a prefix sum over bucket counts joins them, so no task holds a whole shard, nor all rows of a key that
+    differ in ``order``. Repeated rows get a slot each. An empty table gives an empty result; a null key is a key like
+    any other. Columns of the added names, in any case, are replaced.
     """
     buckets = max(8, -(-df.count() // ROWS_PER_BUCKET))
-    grown = {} if grown_weights is None else {"grown_shard": rendezvous_shard(F.col(key), grown_weights)}
-    placed = df.withColumns({"shard": rendezvous_shard(F.col(key), weights), "_bucket": F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(buckets)), **grown})
-    counts = placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    names = df.columns
+    kept = [i for i, n in enumerate(names) if n.lower() not in ("shard", "slot", "grown_shard") or n == key or n in order]
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))]).select(*[f"c{i}" for i in kept])
+    own, *rest = (F.col(f"c{names.index(n)}") for n in (key, *order))
+    grown = {} if grown_weights is None else {"grown_shard": rendezvous_shard(own, grown_weights)}
+    placed = plain.withColumns({"shard": rendezvous_shard(own, weights), "bucket": F.pmod(F.xxhash64(F.lit("slot"), own, *rest), F.lit(buckets)), **grown})
+    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     if len(weights) * buckets <= 200_000:  # rows of offsets, of 20 bytes each
         offsets = F.broadcast(offsets)
-    within = Window.partitionBy("shard", "_bucket").orderBy(key, *order)
-    return placed.withColumn("_row", F.row_number().over(within)).join(offsets, ["shard", "_bucket"]).withColumn("slot", F.col("_before") + F.col("_row") - 1).drop("_bucket", "_row", "_before")
+    within = Window.partitionBy("shard", "bucket").orderBy(own, *rest)
+    out = placed.withColumn("row", F.row_number().over(within)).join(offsets, ["shard", "bucket"]).withColumn("slot", F.col("before") + F.col("row") - 1)
+    added = ["shard", "slot", *grown]
+    return out.select(*[f"c{i}" for i in kept], *added).toDF(*[names[i] for i in kept], *added)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,27 +185,41 @@ def test_bpe_is_the_library(docs, empty):
     assert bpe.bpe_round_trip(empty).count() == 0
 
 
-def test_token_files(docs, empty):
+def test_token_files(docs, empty, monkeypatch):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(bpe.default_vocabulary())
-    want = sorted(len(library.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect())
-    for size in (7, 1000, 1 << 18):
-        got = token_counts.document_tokens(token_counts.write_token_file_blocks(docs, block_tokens=size)).collect()
-        assert sorted(r.n_tokens for r in got) == want
+    odd = docs.sparkSession.createDataFrame([(77, "a <|endoftext|> b<|endoftext|>"), (78, "<|endoftext|>")], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(odd).coalesce(2)
+    size = lambda t: sum(len(library.encode(p, add_special_tokens=False).ids) for p in (t or "").replace("<|", "<|\0").split("\0"))
+    want = sorted(((r.doc_id, size(r.text)) for r in both.collect()), key=str)
+    monkeypatch.setattr(token_counts, "ENCODE_CHARS", 1000)
+    written = token_counts.write_token_files(both, file_tokens=700)
+    files = written.select("path").distinct()
+    assert files.count() > 2
+    for block in (7, 1000, 1 << 20):
+        found = token_counts.document_tokens(files, block_tokens=block)
+        got = written.join(found, ["path", "document"]).collect()
+        assert len(got) == found.count() == both.count()
+        assert sorted(((r.key, r.n_tokens) for r in got), key=str) == want
         by_file = {}
-        for r in sorted(got, key=lambda r: (r.file, r.document)):
-            at = by_file.get(r.file, (0, 0))
+        for r in sorted(got, key=lambda r: (r.path, r.document)):
+            at = by_file.get(r.path, (0, 0))
             assert (r.document, r.first_token) == at
-            by_file[r.file] = (r.document + 1, r.first_token + r.n_tokens + 1)
-    assert token_counts.document_tokens(token_counts.write_token_file_blocks(empty)).count() == 0
+            by_file[r.path] = (r.document + 1, r.first_token + r.n_tokens + 1)
+    assert sorted(((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(both).collect()), key=str) == want
+    assert token_counts.count_tokens(empty).count() == 0
 
 
-def test_token_file_without_a_last_separator(spark):
-    block = np.array([5, 6, 50256, 7], "<u2").tobytes()
-    more = np.array([8, 9], "<u2").tobytes()
-    df = spark.createDataFrame([(0, 0, bytearray(block)), (0, 1, bytearray(more))], "file int, block int, tokens binary")
-    assert sorted(map(tuple, token_counts.document_tokens(df).collect())) == [(0, 0, 0, 2), (0, 1, 3, 3)]
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_token_file_without_a_last_separator(spark, tmp_path, kind):
+    np.array([5, 6, 50256, 7, 8, 9], kind).tofile(tmp_path / "a.bin")
+    np.array([50256, 50256], kind).tofile(tmp_path / "b.bin")
+    (tmp_path / "c.bin").touch()
+    df = spark.createDataFrame([(f"file://{tmp_path}/{x}.bin",) for x in "abc"], "path string")
+    for block in (1, 4, 100):
+        got = sorted((r.path[-5], r.document, r.first_token, r.n_tokens) for r in token_counts.document_tokens(df, kind=kind, block_tokens=block).collect())
+        assert got == [("a", 0, 0, 2), ("a", 1, 3, 3), ("b", 0, 0, 0), ("b", 1, 1, 0)]
 
 
 def test_shards(docs, empty):
@@ -220,6 +234,55 @@ def test_shards(docs, empty):
     assert sharding.assign_shards(sized.filter("false"), "doc_id", [1.0]).count() == 0
 
 
+def test_shards_are_those_of_least_cost(spark):
+    """Every choice made again without Spark's expressions."""
+    import math
+
+    def hashed(name, shard):
+        # the hash of a string and then of an int, each seeded by the one before
+        return spark.sql(f"SELECT xxhash64('{name}', {shard}) AS h").first().h
+
+    weights = [1.0, 2.5, 0.5]
+    got = {r.id: r.s for r in spark.range(12).select("id", sharding.rendezvous_shard(F.col("id"), weights).alias("s")).collect()}
+    for i, s in got.items():
+        cost = [-math.log(((hashed(i, k) & ((1 << 53) - 1)) + 0.5) * 2.0**-53) / w for k, w in enumerate(weights)]
+        assert s == cost.index(min(cost))
+
+
+def test_shards_of_equal_ids_and_clashing_names(spark):
+    rows = [(None if i % 3 == 0 else 7, i, "x", "y", "z") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, Shard string, _row string, bucket string")
+    out = sharding.assign_shards(df, "doc_id", [1.0] * 4, order=["size"])
+    assert out.columns == ["doc_id", "size", "_row", "bucket", "shard", "slot"]
+    found = out.collect()
+    assert {r.size for r in found} == set(range(300)) and {(r._row, r.bucket) for r in found} == {("y", "z")}
+    for s in {r.shard for r in found}:
+        assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
+
+
+def test_added_names_replace_columns_in_any_case(docs):
+    clash = docs.select("doc_id", "text", F.lit("a").alias("Token_Ids"), F.lit("b").alias("N_Words"), F.lit("c").alias("Quality_Score"))
+    assert bpe.encode_corpus(None, clash, DATA).columns == ["doc_id", "text", "N_Words", "Quality_Score", "token_ids", "decoded", "n_tokens"]
+    out = substrings.remove_repeats(clash)
+    assert out.columns == ["doc_id", "text", "Token_Ids", "Quality_Score", "n_words", "n_removed", "kept_text"] and out.select("n_words").count() == docs.count()
+    scored = quality.score_quality(clash, quality.PairwiseRanker())
+    assert scored.columns == ["doc_id", "text", "Token_Ids", "N_Words", "quality_score"] and scored.select("quality_score").count() == docs.count()
+
+
+def test_quality_features_by_brute_force():
+    text = "One two, two two!\nOne two, two two!\n\n#9 naïve"
+    w, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    n, data, f = len(w), text.encode(), quality.features(text)
+    for k, members in enumerate(quality.CLASSES):
+        assert np.isclose(f[k], sum(b in members for b in data) / len(data))
+    at = len(quality.CLASSES)
+    lengths = [len(x.encode()) for x in w]
+    want = [sum(b >= 128 for b in data) / len(data), 0, np.log1p(n), np.mean(lengths) / 10, np.std(lengths) / 10, len(set(w)) / n**0.75, max(map(w.count, w)) / n]
+    want += [sum(a == b for a, b in zip(w, w[1:])) / n, 1 - len(set(lines)) / len(lines), n / len(lines) / 100, 2 / n, np.log1p(len(lines)), 0]
+    assert np.allclose(f[at:], want)
+    assert quality.features(None)[-1] == quality.features(" ")[-1] == 1
+
+
 def test_shard_weights(spark):
     n = Counter(r.s for r in spark.range(20_000).select(sharding.rendezvous_shard(F.col("id"), [1.0, 3.0]).alias("s")).collect())
     assert abs(n[1] / 20_000 - 0.75) < 0.02
