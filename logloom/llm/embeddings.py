@@ -62,8 +62,8 @@ class Quantiser:
                 break
         self.boundary_recall = float(min(found))
         apart = [sum(np.bitwise_count((p ^ q).view(np.uint64)).astype(int) for p, q in zip(a, b, strict=True)) for a, b in codes]
-        # pairs at the least cosine differ in more bits than this about once in 100,000
-        self.most = int(max(d.mean() + 4.5 * d.std() for d in apart)) + 1
+        # pairs at the least cosine differ in more bits than this about once in 2,000
+        self.most = int(max(d.mean() + 3.3 * d.std() for d in apart[:2])) + 1
 
     def rotation(self, v: np.ndarray, rounds: int, draw: np.random.Generator) -> np.ndarray:
         rotation = np.linalg.qr(draw.standard_normal((self.bits, self.bits)))[0]
