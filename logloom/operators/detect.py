@@ -10,38 +10,58 @@ from pyspark.sql import functions as F
 
 from logloom.functions import scalar as S
 from logloom.functions.normalize import first_match, map_protocol, map_source_type
+from logloom.operators.rollups import descending_sums
 
 # The stage of an attack that an action code stands for.
 STAGE_OF_ACTION = {0: 0, 1: 1, 2: 2, 3: 1, 4: 3, 5: 0, 6: 0, 7: 1, 8: 4, 9: 3, 10: 5, 11: 4}
 
 
+# Names and order of the two feature rows.
+FEATURES_V6 = (
+    "hour_of_day", "day_of_week", "severity_numeric", "source_type_numeric", "src_bytes", "dst_bytes", "event_freq_1m", "protocol", "dst_port", "threat_intel_flag",
+    "duration", "same_srv_rate", "diff_srv_rate", "serror_rate", "rerror_rate", "count", "srv_count", "dst_host_count", "dst_host_srv_count",
+)
+FEATURES_V7 = (
+    "hour_of_day", "day_of_week", "is_off_hours", "severity_numeric", "event_id_risk_score", "action_type", "is_admin_action", "has_known_ioc", "entity_event_rate", "entity_error_rate", "entity_unique_actions", "source_novelty",
+    "dst_port", "protocol_numeric", "byte_ratio", "total_bytes_log", "conn_rate_fast", "conn_rate_slow", "rate_acceleration", "port_entropy",
+    "message_entropy", "message_length_log", "numeric_ratio", "special_char_ratio", "keyword_threat_score", "template_novelty",
+    "host_score_baseline_z", "user_score_baseline_z", "kill_chain_stage", "kill_chain_velocity", "cross_host_correlation", "dns_query_entropy",
+)
+
+
 def features_v6(df: DataFrame) -> DataFrame:
-    """The 19-column feature row: needs connection features (F4, F5) and ``ioc_match``; connection features of rows
-    without addresses are 0."""
+    """``event_id`` and the 19 columns of ``FEATURES_V6``: needs connection features (F4, F5) and ``ioc_match``;
+    connection features of rows without addresses are 0."""
     time, size = S.temporal_features(F.col("ts")), S.byte_features(F.col("bytes_out"), F.col("bytes_in"))
-    conn = ["conn_count", "same_service", "same_service_rate", "diff_service_rate", "error_rate", "host_sources", "host_same_service"]
-    held = [F.when(F.col("dst_ip").isNull(), 0.0).otherwise(S.sanitize(F.col(c).cast("double"))).alias(c) for c in conn]
-    return df.select(
-        "event_id", time["hour"].alias("hour"), time["weekday"].alias("weekday"), time["off_hours"].alias("off_hours"), "severity",
-        map_source_type(F.col("source")).alias("source_code"), size["sent"].alias("src_bytes"), size["received"].alias("dst_bytes"), size["ratio"].alias("byte_ratio"),
-        S.event_freq_1m(F.col("duration_ms") / 1000).alias("freq_1m"), map_protocol(F.col("protocol")).alias("protocol_code"), "dst_port",
-        F.col("ioc_match").cast("double").alias("ioc_flag"), F.col("duration_ms").cast("double").alias("duration"), *held,
-    )
+    seconds = F.col("duration_ms") / 1000
+    conn = {"same_srv_rate": "same_service_rate", "diff_srv_rate": "diff_service_rate", "serror_rate": "serror_rate", "rerror_rate": "rerror_rate", "count": "conn_count", "srv_count": "same_service", "dst_host_count": "host_sources", "dst_host_srv_count": "host_same_service"}
+    made = {
+        "hour_of_day": time["hour"], "day_of_week": time["weekday"], "severity_numeric": F.col("severity"), "source_type_numeric": map_source_type(F.col("source")),
+        "src_bytes": size["sent"], "dst_bytes": size["received"], "event_freq_1m": S.event_freq_1m(seconds), "protocol": map_protocol(F.col("protocol")), "dst_port": F.col("dst_port"),
+        "threat_intel_flag": F.col("ioc_match").cast("double"), "duration": seconds,
+        **{name: F.when(F.col("dst_ip").isNull(), 0.0).otherwise(S.sanitize(F.col(c).cast("double"))) for name, c in conn.items()},
+    }
+    return df.select("event_id", *[made[name].alias(name) for name in FEATURES_V6])
 
 
 def features_v7(df: DataFrame) -> DataFrame:
-    """The 32-column feature row: needs the rates (F6, F9, F10), port entropy (F7), novelty (F8), template rarity
-    and, for its behavioural part, the baselines, stages and cross-host counts; missing ones count as 0."""
+    """``event_id`` and the 32 columns of ``FEATURES_V7``: needs the rates (F6, F9, F10), port entropy (F7), novelty
+    (F8), template rarity (G7) and, for its behavioural part, baselines (F11), stages (G5) and cross-host counts (F12);
+    missing ones count as 0, and so does the entropy of a missing ``dns_query``."""
     time, size, text = S.temporal_features(F.col("ts")), S.byte_features(F.col("bytes_out"), F.col("bytes_in")), S.text_stats(F.col("message"))
-    from_df = lambda name: S.sanitize(F.col(name).cast("double")).alias(name) if name in df.columns else F.lit(0.0).alias(name)
-    return df.select(
-        "event_id", time["hour"].alias("hour"), time["weekday"].alias("weekday"), time["off_hours"].alias("off_hours"), "severity",
-        map_source_type(F.col("source")).alias("source_code"), from_df("action_code"), from_df("admin_action"), from_df("event_risk"), *map(from_df, ["rate_medium", "error_rate", "unique_actions", "novelty"]),
-        size["sent"].alias("src_bytes"), size["received"].alias("dst_bytes"), size["total_log"].alias("bytes_log"), size["ratio"].alias("byte_ratio"), F.col("dst_port").alias("port"), map_protocol(F.col("protocol")).alias("protocol_code"),
-        *map(from_df, ["fast", "slow", "conn_acceleration", "port_entropy"]),
-        S.char_entropy(F.col("message")).alias("entropy"), text["length_log"].alias("length_log"), text["digit_ratio"].alias("digit_ratio"), text["special_ratio"].alias("special_ratio"), S.keyword_threat_score(F.col("message")).alias("threat"), from_df("rarity"),
-        *map(from_df, ["ioc_match", "baseline_z", "chain_stage", "chain_velocity", "cross_hosts"]),
-    )
+    have = lambda name: S.sanitize(F.col(name).cast("double")) if name in df.columns else F.lit(0.0)
+    given = {
+        "event_id_risk_score": "event_risk", "action_type": "action_code", "is_admin_action": "admin_action", "has_known_ioc": "ioc_match", "entity_event_rate": "rate_medium", "entity_error_rate": "error_rate",
+        "entity_unique_actions": "unique_actions", "source_novelty": "novelty", "conn_rate_fast": "fast", "conn_rate_slow": "slow", "rate_acceleration": "conn_acceleration", "port_entropy": "port_entropy", "template_novelty": "rarity",
+        "host_score_baseline_z": "host_baseline_z", "user_score_baseline_z": "usr_baseline_z", "kill_chain_stage": "chain_stage", "kill_chain_velocity": "chain_velocity", "cross_host_correlation": "cross_hosts",
+    }
+    made = {
+        "hour_of_day": time["hour"], "day_of_week": time["weekday"], "is_off_hours": time["off_hours"], "severity_numeric": F.col("severity"), "dst_port": F.col("dst_port"), "protocol_numeric": map_protocol(F.col("protocol")),
+        "byte_ratio": size["ratio"], "total_bytes_log": size["total_log"], "message_entropy": S.char_entropy(F.col("message")), "message_length_log": text["length_log"], "numeric_ratio": text["digit_ratio"],
+        "special_char_ratio": text["special_ratio"], "keyword_threat_score": S.keyword_threat_score(F.col("message")), "dns_query_entropy": S.char_entropy(F.col("dns_query")) if "dns_query" in df.columns else F.lit(0.0),
+        **{name: have(c) for name, c in given.items()},
+    }
+    return df.select("event_id", *[made[name].alias(name) for name in FEATURES_V7])
 
 
 def fuse_scores_v6(a: Column, b: Column, c: Column, c_confidence: Column, rarity: Column, ioc: Column, multiplier: Column, weights=(0.80, 0.12, 0.08), rare=0.15, rarity_boost=0.0, ioc_boost=0.15, override_at=0.85, override_floor=0.42) -> Column:
@@ -200,8 +220,7 @@ def calibrate_thresholds(df: DataFrame, label: str = "label", score: str = "scor
 def best_f1_threshold(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """The score from which on flagging gives the best F1 (G14), over distinct scores."""
     by = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("hits"), F.count("*").alias("all"))
-    above = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = by.withColumns({"tp": F.sum("hits").over(above), "flagged": F.sum("all").over(above)})
+    curve = descending_sums(by, "threshold", {"tp": "hits", "flagged": "all"})
     total = by.agg(F.sum("hits").alias("positives"))
     f1 = F.try_divide(2 * F.col("tp"), F.col("flagged") + F.col("positives"))
     return curve.crossJoin(F.broadcast(total)).select("threshold", F.round(f1, 9).alias("f1")).orderBy(F.desc("f1"), "threshold").limit(1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.normalize import first_match
-from logloom.operators.joins import anchor_cover, interval_join
+from logloom.operators.joins import anchor_cover, interval_join, small
 
 EMPTY_ROOT = "empty"
 # Kinds of findings for verdicts.
@@ -108,7 +108,7 @@ def ioc_check(alerts: DataFrame, net: DataFrame, ioc: DataFrame, hours: int = 72
     """Whether an alert's address is an indicator, its flows to indicators and all its flows before it."""
     span = hours * 3_600_000_000
     flows = interval_join(alerts.select("event_id", "src_ip", "us"), net.select("src_ip", F.col("us").alias("flow_us"), "dst_ip"), ["src_ip"], "us", "flow_us", span)
-    values = F.broadcast(ioc.select(F.col("value").alias("dst_ip"), F.lit(1).alias("_bad")).distinct())
+    values = small(ioc.select(F.col("value").alias("dst_ip"), F.lit(1).alias("_bad")).distinct())
     counts = flows.join(values, "dst_ip", "left").groupBy("event_id").agg(F.count("*").alias("flows"), F.count("_bad").alias("bad_flows"))
     own = alerts.join(values.select(F.col("dst_ip").alias("src_ip"), F.col("_bad").alias("_own")), "src_ip", "left")
     out = own.join(counts, "event_id", "left").select("event_id", F.col("_own").isNotNull().alias("own_match"), F.coalesce("flows", F.lit(0)).alias("flows"), F.coalesce("bad_flows", F.lit(0)).alias("bad_flows"))

@@ -99,7 +99,7 @@ def graph_features(alerts: DataFrame, flows: DataFrame, ioc: DataFrame, hours: i
     """Counts around each alert's address and host in the flows before it, and scores of lateral movement and of
     command and control (H6)."""
     span = hours * HOUR
-    bad = F.broadcast(ioc.select(F.col("value").alias("fact_dst_ip"), F.lit(1).alias("_bad")).distinct())
+    bad = small(ioc.select(F.col("value").alias("fact_dst_ip"), F.lit(1).alias("_bad")).distinct())
     by_ip = entity_history(alerts, flows, "src_ip", span, ["dst_ip", "host", "score"]).join(bad, "fact_dst_ip", "left")
     a = by_ip.groupBy("event_id").agg(F.count_distinct("fact_dst_ip").alias("destinations"), F.count_distinct("fact_host").alias("hops"), F.max(F.coalesce("_bad", F.lit(0))).alias("ioc_neighbor"), F.count_if(F.expr("fact_score >= 0.95")).alias("escalations"))
     b = entity_history(alerts, flows, "host", span, ["src_ip"]).groupBy("event_id").agg(F.count_distinct("fact_src_ip").alias("host_sources"))
@@ -141,7 +141,7 @@ def mitre_match(alerts: DataFrame, rules: DataFrame, score: str = "score") -> Da
     ``rules`` (rule_id, priority, triggers, threshold, technique, tactic) is a small table.
     """
     fits = (F.col(score) >= F.col("threshold")) & ((F.size("flags") == 0) | F.arrays_overlap("flags", "triggers"))
-    met = alerts.select("event_id", "flags", score).join(F.broadcast(rules), fits)
+    met = alerts.select("event_id", "flags", score).join(small(rules), fits)
     place = F.row_number().over(Window.partitionBy("event_id").orderBy("priority", "rule_id"))
     kept = met.withColumn("_place", place).filter(F.col("_place") <= F.when(F.size("flags") == 0, 5).otherwise(25))
     sums = kept.groupBy("event_id").agg(F.sort_array(F.collect_set("tactic")).alias("_tactics"), F.count("*").alias("_n"))
@@ -180,9 +180,20 @@ CAPS = {
 }
 
 
+# The features of an investigation in order.
+FEATURE_ORDER = (
+    "adjusted_score", "base_score", "entity_risk", "ioc_boost", "temporal_boost", "destination_risk", "off_hours_boost", "high_severity_count", "medium_severity_count", "distinct_categories", "event_count", "correlated_alert_count", "template_risk",
+    "graph_unique_destinations", "graph_unique_src_ips", "graph_has_ioc_neighbor", "graph_hop_count", "graph_high_risk_neighbors", "graph_escalation_count", "graph_lateral_movement_score", "graph_c2_candidate_score",
+    "temporal_escalation_count", "temporal_unique_categories", "temporal_tactic_diversity", "temporal_mean_score",
+    "similarity_attack_embed_dist", "similarity_historical_dist", "similarity_log_embed_matches", "similarity_confirmed_neighbor_count", "similarity_min_confirmed_dist", "similarity_false_positive_count", "similarity_label_confidence",
+    "mitre_match_count", "mitre_tactic_breadth", "campaign_host_count", "campaign_tactic_count", "sigma_hit_count", "sigma_max_severity",
+    "spc_z_score", "spc_is_anomaly", "spc_baseline_mean", "spc_baseline_stddev", "ae_score", "kill_chain_stage", "kill_chain_velocity", "entity_event_rate",
+)
+
+
 def hunter_vector(df: DataFrame, names: list[str] | None = None) -> Column:
     """The investigation's features in their fixed order, missing ones 0."""
-    return F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) if n in df.columns else F.lit(0.0) for n in names or list(WEIGHTS)])
+    return F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) if n in df.columns else F.lit(0.0) for n in names or FEATURE_ORDER])
 
 
 def heuristic_score(df: DataFrame, weights: dict = WEIGHTS, caps: dict = CAPS) -> Column:

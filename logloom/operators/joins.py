@@ -78,7 +78,7 @@ def asset_multiplier(df: DataFrame, assets: DataFrame, host: str = "host") -> Da
     Patterns are matched against the distinct hosts only, and their result is joined back.
     """
     hosts = df.select(host).distinct()
-    met = hosts.join(F.broadcast(assets), F.ilike(F.col(host), F.col("pattern")))
+    met = hosts.join(small(assets), F.ilike(F.col(host), F.col("pattern")))
     first = met.groupBy(host).agg(F.min_by("multiplier", "priority").alias("multiplier"))
     return df.join(first, host, "left").withColumn("multiplier", F.coalesce("multiplier", F.lit(1.0)))
 
@@ -145,7 +145,10 @@ def cross_table_ips(severe: DataFrame, flows: DataFrame) -> DataFrame:
 def context_window_events(events: DataFrame, attacks: DataFrame, windows: DataFrame) -> DataFrame:
     """Events that are an attack, or fall into a merged window and share the user or host of an attack."""
     exact = events.join(attacks.select("us", "usr").distinct(), ["us", "usr"], "left_semi").select("event_id").withColumn("role", F.lit("attack"))
-    inside = events.join(small(windows.select("start_us", "end_us")), F.col("us").between(F.col("start_us"), F.col("end_us")), "left_semi")
+    # windows are entered in each hour that they touch, and events meet those of their own hour
+    hour = lambda us: F.floor(F.col(us) / 3_600_000_000)
+    spans = windows.select("start_us", "end_us", F.explode(F.sequence(hour("start_us"), hour("end_us"))).alias("_hour"))
+    inside = events.withColumn("_at", hour("us")).join(spans.distinct(), (F.col("_at") == F.col("_hour")) & F.col("us").between(F.col("start_us"), F.col("end_us")), "left_semi").drop("_at")
     users, hosts = (attacks.select(c).distinct().withColumn(f"_{c}", F.lit(True)) for c in ("usr", "host"))
     near = inside.join(small(users), "usr", "left").join(small(hosts), "host", "left").filter("_usr or _host").select("event_id").join(exact, "event_id", "left_anti").withColumn("role", F.lit("context"))
     return exact.unionByName(near)

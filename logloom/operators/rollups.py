@@ -206,14 +206,30 @@ def host_network_context(df: DataFrame) -> DataFrame:
     return df.groupBy("host").agg(F.count("*").alias("flows"), F.count_distinct("dst_ip").alias("destinations"), F.count_distinct("src_ip").alias("sources"), F.count_distinct("dst_port").alias("ports"))
 
 
+def descending_sums(by: DataFrame, order: str, sums: dict[str, str], ranges: int = 64) -> DataFrame:
+    """``by`` with running sums from the greatest ``order`` down: new name to summed column.
+
+    ``order`` has each value once. Rows are summed within ranges of it, whose bounds are quantiles, and to these are
+    added the totals of the ranges above, so no task holds all rows. The bounds are all that reaches the driver.
+    """
+    found = by.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
+    bounds = F.array(*[F.lit(x) for x in sorted(set(found))]).cast(f"array<{dict(by.dtypes)[order]}>")
+    held = by.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col(order))))
+    within = Window.partitionBy("_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    totals = held.groupBy("_range").agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # over the ranges
+    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_{name}").over(above), F.lit(0)).alias(f"_{name}") for name in sums])
+    summed = held.withColumns({name: F.sum(c).over(within) for name, c in sums.items()}).join(F.broadcast(offsets), "_range")
+    return summed.withColumns({name: F.col(name) + F.col(f"_{name}") for name in sums}).drop("_range", *[f"_{name}" for name in sums])
+
+
 def confusion_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
     """Accuracy, precision, recall, F1, false-positive rate, ROC-AUC and average precision.
 
     Scores are counted once each; the curves are then sums over distinct scores, so no window holds all rows.
     """
     by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label)).cast("double").alias("pos"), F.sum(1 - F.col(label)).cast("double").alias("neg"))
-    above = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = by.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "hit": F.col("s") >= threshold})
+    curve = descending_sums(by, "s", {"tp": "pos", "fp": "neg"}).withColumn("hit", F.col("s") >= threshold)
     total = curve.agg(
         F.sum("pos").alias("P"), F.sum("neg").alias("N"),
         F.sum(F.when(F.col("hit"), F.col("pos")).otherwise(0)).alias("TP"), F.sum(F.when(F.col("hit"), F.col("neg")).otherwise(0)).alias("FP"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from logloom.functions.scalar import connection_error_type
 from logloom.operators.rollups import time_bucket
 
 
@@ -26,13 +27,14 @@ def latest_per_metric(df: DataFrame, metric: str, ts: str, value: str) -> DataFr
 
 def connection_features_time(df: DataFrame, us: str = "us", seconds: float = 2.0) -> DataFrame:
     """Over the trailing seconds of each (src_ip, dst_ip), the row included: connections, those to the same port, and
-    the shares of same, other and failed ones (F4)."""
+    the shares of same and other ones, of SYN errors and of rejections, told by text, bytes and duration (F4)."""
     span = int(seconds * 1_000_000)
     pair = Window.partitionBy("src_ip", "dst_ip").orderBy(us).rangeBetween(-span, 0)
     same = Window.partitionBy("src_ip", "dst_ip", "dst_port").orderBy(us).rangeBetween(-span, 0)
     n = F.count("*").over(pair)
-    out = df.withColumns({"conn_count": n, "same_service": F.count("*").over(same), "_errors": F.sum((F.col("severity") == 4).cast("int")).over(pair)})
-    return out.withColumns({"same_service_rate": F.col("same_service") / F.col("conn_count"), "diff_service_rate": 1 - F.col("same_service") / F.col("conn_count"), "error_rate": F.col("_errors") / F.col("conn_count")}).drop("_errors")
+    error = connection_error_type(F.col("message"), F.col("bytes_in") + F.col("bytes_out"), F.col("duration_ms"))
+    out = df.withColumns({"conn_count": n, "same_service": F.count("*").over(same), **{f"_{kind}": F.sum((error == kind).cast("int")).over(pair) for kind in ("syn_error", "reject_error")}})
+    return out.withColumns({"same_service_rate": F.col("same_service") / F.col("conn_count"), "diff_service_rate": 1 - F.col("same_service") / F.col("conn_count"), "serror_rate": F.col("_syn_error") / F.col("conn_count"), "rerror_rate": F.col("_reject_error") / F.col("conn_count")}).drop("_syn_error", "_reject_error")
 
 
 def connection_features_host(df: DataFrame, order: list[str], rows: int = 100) -> DataFrame:

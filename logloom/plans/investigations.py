@@ -18,12 +18,12 @@ def alerts_of(ev):
     return ev.filter("score >= 0.6")
 
 
-def _rule_sql() -> str:
+def _rule_sql(what: str = "severity") -> str:
     out = []
-    for i, (_, severity, words, where, measure, least, how) in enumerate(H.RULES):
+    for i, (name, severity, words, where, measure, least, how) in enumerate(H.RULES):
         over = f"coalesce(m{i}, 0) > {least}"
         said = " OR ".join(f"contains(lower(message), '{w}')" for w in words)
-        out.append(f"CASE WHEN {over if not words else f'({said}) {how.upper()} {over}'} THEN {severity} END")
+        out.append(f"CASE WHEN {over if not words else f'({said}) {how.upper()} {over}'} THEN {severity if what == 'severity' else repr(name)} END")
     return "[" + ", ".join(out) + "]"
 
 
@@ -81,10 +81,12 @@ def h8(spark, d):
     return H.mitre_match(ev, rules).withColumn("tactics", F.array_join("tactics", ","))
 
 
-@query("h10_hunter_vector", EV_SQL + "SELECT event_id, 40 AS n, round(score + score2, 6) AS total FROM ev")
+@query("h10_hunter_vector", EV_SQL + "SELECT event_id, 46 AS n, round(score + 5 * k + 22 * severity + 41 * score3 + 43 * score2 + 46 * value, 6) AS total FROM ev")
 def h10(spark, d):
-    ev = log_events(spark, d).select("event_id", F.col("score").alias("adjusted_score"), F.col("score2").alias("ae_score"))
-    return ev.select("event_id", H.hunter_vector(ev).alias("v")).select("event_id", F.size("v").alias("n"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    given = {"score": "adjusted_score", "k": "temporal_boost", "severity": "temporal_escalation_count", "score3": "spc_baseline_mean", "score2": "ae_score", "value": "entity_event_rate"}
+    ev = log_events(spark, d).select("event_id", *[F.col(c).alias(name) for c, name in given.items()])
+    placed = F.transform("v", lambda x, i: x * (i + 1))  # each feature counts by its place
+    return ev.select("event_id", H.hunter_vector(ev).alias("v")).select("event_id", F.size("v").alias("n"), F.aggregate(placed, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query("h11_heuristic_score", EV_SQL + "SELECT event_id, round(least(greatest(0.38 * least(greatest(score, 0), 1) + 0.06 * score2 + 0.04 * least(k / 5, 1) + 0.03 * least(severity / 10, 1) + 0.02 * least(k / 50, 1) + 0.03 + 0.02 + 0.01, 0), 1), 6)::DOUBLE AS h FROM ev")
@@ -132,13 +134,13 @@ def h16(spark, d):
     return H.training_rows(found(spark, d).withColumn("fast_path", F.col("k") % 8 == 0)).select("event_id", "label")
 
 
-@query("h17_training_set", SIGNALS_SQL + ", t AS (SELECT event_id, us, CASE WHEN finding_type = 'NORMAL_BEHAVIOUR' THEN 0 ELSE 1 END AS label FROM found WHERE k % 8 <> 0 AND score >= 0.2 AND finding_type IN ('CONFIRMED_ATTACK', 'ACTIVE_CAMPAIGN', 'NORMAL_BEHAVIOUR')), n AS (SELECT * FROM t ORDER BY us DESC, event_id DESC LIMIT 500) SELECT event_id, label FROM n WHERE (SELECT count(*) >= 100 AND avg((label = 0)::INT) >= 0.02 FROM n)")
+@query("h17_training_set", SIGNALS_SQL + ", t AS (SELECT event_id, us, CASE WHEN finding_type = 'NORMAL_BEHAVIOUR' THEN 0 ELSE 1 END AS label FROM found WHERE k % 8 <> 0 AND score >= 0.2 AND finding_type IN ('CONFIRMED_ATTACK', 'ACTIVE_CAMPAIGN', 'NORMAL_BEHAVIOUR')), n AS (SELECT * FROM t ORDER BY us DESC, event_id DESC LIMIT 50000) SELECT event_id, label FROM n WHERE (SELECT count(*) >= 100 AND avg((label = 0)::INT) >= 0.10 FROM n)")
 def h17(spark, d):
     rows = H.training_rows(found(spark, d).withColumn("fast_path", F.col("k") % 8 == 0))
-    return H.training_set(rows, limit=500, negatives=0.02).select("event_id", "label")
+    return H.training_set(rows).select("event_id", "label")
 
 
-@query("h3_rule_pack", SCORED_SQL + f"SELECT count(*) AS n FROM scored a JOIN ev f ON f.host = a.host AND f.us BETWEEN a.us - 900000000 AND a.us AND f.dst_port = 445 WHERE a.action = 'escalate'")
+@query("h3_rule_pack", ALERTS_SQL + f", m AS (SELECT a.event_id, {MEASURES_SQL} FROM alerts a JOIN logs f ON f.host = a.host AND f.us BETWEEN a.us - {6 * HOUR} AND a.us GROUP BY a.event_id) SELECT event_id, unnest(list_filter({_rule_sql('name')}, lambda x: x IS NOT NULL)) AS rule FROM alerts LEFT JOIN m USING (event_id)")
 def h3(spark, d):
-    ev = scored(spark, d)
-    return H.entity_history(ev.filter("action = 'escalate'"), ev.filter("dst_port = 445"), "host", 900_000_000, []).agg(F.count("*").alias("n"))
+    ev = log_events(spark, d)
+    return H.rule_hits(alerts_of(ev), ev, minutes=360).select("event_id", F.explode("rules").alias("rule"))

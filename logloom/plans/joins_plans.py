@@ -97,11 +97,11 @@ def d11(spark, d):
     return J.score_of_investigation(inv, ev.filter("k % 2 = 1").select("event_id", "host", F.col("score2").alias("score")), band=0.0151).select("investigation_id", "found_score")
 
 
-@query("d12_investigation_detail", EV_SQL + "SELECT i.event_id, s.severity AS sec, l.message, c.usr AS verifier FROM ev i LEFT JOIN (SELECT * FROM ev WHERE severity >= 3) s USING (event_id) LEFT JOIN logs l USING (event_id) LEFT JOIN (SELECT * FROM ev WHERE k % 2 = 0) c USING (event_id) WHERE i.k % 10 = 1 OR i.k % 10 = 2")
+@query("d12_investigation_detail", EV_SQL + "SELECT i.event_id, s.severity AS sec, l.message, c.usr AS verifier FROM ev i LEFT JOIN (SELECT * FROM ev WHERE severity >= 3) s USING (event_id) LEFT JOIN logs l USING (event_id) LEFT JOIN (SELECT * FROM ev WHERE event_type = 'error') c USING (event_id) WHERE i.score >= 0.2 OR i.severity >= 2")
 def d12(spark, d):
     ev = log_events(spark, d)
-    inv = ev.filter("k % 10 in (1, 2)").select("event_id")
-    parts = [ev.filter("severity >= 3").select("event_id", F.col("severity").alias("sec")), ev.select("event_id", "message"), ev.filter("k % 2 = 0").select("event_id", F.col("usr").alias("verifier"))]
+    inv = ev.filter("score >= 0.2 or severity >= 2").select("event_id")
+    parts = [ev.filter("severity >= 3").select("event_id", F.col("severity").alias("sec")), ev.select("event_id", "message"), ev.filter("event_type = 'error'").select("event_id", F.col("usr").alias("verifier"))]
     for part in parts:
         inv = inv.join(part, "event_id", "left")
     return inv
@@ -127,7 +127,7 @@ def d15(spark, d):
 
     ev = log_events(spark, d)
     attacks = ev.filter("severity = 4 and k % 30 = 7")
-    windows = merge_windows(attacks.select(F.lit("all").alias("key"), (F.col("us") - HOUR).alias("start_us"), (F.col("us") + HOUR).alias("end_us")), "key", "start_us", "end_us")
+    windows = merge_windows(attacks.select(F.floor(F.col("us") / HOUR).alias("key"), (F.col("us") - HOUR).alias("start_us"), (F.col("us") + HOUR).alias("end_us")), "key", "start_us", "end_us")
     return J.context_window_events(ev, attacks, windows)
 
 
@@ -139,11 +139,11 @@ def d16(spark, d):
     return entity_history(ev.filter("action = 'escalate'"), ev, "host", 24 * HOUR, ["score"]).groupBy("event_id").agg(F.count("*").alias("n"), F.max("fact_score").alias("top"))
 
 
-@query("d17_message_lookup", EV_SQL + "SELECT l.event_id, l.message AS text, round(s.score2, 6) AS score FROM logs l LEFT JOIN (SELECT * FROM ev WHERE k % 2 = 0) s USING (event_id) WHERE l.k % 3 <> 2")
+@query("d17_message_lookup", EV_SQL + "SELECT l.event_id, l.message AS text, round(s.score2, 6) AS score FROM logs l LEFT JOIN (SELECT * FROM ev WHERE severity >= 2) s USING (event_id)")
 def d17(spark, d):
     ev = log_events(spark, d)
-    families = [ev.filter(f"k % 3 = {i}").select("event_id", F.col("message").alias("text")) for i in (0, 1)]
-    return J.message_lookup(families, ev.filter("k % 2 = 0").select("event_id", F.col("score2").alias("score")))
+    families = [ev.filter(f"coalesce(severity, 0) {of} 3").select("event_id", F.col("message").alias("text")) for of in ("<", ">=")]
+    return J.message_lookup(families, ev.filter("severity >= 2").select("event_id", F.col("score2").alias("score")))
 
 
 @query("d18_reconcile", EV_SQL + "SELECT k, count(*) AS sent, count(*) FILTER (WHERE event_id % 7 <> 0) AS found, round(count(*) FILTER (WHERE event_id % 7 = 0) / count(*) * 100, 6) AS loss_pct FROM ev GROUP BY k")
@@ -177,10 +177,10 @@ def k4(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(40).limit(20).select("o_orderkey", "o_totalprice")
 
 
-@query("k5_ranked_order", EV_SQL + "SELECT event_id, p AS priority FROM (SELECT event_id, us, CASE k % 5 WHEN 0 THEN 'P1' WHEN 1 THEN 'P2' WHEN 2 THEN 'P3' WHEN 3 THEN 'P4' ELSE 'none' END AS p FROM ev) ORDER BY CASE p WHEN 'P1' THEN 1 WHEN 'P2' THEN 2 WHEN 'P3' THEN 3 WHEN 'P4' THEN 4 ELSE 9 END, us, event_id LIMIT 500")
+@query("k5_ranked_order", EV_SQL + "SELECT event_id, p AS priority FROM (SELECT event_id, us, CASE k % 5 WHEN 0 THEN 'P1' WHEN 1 THEN 'P2' WHEN 2 THEN 'P3' WHEN 3 THEN 'P4' ELSE 'none' END AS p FROM ev) ORDER BY CASE p WHEN 'P1' THEN 1 WHEN 'P2' THEN 2 WHEN 'P3' THEN 3 WHEN 'P4' THEN 4 ELSE 9 END, us, event_id")
 def k5(spark, d):
     p = F.element_at(F.array(*map(F.lit, ("P1", "P2", "P3", "P4", "none"))), F.col("k") % 5 + 1)
-    return K.ranked_order(log_events(spark, d).withColumn("priority", p), "priority", [F.col("us"), F.col("event_id")]).select("event_id", "priority").limit(500)
+    return K.ranked_order(log_events(spark, d).withColumn("priority", p), "priority", [F.col("us"), F.col("event_id")]).select("event_id", "priority")
 
 
 @query("k6_exists_in_not_in", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")

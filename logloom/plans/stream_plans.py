@@ -242,11 +242,11 @@ def n1(spark, d):
     return rows.select("event_id", F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda s, x: s + x * x).alias("length"))
 
 
-@query("n2_vector_search", NEAR_SQL.format(on="c.label % 2 = 0") + "SELECT query_id, id, rank, round(distance, 6) AS distance FROM r WHERE rank <= 10")
+@query("n2_vector_search", NEAR_SQL.format(on="true") + "SELECT query_id, id, rank, round(distance, 6) AS distance FROM r WHERE rank <= 10")
 def n2(spark, d):
     corpus = vectors_of(spark, d)
     queries = corpus.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    return V.vector_search(queries, corpus, 10, F.col("label") % 2 == 0).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
+    return V.vector_search(queries, corpus, 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "distance")
 
 
 @query("n3_find_similar", NEAR_SQL.format(on="c.vec_id <> q.vec_id") + "SELECT query_id, id, round(distance, 6) AS distance FROM r WHERE rank <= 5")

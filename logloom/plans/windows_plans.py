@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logloom.functions import normalize as N
+from logloom.functions import scalar as S
 from logloom.operators import detect as G
 from logloom.operators import windows as W
 from logloom.plans.aggregates import SCORED_SQL, bucket_sql, scored
-from logloom.plans.features import ACTION_SQL, action_code
+from logloom.plans.features import ACTION_SQL, WINDOWS_IDS, action_code
 from logloom.plans.joins_plans import HOUR
 from logloom.plans.registry import query
 from logloom.sources.fixtures import EV_SQL, log_events
@@ -31,10 +33,13 @@ def f3(spark, d):
 SPAN = 48 * HOUR
 
 
-@query("f4_connection_time", EV_SQL + f"""SELECT event_id, count(*) OVER p AS conn_count, count(*) OVER s AS same_service, round(count(*) OVER s / count(*) OVER p, 6) AS same_service_rate, round(1 - count(*) OVER s / count(*) OVER p, 6) AS diff_service_rate, round(sum((severity = 4)::INT) OVER p / count(*) OVER p, 6) AS error_rate
-FROM ev WINDOW p AS (PARTITION BY src_ip, dst_ip ORDER BY us RANGE BETWEEN {SPAN} PRECEDING AND CURRENT ROW), s AS (PARTITION BY src_ip, dst_ip, dst_port ORDER BY us RANGE BETWEEN {SPAN} PRECEDING AND CURRENT ROW)""")
+ERROR_SQL = "CASE WHEN lower(message) LIKE '%syn%' THEN 'syn_error' WHEN regexp_matches(lower(message), 'rst|reject|drop') THEN 'reject_error' WHEN bytes_out + bytes_in = 0 AND duration_ms < 1 THEN 'syn_error' ELSE 'none' END"
+
+
+@query("f4_connection_time", EV_SQL + f""", e AS (SELECT *, {ERROR_SQL} AS error FROM logs) SELECT event_id, count(*) OVER p AS conn_count, count(*) OVER s AS same_service, round(count(*) OVER s / count(*) OVER p, 6) AS same_service_rate, round(1 - count(*) OVER s / count(*) OVER p, 6) AS diff_service_rate, round(sum((error = 'syn_error')::INT) OVER p / count(*) OVER p, 6) AS serror_rate, round(sum((error = 'reject_error')::INT) OVER p / count(*) OVER p, 6) AS rerror_rate
+FROM e WINDOW p AS (PARTITION BY src_ip, dst_ip ORDER BY us RANGE BETWEEN {SPAN} PRECEDING AND CURRENT ROW), s AS (PARTITION BY src_ip, dst_ip, dst_port ORDER BY us RANGE BETWEEN {SPAN} PRECEDING AND CURRENT ROW)""")
 def f4(spark, d):
-    return W.connection_features_time(log_events(spark, d), seconds=48 * 3600).select("event_id", "conn_count", "same_service", "same_service_rate", "diff_service_rate", "error_rate")
+    return W.connection_features_time(log_events(spark, d), seconds=48 * 3600).select("event_id", "conn_count", "same_service", "same_service_rate", "diff_service_rate", "serror_rate", "rerror_rate")
 
 
 @query("f5_connection_host", EV_SQL + ", w AS (SELECT event_id, dst_port, list(src_ip) OVER w AS s, list(dst_port) OVER w AS p FROM ev WINDOW w AS (PARTITION BY dst_ip ORDER BY us, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) SELECT event_id, len(list_distinct(s))::INT AS host_sources, len(list_filter(p, lambda x: x = dst_port))::INT AS host_same_service FROM w")
@@ -108,7 +113,15 @@ def f17(spark, d):
     return W.psi_trend(log_events(spark, d), "source", "score2")
 
 
-@query("g1_features_v6")
+@query("g1_features_v6", EV_SQL + f""", e AS (SELECT *, {ERROR_SQL} AS error FROM logs)
+SELECT event_id, hour(ts)::INT AS hour_of_day, (isodow(ts) - 1)::INT AS day_of_week, severity AS severity_numeric, CASE source WHEN 'nginx' THEN 8 ELSE 1 END AS source_type_numeric,
+  least(bytes_out, 1e9)::DOUBLE AS src_bytes, least(bytes_in, 1e9)::DOUBLE AS dst_bytes, round(CASE WHEN duration_ms > 0 THEN 60 / (duration_ms / 1000) ELSE 0 END, 6)::DOUBLE AS event_freq_1m,
+  CASE protocol WHEN 'tcp' THEN 6 WHEN 'udp' THEN 17 ELSE 1 END AS protocol, dst_port, (user_id % 17 = 0)::INT::DOUBLE AS threat_intel_flag, (duration_ms / 1000)::DOUBLE AS duration,
+  round(count(*) OVER s / count(*) OVER p, 6) AS same_srv_rate, round(1 - count(*) OVER s / count(*) OVER p, 6) AS diff_srv_rate,
+  round(sum((error = 'syn_error')::INT) OVER p / count(*) OVER p, 6) AS serror_rate, round(sum((error = 'reject_error')::INT) OVER p / count(*) OVER p, 6) AS rerror_rate,
+  (count(*) OVER p)::DOUBLE AS count, (count(*) OVER s)::DOUBLE AS srv_count, len(list_distinct(list(src_ip) OVER h))::DOUBLE AS dst_host_count, len(list_filter(list(dst_port) OVER h, lambda x: x = dst_port))::DOUBLE AS dst_host_srv_count
+FROM e WINDOW p AS (PARTITION BY src_ip, dst_ip ORDER BY us RANGE BETWEEN 2000000 PRECEDING AND CURRENT ROW), s AS (PARTITION BY src_ip, dst_ip, dst_port ORDER BY us RANGE BETWEEN 2000000 PRECEDING AND CURRENT ROW),
+  h AS (PARTITION BY dst_ip ORDER BY us, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
 def g1(spark, d):
     ev = W.connection_features_host(W.connection_features_time(log_events(spark, d)), ["us", "event_id"])
     return G.features_v6(ev.withColumn("ioc_match", (F.col("user_id") % 17 == 0).cast("int")))
@@ -118,7 +131,16 @@ def g1(spark, d):
 def g2(spark, d):
     ev = log_events(spark, d)
     ev = ev.withColumn("action_code", action_code(ev)).withColumn("stage", F.element_at(F.create_map(*[F.lit(x) for p in G.STAGE_OF_ACTION.items() for x in p]), F.col("action_code")))
-    ev = W.running_baseline_z(W.source_novelty(W.connection_rates(ev, "src_ip").withColumnRenamed("acceleration", "conn_acceleration"), ["host", "source"]), "host", ["us", "event_id"])
+    windows_id, none = F.element_at(F.array(*map(F.lit, WINDOWS_IDS)), F.col("k") % len(WINDOWS_IDS) + 1), F.lit(None).cast("string")
+    ev = ev.withColumns({"admin_action": N.admin_action(F.col("message"), windows_id, F.when(F.col("k") % 10 == 3, 10), none, none), "event_risk": N.event_risk(windows_id, F.col("k").cast("double"), F.col("level")), "ioc_match": F.col("user_id") % 17 == 0})
+    ev = W.source_novelty(W.connection_rates(ev, "src_ip").withColumnRenamed("acceleration", "conn_acceleration"), ["host", "source"])
+    for key in ("host", "usr"):
+        ev = W.running_baseline_z(ev, key, ["us", "event_id"]).withColumnRenamed("baseline_z", f"{key}_baseline_z")
+    ev = W.cross_host_count(W.port_entropy(ev, "src_ip", ["us", "event_id"]), seconds=900)
+    mined = G.mine_templates(ev)
+    total = mined.agg(F.sum("n").alias("total"))
+    rarity = mined.crossJoin(F.broadcast(total)).select("signature", G.template_rarity(F.col("template_count"), F.col("total")).alias("rarity"))
+    ev = ev.withColumn("signature", S.mask_tokens(F.coalesce("message", F.lit("")))).join(rarity, "signature", "left")
     return G.features_v7(W.kill_chain(W.ewma_rates(ev, "usr"), "host", "stage"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from logloom.operators.joins import small
 from logloom.sources.ingest import append_sink
 
 
@@ -152,7 +153,7 @@ def enrich_stream(df: DataFrame, read_lookup, on: list[str], write) -> object:
     """A writer that joins each micro-batch with a lookup read anew for it."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        write(batch.join(F.broadcast(read_lookup(batch.sparkSession)), on, "left"), batch_id)
+        write(batch.join(small(read_lookup(batch.sparkSession)), on, "left"), batch_id)
 
     return df.writeStream.foreachBatch(step)
 

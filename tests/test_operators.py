@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from logloom.functions import normalize as N
-from logloom.operators import detect, evidence, joins, rollups, windows
+from logloom.operators import detect, evidence, investigate, joins, rollups, windows
 from logloom.plans import registry
 from logloom.sources import ingest
 
@@ -142,3 +142,27 @@ def test_streams_of_many_files_lose_no_rows(spark):
     rows = spark.range(0, n, 1, n).select(F.timestamp_micros((n - 1 - F.col("id")) * 60_000_000).alias("at"), F.lit("s").alias("source"))
     out = stream_plans.streamed(spark, rows, lambda s: streams.tumbling_counts(s, "at", ["source"], "1 hour")).agg(F.sum("events")).first()[0]
     assert out == (n - 1 - 10) // 60 * 60
+
+
+def test_feature_rows_have_their_names_and_real_values(spark):
+    """The rows of 19 and 32 features in order; parts with queries of their own agree with these; none is a constant that
+    the data should move."""
+    run = lambda name: {r.event_id: r for r in registry.QUERIES[name](spark, DATA).collect()}
+    assert registry.QUERIES["g1_features_v6"](spark, DATA).columns == ["event_id", *detect.FEATURES_V6] and len(detect.FEATURES_V6) == 19
+    rows = run("g2_features_v7")
+    assert len(detect.FEATURES_V7) == 32 and list(next(iter(rows.values())).asDict()) == ["event_id", *detect.FEATURES_V7]
+    for query, column, feature in (("b17_classify_action", "action_code", "action_type"), ("b18_admin_action", "admin", "is_admin_action"), ("b19_event_risk", "risk", "event_id_risk_score"), ("c2_char_entropy", "entropy", "message_entropy"), ("f11_baseline_z", "z", "host_score_baseline_z"), ("c4_keyword_threat", "threat", "keyword_threat_score")):
+        part = run(query)
+        assert part.keys() == rows.keys()
+        assert all(abs(float(part[i][column]) - float(r[feature])) < 1e-5 for i, r in rows.items()), feature
+    moved = {f for f in detect.FEATURES_V7 if len({r[f] for r in rows.values()}) > 1}
+    assert {"has_known_ioc", "port_entropy", "kill_chain_stage", "user_score_baseline_z", "entity_event_rate"} <= moved
+    assert len(set(investigate.FEATURE_ORDER)) == 46 and set(investigate.WEIGHTS) <= set(investigate.FEATURE_ORDER)
+
+
+def test_descending_sums_over_ranges(spark):
+    rows = [(float(i * 37 % 1009), i % 5, 1) for i in range(1009)]
+    got = rollups.descending_sums(spark.createDataFrame(rows, "s double, a long, b long"), "s", {"x": "a", "y": "b"}, ranges=7).collect()
+    total = {s: (sum(a for t, a, _ in rows if t >= s), sum(b for t, _, b in rows if t >= s)) for s, _, _ in rows}
+    assert {r.s: (r.x, r.y) for r in got} == total
+    assert rollups.descending_sums(spark.createDataFrame([], "s double, a long"), "s", {"x": "a"}).count() == 0
