@@ -167,50 +167,104 @@ def drop_debug(df: DataFrame, event_type: str = "event_type", level: str = "leve
     return df.filter(~((F.col(event_type) == "raw") & (normalize_level(F.col(level)) == "DEBUG")))
 
 
-# Windows channels and event ids, their family, category, severity, tactic and technique.
+# Windows channels and event ids with family, category, severity, tactic and technique; other ids of these
+# channels are raw records.
 WINDOWS_EVENTS = (
-    ("sysmon", 1, "process", "process-create", 0, "execution", "T1059"),
-    ("sysmon", 3, "network", "network-connect", 0, "command-and-control", "T1071"),
-    ("sysmon", 8, "security", "remote-thread", 3, "defense-evasion", "T1055"),
-    ("sysmon", 10, "security", "process-access", 3, "credential-access", "T1003"),
-    ("sysmon", 11, "process", "file-create", 0, "execution", ""),
-    ("sysmon", 13, "security", "registry-set", 2, "persistence", "T1547"),
-    ("sysmon", 22, "network", "dns-query", 0, "command-and-control", "T1071.004"),
-    ("security", 4624, "security", "auth", 0, "initial-access", "T1078"),
-    ("security", 4625, "security", "auth", 2, "credential-access", "T1110"),
-    ("security", 4648, "security", "auth", 2, "lateral-movement", "T1021"),
-    ("security", 4672, "security", "privilege", 1, "privilege-escalation", "T1078"),
-    ("security", 4688, "process", "process-create", 0, "execution", "T1059"),
-    ("security", 4720, "security", "account", 3, "persistence", "T1136"),
-    ("security", 4726, "security", "account", 3, "impact", "T1531"),
-    ("security", 4732, "security", "group", 3, "persistence", "T1098"),
-    ("security", 1102, "security", "log-cleared", 4, "defense-evasion", "T1070"),
-    ("powershell", 4103, "security", "powershell", 1, "execution", "T1059.001"),
-    ("powershell", 4104, "security", "powershell", 2, "execution", "T1059.001"),
+    ("sysmon", 1, "process", None, None, None, None),
+    ("sysmon", 2, "security", "defense-evasion", 3, "defense-evasion", "T1070.006"),
+    ("sysmon", 3, "network", None, None, None, None),
+    ("sysmon", 5, "process", None, None, None, None),
+    ("sysmon", 6, "security", "persistence", 2, "persistence", "T1547.006"),
+    ("sysmon", 7, "process", None, None, None, None),
+    ("sysmon", 8, "security", "defense-evasion", 4, "defense-evasion", "T1055"),
+    ("sysmon", 9, "security", "credential-access", 3, "credential-access", "T1003"),
+    ("sysmon", 10, "security", "credential-access", 4, "credential-access", "T1003.001"),
+    ("sysmon", 12, "security", "persistence", 3, "persistence", "T1547.001"),
+    ("sysmon", 13, "security", "persistence", 3, "persistence", "T1547.001"),
+    ("sysmon", 14, "security", "persistence", 3, "persistence", "T1547.001"),
+    ("sysmon", 15, "security", "defense-evasion", 3, "defense-evasion", "T1564.004"),
+    ("sysmon", 22, "network", None, None, None, None),
+    ("sysmon", 24, "security", "collection", 3, "collection", "T1115"),
+    ("sysmon", 25, "security", "defense-evasion", 4, "defense-evasion", "T1055.012"),
+    ("security", 4624, "security", "auth", 1, "initial-access", "T1078"),
+    ("security", 4625, "security", "auth", 3, "credential-access", "T1110"),
+    ("security", 4648, "security", "credential-access", 2, "credential-access", "T1078.002"),
+    ("security", 4672, "security", "privilege-escalation", 2, "privilege-escalation", "T1134"),
+    ("security", 4688, "process", None, None, None, None),
+    ("security", 4720, "security", "persistence", 3, "persistence", "T1136.001"),
+    ("security", 4726, "security", "persistence", 3, "persistence", "T1136.001"),
+    ("security", 4732, "security", "privilege-escalation", 3, "privilege-escalation", "T1098"),
+    ("security", 4733, "security", "privilege-escalation", 3, "privilege-escalation", "T1098"),
+    ("security", 1102, "security", "defense-evasion", 4, "defense-evasion", "T1070.001"),
 )
-
-
-def classify_windows_telemetry(df: DataFrame, channel: Column, event_id: Column) -> DataFrame:
-    """``df`` with family, category, severity, tactic and technique of Windows events, by a small rule table."""
-    rules = df.sparkSession.createDataFrame(WINDOWS_EVENTS, "_channel string, _id int, family string, category string, severity int, tactic string, technique string")
-    return df.join(F.broadcast(rules), (F.lower(channel) == F.col("_channel")) & (event_id == F.col("_id")), "left").drop("_channel", "_id")
-
-
-# Signs of suspicious processes, weakest first; the last that matches names the rule.
-LOLBINS = ("certutil", "mshta", "regsvr32", "rundll32", "bitsadmin", "wmic", "msbuild", "installutil", "cscript", "wscript")
-PROCESS_RULES = (
-    ("recon", r"\b(?:whoami|ipconfig|nltest|systeminfo|net\s+user|net\s+group)\b"),
-    ("lolbin", r"\b(?:" + "|".join(LOLBINS) + r")\b"),
-    ("temp-path", r"(?:/tmp/|\\temp\\|\\appdata\\)"),
-    ("encoded-command", r"-(?:enc|encodedcommand)\b"),
-    ("credential-tool", r"(?:mimikatz|procdump|lsass)"),
-    ("shell", r"(?:/bin/sh|/bin/bash|cmd\.exe)"),
+WINDOWS_CHANNELS = ("sysmon", "security", "powershell")
+# Signs in an event's telling field (whether a driver is signed, registry key, pipe, script) that change its
+# class, first match wins: channel, ids, pattern, then the columns of WINDOWS_EVENTS.
+WINDOWS_SIGNS = (
+    ("sysmon", (6,), "^false$", "security", "persistence", 4, "persistence", "T1547.006"),
+    ("sysmon", (12, 13, 14), r"\\run", "security", "persistence", 4, "persistence", "T1547.001"),
+    ("sysmon", (12, 13, 14), r"\\services\\", "security", "persistence", 3, "persistence", "T1543.003"),
+    ("sysmon", (12, 13, 14), r"\\schedule\\taskcache", "security", "persistence", 3, "persistence", "T1053.005"),
+    ("sysmon", (12, 13, 14), r"\\image file execution", "security", "persistence", 4, "defense-evasion", "T1546.012"),
+    ("sysmon", (12, 13, 14), r"\\windows defender", "security", "persistence", 4, "defense-evasion", "T1562.001"),
+    ("sysmon", (17, 18), r"\\msse-|\\psexesvc|\\msagent_|\\postex_", "security", "command-and-control", 4, "command-and-control", "T1570"),
+    ("powershell", (4104,), "invoke-mimikatz|sekurlsa", "security", "execution", 4, "execution", "T1003.001"),
+    ("powershell", (4104,), r"invoke-expression|iex\(|iex \(", "security", "execution", 4, "execution", "T1059.001"),
+    ("powershell", (4104,), "downloadstring|downloadfile|webclient|invoke-webrequest", "security", "execution", 4, "execution", "T1105"),
+    ("powershell", (4104,), "-enc|encodedcommand|frombase64", "security", "execution", 4, "execution", "T1059.001"),
+    ("powershell", (4104,), "(?s)bypass.*executionpolicy|executionpolicy.*bypass", "security", "execution", 4, "execution", "T1562.001"),
+    ("powershell", (4104,), "(?s)add-type.*dllimport|dllimport.*add-type", "security", "execution", 4, "execution", "T1106"),
+    ("powershell", (4104,), "invoke-shellcode|virtualalloc|createthread", "security", "execution", 4, "execution", "T1055"),
 )
 
 
-def suspicious_process(command: Column) -> Column:
-    """Name of the last process rule that a command line meets; null if none."""
-    return F.coalesce(*[F.when(matches(command, pattern), F.lit(name)) for name, pattern in reversed(PROCESS_RULES)], F.lit(None).cast("string"))
+def classify_windows_telemetry(df: DataFrame, channel: Column, event_id: Column, sign: Column | None = None) -> DataFrame:
+    """``df`` with family, category, severity, tactic and technique of Windows events, by a small rule table.
+
+    ``sign`` is the event's telling field, if there is one. Ids without a rule are raw in the known channels; other
+    channels have no family.
+    """
+    names = ("family", "category", "severity", "tactic", "technique")
+    rules = df.sparkSession.createDataFrame(WINDOWS_EVENTS, "_channel string, _id int, family string, category string, severity int, tactic string, technique string")
+    low = F.lower(channel)
+    out = df.withColumns({"_low": low, "_event": event_id, "_sign": sign if sign is not None else F.lit(None).cast("string")})
+    out = out.join(F.broadcast(rules), (F.col("_low") == F.col("_channel")) & (F.col("_event") == F.col("_id")), "left")
+    struct = lambda values: F.struct(*[(F.lit(v) if not isinstance(v, Column) else v).cast("int" if n == "severity" else "string").alias(n) for n, v in zip(names, values, strict=True)])
+    known = F.coalesce(F.col("family"), F.when(F.col("_low").isin(*WINDOWS_CHANNELS), F.lit("raw")))
+    plain = struct((known, *map(F.col, names[1:])))
+    cases = [((F.col("_low") == kind) & F.col("_event").isin(*ids) & matches(F.col("_sign"), pattern), struct(rest)) for kind, ids, pattern, *rest in WINDOWS_SIGNS]
+    picked = out.withColumn("_class", first_match(cases, plain))
+    return picked.withColumns({n: F.col("_class")[n] for n in names}).drop("_class", "_channel", "_id", "_low", "_event", "_sign")
+
+
+# Programs, commands and paths that make a process suspicious.
+LOLBINS = ("certutil", "mshta", "regsvr32", "rundll32", "wscript", "cscript", "msbuild", "installutil", "regasm", "regsvcs", "eventvwr", "fodhelper", "cmstp", "msconfig", "dfsvc", "ieexec", "control", "pcalua", "forfiles", "bash", "wsl", "bitsadmin", "xwizard")
+RECON = ("whoami", "net user", "net group", "net localgroup", "ipconfig", "systeminfo", "tasklist", "netstat", "nltest", "dsquery", "arp -a", "nslookup", "net share", "qprocess", "quser")
+SHELL_OPTIONS = "-enc|-encodedcommand|hidden|-nop|bypass"
+OFFICE_PROGRAMS = r"(?:winword|excel|powerpnt|outlook)\.exe$"
+OFFICE_CHILDREN = r"(?:cmd|powershell|wscript|cscript|mshta)\.exe$"
+ODD_PATHS = r"\\temp\\|\\tmp\\|\\downloads\\|\\users\\public\\"
+
+
+def suspicious_process(binary: Column, arguments: Column, parent: Column) -> Column:
+    """Name of the process rule that holds; of several the one that says most, null if none.
+
+    From the strongest on: an odd path, a shell started by an office program, a credential tool, reconnaissance (the
+    last of its commands), a shell with hiding options, a program of the system that runs others' code.
+    """
+    text = [F.lower(F.coalesce(c, F.lit(""))) for c in (binary, arguments, parent)]
+    path, said, above = text
+    credentials = matches(path, "mimikatz|procdump|lazagne") | F.contains(said, F.lit("sekurlsa")) | (F.contains(path, F.lit("rundll32")) & F.contains(said, F.lit("comsvcs.dll")))
+    recon = F.coalesce(*[F.when(F.contains(said, F.lit(c)), F.lit("recon_" + c.replace(" ", "_").replace("-", ""))) for c in reversed(RECON)])
+    program = F.regexp_extract(path, rf"({'|'.join(LOLBINS)})\.exe$", 1)
+    return F.coalesce(
+        F.when(matches(path, ODD_PATHS), F.lit("exec_from_suspicious_path")),
+        F.when(matches(above, OFFICE_PROGRAMS) & matches(path, OFFICE_CHILDREN), F.lit("office_macro_spawn")),
+        F.when(credentials, F.lit("credential_dumping")),
+        recon,
+        F.when(matches(path, r"(?:powershell|pwsh)\.exe$") & matches(said, SHELL_OPTIONS), F.lit("suspicious_powershell")),
+        F.when(program != "", F.concat(F.lit("lolbin_"), program)),
+    )
 
 
 def parse_network_text(text: Column) -> Column:

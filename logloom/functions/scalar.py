@@ -14,16 +14,16 @@ THREAT_WORDS = ("fail", "denied", "error", "attack", "exploit", "malicious", "un
 SEVERITY_WEIGHTS = {4: 25, 3: 10, 2: 4, 1: 1}
 # Masks of a message's variable parts, in order.
 MASKS = (
-    (r"\b[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\b", "<UUID>"),
-    (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<IP>"),
-    (r"\b(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}\b", "<IP6>"),
-    (r"\b(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}\b", "<MAC>"),
-    (r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}\S*", "<TS>"),
-    (r"\b\w{3}\s+\d{1,2} \d{2}:\d{2}:\d{2}\b", "<TS>"),
-    (r"\b0x[0-9a-fA-F]+\b", "<HEX>"),
-    (r"\b\d{5,}\b", "<NUM>"),
-    (r"(?:/[\w.-]+){2,}", "<PATH>"),
-    (r":\d{1,5}\b", ":<PORT>"),
+    (r"((?<=[^A-Za-z0-9])|^)(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})((?=[^A-Za-z0-9])|$)", "<IP>"),
+    (r"(([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(([0-9a-fA-F]{1,4}:){1,7}:)|(::([0-9a-fA-F]{1,4}:){0,5}[0-9a-fA-F]{1,4}))", "<IPV6>"),
+    (r"([0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}", "<MAC>"),
+    (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?", "<TIMESTAMP>"),
+    (r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}", "<TIMESTAMP>"),
+    (r"(?<=[^A-Za-z0-9])0x[0-9a-fA-F]{8,}(?=[^A-Za-z0-9]|$)", "<HEX>"),
+    (r"(?<=[^A-Za-z0-9\.])\d{5,}(?=[^A-Za-z0-9\.:]|$)", "<NUM>"),
+    (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<UUID>"),
+    (r"(/[A-Za-z0-9_\-\.]+){3,}", "<PATH>"),
+    (r"(?<=:)\d{2,5}(?=[^0-9]|$)", "<PORT>"),
 )
 
 
@@ -35,14 +35,10 @@ def temporal_features(ts: Column) -> Column:
 
 def char_entropy(text: Column) -> Column:
     """Shannon entropy of a text's characters in bits; 0 for null and empty texts."""
-    letters = F.split(text, "")
     n = F.length(text)
-    bits = F.aggregate(
-        F.array_distinct(letters),
-        F.lit(0.0),
-        lambda total, c: total + (n - F.length(F.replace(text, c, F.lit("")))) / n * F.log2((n - F.length(F.replace(text, c, F.lit("")))) / n),
-    )
-    return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(0.0)).otherwise(-bits)
+    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: n - F.length(F.replace(text, c, F.lit(""))))
+    held = F.aggregate(counts, F.lit(0.0), lambda total, m: total + m * F.log2(m))
+    return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(0.0)).otherwise(F.greatest(F.log2(n) - held / n, F.lit(0.0)))
 
 
 def text_stats(text: Column) -> Column:
@@ -109,7 +105,7 @@ def classify_score(score: Column) -> Column:
     return F.struct(name.alias("label"), F.when(score >= 0.5, score).otherwise(1 - score).alias("confidence"))
 
 
-#: What to do about a finding.
+#: What to do about a finding.
 ACTIONS = {"critical": "isolate host and open incident", "high": "investigate at once", "medium": "review within a day", "low": "watch", "info": "none"}
 
 

@@ -108,15 +108,95 @@ WINDOWS_IDS = (4624, 4625, 4648, 4672, 4688, 4720, 1102, 9999)
 WINDOWS_SQL = "[" + ", ".join(map(str, WINDOWS_IDS)) + "][k % 8 + 1]"
 
 
-@query("b14_classify_windows", EV_SQL + f"SELECT event_id, r.family, r.category, r.severity, r.tactic, r.technique FROM (SELECT event_id, {WINDOWS_SQL} AS w FROM ev) LEFT JOIN (VALUES " + ", ".join(str(r[1:]) for r in N.WINDOWS_EVENTS if r[0] == "security") + ") r(id, family, category, severity, tactic, technique) ON r.id = w")
+WINDOWS_CLASS_SQL = """(VALUES (4624, 'security', 'auth', 1, 'initial-access', 'T1078'), (4625, 'security', 'auth', 3, 'credential-access', 'T1110'), (4648, 'security', 'credential-access', 2, 'credential-access', 'T1078.002'),
+  (4672, 'security', 'privilege-escalation', 2, 'privilege-escalation', 'T1134'), (4688, 'process', NULL, NULL, NULL, NULL), (4720, 'security', 'persistence', 3, 'persistence', 'T1136.001'), (1102, 'security', 'defense-evasion', 4, 'defense-evasion', 'T1070.001'), (9999, 'raw', NULL, NULL, NULL, NULL)) r(id, family, category, severity, tactic, technique)"""
+
+
+@query("b14_classify_windows", EV_SQL + f"SELECT event_id, r.family, r.category, r.severity, r.tactic, r.technique FROM (SELECT event_id, {WINDOWS_SQL} AS w FROM ev) LEFT JOIN {WINDOWS_CLASS_SQL} ON r.id = w")
 def b14(spark, d):
     ev = log_events(spark, d).select("event_id", F.element_at(F.array(*map(F.lit, WINDOWS_IDS)), F.col("k") % 8 + 1).alias("w"))
     return N.classify_windows_telemetry(ev, F.lit("Security"), F.col("w")).drop("w")
 
 
-@query("b15_suspicious_process", EV_SQL + r"SELECT event_id, CASE WHEN message LIKE '%/bin/sh%' THEN 'shell' END AS rule FROM logs")
+#: Channel, id and telling field of Windows events, and the class that each must get.
+WINDOWS_CASES = (
+    ("Sysmon", 1, None, "process", None, None, None, None),
+    ("Sysmon", 2, None, "security", "defense-evasion", 3, "defense-evasion", "T1070.006"),
+    ("Sysmon", 3, None, "network", None, None, None, None),
+    ("Sysmon", 5, None, "process", None, None, None, None),
+    ("Sysmon", 6, "true", "security", "persistence", 2, "persistence", "T1547.006"),
+    ("Sysmon", 6, "false", "security", "persistence", 4, "persistence", "T1547.006"),
+    ("Sysmon", 7, "false", "process", None, None, None, None),
+    ("Sysmon", 8, None, "security", "defense-evasion", 4, "defense-evasion", "T1055"),
+    ("Sysmon", 9, None, "security", "credential-access", 3, "credential-access", "T1003"),
+    ("Sysmon", 10, "lsass.exe", "security", "credential-access", 4, "credential-access", "T1003.001"),
+    ("Sysmon", 11, None, "raw", None, None, None, None),
+    ("Sysmon", 12, "HKLM\\Software\\x", "security", "persistence", 3, "persistence", "T1547.001"),
+    ("Sysmon", 13, "HKCU\\Software\\RunOnce", "security", "persistence", 4, "persistence", "T1547.001"),
+    ("Sysmon", 14, "HKLM\\System\\Services\\x", "security", "persistence", 3, "persistence", "T1543.003"),
+    ("Sysmon", 13, "HKLM\\Schedule\\TaskCache\\x", "security", "persistence", 3, "persistence", "T1053.005"),
+    ("Sysmon", 12, "HKLM\\Image File Execution Options", "security", "persistence", 4, "defense-evasion", "T1546.012"),
+    ("Sysmon", 13, "HKLM\\Windows Defender\\x", "security", "persistence", 4, "defense-evasion", "T1562.001"),
+    ("Sysmon", 15, None, "security", "defense-evasion", 3, "defense-evasion", "T1564.004"),
+    ("Sysmon", 17, "\\spoolss", "raw", None, None, None, None),
+    ("Sysmon", 18, "\\PSEXESVC", "security", "command-and-control", 4, "command-and-control", "T1570"),
+    ("Sysmon", 22, None, "network", None, None, None, None),
+    ("Sysmon", 23, None, "raw", None, None, None, None),
+    ("Sysmon", 24, None, "security", "collection", 3, "collection", "T1115"),
+    ("Sysmon", 25, None, "security", "defense-evasion", 4, "defense-evasion", "T1055.012"),
+    ("Sysmon", 26, None, "raw", None, None, None, None),
+    ("Security", 4726, None, "security", "persistence", 3, "persistence", "T1136.001"),
+    ("Security", 4732, None, "security", "privilege-escalation", 3, "privilege-escalation", "T1098"),
+    ("Security", 4733, None, "security", "privilege-escalation", 3, "privilege-escalation", "T1098"),
+    ("PowerShell", 4103, "Invoke-Mimikatz", "raw", None, None, None, None),
+    ("PowerShell", 4104, "Get-Date", "raw", None, None, None, None),
+    ("PowerShell", 4104, "Invoke-Mimikatz -enc", "security", "execution", 4, "execution", "T1003.001"),
+    ("PowerShell", 4104, "iex (x)", "security", "execution", 4, "execution", "T1059.001"),
+    ("PowerShell", 4104, "(New-Object Net.WebClient)", "security", "execution", 4, "execution", "T1105"),
+    ("PowerShell", 4104, "FromBase64String", "security", "execution", 4, "execution", "T1059.001"),
+    ("PowerShell", 4104, "Set-ExecutionPolicy\nBypass", "security", "execution", 4, "execution", "T1562.001"),
+    ("PowerShell", 4104, "Add-Type [DllImport]", "security", "execution", 4, "execution", "T1106"),
+    ("PowerShell", 4104, "VirtualAlloc", "security", "execution", 4, "execution", "T1055"),
+    ("Application", 1, None, None, None, None, None, None),
+)
+
+
+def literal_rows(rows: tuple) -> str:
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows) + ")"
+
+
+@query("b14_windows_channels", EV_SQL + f"SELECT event_id, r.family, r.category, r.severity, r.tactic, r.technique FROM ev JOIN {literal_rows(tuple((i, *c[3:]) for i, c in enumerate(WINDOWS_CASES)))} r(i, family, category, severity, tactic, technique) ON r.i = k % {len(WINDOWS_CASES)}")
+def b14b(spark, d):
+    """All ids of all channels and the signs in their fields."""
+    given = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(WINDOWS_CASES)], "i int, channel string, id int, sign string")
+    ev = log_events(spark, d).select("event_id", (F.col("k") % len(WINDOWS_CASES)).alias("i")).join(F.broadcast(given), "i")
+    return N.classify_windows_telemetry(ev, F.col("channel"), F.col("id"), F.col("sign")).drop("i", "channel", "id", "sign")
+
+
+#: Program, arguments and parent of processes, and the rule that each must get.
+PROCESS_CASES = (
+    ("C:\\Windows\\System32\\certutil.exe", "-urlcache", "explorer.exe", "lolbin_certutil"),
+    ("C:\\Windows\\WSL.exe", "", None, "lolbin_wsl"),
+    ("C:\\Windows\\powershell.exe", "-NoP -w Hidden", "explorer.exe", "suspicious_powershell"),
+    ("C:\\Windows\\powershell.exe", "Get-Date", "explorer.exe", None),
+    ("C:\\Windows\\cmd.exe", "/c whoami & net group /domain", "explorer.exe", "recon_net_group"),
+    ("C:\\Windows\\cmd.exe", "/c arp -a", "services.exe", "recon_arp_a"),
+    ("C:\\tools\\procdump64.exe", "-ma lsass", "cmd.exe", "credential_dumping"),
+    ("C:\\Windows\\rundll32.exe", "comsvcs.dll MiniDump", "cmd.exe", "credential_dumping"),
+    ("C:\\Windows\\powershell.exe", "-enc AAAA; whoami", "C:\\Office\\WINWORD.EXE", "office_macro_spawn"),
+    ("C:\\Windows\\notepad.exe", "a.txt", "C:\\Office\\EXCEL.EXE", None),
+    ("C:\\Users\\Public\\x.exe", "ipconfig", "outlook.exe", "exec_from_suspicious_path"),
+    (None, None, None, None),
+)
+
+
+@query("b15_suspicious_process", EV_SQL + f"SELECT event_id, r.rule FROM ev JOIN {literal_rows(tuple((i, c[3]) for i, c in enumerate(PROCESS_CASES)))} r(i, rule) ON r.i = k % {len(PROCESS_CASES)}")
 def b15(spark, d):
-    return log_events(spark, d).select("event_id", N.suspicious_process(F.col("message")).alias("rule"))
+    """One case of each rule, of rules that meet, and of none."""
+    given = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(PROCESS_CASES)], "i int, binary string, arguments string, parent string")
+    ev = log_events(spark, d).select("event_id", (F.col("k") % len(PROCESS_CASES)).alias("i")).join(F.broadcast(given), "i")
+    return ev.select("event_id", N.suspicious_process(F.col("binary"), F.col("arguments"), F.col("parent")).alias("rule"))
 
 
 @query("b16_parse_network_text", EV_SQL + r"""SELECT event_id, CASE k % 13 WHEN 8 THEN src_ip WHEN 11 THEN src_ip END AS src_ip, CAST(CASE k % 13 WHEN 8 THEN k WHEN 11 THEN k ELSE 0 END AS BIGINT) AS src_port, CASE k % 13 WHEN 8 THEN dst_ip WHEN 11 THEN dst_ip END AS dst_ip,
@@ -272,7 +352,7 @@ def c19(spark, d):
     return log_events(spark, d).select("event_id", S.model_freshness(F.to_date("ts"), F.lit("2024-02-01").cast("date")).alias("freshness"))
 
 
-@query("c20_mask_tokens", EV_SQL + r"""SELECT template, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(message, '\b\d{1,3}(?:\.\d{1,3}){3}\b', '<IP>', 'g'), '\b\d{5,}\b', '<NUM>', 'g'), '(?:/[\w.-]+){2,}', '<PATH>', 'g'), ':\d{1,5}\b', ':<PORT>', 'g') AS template FROM logs) GROUP BY template""")
+@query("c20_mask_tokens", EV_SQL + r"""SELECT template, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(message, '(^|[^A-Za-z0-9])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}([^A-Za-z0-9]|$)', '\1<IP>\2', 'g'), '([^A-Za-z0-9.])\d{5,}([^A-Za-z0-9.:]|$)', '\1<NUM>\2', 'g'), '(/[A-Za-z0-9_.-]+){3,}', '<PATH>', 'g'), ':\d{2,5}([^0-9]|$)', ':<PORT>\1', 'g') AS template FROM logs) GROUP BY template""")
 def c20(spark, d):
     return log_events(spark, d).groupBy(S.mask_tokens(F.col("message")).alias("template")).agg(F.count("*").alias("n"))
 
