@@ -8,16 +8,33 @@ from pyspark.sql import functions as F
 from logloom.functions.normalize import first_match
 from logloom.operators.joins import anchor_cover, interval_join, small
 
-EMPTY_ROOT = "empty"
+# The text whose hash is the root of a batch without leaves.
+EMPTY_BATCH = "EMPTY_BATCH"
+# The columns whose texts make a row's leaf, by table.
+LEAF_COLUMNS = {
+    "raw_logs": ("event_id", "timestamp", "source", "level", "message"),
+    "security_events": ("event_id", "timestamp", "severity", "category", "source", "description", "mitre_tactic", "mitre_technique"),
+    "process_events": ("event_id", "timestamp", "hostname", "pid", "ppid", "binary_path", "arguments"),
+    "network_events": ("event_id", "timestamp", "hostname", "src_ip", "dst_ip", "src_port", "dst_port", "protocol"),
+    "triage_scores": ("event_id", "timestamp", "source_type", "hostname", "adjusted_score", "action", "mitre_tactic", "mitre_technique"),
+    "hunter_investigations": ("investigation_id", "started_at", "hostname", "source_ip", "severity", "finding_type", "summary"),
+    "verifier_results": ("verification_id", "started_at", "verdict", "confidence", "priority", "analyst_summary"),
+}
+#: Leaves at either end of a batch that its anchor keeps.
+KEPT_LEAVES = 100
 # Kinds of findings for verdicts.
 NEGATIVE = ("NORMAL_BEHAVIOUR", "FALSE_POSITIVE")
 DEFINITE = ("CONFIRMED_ATTACK", "ACTIVE_CAMPAIGN")
 AMBIGUOUS = ("BEHAVIOURAL_ANOMALY", "ANOMALOUS_PATTERN")
 
 
-def leaf_hashes(df: DataFrame, parts: list[str]) -> DataFrame:
-    """``df`` with ``leaf``: upper-case hex SHA-256 of the parts' texts, joined by ``|``."""
-    return df.withColumn("leaf", F.upper(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), 256)))
+def leaf_hashes(df: DataFrame, parts: list[str] | str) -> DataFrame:
+    """``df`` with ``leaf``: upper-case hex SHA-256 of the parts' texts, one after the other.
+
+    ``parts`` are columns, or the name of a table of ``LEAF_COLUMNS``; nulls are empty texts.
+    """
+    columns = LEAF_COLUMNS[parts] if isinstance(parts, str) else parts
+    return df.withColumn("leaf", F.upper(F.sha2(F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in columns]), 256)))
 
 
 def time_batches(df: DataFrame, us: str = "us", seconds: int = 1800) -> DataFrame:
@@ -26,9 +43,11 @@ def time_batches(df: DataFrame, us: str = "us", seconds: int = 1800) -> DataFram
     return df.crossJoin(F.broadcast(start)).withColumn("batch", F.floor((F.col(us) / 1_000_000 - F.col("_start")) / seconds).cast("long")).drop("_start")
 
 
-def merkle_roots(leaves: DataFrame, batch: str, order: list[str], leaf: str = "leaf") -> DataFrame:
+def merkle_roots(leaves: DataFrame, batch: str, order: list[str], leaf: str = "leaf", batches: DataFrame | None = None) -> DataFrame:
     """(batch, merkle_root, leaf_count, depth) of every batch.
 
+    ``batches`` may name batches besides those with leaves; such a one without leaves has a fixed root and depth 0.
+
     Nodes are lower-case SHA-256 of the two children's hex. A batch is padded with its last leaf to a power of two; a
     single leaf is hashed with itself. Level by level, all batches at once, each level one grouping by position; the
     number of levels is the depth of the largest batch.
@@ -49,7 +68,22 @@ def merkle_roots(leaves: DataFrame, batch: str, order: list[str], leaf: str = "l
         group = nodes.groupBy(batch, "depth", "leaf_count", F.when(done, F.col("pos")).otherwise(F.shiftright("pos", 1)).alias("up"))
         pair = F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"])
         nodes = group.agg(pair.alias("pair")).select(batch, "depth", "leaf_count", F.col("up").alias("pos"), F.when(F.col("depth") <= level, F.col("pair")[0]).otherwise(F.sha2(F.concat_ws("", "pair"), 256)).alias("node"))
-    return nodes.select(batch, F.col("node").alias("merkle_root"), "leaf_count", "depth")
+    roots = nodes.select(batch, F.col("node").alias("merkle_root"), "leaf_count", "depth")
+    if batches is None:
+        return roots
+    empty = batches.select(batch).distinct().join(sizes, batch, "left_anti")
+    return roots.unionByName(empty.select(batch, F.sha2(F.lit(EMPTY_BATCH).cast("binary"), 256).alias("merkle_root"), F.lit(0).cast("long").alias("leaf_count"), F.lit(0).alias("depth")))
+
+
+def end_leaves(leaves: DataFrame, batch: str, order: str, leaf: str = "leaf", most: int = KEPT_LEAVES) -> DataFrame:
+    """(batch, leaves): the first and last leaves of every batch in order, all of a batch of up to twice ``most``.
+
+    Each end is cut down within tasks before the shuffle.
+    """
+    place = lambda by: F.row_number().over(Window.partitionBy(batch).orderBy(by))
+    ends = [leaves.select(batch, order, leaf, place(by).alias("_place")).filter(F.col("_place") <= most).drop("_place") for by in (F.asc(order), F.desc(order))]
+    rows = F.array_sort(F.collect_set(F.struct(order, leaf)))
+    return ends[0].union(ends[1]).groupBy(batch).agg(F.transform(rows, lambda x: x[leaf]).alias("leaves"))
 
 
 def chain_roots(anchors: DataFrame, table: str = "table_name", order: str = "batch", root: str = "merkle_root") -> DataFrame:
@@ -65,7 +99,7 @@ def chain_roots(anchors: DataFrame, table: str = "table_name", order: str = "bat
     return anchors.join(chain, [table, order])
 
 
-def anchor_table(df: DataFrame, table_name: str, parts: list[str], us: str = "us", key: str = "event_id", seconds: int = 1800) -> DataFrame:
+def anchor_table(df: DataFrame, table_name: str, parts: list[str] | str, us: str = "us", key: str = "event_id", seconds: int = 1800) -> DataFrame:
     """One anchor for each time batch: range, root, chained root, and the previous one."""
     batched = leaf_hashes(time_batches(df, us, seconds), parts)
     ranges = batched.groupBy("batch").agg(F.min(us).alias("time_from"), F.max(us).alias("time_to"))
@@ -75,7 +109,7 @@ def anchor_table(df: DataFrame, table_name: str, parts: list[str], us: str = "us
     return chained.withColumn("prev_root", F.coalesce(before, F.lit("")))
 
 
-def verify_batches(anchors: DataFrame, df: DataFrame, parts: list[str], us: str = "us", key: str = "event_id", seconds: int = 1800) -> DataFrame:
+def verify_batches(anchors: DataFrame, df: DataFrame, parts: list[str] | str, us: str = "us", key: str = "event_id", seconds: int = 1800) -> DataFrame:
     """Status of every anchor against the rows as they are now: pass, count changed, tampered or missing."""
     batched = leaf_hashes(time_batches(df, us, seconds), parts)
     now = merkle_roots(batched.select("batch", key, "leaf"), "batch", [key]).select("batch", F.col("merkle_root").alias("now_root"), F.col("leaf_count").alias("now_count"))

@@ -11,7 +11,7 @@ from logloom.sources.fixtures import EV_SQL, log_events
 
 PARTS = ["event_id", "us", "host", "severity"]
 DAY = 86400
-LEAF_SQL = ", leaves AS (SELECT event_id, us, upper(sha256(event_id || '|' || us || '|' || host || '|' || severity)) AS leaf FROM ev), batched AS (SELECT *, CAST(floor((us / 1000000 - (SELECT floor(min(us) / 1000000) FROM ev)) / 86400) AS BIGINT) AS batch FROM leaves)\n"
+LEAF_SQL = ", leaves AS (SELECT event_id, us, upper(sha256(event_id || us || host || severity)) AS leaf FROM ev), batched AS (SELECT *, CAST(floor((us / 1000000 - (SELECT floor(min(us) / 1000000) FROM ev)) / 86400) AS BIGINT) AS batch FROM leaves)\n"
 ROOT_SQL = LEAF_SQL + """, numbered AS (SELECT batch, leaf, row_number() OVER (PARTITION BY batch ORDER BY event_id) - 1 AS pos FROM batched),
 sizes AS (SELECT batch, count(*) AS leaf_count, CAST(greatest(1, ceil(log2(count(*)))) AS INTEGER) AS depth FROM batched GROUP BY batch),
 padded AS (SELECT s.batch, depth, list(n.leaf ORDER BY pos) AS l, any_value(leaf_count) AS leaf_count FROM sizes s JOIN numbered n USING (batch) GROUP BY s.batch, depth),
@@ -51,6 +51,13 @@ def i5(spark, d):
     return anchors(spark, d).select("batch", "time_from", "time_to", "leaf_count", "merkle_root")
 
 
+@query("i5_anchor_leaves", EV_SQL + LEAF_SQL + ", n AS (SELECT batch, event_id, leaf, row_number() OVER (PARTITION BY batch ORDER BY event_id) AS p, count(*) OVER (PARTITION BY batch) AS c FROM batched) SELECT batch, count(*)::INT AS kept, sha256(string_agg(leaf, '' ORDER BY event_id)) AS digest FROM n WHERE p <= 10 OR p > c - 10 GROUP BY batch")
+def i5b(spark, d):
+    """The leaves that anchors keep, here ten of either end, so that some batches have more."""
+    batched = E.leaf_hashes(E.time_batches(log_events(spark, d), seconds=DAY), PARTS)
+    return E.end_leaves(batched, "batch", "event_id", most=10).select("batch", F.size("leaves").alias("kept"), F.sha2(F.array_join("leaves", ""), 256).alias("digest"))
+
+
 @query("i6_verify_batches", EV_SQL + LEAF_SQL + ", c AS (SELECT batch, count(*) AS leaf_count, count(*) FILTER (WHERE NOT (batch % 5 = 1 AND event_id % 10 = 0)) AS now_count FROM batched GROUP BY batch) SELECT batch, leaf_count, now_count, CASE WHEN leaf_count <> now_count THEN 'count changed' WHEN batch % 5 = 2 THEN 'tampered' ELSE 'pass' END AS status FROM c")
 def i6(spark, d):
     """Rows of some batches are removed or changed before the check."""

@@ -51,6 +51,17 @@ def test_merkle_root_by_hand_and_tamper(spark):
         assert got[b] == (root([x[2] for x in leaves if x[0] == b]), n)
 
 
+def test_leaf_layouts_and_empty_batches(spark):
+    row = {"event_id": "e1", "timestamp": "2024-01-01 00:00:00", "hostname": "h", "pid": 7, "ppid": None, "binary_path": "/bin/x", "arguments": "-a"}
+    df = spark.createDataFrame([tuple(row.values())], "event_id string, timestamp string, hostname string, pid int, ppid int, binary_path string, arguments string")
+    want = hashlib.sha256(b"e12024-01-01 00:00:00h7/bin/x-a").hexdigest().upper()
+    leaves = evidence.leaf_hashes(df, "process_events")
+    assert values(leaves, "leaf") == [want]
+    batches = spark.createDataFrame([(0,), (1,)], "batch long")
+    got = {r.batch: (r.merkle_root, r.leaf_count, r.depth) for r in evidence.merkle_roots(leaves.withColumn("batch", F.lit(0).cast("long")), "batch", ["event_id"], batches=batches).collect()}
+    assert got[1] == (hashlib.sha256(b"EMPTY_BATCH").hexdigest(), 0, 0) and got[0][1:] == (1, 1)
+
+
 def test_interval_join_is_the_range_join(spark):
     a = spark.createDataFrame([(1, "x", 100), (2, "x", 250), (3, "y", 100), (4, None, 5)], "event_id int, key string, us long")
     b = spark.createDataFrame([("x", 0), ("x", 100), ("x", 149), ("x", 251), ("y", 99), (None, 5)], "key string, at long")
