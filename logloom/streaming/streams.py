@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from logloom.operators.joins import small
@@ -163,6 +163,14 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_every(df: DataFrame, path: str, checkpoint: str, every: str = "500 milliseconds", mode: str = "append") -> StreamingQuery:
+    """Run a stream into a Parquet table, a micro-batch at each interval, until it is stopped.
+
+    Rows of a micro-batch are bounded by its source, as with ``maxOffsetsPerTrigger`` or ``maxFilesPerTrigger``.
+    """
+    return df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def run_fan_out(df: DataFrame, root: str, checkpoint: str) -> None:
     """Classified records to one folder for each family and day, each micro-batch written once."""
     df.writeStream.foreachBatch(lambda batch, i: append_sink(batch, i, root)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
