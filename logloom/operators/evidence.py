@@ -20,6 +20,8 @@ LEAF_COLUMNS = {
     "hunter_investigations": ("investigation_id", "started_at", "hostname", "source_ip", "severity", "finding_type", "summary"),
     "verifier_results": ("verification_id", "started_at", "verdict", "confidence", "priority", "analyst_summary"),
 }
+#: Levels of a tree that are folded in one grouping (2^10 nodes of 64 bytes), and groupings above the first: 2^40 leaves.
+SUBTREE_LEVELS, HIGHER_ROUNDS = 10, 3
 #: Leaves at either end of a batch that its anchor keeps.
 KEPT_LEAVES = 100
 # Kinds of findings for verdicts.
@@ -49,25 +51,36 @@ def merkle_roots(leaves: DataFrame, batch: str, order: list[str], leaf: str = "l
     ``batches`` may name batches besides those with leaves; such a one without leaves has a fixed root and depth 0.
 
     Nodes are lower-case SHA-256 of the two children's hex. A batch is padded with its last leaf to a power of two; a
-    single leaf is hashed with itself. Level by level, all batches at once, each level one grouping by position; the
-    number of levels is the depth of the largest batch.
+    single leaf is hashed with itself. Subtrees of ``SUBTREE_LEVELS`` levels are folded within one grouping, so a few
+    groupings serve batches of any size.
     """
     numbered = leaves.withColumn("pos", F.row_number().over(Window.partitionBy(batch).orderBy(*order)) - 1)
     sizes = leaves.groupBy(batch).agg(F.count("*").alias("leaf_count"))
     depth = F.greatest(F.lit(1), F.ceil(F.log2("leaf_count"))).cast("int")
     sizes = sizes.withColumn("depth", depth)
-    last = numbered.join(sizes, batch).filter("pos = leaf_count - 1")
-    width = F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), F.col("depth")).cast("int")
-    padding = last.filter(F.col("leaf_count") < width).select(batch, F.explode(F.sequence(F.col("leaf_count").cast("int"), width - 1)).alias("pos"), F.col(leaf).alias("node"))
-    nodes = numbered.select(batch, F.col("pos").cast("int").alias("pos"), F.col(leaf).alias("node")).unionByName(padding.select(batch, "pos", "node"))
-    nodes = nodes.join(sizes, batch)
-    deepest = sizes.agg(F.max("depth")).first()[0] or 0
-    for level in range(deepest):
-        # batches that have reached their root keep it
-        done = F.col("depth") <= level
-        group = nodes.groupBy(batch, "depth", "leaf_count", F.when(done, F.col("pos")).otherwise(F.shiftright("pos", 1)).alias("up"))
-        pair = F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"])
-        nodes = group.agg(pair.alias("pair")).select(batch, "depth", "leaf_count", F.col("up").alias("pos"), F.when(F.col("depth") <= level, F.col("pair")[0]).otherwise(F.sha2(F.concat_ws("", "pair"), 256)).alias("node"))
+    placed = numbered.join(sizes, batch).select(batch, "depth", "leaf_count", F.col("pos").cast("long").alias("pos"), F.col(leaf).alias("node"))
+    step = F.lit(SUBTREE_LEVELS)
+    # the last leaf stands for the padding of its own subtree, and for whole subtrees of padding after it
+    fold = lambda nodes, levels: F.aggregate(F.sequence(F.lit(1), levels), nodes, lambda acc, _: F.transform(F.sequence(F.lit(0), (F.size(acc) / 2).cast("int") - 1), lambda i: F.sha2(F.concat(F.get(acc, 2 * i), F.get(acc, 2 * i + 1)), 256)))
+    height = F.least(F.col("depth"), step)
+    group = placed.groupBy(batch, "depth", "leaf_count", F.shiftright("pos", SUBTREE_LEVELS).alias("up"))
+    held = group.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("held")).withColumn("height", height)
+    short = F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), F.col("height")).cast("int") - F.size("held")
+    padded = F.concat("held", F.array_repeat(F.element_at("held", -1), short))
+    nodes = held.select(batch, "depth", "leaf_count", "height", F.col("up").alias("pos"), F.element_at("held", -1).alias("_end"), padded.alias("padded"))
+    nodes = nodes.select(batch, "depth", "leaf_count", "pos", "_end", F.get(fold(F.col("padded"), F.col("height")), 0).alias("node"))
+    # subtrees of nothing but padding, which follow the one that holds the last leaf
+    final = F.col("pos") == F.floor((F.col("leaf_count") - 1) / (1 << SUBTREE_LEVELS))
+    more = F.pow(F.lit(2), F.greatest(F.col("depth") - step, F.lit(0))).cast("long") - 1
+    padding = F.aggregate(F.sequence(F.lit(1), step), F.col("_end"), lambda acc, _: F.sha2(F.concat(acc, acc), 256))
+    rest = nodes.filter(final & (F.col("pos") < more)).select(batch, "depth", "leaf_count", F.explode(F.sequence(F.col("pos") + 1, more)).alias("pos"), padding.alias("node"))
+    nodes = nodes.drop("_end").unionByName(rest).withColumn("left", F.col("depth") - height)
+    for _ in range(HIGHER_ROUNDS):
+        group = nodes.groupBy(batch, "depth", "leaf_count", "left", F.shiftright("pos", SUBTREE_LEVELS).alias("up"))
+        held = group.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("held"))
+        height = F.least(F.col("left"), step)
+        whole = F.when(F.col("left") > 0, F.get(fold(F.col("held"), height), 0)).otherwise(F.get("held", 0))
+        nodes = held.select(batch, "depth", "leaf_count", (F.col("left") - height).alias("left"), F.col("up").alias("pos"), whole.alias("node"))
     roots = nodes.select(batch, F.col("node").alias("merkle_root"), "leaf_count", "depth")
     if batches is None:
         return roots
