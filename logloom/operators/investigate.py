@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.normalize import first_match
-from logloom.operators.joins import interval_join, small
+from logloom.operators.joins import appearances, interval_join, occurrences, running_totals, small
 
 HOUR = 3_600_000_000
 
@@ -34,12 +34,17 @@ RULES = (
 )
 
 
+def _real(key: str) -> Column:
+    """Whether an entity is none of the placeholders, which have no history of their own."""
+    return F.col(key).isNotNull() & ~F.col(key).isin("", "unknown", "0.0.0.0")
+
+
 def entity_history(alerts: DataFrame, facts: DataFrame, key: str, before_us: int, columns: list[str]) -> DataFrame:
     """(event_id, us, key) of each alert with each row of its entity in the time before it.
 
     Placeholder entities (null, empty, unknown, 0.0.0.0) have no history of their own and are left out.
     """
-    real = F.col(key).isNotNull() & ~F.col(key).isin("", "unknown", "0.0.0.0")
+    real = _real(key)
     own = alerts.select("event_id", "us", key).filter(real)
     # columns may be names or expressions; the alert's own columns keep their names
     return interval_join(own, facts.select(key, F.col("us").alias("fact_us"), *[F.col(c).alias(f"fact_{c}") for c in columns if c != key]).filter(real), [key], "us", "fact_us", before_us)
@@ -48,13 +53,19 @@ def entity_history(alerts: DataFrame, facts: DataFrame, key: str, before_us: int
 def rule_hits(alerts: DataFrame, facts: DataFrame, key: str = "host", minutes: int = 15, rules=RULES, text: str = "message") -> DataFrame:
     """Per alert: names of the rules that hit, their number, greatest severity and whether to take the fast path (H2).
 
-    One look-back join serves all rules: their measures are conditional aggregates of it.
+    The measures are running totals of what enters and leaves the look-back: no alert is paired with the rows before
+    it, and rows that fit no rule's filter are left out at once.
     """
-    columns = ["message", "tactic", "event_type", "dst_port", "dst_ip"]
-    flagged = facts.select("*", *[F.expr(rule[3]).cast("int").alias(f"r{i}") for i, rule in enumerate(rules)])
-    met = entity_history(alerts, flagged, key, minutes * 60_000_000, [*columns, *[f"r{i}" for i in range(len(rules))]])
-    measures = [(F.coalesce(F.sum(f"fact_r{i}"), F.lit(0)) if m == "count" else F.count_distinct(F.when(F.col(f"fact_r{i}") == 1, F.col(f"fact_{m}")))).alias(f"m{i}") for i, (_, _, _, _, m, _, _) in enumerate(rules)]
-    counts = met.groupBy("event_id").agg(*measures)
+    span = minutes * 60_000_000
+    real = _real(key)
+    flagged = facts.filter(real).select(key, "us", "dst_ip", *[F.coalesce(F.expr(rule[3]), F.lit(False)).cast("int").alias(f"r{i}") for i, rule in enumerate(rules)])
+    kept = flagged.filter(reduce(lambda a, b: a | b, [F.col(f"r{i}") == 1 for i in range(len(rules))]))
+    counted = [i for i, rule in enumerate(rules) if rule[4] == "count"]
+    both = kept.groupBy(key, "us").agg(*[F.sum(f"r{i}").alias(f"m{i}") for i in counted])
+    ends = F.explode(F.array(*[F.struct((F.col("us") + shift).alias("at"), *[(sign * F.col(f"m{i}")).alias(f"m{i}") for i in counted]) for shift, sign in ((0, 1), (span + 1, -1))]))
+    changes = [both.select(key, ends.alias("_c")).select(key, "_c.*")] if counted else []
+    changes += [appearances(flagged.filter(F.col(f"r{i}") == 1), key, rule[4], "us", span, f"m{i}") for i, rule in enumerate(rules) if rule[4] != "count"]
+    counts = running_totals(alerts.filter(real), key, "us", changes, span)
     out = alerts.join(counts, "event_id", "left")
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     hits = []
@@ -97,12 +108,19 @@ def temporal_features(alerts: DataFrame, facts: DataFrame, hours: int = 24, rela
 
 def graph_features(alerts: DataFrame, flows: DataFrame, ioc: DataFrame, hours: int = 24) -> DataFrame:
     """Counts around each alert's address and host in the flows before it, and scores of lateral movement and of
-    command and control (H6)."""
+    command and control (H6). Distinct counts are running totals of values that appear and pass, not pairs."""
     span = hours * HOUR
-    bad = small(ioc.select(F.col("value").alias("fact_dst_ip"), F.lit(1).alias("_bad")).distinct())
-    by_ip = entity_history(alerts, flows, "src_ip", span, ["dst_ip", "host", "score"]).join(bad, "fact_dst_ip", "left")
-    a = by_ip.groupBy("event_id").agg(F.count_distinct("fact_dst_ip").alias("destinations"), F.count_distinct("fact_host").alias("hops"), F.max(F.coalesce("_bad", F.lit(0))).alias("ioc_neighbor"), F.count_if(F.expr("fact_score >= 0.95")).alias("escalations"))
-    b = entity_history(alerts, flows, "host", span, ["src_ip"]).groupBy("event_id").agg(F.count_distinct("fact_src_ip").alias("host_sources"))
+    bad = small(ioc.select(F.col("value").alias("dst_ip")).distinct())
+    of_ip, of_host = flows.filter(_real("src_ip")), flows.filter(_real("host"))
+    changes = [
+        appearances(of_ip, "src_ip", "dst_ip", "us", span, "destinations"),
+        appearances(of_ip, "src_ip", "host", "us", span, "hops"),
+        appearances(of_ip.join(bad, "dst_ip", "left_semi"), "src_ip", "dst_ip", "us", span, "bad"),
+        occurrences(of_ip.filter("score >= 0.95"), "src_ip", "us", span, "escalations"),
+    ]
+    a = running_totals(alerts.filter(_real("src_ip")), "src_ip", "us", changes, span)
+    b = running_totals(alerts.filter(_real("host")), "host", "us", [appearances(of_host, "host", "src_ip", "us", span, "host_sources")], span)
+    a = a.select("event_id", "destinations", "hops", (F.col("bad") > 0).cast("int").alias("ioc_neighbor"), "escalations")
     out = alerts.select("event_id").join(a, "event_id", "left").join(b, "event_id", "left").fillna(0)
     lateral = F.least(F.lit(1.0), F.col("hops") / 10)
     c2 = F.when((F.col("destinations") >= 3) & (F.col("hops") >= 2), F.least(F.lit(1.0), F.col("destinations") / 10 * (1 + F.col("ioc_neighbor")))).otherwise(0.0)

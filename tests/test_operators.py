@@ -1,8 +1,10 @@
 """Decision tables, invariants and batch-stream equality on small frames."""
 
 import hashlib
+import random
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import normalize as N
@@ -51,6 +53,38 @@ def test_merkle_root_by_hand_and_tamper(spark):
         assert got[b] == (root([x[2] for x in leaves if x[0] == b]), n)
 
 
+@pytest.mark.parametrize("levels", [1, 2, 10])
+def test_merkle_subtrees_of_any_height(spark, monkeypatch, levels):
+    """Trees of several subtrees, the last ones partly or wholly padding, have the roots of a fold level by level."""
+    monkeypatch.setattr(evidence, "SUBTREE_LEVELS", levels)
+
+    def root(level):
+        level = level + level[-1:] * ((1 << max(1, (len(level) - 1).bit_length())) - len(level))
+        while len(level) > 1:
+            level = [hashlib.sha256((a + b).encode()).hexdigest() for a, b in zip(level[::2], level[1::2], strict=True)]
+        return level[0]
+
+    sizes = (1, 2, 3, 5, 9, 15, 16) if levels < 10 else (1, 1024, 1025, 2100)
+    leaves = [(n, i, f"{n}-{i}") for n in sizes for i in range(n)]
+    df = spark.createDataFrame(leaves, "batch long, event_id long, leaf string")
+    got = {r.batch: (r.merkle_root, r.leaf_count) for r in evidence.merkle_roots(df, "batch", ["event_id"]).collect()}
+    assert got == {n: (root([f"{n}-{i}" for i in range(n)]), n) for n in sizes}
+
+
+def test_running_totals_are_trailing_counts(spark):
+    """Rows and distinct values in the trailing span against brute force, with ties, nulls, gaps and hot values."""
+    draw = random.Random(3)
+    facts = [(draw.choice(["x", "x", "x", "y"]), draw.randrange(2000), draw.choice(["a", "a", "b", "c", None])) for _ in range(120)]
+    left = [(i, draw.choice(["x", "y", "z"]), draw.choice([0, 100, *[u for _, u, _ in facts], *[u + 50 for _, u, _ in facts], *[u + 51 for _, u, _ in facts]])) for i in range(150)]
+    f = spark.createDataFrame(facts, "key string, us long, value string")
+    a = spark.createDataFrame(left, "event_id int, key string, us long")
+    changes = [joins.occurrences(f, "key", "us", 50, "n"), joins.appearances(f, "key", "value", "us", 50, "distinct")]
+    got = {r.event_id: (r.n, r.distinct) for r in joins.running_totals(a, "key", "us", changes, 50).collect()}
+    near = lambda k, u: [v for key, t, v in facts if key == k and u - 50 <= t <= u]
+    assert got == {i: (len(near(k, u)), len({v for v in near(k, u) if v})) for i, k, u in left}
+    assert joins.running_totals(a.filter("false"), "key", "us", changes, 50).count() == 0
+
+
 def test_leaf_layouts_and_empty_batches(spark):
     row = {"event_id": "e1", "timestamp": "2024-01-01 00:00:00", "hostname": "h", "pid": 7, "ppid": None, "binary_path": "/bin/x", "arguments": "-a"}
     df = spark.createDataFrame([tuple(row.values())], "event_id string, timestamp string, hostname string, pid int, ppid int, binary_path string, arguments string")
