@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from .common import masked, pick, save, table, text_chunks
+from .common import CHUNK_BYTES, masked, pick, save, table, text_chunks
 
 WINDOW = 35
 #: Words of a prefix, and of one that is lengthened.
@@ -331,6 +331,29 @@ def repeated_runs(docs: DataFrame, text: str = "text", heavy: int = HEAVY) -> Da
     return dealt.mapInArrow(lambda batches: repeats_of_prefixes(batches, dictionary), "key binary, low int, high int")
 
 
+def pack_texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts are compressed one by one, so that a shuffle moves less; null stays null."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch, texts in text_chunks(batches, text):
+        packed = pa.array([None if t is None else pack(t.encode("utf-8")) for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([packed if n == text else c for n, c in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
+
+
+def unpack_texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of batches with the texts that were packed, some millions of characters at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(text))
+        start, held, texts = 0, 0, []
+        for i in range(batch.num_rows):
+            value = column[i].as_py()
+            texts.append(None if value is None else unpack(value).decode("utf-8"))
+            held += len(texts[-1] or "")
+            if held >= CHUNK_BYTES or i + 1 == batch.num_rows:
+                yield batch.slice(start, i + 1 - start), texts
+                start, held, texts = i + 1, 0, []
+
+
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text`` (the kept words joined by one space).
 
@@ -354,11 +377,13 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
         many = F.broadcast(many)
     own = [f.name for f in plain.schema.fields if isinstance(f.dataType, AtomicType)]
     spread = F.unhex(F.md5(F.concat(F.hex("key"), F.xxhash64(*own).cast("string")).cast("binary")))
-    marked = plain.join(many, "key", "left").withColumn("key", F.when(F.col("many"), spread).otherwise(F.col("key")))
+    types = ", ".join(f"{f.name} {'binary' if f.name == f'c{at}' else f.dataType.simpleString()}" for f in plain.schema.fields)
+    packed = plain.mapInArrow(lambda batches: pack_texts(batches, f"c{at}"), types)
+    marked = packed.join(many, "key", "left").withColumn("key", F.when(F.col("many"), spread).otherwise(F.col("key")))
     joined = marked.join(known, "key", "left").drop("key").withColumn("copied", F.coalesce("many", "copied")).drop("many")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, f"c{at}"):
+        for batch, texts in unpack_texts(batches, f"c{at}"):
             copied, found = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("copied", "runs"))
             counts, removed, left = [], [], []
             for i, text in enumerate(texts):
@@ -374,7 +399,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                 counts.append(n)
                 removed.append(n - len(words))
                 left.append(b" ".join(words).decode("utf-8"))
-            columns = [batch.column(batch.schema.get_field_index(f"c{i}")) for i in kept]
+            columns = [pa.array(texts, pa.string()) if i == at else batch.column(batch.schema.get_field_index(f"c{i}")) for i in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string())], names=[*(f"c{i}" for i in kept), "n_words", "n_removed", "kept_text"])
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.select(*[f"c{i}" for i in kept]).schema.fields), "n_words long, n_removed long, kept_text string"])
