@@ -11,6 +11,7 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .embeddings import OP3_SQL, op3_embeddings
 from .langid import op9_language
 from .pages import op5_pages
+from .periodic import op12_runs
 from .quality import op2_quality
 from .sharding import op8_sharding
 from .simhash import op10_simhash
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
+    "op12_runs": op12_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_embeddings": OP3_SQL, "op4_substrings": OP4_SQL}
