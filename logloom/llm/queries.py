@@ -17,6 +17,7 @@ from .sharding import op8_sharding
 from .simhash import op10_simhash
 from .substrings import OP4_SQL, op4_substrings
 from .token_counts import op6_token_counts
+from .toxicity import op13_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
     "op12_runs": op12_runs,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_embeddings": OP3_SQL, "op4_substrings": OP4_SQL}
