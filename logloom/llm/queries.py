@@ -12,6 +12,7 @@ from .embeddings import OP3_SQL, op3_embeddings
 from .langid import op9_language
 from .pages import op5_pages
 from .periodic import op12_runs
+from .phrases import OP11_SQL, op11_phrases
 from .quality import op2_quality
 from .sharding import op8_sharding
 from .simhash import op10_simhash
@@ -30,8 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
+    "op11_phrases": op11_phrases,
     "op12_runs": op12_runs,
     "op13_toxicity": op13_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_embeddings": OP3_SQL, "op4_substrings": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_embeddings": OP3_SQL, "op4_substrings": OP4_SQL, "op11_phrases": OP11_SQL}
