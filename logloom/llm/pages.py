@@ -30,8 +30,13 @@ RAW_TAGS = "script|style|textarea|title|xmp|noembed|noframes"
 SKIPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside rail notice notices notification alert cookie cookies consent gdpr popup modal overlay form search login signup subscribe subscription newsletter comment comments commentlist disqus replies reply respond share sharing social related recommended widget toolbar pagination pager hidden".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: Of these, and of names, those that may mark a wrapper of the whole page: there they skip only what is not most of its text.
-WRAPPER_TAGS = frozenset("nav header footer aside form".split())
-NEVER_NAMES = frozenset("hidden comment comments commentlist disqus replies reply respond".split())
+WRAPPER_TAGS = frozenset("nav header footer aside form noscript".split())
+#: Names of reader comments. They skip an element whatever it holds, but for one around an article of its own.
+REMARK_NAMES = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: A class that has one of these words beside such a name tells a state of the page, as in comments-open or no-replies.
+STATE_WORDS = frozenset("no not has have with without show hide is open opened closed close enabled disabled on off allow allowed count".split())
+#: Whole classes that hide an element, and those beside it that show it again on wider screens.
+HIDING_CLASSES, SHOWING = frozenset(["hidden"]), re.compile(r"^\w+:(?:block|flex|grid|inline|contents|table|visible)")
 CONTENT_NAMES = frozenset("article content post entry story body text main".split())
 #: An opening tag closes these open elements, unless one of the second set lies between.
 CLOSES = {
@@ -44,7 +49,8 @@ CLOSES = {
     "th": (frozenset("td th".split()), frozenset("tr table".split())),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-#: Elements nested deeper than this count as text of the one at this depth; so paths and scans of open elements are bounded.
+#: Elements nested deeper than this count as text of the one at this depth, but for those whose tag marks side matter; so paths
+#: and scans of open elements are bounded.
 MAX_DEPTH = 256
 
 
@@ -66,7 +72,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Element:
-    __slots__ = ("article", "bonus", "chars", "depth", "doubtful", "end", "first", "heading", "held", "last", "never", "parent", "path", "skipped", "tag")
+    __slots__ = ("anchor", "article", "bonus", "chars", "depth", "doubtful", "end", "first", "heading", "held", "last", "never", "parent", "path", "remark", "skipped", "tag", "veiled")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str, first: int, spared: bool = False):
         self.tag, self.parent, self.first, self.last = tag, parent, first, first
@@ -78,18 +84,26 @@ class Element:
         own_header = tag == "header" and self.article  # the title of the article, not of the site
         self.doubtful = tag in WRAPPER_TAGS and not own_header
         self.bonus, classes = tag in ("article", "main"), ""
+        self.remark = self.veiled = False
         if attributes and not attributes.isspace():
             found: dict[str, str] = {}
             for k, a, b, c in ATTRIBUTE.findall(attributes):
                 found.setdefault(k.lower(), a or b or c or "")
-            names = {w.lower() for v in (found.get("class", ""), found.get("id", "")) for w in NAME_WORD.findall(v)}
+            tokens = [{w.lower() for w in NAME_WORD.findall(t)} for v in (found.get("class", ""), found.get("id", "")) for t in v.split()]
+            # a state names neither comments nor what is hidden
+            tokens = [t - REMARK_NAMES if t & REMARK_NAMES and t & STATE_WORDS else t for t in tokens]
+            names = {w for t in tokens for w in t} - {"hidden"}
+            shown = found.get("class", "").split()
             roles = found.get("role", "").lower()
             if tag not in ("html", "body"):
-                hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-                self.never |= hidden or not NEVER_NAMES.isdisjoint(names)
-                self.doubtful |= roles in SKIPPED_ROLES or not SKIPPED_NAMES.isdisjoint(names - {"header"} if own_header else names)
-                self.bonus |= roles == "main" or not CONTENT_NAMES.isdisjoint(names)
+                hidden = found.get("hidden", "until-found").lower() != "until-found" or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+                self.never |= hidden
+                self.remark = not REMARK_NAMES.isdisjoint(names)
+                self.veiled = not HIDING_CLASSES.isdisjoint(shown) and not any(map(SHOWING.match, shown))
+                self.doubtful |= self.remark or self.veiled or roles in SKIPPED_ROLES or not SKIPPED_NAMES.isdisjoint(names - {"header"} if own_header else names)
+                self.bonus = not self.remark and (self.bonus or roles == "main" or not CONTENT_NAMES.isdisjoint(names))
             classes = "".join(sorted("." + re.sub(r"\d+", "N", c) for c in found.get("class", "").split()))
+        self.anchor = (tag in ("article", "main", "h1") or (self.bonus and tag != "div" and tag in CONTAINER_TAGS)) and not self.remark
         self.skipped = bool(parent and parent.skipped) or self.never or (self.doubtful and not spared)
         # the tag-class path from the root, as a hash: a path of any depth takes eight bytes
         self.path = xxhash.xxh64_intdigest(f"{parent.path if parent else 0}>{tag}{classes}") - (1 << 63)
@@ -98,13 +112,19 @@ class Element:
 def wrappers(elements: list[Element]) -> frozenset[int]:
     """Numbers of the skipped elements that hold most of the page's text outside links, and so are no side matter.
 
-    An element stays skipped if an article-like one stands beside it, or one around it has over a tenth as much text.
+    An element stays skipped if an article-like one stands beside it, or one around it has over a tenth as much text. One
+    that names comments or hides itself stays skipped too, unless an article of its own (``article``, ``main``, ``h1``) is
+    inside, or, for one that hides itself, there is hardly any other text.
     """
     half = (elements[0].chars + elements[0].held) / 2
+    anchors = [i for i, e in enumerate(elements) if e.anchor]
     large = [i for i, e in enumerate(elements) if e.doubtful and not e.never and e.held > half]
     article = [i for i, e in enumerate(elements) if e.bonus and not e.skipped] if large else []
 
     def side_matter(i: int) -> bool:
+        own = elements[i]
+        if (own.remark or own.veiled) and bisect_left(anchors, i) == bisect_left(anchors, own.end) and not (own.veiled and not own.remark and own.held > 1.9 * half):
+            return True
         around, e = [], elements[i].parent
         while e:
             if e.bonus and not e.skipped:
@@ -147,6 +167,7 @@ def read_page(page: str | None, spared: frozenset[int] = frozenset()) -> tuple[l
     stack, elements = [root], [root]
     opened: Counter[str] = Counter()  # open elements of each tag
     too_deep: Counter[str] = Counter()  # open tags below the greatest depth
+    deep_skips = 0  # those of them that hold no text of the page
     parts: list[str] = []
     linked = 0
 
@@ -175,6 +196,8 @@ def read_page(page: str | None, spared: frozenset[int] = frozenset()) -> tuple[l
 
     def read_text(text: str) -> None:
         nonlocal linked
+        if deep_skips:
+            return
         if not stack[-1].skipped:
             parts.append(text)
             linked += len(text) if links else 0
@@ -206,6 +229,7 @@ def read_page(page: str | None, spared: frozenset[int] = frozenset()) -> tuple[l
                 flush()
             if too_deep[tag] > 0:
                 too_deep[tag] -= 1
+                deep_skips -= tag in SKIPPED_TAGS
             elif opened[tag] > 0:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
@@ -237,6 +261,7 @@ def read_page(page: str | None, spared: frozenset[int] = frozenset()) -> tuple[l
             continue
         if len(stack) > MAX_DEPTH:
             too_deep[tag] += 1
+            deep_skips += tag in SKIPPED_TAGS
             continue
         element = Element(tag, stack[-1], m[4], len(blocks), len(elements) in spared)
         stack.append(element)
@@ -287,7 +312,8 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", sour
     """``key``, ``url`` and ``text`` of every page: the blocks of its main containers, joined by an empty line.
 
     Null and empty pages, and pages without article text, have an empty text; pages without a host vote together.
-    Repeated rows keep a row each; an empty table gives an empty result; other columns are left out.
+    Pages are read whole, very long ones too. Repeated rows keep a row each; an empty table gives an empty result; other
+    columns are left out.
     """
     parsed = save(parsed_pages(pages, key, url, source), "pages")
     winners = save(winning_paths(parsed), "paths")
