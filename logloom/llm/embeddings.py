@@ -9,6 +9,10 @@ How many bits differ at the least cosine hangs on the data: where all vectors sh
 keeps codes balanced, widens the angles between them. So pairs at that cosine are made from the sample, those in it are
 looked up, and rotations are added, each with a code and tables of its own, until the tables find enough of both.
 
+Where vectors lie so close to their mean that the rotations allowed do not find enough of them, the pairs at the least
+cosine are hardly closer than any two vectors, and no code tells them apart. Then, and for lengths of few vectors beside
+the commonest, an exact way is taken: blocks of vectors meet once each and are compared by matrix products.
+
 Two rounds keep the shuffles small: the first carries codes only and finds which vectors have a candidate in which
 entry, the second brings the vectors to just those entries. A pair may meet in several entries and counts in the first.
 """
@@ -32,9 +36,12 @@ MAX_BITS = 64
 MAX_SAMPLE = 20_000
 #: Share of the pairs at the least cosine that the tables must find; closer pairs are found more often.
 BOUNDARY_RECALL = 0.94
-#: Rotations at most. Where they do not suffice (vectors so close to their mean that most differ by about the least
-#: cosine), ``Quantiser.boundary_recall`` is the recall that is left.
+#: Rotations at most. Where they do not suffice, pairs are compared exactly.
 MAX_ROTATIONS = 16
+#: Lengths that get tables of their own: the commonest, and those of so many vectors, up to so many lengths.
+OWN_TABLES, MAX_LENGTHS = 20_000, 8
+#: Vectors of a block of the exact way.
+EXACT_BLOCK = 4_096
 
 
 class Quantiser:
@@ -57,13 +64,16 @@ class Quantiser:
             self.columns = [f"code{r}" for r in range(len(self.axes))]
             self.tables = Segments([(c, low, high) for c in self.columns for low, high in zip(self.edges[:-1], self.edges[1:], strict=True)])
             codes = [(self.codes(a), self.codes(b)) for a, b in pairs]
-            found = [(self.tables.first_entry(a, b, self.columns) >= 0).mean() for a, b in codes]
-            if min(found) >= BOUNDARY_RECALL or len(self.axes) == MAX_ROTATIONS:
+            apart = [sum(np.bitwise_count((p ^ q).view(np.uint64)).astype(int) for p, q in zip(a, b, strict=True)) for a, b in codes]
+            # a pair at the least cosine differs in more bits than this about once in 1,000
+            self.most = int(max(np.quantile(d, 0.999) for d in apart)) + 1
+            found = [((self.tables.first_entry(a, b, self.columns) >= 0) & (d <= self.most)).mean() for (a, b), d in zip(codes, apart, strict=True)]
+            # what the rotations allowed would find at this rate
+            promise = 1 - (1 - min(found)) ** (MAX_ROTATIONS / len(self.axes))
+            if min(found) >= BOUNDARY_RECALL or len(self.axes) == MAX_ROTATIONS or promise < BOUNDARY_RECALL - 0.1:
                 break
+        #: Share of the pairs at the least cosine that tables and limit find; under BOUNDARY_RECALL they do not suffice.
         self.boundary_recall = float(min(found))
-        apart = [sum(np.bitwise_count((p ^ q).view(np.uint64)).astype(int) for p, q in zip(a, b, strict=True)) for a, b in codes]
-        # pairs at the least cosine differ in more bits than this about once in 2,000
-        self.most = int(max(d.mean() + 3.3 * d.std() for d in apart[:2])) + 1
 
     def rotation(self, v: np.ndarray, rounds: int, draw: np.random.Generator) -> np.ndarray:
         rotation = np.linalg.qr(draw.standard_normal((self.bits, self.bits)))[0]
@@ -120,24 +130,22 @@ def unit_rows(vectors: pa.Array, width: int) -> np.ndarray:
     return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
 
 
-def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """``key``, ``n_links``, ``component_id`` and ``kept`` of every vector.
+LINKS = "node long, other long, links long"
 
-    Null vectors, zero vectors and those with null or non-finite components link with nothing, as do vectors of
-    different lengths. Equal vectors are one class, whose members are linked with each other and counted in each
-    other's links without being paired; a class of any size is one row. Repeated rows count as vectors of their own; a
-    null key is never the least of a component that has another. An empty table gives an empty result.
-    """
-    rows = pick(vectors, key=key, vector=vector)
-    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    marked = rows.select("key", "vector", F.when(F.coalesce(finite, F.lit(False)), F.xxhash64("vector")).alias("node"))
-    classes = save(marked.filter("node is not null").groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("n"), F.first("vector").alias("vector")), "classes")
-    sample = classes.orderBy("node").limit(MAX_SAMPLE).select("vector").collect()
-    if not sample:
-        return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    lengths = [len(r[0]) for r in sample]
-    width = max(set(lengths), key=lengths.count)
-    quantiser = Quantiser(unit_rows(pa.array([list(r[0]) for r in sample], pa.list_(pa.float64())), width), cosine)
+
+def link_batch(forest: Forest, links: dict[int, int]) -> pa.RecordBatch:
+    """A spanning forest of a task's links, and how many vectors each of its classes links with."""
+    a, b = forest.links()
+    return pa.RecordBatch.from_arrays([pa.array([*a, *links], pa.int64()), pa.array([*b, *[None] * len(links)], pa.int64()), pa.array([*[None] * len(a), *links.values()], pa.int64())], names=["node", "other", "links"])
+
+
+def vectors_of(part: pa.Table) -> pa.ListArray:
+    column = part.column("vector").combine_chunks()
+    return pa.concat_arrays([column.chunk(0) if isinstance(column, pa.ChunkedArray) else column])
+
+
+def links_by_tables(classes: DataFrame, quantiser: Quantiser, width: int, cosine: float) -> DataFrame:
+    """Links among classes (node, n, vector) of one length, whose candidates meet in the tables."""
     columns, most = quantiser.columns, quantiser.most
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,24 +173,19 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
         forest, links = Forest(), {}
         for part, starts in group_runs(batches, ("entry", "low", "high")):
             nodes, sizes = part.column("node").to_numpy(), part.column("n").to_numpy()
-            column = part.column("vector").combine_chunks()
-            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-            column = pa.concat_arrays([column])
-            dims = np.diff(column.offsets.to_numpy())
-            unit = unit_rows(column, int(dims.max()))
+            unit = unit_rows(vectors_of(part), width)
             counts = np.zeros(part.num_rows, np.int64)
             for i, j in candidates(part, starts):
                 for at in range(0, len(i), 50_000):
                     a, b = i[at : at + 50_000], j[at : at + 50_000]
-                    good = (np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine) & (dims[a] == dims[b])
+                    good = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
                     a, b = a[good], b[good]
                     np.add.at(counts, a, sizes[b])
                     np.add.at(counts, b, sizes[a])
                     forest.link(nodes[a], nodes[b])
             for x, c in zip(nodes[counts > 0].tolist(), counts[counts > 0].tolist(), strict=True):
                 links[x] = links.get(x, 0) + c
-        a, b = forest.links()
-        yield pa.RecordBatch.from_arrays([pa.array([*a, *links], pa.int64()), pa.array([*b, *[None] * len(links)], pa.int64()), pa.array([*[None] * len(a), *links.values()], pa.int64())], names=["node", "other", "links"])
+        yield link_batch(forest, links)
 
     codes = save(classes.select("node", "vector").mapInArrow(code, ", ".join(["node long", *(f"{c} long" for c in columns)])), "codes")
     dealt = spread(codes)
@@ -191,7 +194,78 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     shape = ", ".join(["entry long, low int, high int, own int, node long", *(f"{c} long" for c in columns)])
     met = in_blocks(entries, "entry", "node", quantiser.tables.heavy(dealt)).select(*by, "own", "node", *columns).mapInArrow(find, shape)
     full = met.join(classes.select("node", "n", "vector"), "node")
-    found = save(full.repartition(*by).sortWithinPartitions(*by).mapInArrow(rerank, "node long, other long, links long"), "links")
+    return full.repartition(*by).sortWithinPartitions(*by).mapInArrow(rerank, LINKS)
+
+
+def links_by_products(classes: DataFrame, cosine: float, block: int = EXACT_BLOCK) -> DataFrame:
+    """All links among classes (node, n, vector, length), by length: each pair of blocks is compared once.
+
+    A group holds two blocks of vectors; of their products a strip is held at a time.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, links = Forest(), {}
+        for part, starts in group_runs(batches, ("length", "low", "high")):
+            nodes, sizes, own, low, high = (part.column(c).to_numpy() for c in ("node", "n", "own", "low", "high"))
+            vectors = vectors_of(part)
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                a, b = a - int(starts[0]), b - int(starts[0])
+                unit = unit_rows(vectors.slice(a, b - a), len(vectors[a]))
+                same = low[a] == high[a]
+                first = np.arange(b - a) if same else np.flatnonzero(own[a:b] == low[a])
+                second = first if same else np.flatnonzero(own[a:b] == high[a])
+                counts = np.zeros(b - a, np.int64)
+                for at in range(0, len(first), 512):
+                    strip = first[at : at + 512]
+                    x, y = np.nonzero(unit[strip] @ unit[second].T >= cosine - 1e-9)
+                    i, j = strip[x], second[y]
+                    if same:
+                        i, j = i[i < j], j[i < j]
+                    good = np.concatenate([np.einsum("ij,ij->i", unit[i[k : k + 50_000]], unit[j[k : k + 50_000]]) >= cosine for k in range(0, len(i), 50_000)]) if len(i) else np.zeros(0, bool)
+                    i, j = i[good], j[good]
+                    np.add.at(counts, i, sizes[a:b][j])
+                    np.add.at(counts, j, sizes[a:b][i])
+                    forest.link(nodes[a:b][i], nodes[a:b][j])
+                for x, c in zip(nodes[a:b][counts > 0].tolist(), counts[counts > 0].tolist(), strict=True):
+                    links[x] = links.get(x, 0) + c
+        yield link_batch(forest, links)
+
+    counts = classes.groupBy("length").count()
+    by = ["length", "low", "high"]
+    return in_blocks(classes.select("length", "node", "n", "vector"), "length", "node", counts, block).select(*by, "own", "node", "n", "vector").mapInArrow(compare, LINKS)
+
+
+def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
+    """``key``, ``n_links``, ``component_id`` and ``kept`` of every vector.
+
+    Null vectors, zero vectors and those with null or non-finite components link with nothing, as do vectors of
+    different lengths, each of which is searched by itself. Equal vectors are one class, whose members are linked with
+    each other and counted in each other's links without being paired; a class of any size is one row. Repeated rows
+    count as vectors of their own; a null key is never the least of a component that has another. An empty table gives
+    an empty result; other columns are left out.
+    """
+    rows = pick(vectors, key=key, vector=vector)
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    marked = rows.select("key", "vector", F.when(F.coalesce(finite, F.lit(False)), F.xxhash64("vector")).alias("node"))
+    classes = save(marked.filter("node is not null").groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("n"), F.first("vector").alias("vector")).withColumn("length", F.size("vector")), "classes")
+    common = classes.groupBy("length").count().orderBy(F.desc("count"), "length").limit(MAX_LENGTHS).collect()
+    if not common:
+        return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
+    by_tables, parts = [], []
+    for at, (length, count) in enumerate(common):
+        if at and count < OWN_TABLES:
+            break
+        own = classes.filter(F.col("length") == length)
+        sample = own.orderBy("node").limit(MAX_SAMPLE).select("vector").collect()
+        quantiser = Quantiser(unit_rows(pa.array([list(r[0]) for r in sample], pa.list_(pa.float64())), length), cosine)
+        if quantiser.boundary_recall >= BOUNDARY_RECALL:
+            by_tables.append(length)
+            parts.append(links_by_tables(own, quantiser, length, cosine))
+    parts.append(links_by_products(classes.filter(~F.col("length").isin(by_tables)), cosine))
+    found = parts[0]
+    for d in parts[1:]:
+        found = found.unionByName(d)
+    found = save(found, "links")
 
     counts = found.filter("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     firsts = classes.select("node", "first", "n")

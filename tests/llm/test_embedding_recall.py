@@ -1,0 +1,77 @@
+"""Links of vectors that share a direction, which codes hardly tell apart, and of vectors of several lengths."""
+
+import numpy as np
+import pytest
+
+from logloom.llm import embeddings
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def with_mean(draw, n, dims, shared):
+    return unit(unit(draw.standard_normal(dims)) * np.sqrt(shared) + np.sqrt(1 - shared) * unit(draw.standard_normal((n, dims))))
+
+
+def frame(spark, vectors):
+    return spark.createDataFrame([(i, x) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>")
+
+
+def true_links(v):
+    out = np.zeros(len(v), np.int64)
+    for at in range(0, len(v), 1000):
+        out[at : at + 1000] = (v[at : at + 1000] @ v.T >= 0.9).sum(1) - 1
+    return out
+
+
+@pytest.mark.parametrize(("n", "dims", "shared"), [(12_000, 64, 0.80), (6_000, 128, 0.85), (6_000, 64, 0.80)])
+def test_natural_pairs_with_a_shared_mean(spark, n, dims, shared):
+    v = with_mean(np.random.default_rng(9), n, dims, shared)
+    got = {r.vec_id: r.n_links for r in embeddings.embedding_groups(frame(spark, v.tolist())).collect()}
+    want = true_links(v)
+    assert all(got[i] <= x for i, x in enumerate(want.tolist()))
+    assert want.sum() > 500
+    assert sum(got.values()) >= 0.9 * want.sum()
+
+
+def test_recall_counts_the_limit():
+    """What the quantiser says of itself holds for pairs that it has not seen."""
+    draw = np.random.default_rng(10)
+    for shared in (0.0, 0.5, 0.7):
+        v = with_mean(draw, 6_000, 64, shared)
+        q = embeddings.Quantiser(v[:3_000])
+        a = v[3_000:]
+        turn = draw.standard_normal(a.shape)
+        turn = unit(turn - (turn * a).sum(1, keepdims=True) * a)
+        b = 0.9 * a + np.sqrt(0.19) * turn
+        x, y = q.codes(a), q.codes(b)
+        apart = sum(np.bitwise_count((p ^ r).view(np.uint64)).astype(int) for p, r in zip(x, y, strict=True))
+        held = ((q.tables.first_entry(x, y, q.columns) >= 0) & (apart <= q.most)).mean()
+        assert held >= q.boundary_recall - 0.03
+        assert q.boundary_recall >= embeddings.BOUNDARY_RECALL
+
+
+def test_vectors_that_codes_do_not_tell_apart_are_compared_exactly():
+    v = with_mean(np.random.default_rng(11), 4_000, 128, 0.85)
+    assert embeddings.Quantiser(v).boundary_recall < embeddings.BOUNDARY_RECALL
+
+
+def test_several_lengths(spark, monkeypatch):
+    """Each length is searched by itself: by tables or in blocks, of one vector or many."""
+    draw = np.random.default_rng(12)
+    made = []
+    for n, dims in ((400, 32), (300, 16), (90, 8), (1, 5)):
+        base = draw.standard_normal((n, dims))
+        made.append(np.concatenate([base, base + 0.1 * draw.standard_normal(base.shape)]))
+    for tables, block in ((embeddings.OWN_TABLES, 64), (200, 4_096)):
+        monkeypatch.setattr(embeddings, "OWN_TABLES", tables)
+        monkeypatch.setattr(embeddings.links_by_products, "__defaults__", (block,))
+        got = {r.vec_id: r for r in embeddings.embedding_groups(frame(spark, [x for v in made for x in v.tolist()])).collect()}
+        at = 0
+        for v in made:
+            want = true_links(unit(v))
+            found = sum(got[at + i].n_links for i in range(len(v)))
+            assert 0.9 * want.sum() <= found <= want.sum()
+            assert all(got[at + i].component_id >= at for i in range(len(v)))
+            at += len(v)
