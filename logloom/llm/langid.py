@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import pick, table, text_chunks
 from .quality import remainder
 
-#: Documents that training uses at most over all languages, and bytes of their texts, each of which is used whole: the
-#: size of the sample that reaches the driver.
+#: Documents that training uses at most over all languages, and bytes of their texts: the size of the sample that reaches
+#: the driver.
 MAX_DOCUMENTS, MAX_BYTES = 3_000, 1_200_000
 #: Bytes of a window, and bytes on either side over which its state is carried.
 STRIDE, CARRY = 512, 64
@@ -221,8 +221,9 @@ def fit_languages(docs: DataFrame, fold_filter, max_documents: int = MAX_DOCUMEN
     """Learn from ``text`` and non-null ``lang`` of the rows for which ``fold_filter(doc_id column)`` holds.
 
     The sample that reaches the driver has at most ``max_documents`` documents and ``max_bytes`` of text, as much of
-    each language, in the order of a hash of the id; each text is used whole, or not at all if it does not fit in. None
-    if no row can be learned from.
+    each language, in the order of a hash of the id. Of a text over a quarter of its language's bytes, a part of that
+    size is used, whose place hangs on the hash; so every language is learned, however long its texts are. None if no row
+    can be learned from.
     """
     own = pick(docs, doc_id="doc_id", text="text", lang="lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & fold_filter(F.col("doc_id")))
     counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_documents).collect()
@@ -231,14 +232,17 @@ def fit_languages(docs: DataFrame, fold_filter, max_documents: int = MAX_DOCUMEN
     quota, room = max(1, max_documents // len(counts)), max_bytes // len(counts)
     rates = docs.sparkSession.createDataFrame([(r[0], min(1.0, (2.0 * quota + 20) / r[1])) for r in counts], "lang string, rate double")
     unit = F.pmod(F.xxhash64("doc_id", F.lit("lang sample")), F.lit(1 << 20)) / F.lit(1 << 20)
+    # characters that a quarter of the language's room holds
+    most = F.greatest(F.floor(F.lit(max(room // 4, 1)) * F.length("text") / F.greatest(F.octet_length("text"), F.lit(1))), F.lit(1)).cast("int")
+    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - most + 1, F.lit(1))).cast("int") + 1
+    part = F.when(F.octet_length("text") > max(room // 4, 1), F.substring("text", place, most)).otherwise(F.col("text"))
+    drawn = own.join(F.broadcast(rates), "lang").filter(unit < F.col("rate")).withColumn("text", part)
     size = F.octet_length("text")
-    # a text over a quarter of its language's room is passed over, so that the rest fit in whatever their order
-    drawn = own.join(F.broadcast(rates), "lang").filter((unit < F.col("rate")) & (size <= max(room // 4, 1)))
     rank = F.struct(F.xxhash64("doc_id", F.lit("lang sample")).alias("h"), "doc_id", F.xxhash64("text").alias("t")).alias("rank")
     first = Window.partitionBy("lang").orderBy("rank")
     # numbers are ranked before any text is shuffled
     ranked = drawn.select("lang", rank, size.alias("size")).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= quota)
-    upto = ranked.withColumn("upto", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("upto") <= room)
+    upto = ranked.withColumn("upto", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("upto") <= room) | (F.col("n") == 1))
     chosen = upto.select("lang", "rank").distinct()
     rows = drawn.select("lang", rank, "text").join(F.broadcast(chosen), ["lang", "rank"], "left_semi").dropDuplicates(["lang", "rank"]).collect()
     rows.sort(key=lambda r: (r.lang, r["rank"].h, str(r["rank"].doc_id), r["rank"].t))
