@@ -55,25 +55,30 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def signature_meetings(words: DataFrame, index: DataFrame) -> DataFrame:
-    """(key, item) for every shingle of a document (key, words) that is in the signature of an item, repeats included."""
+    """(key, item) for every shingle of a document (key, words) that is in the signature of an item, repeats included.
+
+    Rows with a true column ``part`` are parts of a document, whose length is not known, so they meet items of any class.
+    """
+    part = F.col("part") if "part" in words.columns else F.lit(False)
     signatures = index.filter("in_sketch").select("item", "hash", "length", "least_words")
     lengths = [r[0] for r in index.select("length").distinct().orderBy("length").collect()]  # 1 to 5 at most
     if not lengths:
         return words.select("key", F.lit(None).alias("item")).filter("false")
-    held = words.select("key", "words", F.size("words").alias("n_words"), F.explode(F.sequence(F.lit(1), F.size("words"))).alias("at"))
+    length = F.when(part, F.lit((1 << 31) - 1)).otherwise(F.size("words"))
+    held = words.select("key", "words", F.size("words").alias("n_words"), length.alias("document_words"), F.explode(F.sequence(F.lit(1), F.size("words"))).alias("at"))
     if len(lengths) > 1:
         held = held.withColumn("length", F.explode(F.array(*map(F.lit, lengths))))
     else:
         held = held.withColumn("length", F.lit(lengths[0]))
-    held = held.filter("at + length - 1 <= n_words").select("key", "n_words", F.xxhash64(F.slice("words", F.col("at"), F.col("length"))).alias("hash"), "length")
-    return held.join(small(signatures), ["hash", "length"]).filter("n_words >= least_words").select("key", "item")
+    held = held.filter("at + length - 1 <= n_words").select("key", "document_words", F.xxhash64(F.slice("words", F.col("at"), F.col("length"))).alias("hash"), "length")
+    return held.join(small(signatures), ["hash", "length"]).filter("document_words >= least_words").select("key", "item")
 
 
-def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT, whole_rows: bool = False) -> DataFrame:
     """(key, item, containment): the items of whose distinct shingles a document holds 0.8 or more.
 
-    Null texts have no words. Rows of the same key, null included, count as one document, of which one row at least
-    must be long enough for the item's class. Rows of the same item are one item with the shingles of all. Items with
+    Null texts have no words. Rows of the same key, null included, are parts of one document and hold an item together;
+    with ``whole_rows`` they are known to be copies. Rows of the same item are one item with the shingles of all. Items with
     the same words are searched for once. Long texts are read whole. Empty tables on either side give an empty result. Other columns are
     left out.
     """
@@ -84,6 +89,12 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     index = save(index_items(once, "body", "text", containment), "index")
     rows = pick(docs, key=key, text=text)
     words = rows.select("key", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    if not whole_rows:
+        parts = save(rows.groupBy("key").count().filter("count > 1").select(F.col("key").alias("several")), "parts")
+        n = parts.count()
+        if n:
+            parts = F.broadcast(parts) if n <= BROADCAST_ROWS else parts
+            words = words.join(parts.withColumn("part", F.lit(True)), F.col("key").eqNullSafe(F.col("several")), "left").select("key", "words", F.coalesce("part", F.lit(False)).alias("part"))
     pairs = save(signature_meetings(words, index).distinct(), "candidates").select(F.col("key").alias("met"), "item")
     # the shingles of the items go to the candidate documents, in which each is looked for between blanks
     shingles = index.groupBy("item", "length", "size").agg(F.collect_list("shingle").alias("shingles"))
@@ -128,7 +139,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     def stage(d: DataFrame) -> DataFrame:
         marked = d.withColumn("_text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-        found = contained_items(marked, table(spark, sf_dir, "benchmark"), key="_text_key").select("_text_key").distinct()
+        found = contained_items(marked, table(spark, sf_dir, "benchmark"), key="_text_key", whole_rows=True).select("_text_key").distinct()
         return marked.join(found, "_text_key", "left_anti")
 
     return masked(stage, docs, ("text",))
