@@ -85,8 +85,9 @@ def near_components(fingerprints: DataFrame, distance: int = 4) -> DataFrame:
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4) -> DataFrame:
     """``key``, ``fingerprint`` (long) and ``component_id`` (least key reachable) of every document.
 
-    Documents without words have fingerprint zero and link like any other. Repeated rows keep a row each; null keys
-    are never the least of a group that has another. Empty tables give empty results; other columns are left out.
+    Documents without words have fingerprint zero and link like any other; very long texts are read whole. Repeated rows
+    keep a row each; null keys are never the least of a group that has another. Empty tables give empty results; other
+    columns are left out.
     """
     marked = save(add_fingerprints(docs, (key,), text), "fingerprints")
     firsts = marked.groupBy("fingerprint").agg(F.min(key).alias("first"))
@@ -106,7 +107,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of linked documents, keep the one of least id (and text hash).
 
-    Rows are known by id and text hash; rows equal in both are copies, of which one stays.
+    A null id stands behind all others, so it is kept only where a group has no other. Rows are known by id and text hash;
+    rows equal in both are copies, of which one stays. Null and empty texts are one group (fingerprint zero); very long
+    texts are read whole; an empty table stays empty; other columns, whatever their names, keep their values.
     """
     del spark, sf_dir
     return masked(_one_of_each_group, docs, ("doc_id", "text"))
@@ -116,7 +119,7 @@ def _one_of_each_group(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_text", F.xxhash64("text"))
     marked = save(add_fingerprints(keyed, ("doc_id", "_text")), "fingerprints")
     near = save(near_components(marked.select("fingerprint").distinct()), "components")
-    heads = marked.join(near, "fingerprint", "left").groupBy(F.coalesce("component", "fingerprint").alias("component")).agg(F.min(F.struct("doc_id", "_text")).alias("head"))
-    kept = heads.select("head.*").toDF("_id", "_hash").distinct()
+    heads = marked.join(near, "fingerprint", "left").groupBy(F.coalesce("component", "fingerprint").alias("component")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_text")).alias("head"))
+    kept = heads.select("head.doc_id", "head._text").toDF("_id", "_hash").distinct()
     same = keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_text"] == kept["_hash"])
     return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"])
