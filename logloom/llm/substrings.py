@@ -276,7 +276,11 @@ RUN = pa.schema([("key", pa.binary()), ("low", pa.int32()), ("high", pa.int32())
 
 
 def repeats_of_prefixes(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
-    """Runs of repeated windows, from pieces sorted by (prefix, key, low)."""
+    """Runs of repeated windows, from pieces sorted by (prefix, piece, key, low).
+
+    Equal pieces, which other tasks have sent as well, follow each other: one of them stands for all, and the windows of
+    the others are known to repeat. So what is held of a prefix are its distinct pieces, however many texts share them.
+    """
 
     def runs(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), RUN.types, strict=True)], schema=RUN)
@@ -284,16 +288,23 @@ def repeats_of_prefixes(batches: Iterator[pa.RecordBatch], dictionary: bytes) ->
     unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary)).decompress
     ready: list[tuple] = []  # pieces of whole prefixes
     group: list[tuple] = []  # those of the prefix that is being read
-    windows, place = 0, None
+    windows, first, place, alone = 0, None, None, True
     for batch in batches:
         known = batch.filter(pc.is_null(batch.column(0)))
         if known.num_rows:
             yield pa.RecordBatch.from_arrays(known.columns[1:4], schema=RUN)
         fresh = batch.filter(pc.is_valid(batch.column(0)))
+        again: list[tuple] = []
         for row in zip(*(c.to_pylist() for c in fresh.columns), strict=True):
-            if row[:3] == place:  # a copy of the text in another task
+            if first is not None and row[0] == first[0] and row[4] == first[4]:
+                if row[1:3] != place:  # else a copy of the text in another task
+                    if alone:
+                        again.append(first[1:4])
+                        alone = False
+                    again.append(row[1:4])
+                    place = row[1:3]
                 continue
-            if place is not None and row[0] != place[0]:
+            if first is not None and row[0] != first[0]:
                 if len(group) > 1:
                     ready += [(*r[:4], unpack(r[4])) for r in group]
                     windows += sum(r[3] - r[2] + 1 for r in group)
@@ -303,7 +314,9 @@ def repeats_of_prefixes(batches: Iterator[pa.RecordBatch], dictionary: bytes) ->
                         yield runs(found)
                     ready, windows = [], 0
             group.append(row)
-            place = row[:3]
+            first, place, alone = row, row[1:3], True
+        if again:
+            yield runs(again)
     if len(group) > 1:
         ready += [(*r[:4], unpack(r[4])) for r in group]
     if ready and (found := grow_subtrees(ready)):
@@ -327,7 +340,7 @@ def repeated_runs(docs: DataFrame, text: str = "text", heavy: int = HEAVY) -> Da
     lengthen = np.sort(np.array([r.prefix for r in most], np.int64).view(np.uint64))
     dictionary = piece_dictionary(rows)
     pieces = rows.mapInArrow(lambda batches: piece_rows(batches, lengthen, dictionary), "prefix long, key binary, low int, high int, piece binary")
-    dealt = pieces.repartition(F.coalesce("prefix", F.xxhash64("key", "low"))).sortWithinPartitions("prefix", "key", "low")
+    dealt = pieces.repartition(F.coalesce("prefix", F.xxhash64("key", "low"))).sortWithinPartitions("prefix", "piece", "key", "low")
     return dealt.mapInArrow(lambda batches: repeats_of_prefixes(batches, dictionary), "key binary, low int, high int")
 
 
