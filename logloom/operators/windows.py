@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from logloom.functions.scalar import connection_error_type
+from logloom.operators.folds import SEGMENT_ROWS, EwmaFold, GateFold, KillChainFold, fold_by_segments
 from logloom.operators.rollups import time_bucket
 
 
@@ -135,29 +131,7 @@ def merge_windows(df: DataFrame, key: str, start: str, end: str, block: int = 3_
     return merge(merge(rows, [key, "_block"]).drop("_block"), [key])
 
 
-def folded(df: DataFrame, keys: list[str], us: str, order: str, begin: Callable[[], dict], step: Callable[[dict, pd.DataFrame], pd.DataFrame], schema: str | StructType) -> DataFrame:
-    """``step`` over each key's rows in time order, an Arrow batch at a time: a state of the key is carried on.
-
-    Spark sorts the rows (on disk if need be), so a task never holds a key's whole history.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, {}
-        for batch in batches:
-            parts = []
-            for key, rows in batch.groupby(keys, sort=False, dropna=False):
-                key = tuple(None if pd.isna(x) else x for x in key)
-                if key != now:
-                    now, state = key, begin()
-                parts.append(step(state, rows))
-            if parts:
-                yield pd.concat(parts)
-
-    times = [F.asc_nulls_last(us), F.asc_nulls_last(order)]
-    return df.repartition(*keys).sortWithinPartitions(*keys, *times).mapInPandas(run, schema)
-
-
-def ewma_rates(df: DataFrame, key: str, us: str = "us", order: str = "event_id", half_lives: tuple[float, float, float] = (2.0, 60.0, 600.0), window_s: float = 300.0) -> DataFrame:
+def ewma_rates(df: DataFrame, key: str, us: str = "us", order: str = "event_id", half_lives: tuple[float, float, float] = (2.0, 60.0, 600.0), window_s: float = 300.0, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Exponentially decayed event and error rates of each key, and distinct actions in a restarting window.
 
     A recurrence over a key's rows in time order. Adds rate_fast, rate_medium, rate_slow, error_rate (of the medium
@@ -165,67 +139,22 @@ def ewma_rates(df: DataFrame, key: str, us: str = "us", order: str = "event_id",
     """
     added = "rate_fast double, rate_medium double, rate_slow double, error_rate double, acceleration double, unique_actions int"
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields] + [added])
-    halves = np.array([*half_lives, half_lives[1]])
-
-    def step(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        at = rows[us].to_numpy() / 1e6
-        error = (rows["severity"].to_numpy() >= 4).astype(float)
-        rates = np.zeros((len(rows), 4))
-        distinct = np.zeros(len(rows), int)
-        for i, action in enumerate(rows["event_type"]):
-            decay = 0.0 if state["last"] is None else 0.5 ** (np.maximum(at[i] - state["last"], 0.001) / halves)
-            rates[i] = state["rates"] = state["rates"] * decay + np.array([1, 1, 1, error[i]])
-            state["last"] = at[i]
-            if state["begin"] is None or at[i] - state["begin"] > window_s:
-                state.update(begin=at[i], seen=set())
-            state["seen"].add(action)
-            distinct[i] = len(state["seen"])
-        return rows.assign(rate_fast=rates[:, 0], rate_medium=rates[:, 1], rate_slow=rates[:, 2], error_rate=rates[:, 3], acceleration=rates[:, 0] / np.maximum(rates[:, 2], 0.01), unique_actions=distinct)
-
-    return folded(df, [key], us, order, lambda: {"rates": np.zeros(4), "last": None, "begin": None, "seen": set()}, step, schema)
-
-
-def kill_chain(df: DataFrame, key: str, stage: str, us: str = "us", order: str = "event_id", gate: float = 0.3, idle_s: float = 3600.0) -> DataFrame:
+    return fold_by_segments(df, [key], us, order, EwmaFold(us, half_lives, window_s), schema, segment_rows)
+
+
+def kill_chain(df: DataFrame, key: str, stage: str, us: str = "us", order: str = "event_id", gate: float = 0.3, idle_s: float = 3600.0, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Attack stage of each key so far: it only advances, on scores over the gate.
 
     When nothing has passed the gate for long enough, the stage starts anew. Adds chain_stage and chain_velocity, the
     inverse of the mean of the last five transition times (a second at least; 0 before two transitions).
     """
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields] + ["chain_stage int, chain_velocity double"])
+    return fold_by_segments(df, [key], us, order, KillChainFold(us, stage, gate, idle_s), schema, segment_rows)
 
-    def step(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        stages, speeds = [], []
-        now, last, times = state["now"], state["last"], state["times"]
-        for at, reached, score in zip(rows[us].to_numpy() / 1e6, rows[stage], rows["score"], strict=True):
-            last = at if last is None else last
-            if at - last > idle_s:
-                now, times = 0, []
-            if score > gate:
-                if reached > now:
-                    now = int(reached)
-                    times = [*times[-4:], at - last]
-                last = at
-            stages.append(now)
-            speeds.append(1 / max(float(np.mean(times)), 1.0) if len(times) > 1 else 0.0)
-        state.update(now=now, last=last, times=times)
-        return rows.assign(chain_stage=stages, chain_velocity=speeds)
-
-    return folded(df, [key], us, order, lambda: {"now": 0, "last": None, "times": []}, step, schema)
-
-
-def alert_gate(df: DataFrame, keys: list[str], us: str = "us", order: str = "event_id", least: float = 0.8, quiet_s: float = 300.0) -> DataFrame:
-    """High scores, each key's alerts at least so many seconds apart, counted from the last one kept (H1)."""
-
-    def step(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], state["last"]
-        for at in rows[us]:
-            good = last is None or at - last >= quiet_s * 1e6
-            last = at if good else last
-            keep.append(good)
-        state["last"] = last
-        return rows[keep]
 
-    return folded(df.filter(F.col("score") >= least), keys, us, order, lambda: {"last": None}, step, df.schema)
+def alert_gate(df: DataFrame, keys: list[str], us: str = "us", order: str = "event_id", least: float = 0.8, quiet_s: float = 300.0, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """High scores, each key's alerts at least so many seconds apart, counted from the last one kept (H1)."""
+    return fold_by_segments(df.filter(F.col("score") >= least), keys, us, order, GateFold(us, quiet_s), df.schema, segment_rows)
 
 
 def daily_counts(df: DataFrame, key: str, ts: str = "ts") -> DataFrame:
