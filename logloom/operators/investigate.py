@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.normalize import first_match
-from logloom.operators.joins import appearances, interval_join, occurrences, running_totals, small
+from logloom.operators.joins import interval_join, small
+from logloom.operators.sweeps import appearances, occurrences, running_totals
 
 HOUR = 3_600_000_000
 
@@ -81,7 +82,7 @@ def rule_hits(alerts: DataFrame, facts: DataFrame, key: str = "host", minutes: i
 
 def spc_check(alerts: DataFrame, facts: DataFrame, baseline: DataFrame, key: str = "host", limit: float = 3.0) -> DataFrame:
     """z of an entity's rows in the last hour against its baseline, and whether that is out of control (H4)."""
-    counts = entity_history(alerts, facts, key, HOUR, []).groupBy("event_id").agg(F.count("*").alias("observed"))
+    counts = running_totals(alerts.filter(_real(key)), key, "us", [occurrences(facts.filter(_real(key)), key, "us", HOUR, "observed")], HOUR)
     out = alerts.select("event_id", key).join(counts, "event_id", "left").join(small(baseline.select(key, "mean", "std")), key, "left")
     observed = F.coalesce("observed", F.lit(0))
     z = F.when(F.coalesce(F.col("std"), F.lit(0.0)) > 0, (observed - F.col("mean")) / F.col("std")).otherwise(0.0)

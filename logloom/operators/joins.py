@@ -37,49 +37,6 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: s
     return left.join(met, left.columns, "left")
 
 
-def occurrences(facts: DataFrame, key: str, at: str, span: int, name: str) -> DataFrame:
-    """Changes (key, at, ``name``) of the number of rows in the trailing ``span``: +1 at each row, -1 when it has passed."""
-    met = facts.groupBy(key, at).agg(F.count("*").alias(name))
-    leave = F.explode(F.array(F.struct(F.col(at).alias("at"), F.col(name).alias("n")), F.struct((F.col(at) + span + 1).alias("at"), (-F.col(name)).alias("n"))))
-    return met.select(key, leave.alias("_c")).select(key, F.col("_c.at").alias("at"), F.col("_c.n").alias(name))
-
-
-def appearances(facts: DataFrame, key: str, value: str, at: str, span: int, name: str) -> DataFrame:
-    """Changes (key, at, ``name``) of the number of distinct values in the trailing ``span``.
-
-    A value counts from a row on until ``span`` after it; rows no further apart are one appearance. Rows are first
-    reduced to one for each key, value and slot of length ``span``, so a hot key or value shuffles few rows.
-    """
-    slots = facts.filter(F.col(value).isNotNull()).groupBy(key, value, F.floor(F.col(at) / span).alias("_slot")).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
-    by = Window.partitionBy(key, value).orderBy("_slot")
-    opens = F.coalesce(F.col("_first") - F.lag("_last").over(by) > span, F.lit(True))
-    shuts = F.coalesce(F.lead("_first").over(by) - F.col("_last") > span, F.lit(True))
-    ends = F.array(F.when(opens, F.struct(F.col("_first").alias("at"), F.lit(1).cast("long").alias("n"))), F.when(shuts, F.struct((F.col("_last") + span + 1).alias("at"), F.lit(-1).cast("long").alias("n"))))
-    found = slots.withColumn("_ends", ends).select(key, F.explode(F.filter("_ends", lambda e: e.isNotNull())).alias("_c"))
-    return found.select(key, F.col("_c.at").alias("at"), F.col("_c.n").alias(name))
-
-
-def running_totals(left: DataFrame, key: str, at: str, changes: list[DataFrame], slot: int, row: str = "event_id") -> DataFrame:
-    """(row, totals): for every row of ``left`` the sums of all changes of its key up to its time, itself included.
-
-    One sweep over keys and slots of time: sums run within a slot, and those of earlier slots are added, so no row of
-    ``left`` is paired with the rows before it and a hot key is spread over its slots.
-    """
-    names = [c for d in changes for c in d.columns[2:]]
-    fill = lambda have: [(F.col(n) if n in have else F.lit(0).cast("long")).alias(n) for n in names]
-    kind = left.schema[row].dataType
-    rows = left.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.col(row).alias("_row"), F.lit(True).alias("_own"), *fill(()))
-    for d in changes:
-        rows = rows.unionByName(d.select(F.col(key).alias("_key"), F.col("at").alias("_at"), F.lit(None).cast(kind).alias("_row"), F.lit(False).alias("_own"), *fill(d.columns)))
-    rows = rows.withColumn("_slot", F.floor(F.col("_at") / slot))
-    within = Window.partitionBy("_key", "_slot").orderBy("_at")  # rows of the same time count in each other's sums
-    run = rows.withColumns({n: F.sum(n).over(within) for n in names}).filter("_own")
-    earlier = Window.partitionBy("_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("_key", "_slot").agg(*[F.sum(n).alias(n) for n in names])
-    before = sums.select("_key", "_slot", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_b_{n}") for n in names])
-    return run.join(before, ["_key", "_slot"]).select(F.col("_row").alias(row), *[(F.col(n) + F.col(f"_b_{n}")).alias(n) for n in names])
-
-
 def ioc_match(df: DataFrame, ioc: DataFrame, as_of: Column) -> DataFrame:
     """``ioc_match`` and ``ioc_confidence`` of the first unexpired indicator among source and destination."""
     live = small(ioc.filter(F.col("expires_at").isNull() | (F.col("expires_at") > as_of)).groupBy(F.lower(F.trim("value")).alias("_ioc")).agg(F.max("confidence").alias("_confidence")))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.scalar import connection_error_type
-from logloom.operators.folds import SEGMENT_ROWS, EwmaFold, GateFold, KillChainFold, fold_by_segments
+from logloom.operators.folds import SEGMENT_ROWS, EwmaFold, GateFold, KillChainFold, fold_by_segments, time_segments
 from logloom.operators.rollups import time_bucket
+from logloom.operators.sweeps import appearances, running_totals
 
 
 def latest_per_key(df: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
@@ -62,26 +63,46 @@ def source_novelty(df: DataFrame, keys: list[str], us: str = "us", hours: int =
     return df.withColumn("novelty", F.coalesce((F.col(us) - before > hours * 3_600_000_000).cast("int"), F.lit(1)))
 
 
-def running_baseline_z(df: DataFrame, key: str, order: list[str], score: str = "score", least: int = 10) -> DataFrame:
-    """z of each score against all scores of its key so far, its own included; 0 for fewer than ten."""
-    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    n, mean, std = F.count("*").over(so_far), F.avg(score).over(so_far), F.stddev_pop(score).over(so_far)
-    return df.withColumn("baseline_z", F.when((n < least) | (std < 1e-6), 0.0).otherwise((F.col(score) - mean) / std))
+def running_baseline_z(df: DataFrame, key: str, order: list[str], score: str = "score", least: int = 10, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """z of each score against all scores of its key so far, its own included; 0 for fewer than ten.
+
+    Number, mean and sum of squares run within segments of time (``order`` starts with a number, the time), and those of
+    the segments before are merged in: a hot key is spread over its segments. Null scores do not count.
+    """
+    cut = time_segments(df, order[0], segment_rows)
+    so_far = Window.partitionBy(key, "_segment").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(key, "_segment").agg(F.count(score).alias("_n"), F.sum(score).alias("_sum"), F.coalesce(F.var_pop(score), F.lit(0.0)).alias("_var"))
+    sums = sums.withColumn("_mean", F.coalesce(F.try_divide("_sum", "_n"), F.lit(0.0)))
+    # a key's segments, a row each: merged in order
+    rows = F.collect_list(F.struct("_n", "_mean", (F.col("_var") * F.col("_n")).alias("m2"))).over(earlier)
+    merged = sums.select(F.col(key).alias("_key"), F.col("_segment").alias("_at"), F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2")), lambda a, x: _merged(a["n"], a["mean"], a["m2"], x["_n"], x["_mean"], x["m2"])).alias("_before"))
+    own = cut.withColumns({"_n": F.count(score).over(so_far), "_mean": F.coalesce(F.avg(score).over(so_far), F.lit(0.0)), "_var": F.coalesce(F.var_pop(score).over(so_far), F.lit(0.0))})
+    met = own.join(merged, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_segment") == F.col("_at")))
+    met = met.withColumn("_all", _merged(F.col("_before.n"), F.col("_before.mean"), F.col("_before.m2"), F.col("_n"), F.col("_mean"), F.col("_var") * F.col("_n")))
+    std = F.sqrt(F.try_divide(F.col("_all.m2"), F.col("_all.n")))
+    z = F.when((F.col("_all.n") < least) | (std < 1e-6), 0.0).otherwise((F.col(score) - F.col("_all.mean")) / std)
+    return met.select(*df.columns, z.alias("baseline_z"))
+
+
+def _merged(n: Column, mean: Column, m2: Column, more: Column, more_mean: Column, more_m2: Column) -> Column:
+    """Number, mean and sum of squared deviations of two sets together."""
+    total = n + more
+    share = F.coalesce(F.try_divide(more.cast("double"), total), F.lit(0.0))
+    gap = more_mean - mean
+    return F.struct(total.alias("n"), (mean + gap * share).alias("mean"), (m2 + more_m2 + gap * gap * n * share).alias("m2"))
 
 
 def cross_host_count(df: DataFrame, us: str = "us", seconds: int = 900, least: float = 0.5) -> DataFrame:
     """Distinct hosts with a high score in the trailing span of each high-scored row, 0 for the others.
 
-    The span has no key. Rows meet in time buckets of the span's length, each in its own and the one before, so the
-    join is split by time and no task holds all rows.
+    The span has no key: hosts that appear and pass are totalled over slots of time, so no rows are paired and no task
+    holds more than a slot.
     """
     span = seconds * 1_000_000
-    high = df.filter(F.col("score") >= least)
-    mine = high.select("event_id", F.col(us).alias("_at"), F.explode(F.array(F.floor(F.col(us) / span), F.floor(F.col(us) / span) - 1)).alias("_bucket"))
-    facts = high.select("host", F.col(us).alias("_then"), F.floor(F.col(us) / span).alias("_bucket")).distinct()
-    near = mine.join(facts, "_bucket").filter((F.col("_then") <= F.col("_at")) & (F.col("_then") >= F.col("_at") - span))
-    counts = near.groupBy("event_id").agg(F.count_distinct("host").alias("cross_hosts"))
-    return df.join(counts, "event_id", "left").withColumn("cross_hosts", F.coalesce("cross_hosts", F.lit(0)))
+    high = df.filter(F.col("score") >= least).withColumn("_all", F.lit(0))
+    counts = running_totals(high, "_all", us, [appearances(high, "_all", "host", us, span, "cross_hosts")], span)
+    return df.join(counts.select("event_id", "cross_hosts"), "event_id", "left").withColumn("cross_hosts", F.coalesce("cross_hosts", F.lit(0)))
 
 
 def chain_check(anchors: DataFrame) -> DataFrame:

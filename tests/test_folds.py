@@ -94,3 +94,25 @@ def test_chain_leaves_as_a_loop_does():
                     want = t
             got = chain.leave(begin, at[upto].tolist(), at[last].tolist())
             assert (begin if got is None else got) == want
+
+
+@pytest.mark.parametrize("segment_rows", [10_000, 60, 3])
+def test_running_baseline_over_segments(spark, segment_rows):
+    rows = ROWS[:-2]
+    got = windows.running_baseline_z(spark.createDataFrame(rows, SCHEMA), "host", ["us", "event_id"], segment_rows=segment_rows).toPandas()
+    df = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).sort_values(["us", "event_id"])
+    want = {}
+    for _, part in df.groupby("host", dropna=False):
+        for i in range(len(part)):
+            x = part.score.to_numpy()[: i + 1]
+            want[part.event_id.iloc[i]] = 0.0 if i < 9 or x.std() < 1e-6 else (x[-1] - x.mean()) / x.std()
+    assert len(got) == len(want)
+    assert all(abs(want[i] - z) < 1e-9 for i, z in zip(got.event_id, got.baseline_z, strict=True))
+    assert set(got.columns) == {*df.columns, "baseline_z"}
+
+
+def test_cross_hosts_by_pairs(spark):
+    rows = [r for r in ROWS if r[2] is not None and r[1]]
+    got = {r.event_id: r.cross_hosts for r in windows.cross_host_count(spark.createDataFrame(rows, SCHEMA)).collect()}
+    high = [r for r in rows if r[3] >= 0.5]
+    assert got == {r[0]: len({h[1] for h in high if r[2] - 900_000_000 <= h[2] <= r[2]}) if r[3] >= 0.5 else 0 for r in rows}
