@@ -233,7 +233,7 @@ def fit_languages(docs: DataFrame, fold_filter, max_documents: int = MAX_DOCUMEN
     rates = docs.sparkSession.createDataFrame([(r[0], min(1.0, (2.0 * quota + 20) / r[1])) for r in counts], "lang string, rate double")
     unit = F.pmod(F.xxhash64("doc_id", F.lit("lang sample")), F.lit(1 << 20)) / F.lit(1 << 20)
     # characters that a quarter of the language's room holds
-    most = F.greatest(F.floor(F.lit(max(room // 4, 1)) * F.length("text") / F.greatest(F.octet_length("text"), F.lit(1))), F.lit(1)).cast("int")
+    most = F.greatest(F.floor(F.lit(max(room // 4, 1)).cast("long") * F.length("text") / F.greatest(F.octet_length("text"), F.lit(1))), F.lit(1)).cast("int")
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - most + 1, F.lit(1))).cast("int") + 1
     part = F.when(F.octet_length("text") > max(room // 4, 1), F.substring("text", place, most)).otherwise(F.col("text"))
     drawn = own.join(F.broadcast(rates), "lang").filter(unit < F.col("rate")).withColumn("text", part)

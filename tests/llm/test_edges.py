@@ -51,9 +51,11 @@ def test_languages_of_long_texts_are_learned(spark):
     plain, langid.ByteGRU.fit = langid.ByteGRU.fit, lambda self, texts, y: seen.append(sum(map(len, texts))) or self
     try:
         assert langid.fit_languages(one, lambda c: c >= 0, max_bytes=10_000).languages == ["xx", "yy"]
+        assert langid.fit_languages(one, lambda c: c >= 0).languages == ["xx", "yy"]
     finally:
         langid.ByteGRU.fit = plain
     assert seen[0] <= 10_000
+    assert 100_000 < seen[1] <= langid.MAX_BYTES
     assert langid.fit_languages(one.filter("false"), lambda c: c >= 0) is None
     assert langid.predict_languages(one.filter("false"), model).count() == 0
 
