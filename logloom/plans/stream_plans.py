@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from logloom.operators import detect as G
@@ -16,6 +17,7 @@ from logloom.plans import windows_plans  # noqa: F401  (its SQL is that of the b
 from logloom.plans.registry import ORACLE_SQL, query
 from logloom.sources.fixtures import EV_SQL, log_events
 from logloom.streaming import streams as S
+from logloom.streaming import trailing as T
 
 
 def shared_root(spark) -> str:
@@ -43,6 +45,30 @@ def streamed(spark, df, transform, mode: str = "append"):
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
+def in_turns(df, turns: int, wait_us=None):
+    """``df`` with ``turn``: its rows by time, cut into equal spans; ``wait_us`` is how much later each row comes in."""
+    low, high = df.agg(F.min("us"), F.max("us")).first()
+    came = F.col("us") + (0 if wait_us is None else wait_us)
+    place = F.floor((came - F.lit(low or 0)) * turns / F.lit(((high or 0) - (low or 0)) + 1)).cast("int")
+    return df.withColumn("turn", F.least(F.coalesce(place, F.lit(0)), F.lit(turns - 1)))
+
+
+def streamed_in_turns(spark, df, transform, turns: int, mode: str = "append", drop_us: bool = False):
+    """As ``streamed``, but the rows of each ``turn`` arrive when those before have been taken in: a micro-batch each, whatever
+    the number of files, with the state and the watermark of the one before."""
+    root = shared_root(spark)
+    for i in range(turns):
+        part = df.filter(F.col("turn") == i).drop("turn", *(["us"] if drop_us else []))
+        part.write.mode("append").parquet(f"{root}/in")
+        out = transform(spark.readStream.schema(part.schema).parquet(f"{root}/in"))
+        S.run_available(out, f"{root}/out", f"{root}/checkpoint", mode)
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+def turn_sql(turns: int, wait: str = "0") -> str:
+    return f"least(((us + {wait} - (SELECT min(us) FROM ev)) * {turns} // ((SELECT max(us) - min(us) FROM ev) + 1))::INT, {turns - 1})"
+
+
 def timed(ev):
     """With the time as a timestamp, as streams need it for watermarks."""
     return ev.withColumn("at", F.timestamp_micros("us"))
@@ -69,6 +95,26 @@ def j2(spark, d):
     return closed(streamed(spark, ev, lambda s: S.hopping_counts(s, "at", ["source"], "2 hours", "1 hour")))
 
 
+MEASURES = [T.Trailing("n_2s", "count", 2), T.Trailing("n_300s", "count", 300), T.Trailing("actions_300s", "distinct", 300, "event_type"), T.Trailing("errors_600s", "sum", 600, "error"), T.Trailing("same_900s", "same", 900, "event_type")]
+SLOT = 14_400_000_000
+#: Rows come up to five minutes late, which is less than the watermark allows.
+WAIT_SQL = "(('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 300000000)"
+
+
+def wait_us():
+    return F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 8), 16, 10).cast("long") % 300_000_000
+
+
+@query("j2_trailing", EV_SQL + f"""SELECT event_id, count(*) OVER (w RANGE BETWEEN 2000000 PRECEDING AND CURRENT ROW)::DOUBLE AS n_2s, count(*) OVER m::DOUBLE AS n_300s, len(list_distinct(list(event_type) OVER m))::DOUBLE AS actions_300s,
+  sum((severity = 4)::INT) OVER (w RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW)::DOUBLE AS errors_600s, count(*) OVER (PARTITION BY direction, event_type ORDER BY us RANGE BETWEEN 900000000 PRECEDING AND CURRENT ROW)::DOUBLE AS same_900s
+FROM ev WINDOW w AS (PARTITION BY direction ORDER BY us), m AS (PARTITION BY direction ORDER BY us RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW)
+QUALIFY (us // {SLOT} + 1) * {SLOT} <= (SELECT max(us) - 600000000 FROM ev)""")
+def j2_trailing(spark, d):
+    """Exact windows up to each row, of rows that come out of order in four micro-batches; given out when their slot is over."""
+    ev = in_turns(timed(log_events(spark, d)).select("event_id", "at", "us", "direction", "event_type", (F.col("severity") == 4).cast("double").alias("error")), 4, wait_us())
+    return streamed_in_turns(spark, ev, lambda s: T.trailing_stream(s, ["direction"], MEASURES, slot_s=SLOT / 1_000_000), 4)
+
+
 @query("j3_sessions", EV_SQL + f""", s AS (SELECT host, us, sum(coalesce((us - p > 3600000000)::INT, 1)) OVER (PARTITION BY host ORDER BY us) AS g FROM (SELECT host, us, lag(us) OVER (PARTITION BY host ORDER BY us) AS p FROM ev))
 SELECT min(us) AS start, host, count(*) AS events FROM s GROUP BY host, g HAVING max(us) + 3600000000 <= {LAST_SQL}""")
 def j3(spark, d):
@@ -103,6 +149,86 @@ def j7(spark, d):
     return streamed(spark, ev, lambda s: S.suppress_duplicates(s, "at", ["host", "k"], "100 days")).groupBy("host", "k").agg(F.count("*").alias("n"))
 
 
+#: Rows of every tenth k come a turn and a half later than the others, so most of them are late.
+BEHIND = 4 * 86_400_000_000
+BEHIND_SQL = f"(CASE WHEN k % 10 = 0 THEN {BEHIND} ELSE 0 END)"
+#: CTEs: ``came`` has the turn of each row, ``marks`` the newest row of the turns before each turn, in whole milliseconds.
+TURNS_SQL = EV_SQL + f""", came AS (SELECT *, {turn_sql(3, BEHIND_SQL)} AS turn FROM ev),
+marks AS (SELECT a.turn, max(b.us) // 1000 * 1000 AS newest FROM (SELECT DISTINCT turn FROM came) a JOIN came b ON b.turn < a.turn GROUP BY a.turn)
+"""
+
+
+def turns_with_late(ev):
+    return in_turns(ev, 3, F.when(F.col("k") % 10 == 0, BEHIND).otherwise(0))
+
+
+@query("j7_redelivered", TURNS_SQL + "SELECT event_id, host FROM came LEFT JOIN marks USING (turn) WHERE newest IS NULL OR us > newest - 300000000")
+def j7_redelivered(spark, d):
+    """Rows that come twice or, in the next micro-batch, a third time, count once within 300 s; late ones do not count."""
+    ev = turns_with_late(timed(log_events(spark, d)).select("event_id", "at", "us", "host", "k"))
+    again = ev.filter("k % 5 = 0").unionAll(ev.filter("k % 7 = 0").withColumn("turn", F.least(F.col("turn") + 1, F.lit(2))))
+    out = streamed_in_turns(spark, ev.unionAll(again), lambda s: S.suppress_duplicates(s, "at", ["event_id"]), 3)
+    return out.select("event_id", "host")
+
+
+@query("j10_late_side_table", TURNS_SQL + "SELECT turn::BIGINT AS batch, coalesce(us <= newest - 600000000, false) AS late, count(*) AS n, min(event_id) AS first FROM came LEFT JOIN marks USING (turn) GROUP BY ALL")
+def j10_late_side_table(spark, d):
+    """Rows in time and late ones of three micro-batches, each in its own table and counted once."""
+    root = shared_root(spark)
+    ev = turns_with_late(log_events(spark, d).select("event_id", "us", "k"))
+    for i in range(3):
+        part = ev.filter(F.col("turn") == i).drop("turn")
+        part.write.mode("append").parquet(f"{root}/in")
+        writer = S.route_late(spark.readStream.schema(part.schema).parquet(f"{root}/in"), "us", root)
+        writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return S.routed(spark, root).groupBy("batch", "late").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+@query("j9_effectively_once", EV_SQL + "SELECT source, event_type, count(*) AS n FROM ev GROUP BY ALL")
+def j9_effectively_once(spark, d):
+    """A micro-batch whose writer fails after it has written is taken in again and counts once, without removing duplicates."""
+    root = shared_root(spark)
+    ev = in_turns(log_events(spark, d).select("event_id", "ts", "us", "source", "event_type"), 2)
+    failed = []
+
+    def step(batch, batch_id):
+        S.append_sink(batch, batch_id, f"{root}/out")
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise ConnectionError("lost after the write")
+
+    for i in (0, 1, 1):
+        if i == 0 or not failed:
+            part = ev.filter(F.col("turn") == i).drop("turn")
+            part.write.mode("append").parquet(f"{root}/in")
+        run = spark.readStream.schema(part.schema).parquet(f"{root}/in").writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        try:
+            run.awaitTermination()
+        except StreamingQueryException:
+            if failed != [1]:
+                raise
+    return spark.read.parquet(f"{root}/out").groupBy("source", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("j13_metrics_stream", EV_SQL + f""", came AS (SELECT *, {turn_sql(3)} AS turn FROM ev), b AS (SELECT turn::BIGINT AS batch, count(*) AS n, count(*) FILTER (WHERE severity = 4) AS errors, avg(score) AS mean, min(us) AS oldest, max(us) AS newest FROM came GROUP BY turn),
+m AS (SELECT *, max(newest) OVER (ORDER BY batch) AS so_far, first(mean) OVER (ORDER BY batch) AS base FROM b)
+SELECT batch, x.metric, round(x.value, 6) AS value FROM (SELECT batch, unnest([{{'metric': 'rows', 'value': n::DOUBLE}}, {{'metric': 'errors', 'value': errors::DOUBLE}}, {{'metric': 'mean_score', 'value': mean}}, {{'metric': 'drift_score', 'value': abs(mean - base)}}, {{'metric': 'lag_s', 'value': (so_far - oldest) / 1e6}}]) AS x FROM m)""")
+def j13_metrics_stream(spark, d):
+    """What three micro-batches report of themselves, from the table that the listener appends to; rates are in it, but hang on
+    the machine."""
+    root = shared_root(spark)
+    ev = in_turns(log_events(spark, d).select("event_id", "us", "severity", "score"), 3)
+    listener = S.MetricsListener(spark, f"{root}/metrics")
+    spark.streams.addListener(listener)
+    try:
+        seen = [F.count("*").alias("rows"), F.count_if(F.expr("severity = 4")).alias("errors"), F.avg("score").alias("mean_score"), F.min("us").alias("oldest"), F.max("us").alias("newest")]
+        streamed_in_turns(spark, ev, lambda s: s.observe("stage", *seen), 3)
+        listener.wait_for(3)
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.read.parquet(f"{root}/metrics").filter("metric not like '%rate'").select("batch", "metric", F.round("value", 6).alias("value"))
+
+
 @query("j9_replay", EV_SQL + "SELECT source, count(*) AS n FROM ev GROUP BY source")
 def j9(spark, d):
     """The input twice, with deterministic ids, counts once."""

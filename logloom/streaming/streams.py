@@ -6,12 +6,15 @@ that its batch twin in ``operators.windows`` gives on the same input in time ord
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from logloom.operators.joins import small
@@ -44,6 +47,96 @@ def split_late(df: DataFrame, ts: str, as_of: Column, late_seconds: int = 600) -
     return df.filter(~is_late), df.filter(is_late)
 
 
+def watermark_before(spark: SparkSession, root: str, batch_id: int, late_us: int) -> int | None:
+    """The watermark that earlier micro-batches have set, as Spark reckons it: their newest row, in whole milliseconds, less the
+    lateness; None before the first."""
+    try:
+        marks = spark.read.schema("newest long, batch long").parquet(f"{root}/marks")
+    except AnalysisException:  # nothing was written yet
+        return None
+    newest = marks.filter(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+    return None if newest is None else newest // 1_000 * 1_000 - late_us
+
+
+def route_late(df: DataFrame, us: str, root: str, late_seconds: int = 600) -> DataStreamWriter:
+    """A writer of rows in time and of late ones to ``root``/rows, apart by ``late``, each once.
+
+    A row is late if it is no newer than the watermark, which is kept in a table by micro-batch: so a repeated micro-batch
+    decides as it did the first time, and overwrites what it wrote. Rows without a time are late. Rows are read once.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = watermark_before(spark, root, batch_id, late_seconds * 1_000_000)
+        late = F.col(us).isNull() if mark is None else F.coalesce(F.col(us) <= mark, F.lit(True))
+        seen = Observation()
+        batch.withColumn("late", late).observe(seen, F.max(us).alias("newest")).write.mode("overwrite").partitionBy("late").parquet(f"{root}/rows/batch={batch_id}")
+        spark.createDataFrame([(seen.get["newest"],)], "newest long").coalesce(1).write.mode("overwrite").parquet(f"{root}/marks/batch={batch_id}")
+
+    return df.writeStream.foreachBatch(step)
+
+
+def routed(spark: SparkSession, root: str) -> DataFrame:
+    """The rows that ``route_late`` has written, with ``late`` and ``batch``."""
+    rows = spark.read.parquet(f"{root}/rows")
+    return rows.withColumns({"late": F.col("late").cast("boolean"), "batch": F.col("batch").cast("long")})
+
+
+class MetricsListener(StreamingQueryListener):
+    """Appends what streams report of each micro-batch to a long table (query, batch, at, metric, value).
+
+    Rates come from Spark's progress reports, all else from ``observed`` columns: ``oldest`` and ``newest`` times give the
+    lag, how far a micro-batch's oldest row is behind the newest so far; columns ``mean_*`` give the drift, their
+    distance from ``baseline``, or from the first micro-batch. Rows are written when some have come and when a query ends.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 200, baseline: dict[str, float] | None = None):
+        self.spark, self.path, self.every = spark, path, every
+        self.baseline, self.newest = dict(baseline or {}), {}
+        self.rows: list[tuple] = []
+        self.ended: set[str] = set()
+        self.lock = threading.Lock()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        values = {"input_rate": p.inputRowsPerSecond, "processed_rate": p.processedRowsPerSecond}
+        for name, row in p.observedMetrics.items():
+            seen = {k: v for k, v in row.asDict().items() if v is not None}
+            if "newest" in seen and "oldest" in seen:
+                self.newest[name] = max(seen.pop("newest"), self.newest.get(name, -(1 << 62)))
+                values["lag_s"] = (self.newest[name] - seen.pop("oldest")) / 1e6
+            for k, v in seen.items():
+                values[k] = float(v)
+                if k.startswith("mean_"):
+                    values[f"drift_{k[5:]}"] = abs(v - self.baseline.setdefault(k, v))
+        with self.lock:
+            self.rows += [(str(p.name or p.id), int(p.batchId), str(p.timestamp), k, float(v)) for k, v in values.items()]
+        if len(self.rows) >= self.every:
+            self.flush()
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def flush(self) -> None:
+        with self.lock:
+            rows, self.rows = self.rows, []
+        if rows:
+            self.spark.createDataFrame(rows, "query string, batch long, at string, metric string, value double").coalesce(1).write.mode("append").parquet(self.path)
+
+    def wait_for(self, runs: int, seconds: float = 60.0) -> None:
+        """Until so many runs have been reported as ended; reports come after the query itself."""
+        until = time.monotonic() + seconds
+        while len(self.ended) < runs and time.monotonic() < until:
+            time.sleep(0.05)
+        self.flush()
+
+
 class KeyedState(StatefulProcessor):
     """One value of state for each key. With ``ttl_ms`` an idle key's state leaves after that processing time."""
 
