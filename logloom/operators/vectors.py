@@ -3,15 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-
-def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of two arrays, in double precision."""
-    gaps = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g))
+from logloom.operators.neighbours import nearest_neighbours
 
 
 def embed(df: DataFrame, text: str, features: int = 256) -> DataFrame:
@@ -25,20 +20,10 @@ def embed(df: DataFrame, text: str, features: int = 256) -> DataFrame:
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int, where: Column | None = None, drop_self: bool = False) -> DataFrame:
     """The k nearest of ``corpus`` (id, vector, ...) for each of ``queries`` (query_id, query_vector).
 
-    The queries, of a checked size, go to every task of the corpus; each task keeps the k best of its rows for each
-    query before the shuffle. ``where`` limits the corpus. Ties go to the smaller id; vectors are left out.
+    Exact, by cells that the triangle inequality rules out. ``where`` limits the corpus. Ties go to the smaller id; vectors
+    are left out.
     """
-    held = corpus if where is None else corpus.filter(where)
-    pairs = held.crossJoin(F.broadcast(queries)) if small_enough(queries) else held.crossJoin(queries)
-    if drop_self:
-        pairs = pairs.filter(F.col("id") != F.col("query_id"))
-    scored = pairs.withColumn("distance", distance(F.col("vector"), F.col("query_vector"))).drop("vector", "query_vector")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return scored.withColumn("rank", place).filter(F.col("rank") <= k)
-
-
-def small_enough(df: DataFrame, bound: int = 20_000) -> bool:
-    return df.limit(bound + 1).count() <= bound
+    return nearest_neighbours(queries, corpus if where is None else corpus.filter(where), k, drop_self)
 
 
 def find_similar(corpus: DataFrame, which: Column, k: int) -> DataFrame:
@@ -57,5 +42,3 @@ def confirmed_attack_corpus(scores: DataFrame, verdicts: DataFrame) -> DataFrame
 def incident_corpus(df: DataFrame, text: str) -> DataFrame:
     """Incidents or indicators as (id, text, kind, vector) rows."""
     return embed(df.select("id", F.col(text).alias("text"), "kind"), "text")
-
-
