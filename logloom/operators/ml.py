@@ -5,13 +5,16 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.scalar import sanitize
+from logloom.operators.joins import small
 
 
 def build_training_frame(sets: list[DataFrame], numbers: list[str]) -> DataFrame:
@@ -37,7 +40,7 @@ def stratified_sample(df: DataFrame, category: str, target: int, key: str, seed:
     """Rows at a rate of min(1, target / n) in each category, decided by a hash (M3)."""
     rates = df.groupBy(category).agg(F.least(F.lit(1.0), F.lit(float(target)) / F.count("*")).alias("_rate"))
     unit = F.conv(F.substring(by_hash(key, seed)[0], 1, 8), 16, 10).cast("double") / 2**32
-    return df.join(F.broadcast(rates), category).filter(unit < F.col("_rate")).drop("_rate")
+    return df.join(small(rates), category).filter(unit < F.col("_rate")).drop("_rate")
 
 
 def capped_sample(df: DataFrame, categories: list[tuple[str, Column]], caps: dict[str, int], key: str) -> DataFrame:
@@ -67,23 +70,83 @@ def score_classifier(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("model_score", vector_to_array("probability")[1]).drop("_raw", "features", "rawPrediction", "probability", "prediction")
 
 
-def train_anomaly(df: DataFrame, features: list[str], k: int = 2):
-    """Scaler and principal components whose reconstruction error is the anomaly score (M7)."""
-    stages = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), PCA(k=k, inputCol="_scaled", outputCol="_pc")]
-    return Pipeline(stages=stages).fit(df)
+def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42, bucket_rows: int = 100_000) -> DataFrame:
+    """``df`` with ``fold``, 0 to ``folds`` - 1: of each label as many rows in every fold, but for one (M6).
+
+    Rows are dealt in turn in the order of a hash of the key. The order is cut into buckets by the hash's first digits, so
+    many that they hold ``bucket_rows`` rows of the table on average: rows are numbered within buckets, and the rows of the
+    buckets before are added, so no window holds a label's rows. Equal keys lie side by side; null labels are a label.
+    """
+    digits = 1
+    while df.count() > bucket_rows * 16**digits:
+        digits += 1
+    digest = by_hash(key, seed)[0]
+    marked = df.withColumns({"_digest": F.coalesce(digest, F.lit("")), "_bucket": F.coalesce(F.substring(digest, 1, digits), F.lit(""))})
+    counts = marked.groupBy(label, "_bucket").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(label).alias("_label"), F.col("_bucket").alias("_of"), before.alias("_before"))
+    met = marked.join(small(offsets), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_of")))
+    place = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_digest", key)) - 1 + F.col("_before")
+    return met.withColumn("fold", (place % folds).cast("int")).drop("_digest", "_bucket", "_label", "_of", "_before")
+
+
+def cross_validated(df: DataFrame, features: list[str], label: str = "label", folds: int = 5, rounds: int = 100, depth: int = 5, rate: float = 0.1):
+    """Boosted trees over the ``fold`` column (M6): the model of all rows, and ``df`` with ``model_score``, each row's score by the
+    model of the folds that it is not in.
+
+    Labels weigh the same in sum. Every round sees 0.8 of the rows and of the features. Null features count as 0.
+    """
+    sums = df.groupBy(label).count()
+    weight = small(sums.select(F.col(label).alias("_label"), (1.0 / F.col("count")).alias("_weight")))
+    n = df.count()
+    rows = df.join(weight, F.col(label) == F.col("_label")).withColumn("_weight", F.col("_weight") * n / 2).drop("_label")
+    filled = rows.withColumns({f"_f{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(features)})
+    assembled = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="features").transform(filled).drop(*[f"_f{i}" for i in range(len(features))])
+    trees = GBTClassifier(labelCol=label, weightCol="_weight", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=42)
+    judge = BinaryClassificationEvaluator(labelCol=label, weightCol="_weight", metricName="areaUnderPR")
+    found = CrossValidator(estimator=trees, estimatorParamMaps=[{}], evaluator=judge, numFolds=folds, foldCol="fold", collectSubModels=True, parallelism=2, seed=42).fit(assembled)
+    scored = [found.subModels[i][0].transform(assembled.filter(F.col("fold") == i)) for i in range(folds)]
+    out = reduce(DataFrame.unionByName, scored).withColumn("model_score", vector_to_array("probability")[1])
+    return found.bestModel, out.drop("features", "rawPrediction", "probability", "prediction", "_weight")
+
+
+def fold_metrics(scored: DataFrame, label: str = "label", cut: float = 0.5, by: str = "fold") -> DataFrame:
+    """Rows, precision, recall and F1 at a cut for each value of ``by``, as of a fold or a source (M6)."""
+    hit, true = F.col("model_score") >= cut, F.col(label) == 1
+    sums = scored.groupBy(by).agg(F.count("*").alias("n"), F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"))
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(a) + F.col(b)), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    return sums.select(by, "n", share("tp", "fp").alias("precision"), share("tp", "fn").alias("recall"), f1.alias("f1"))
+
+
+def _masked(df: DataFrame, features: list[str], masked: list[str]) -> DataFrame:
+    return df.withColumns({f"_m{i}": F.lit(0.0) if c in masked else F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(features)})
+
+
+def train_anomaly(df: DataFrame, features: list[str], k: int = 2, masked: list[str] = ()):
+    """Scaler and principal components whose reconstruction error is the anomaly score (M7).
+
+    ``masked`` features, as those that hang on a stream's state, are 0 in training and in scoring: they keep their places, and
+    no score depends on them.
+    """
+    stages = [VectorAssembler(inputCols=[f"_m{i}" for i in range(len(features))], outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), PCA(k=k, inputCol="_scaled", outputCol="_pc")]
+    return Pipeline(stages=stages).fit(_masked(df, features, masked)), list(features), list(masked)
 
 
 def score_anomaly(model, df: DataFrame, source: str, reference: DataFrame | None = None) -> DataFrame:
-    """Reconstruction error over the 99th percentile of its source, 1 at most (M7)."""
+    """Reconstruction error over the 99th percentile of its source among ``reference`` rows (``df`` if there are none), 1 at
+    most, 0 for a source without any (M7)."""
+    pipeline, features, masked = model
+
     def errors(x: DataFrame) -> DataFrame:
-        out = model.transform(x)
+        out = pipeline.transform(_masked(x, features, masked))
         square = lambda c: F.aggregate(vector_to_array(c), F.lit(0.0), lambda s, v: s + v * v)
         # components are orthonormal: the error is what the projection leaves of the length
-        return out.withColumn("error", F.sqrt(F.greatest(square("_scaled") - square("_pc"), F.lit(0.0)))).drop("_raw", "_scaled", "_pc")
+        return out.withColumn("error", F.sqrt(F.greatest(square("_scaled") - square("_pc"), F.lit(0.0)))).drop("_raw", "_scaled", "_pc", *[f"_m{i}" for i in range(len(features))])
 
     scored = errors(df)
     limits = (errors(reference) if reference is not None else scored).groupBy(source).agg(F.percentile("error", F.lit(0.99)).alias("_p99"))
-    return scored.join(F.broadcast(limits), source, "left").withColumn("anomaly", F.least(F.coalesce(F.try_divide("error", F.col("_p99")), F.lit(0.0)), F.lit(1.0))).drop("_p99")
+    return scored.join(small(limits), source, "left").withColumn("anomaly", F.least(F.coalesce(F.try_divide("error", F.col("_p99")), F.lit(0.0)), F.lit(1.0))).drop("_p99")
 
 
 def feature_attribution(df: DataFrame, score: Column, features: list[str], key: str, top: int = 5) -> DataFrame:

@@ -315,6 +315,29 @@ def m6(spark, d):
     return M.score_classifier(M.train_classifier(rows, NUMBERS), rows).select("event_id", "label", "model_score")
 
 
+@query("m6_stratified_folds", EV_SQL + """, r AS (SELECT event_id, CASE WHEN value + k > 100 THEN 1 ELSE 0 END AS label, (row_number() OVER (PARTITION BY CASE WHEN value + k > 100 THEN 1 ELSE 0 END ORDER BY md5(event_id || ':42'), event_id) - 1) % 5 AS fold FROM ev)
+SELECT fold::INT AS fold, label, count(*) AS n, min(event_id) AS first, sum(event_id)::BIGINT AS ids FROM r GROUP BY fold, label""")
+def m6_folds(spark, d):
+    rows = M.stratified_folds(labelled(spark, d), "label", "event_id")
+    return rows.groupBy("fold", "label").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.sum("event_id").alias("ids"))
+
+
+@query("m6_cross_validated")
+def m6_cross_validated(spark, d):
+    """Every row's score by the trees that have not seen its fold."""
+    rows = M.stratified_folds(labelled(spark, d), "label", "event_id")
+    return M.cross_validated(rows, NUMBERS, rounds=5, depth=4, rate=0.3)[1].select("event_id", "source", "label", "fold", "model_score")
+
+
+@query("m7_masked_anomaly")
+def m7_masked(spark, d):
+    """Learned on normal rows; the column that hangs on the stream's state does not count."""
+    rows = labelled(spark, d)
+    normal = rows.filter("label = 0")
+    model = M.train_anomaly(normal, [*NUMBERS, "bytes_in"], masked=["bytes_in"])
+    return M.score_anomaly(model, rows, "source", normal).select("event_id", "source", "error", "anomaly")
+
+
 @query("m7_train_anomaly")
 def m7(spark, d):
     rows = labelled(spark, d)
