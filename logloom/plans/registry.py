@@ -41,4 +41,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the query modules."""
-    from logloom.plans import aggregates, evidence_plans, features, investigations, joins_plans, stream_plans, windows_plans  # noqa: F401
+    from logloom.plans import aggregates, case_plans, evidence_plans, features, investigations, joins_plans, stream_plans, windows_plans  # noqa: F401
