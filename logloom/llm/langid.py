@@ -28,7 +28,7 @@ STRIDE, CARRY = 512, 64
 #: Bytes of a training sequence.
 SEQUENCE = 128
 #: Windows that are read side by side.
-ROWS = 1024
+ROWS = 2048
 HIDDEN = 8
 LETTER = regex.compile(r"\p{L}")
 
@@ -89,23 +89,32 @@ class ByteGRU:
         """
         H = self.hidden
         wx, wh = self.p[f"x{side}"] + self.p[f"c{side}"], self.p[f"h{side}"]
-        # a sigmoid is half of one and a tanh of half the argument
-        wx, wh = np.concatenate([wx[:, : 2 * H] / 2, wx[:, 2 * H :]], 1), np.concatenate([wh[:, : 2 * H] / 2, wh[:, 2 * H :]], 1)
+        # sigmoids from exponentials, of which processors without wide registers make more than of tanh; a tanh is twice a
+        # sigmoid of twice the argument, less one
+        wx, wh = np.concatenate([-wx[:, : 2 * H], -2 * wx[:, 2 * H :]], 1), np.concatenate([-wh[:, : 2 * H], -2 * wh[:, 2 * H :]], 1)
         w_gates, w_new = np.ascontiguousarray(wh[:, : 2 * H]), np.ascontiguousarray(wh[:, 2 * H :])
+        x_gates, x_new = np.ascontiguousarray(wx[:, : 2 * H]), np.ascontiguousarray(wx[:, 2 * H :])
         states = np.zeros((*data.shape, H), np.float32)
         h = np.zeros((data.shape[1], H), np.float32)
         for t, k in enumerate(active.tolist()):
             h = h[:k]
-            x = wx.take(data[t, :k], 0)
+            at = data[t, :k]
             gates = h @ w_gates
-            gates += x[:, : 2 * H]
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
+            gates += x_gates.take(at, 0)
+            np.minimum(gates, 80, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
             g = (gates[:, H:] * h) @ w_new
-            g += x[:, 2 * H :]
-            np.tanh(g, out=g)
-            h = g + gates[:, :H] * (h - g)
+            g += x_new.take(at, 0)
+            np.minimum(g, 80, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.divide(2, g, out=g)
+            g -= 1
+            h = h - g
+            h *= gates[:, :H]
+            h += g
             states[t, :k] = h
         return states
 
@@ -124,14 +133,18 @@ class ByteGRU:
         back = flat[np.clip(begin + lengths - 1 - place, 0, len(flat) - 1)]
         active = inside.sum(1)
         H, out, bias = self.hidden, self.p["out"], self.p["bias"]
-        logits = self.run_rows("f", data, active) @ out[:H]
-        backward = self.run_rows("b", back, active) @ out[H:]
-        logits += backward[np.clip(lengths - 1 - place, 0, None), np.arange(len(windows))]
-        logits += bias
-        logits -= logits.max(2, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(2, keepdims=True))
-        logits *= ((place >= skips) & (place < skips + takes))[:, :, None]
-        return logits.sum(0, dtype=np.float64)
+        shape = (len(self.languages), *data.shape)
+        # languages first, so that sums over them run along whole arrays
+        logits = np.ascontiguousarray((self.run_rows("f", data, active).reshape(-1, H) @ out[:H]).T).reshape(shape)
+        backward = np.ascontiguousarray((self.run_rows("b", back, active).reshape(-1, H) @ out[H:]).T).reshape(shape)
+        turned, row = np.clip(lengths - 1 - place, 0, None), np.arange(len(windows))
+        for k in range(len(logits)):
+            logits[k] += backward[k][turned, row]
+            logits[k] += bias[k]
+        logits -= logits.max(0)
+        logits -= np.log(np.exp(logits).sum(0))
+        logits *= (place >= skips) & (place < skips + takes)
+        return logits.sum(1, dtype=np.float64).T
 
     def scores(self, texts: list[bytes], stride: int = STRIDE, carry: int = CARRY) -> np.ndarray:
         """For each text the sum of its positions' log-probabilities, and their number in the last column."""
@@ -263,7 +276,7 @@ def predict_languages(docs: DataFrame, model: ByteGRU | None, text: str = "text"
     rows = pick(docs, key=key, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, chunk=1 << 20):
+        for batch, texts in text_chunks(batches, chunk=2 << 20):
             found = [text_bytes(t) if model and t and LETTER.search(t) else b"" for t in texts]
             totals = model.scores(found) if model else np.zeros((len(texts), 1))
             lang, score = [], []
