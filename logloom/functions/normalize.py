@@ -21,7 +21,7 @@ SECURITY_RULES = (
     ("lateral movement", "network-attack", 3, "lateral-movement", "T1021"),
     ("port scan|syn flood|ddos", "network-attack", 3, "discovery", "T1046"),
     ("firewall|iptables|nftables", "firewall", 2, "defense-evasion", "T1562"),
-    (r"\bsudo[\s:\[]|privilege.escalat|\bsu:\s", "privilege-escalation", 2, "privilege-escalation", "T1548"),
+    (r"\bsudo[\s:\[]\b|privilege.escalat|\bsu:\s", "privilege-escalation", 2, "privilege-escalation", "T1548"),
     ("blocked.*connection|connection.*blocked", "firewall", 2, "defense-evasion", "T1562"),
 )
 PROCESS_HINT = "exec.*pid|process started|command=|comm="
@@ -336,7 +336,7 @@ def admin_action(text: Column, event_id: Column, logon_type: Column, groups: Col
 
 def event_risk(event_id: Column, cef_severity: Column, level: Column) -> Column:
     """Risk from 0 to 1 by event id, else by CEF severity, else by level."""
-    return F.coalesce(lookup(RISK_OF_WINDOWS, event_id), F.least(cef_severity / 10, F.lit(1.0)), lookup(RISK_OF_LEVEL, F.lower(level)), F.lit(0.1))
+    return F.coalesce(lookup(RISK_OF_WINDOWS, event_id), F.when(cef_severity.isNotNull(), F.least(cef_severity / 10, F.lit(1.0))), lookup(RISK_OF_LEVEL, F.lower(level)), F.lit(0.1))
 
 
 def map_severity(word: Column) -> Column:
