@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from itertools import pairwise
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import scalar as S
 from logloom.functions.normalize import first_match, map_protocol, map_source_type
+from logloom.operators.joins import small
 from logloom.operators.rollups import descending_sums
 
 # The stage of an attack that an action code stands for.
@@ -114,37 +117,110 @@ def template_rarity(count: Column, total: Column, warm_up: int = 10_000) -> Colu
     return F.when(total < warm_up, 0.5).otherwise(rare)
 
 
-def mine_templates(df: DataFrame, text: str = "message", similarity: float = 0.4) -> DataFrame:
-    """(signature, template, template_id, n): masked messages and the template that they are merged into.
+class TemplateLeaf:
+    """The templates of one leaf of the tree, in the order in which they were found.
 
-    Messages are counted by masked text first. Distinct signatures of equal word count and first two words are then
-    merged greedily, the commonest first, where enough words are equal; a group is at most the distinct signatures of
-    one shape, and the result does not hang on the order of rows.
+    A text joins the first template that has enough of its words in their places. Which templates can is told by an index
+    from places and words, so that a text meets those that share words with it and not all.
+    """
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        self.templates: list[list[str]] = []
+        self.holders: dict[tuple[int, str], list[int]] = {}
+
+    def add(self, tokens: list[str]) -> int:
+        self.templates.append(tokens)
+        for place in enumerate(tokens):
+            self.holders.setdefault(place, []).append(len(self.templates) - 1)
+        return len(self.templates) - 1
+
+    def join(self, tokens: list[str]) -> int:
+        least = self.similarity * len(tokens)
+        shared: Counter[int] = Counter()
+        for place in enumerate(tokens):
+            shared.update(self.holders.get(place, ()))
+        at = min((i for i, n in shared.items() if n >= least), default=None)
+        if at is None:
+            return self.add(tokens)
+        own = self.templates[at]
+        for i, (x, y) in enumerate(zip(own, tokens, strict=True)):
+            if x != y and x != WILDCARD:
+                self.holders[i, x].remove(at)
+                own[i] = WILDCARD
+                self.holders.setdefault((i, WILDCARD), []).append(at)
+        return at
+
+
+#: What stands for a word that differs within a template.
+WILDCARD = "<*>"
+#: Words of a text that lead to its leaf, after their number.
+TREE_DEPTH = 2
+
+
+def mine_templates(df: DataFrame, text: str = "message", similarity: float = 0.4, known: DataFrame | None = None) -> DataFrame:
+    """(signature, template, n, template_id, template_count): masked messages and the template that they are merged into.
+
+    Messages are counted by masked text first. The number of words and the first two lead to a leaf of a tree, which is
+    shallow and so bounded in depth; within it distinct signatures are merged greedily, the commonest first, where enough words
+    are equal. Rows of a leaf pass sorted and one by one through a task that holds the leaf's templates, not its signatures.
+    ``known`` has the templates of earlier batches (template, place), as ``template_state`` gives them: they stand first, and
+    what fits them joins them, so mining goes on from batch to batch. The result does not hang on the order of rows.
     """
     masked = df.select(S.mask_tokens(F.coalesce(F.col(text), F.lit(""))).alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))
-    words = F.split("signature", r"\s+")
-    shaped = masked.select("signature", "n", F.size(words).alias("size"), F.concat_ws(" ", F.slice(words, 1, 2)).alias("head"))
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "signature"], ascending=[False, True])
-        leaders: list[list[str]] = []
-        names = []
-        for signature in rows["signature"]:
-            tokens = signature.split()
-            at = next((i for i, t in enumerate(leaders) if tokens and sum(map(str.__eq__, (x for x in t), tokens)) >= similarity * len(tokens)), None)
-            if at is None:
-                leaders.append(tokens)
-                at = len(leaders) - 1
-            else:
-                leaders[at] = [x if x == y else "<*>" for x, y in zip(leaders[at], tokens, strict=True)]
-            names.append(at)
-        return rows.assign(template=[" ".join(leaders[i]) for i in names])[["signature", "template", "n"]]
-
-    merged = shaped.groupBy("size", "head").applyInPandas(merge, "signature string, template string, n long")
+    split = lambda c: F.split(F.trim(c), r"\s+")
+    rows = masked.select("signature", "n", F.lit(None).cast("long").alias("place"), split("signature").alias("words"))
+    if known is not None:
+        rows = rows.unionByName(known.select(F.col("template").alias("signature"), F.lit(0).cast("long").alias("n"), F.col("place").cast("long").alias("place"), split("template").alias("words")))
+    shaped = rows.select("signature", "n", "place", F.size("words").alias("size"), F.concat_ws(" ", F.slice("words", 1, TREE_DEPTH)).alias("head"))
+    order = ["size", "head", F.asc_nulls_last("place"), F.desc("n"), "signature"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, leaf, held = None, TemplateLeaf(similarity), []
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame([(s, " ".join(leaf.templates[i]), n) for s, i, n in held], columns=["signature", "template", "n"])
+
+        for batch in batches:
+            for signature, n, place, size, head in batch.itertuples(index=False, name=None):
+                if (size, head) != now:
+                    if held:
+                        yield done()
+                    now, leaf, held = (size, head), TemplateLeaf(similarity), []
+                tokens = signature.split()
+                if not pd.isna(place):
+                    leaf.add(tokens)
+                else:
+                    held.append((signature, leaf.join(tokens), n))
+        if held:
+            yield done()
+
+    merged = shaped.repartition("size", "head").sortWithinPartitions(*order).mapInPandas(run, "signature string, template string, n long")
     total = Window.partitionBy("template")
     return merged.withColumns({"template_id": F.substring(F.sha2("template", 256), 1, 12), "template_count": F.sum("n").over(total)})
 
 
+def template_state(mined: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(template, place): what ``mine_templates`` needs to go on: its templates, the commonest first, after those known before.
+
+    Known templates that new signatures have widened are kept in both forms.
+    """
+    new = mined.groupBy("template").agg(F.sum("n").alias("_n"))
+    if known is None:
+        return new.select("template", (-F.col("_n")).alias("place"))
+    last = known.agg(F.coalesce(F.max("place"), F.lit(0)).alias("_last"))
+    later = new.join(known.select("template"), "template", "left_anti")
+    top = later.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_top"))
+    return known.select("template", "place").unionByName(later.crossJoin(F.broadcast(last)).crossJoin(F.broadcast(top)).select("template", (F.col("_last") + 1 + F.col("_top") - F.col("_n")).alias("place")))
+
+
+def templated(df: DataFrame, mined: DataFrame, text: str = "message") -> DataFrame:
+    """``df`` with the ``template`` and ``template_id`` of every message; joined by the masked text, whose frequent values are split
+    by Spark where they are skewed (E7)."""
+    signature = S.mask_tokens(F.coalesce(F.col(text), F.lit("")))
+    return df.withColumn("signature", signature).join(small(mined.select("signature", "template", "template_id")), "signature").drop("signature")
+
+
 def quantile_edges(df: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
     """(feature, edges): distinct quantile edges of each feature, exact and interpolated."""
     points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])

@@ -281,3 +281,12 @@ def e7(spark, d):
     from logloom.operators.rollups import template_counts, time_bucket
 
     return template_counts(log_events(spark, d).select(F.col("event_type").alias("template"), "source", time_bucket(F.col("ts"), 60).alias("ts")))
+
+
+@query("e7_mined_templates")
+def e7_mined(spark, d):
+    """Rows, first and last time of every mined template and source."""
+    from logloom.operators.rollups import template_counts, time_bucket
+
+    ev = log_events(spark, d)
+    return template_counts(G.templated(ev, G.mine_templates(ev)).select("template", "source", time_bucket(F.col("ts"), 60).alias("ts")))
