@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.normalize import first_match
 from logloom.operators.joins import anchor_cover, interval_join, small
+from logloom.operators.scratch import written
+from logloom.operators.sweeps import occurrences, running_totals
 
 # The text whose hash is the root of a batch without leaves.
 EMPTY_BATCH = "EMPTY_BATCH"
@@ -22,6 +28,8 @@ LEAF_COLUMNS = {
 }
 #: Levels of a tree that are folded in one grouping (2^10 nodes of 64 bytes), and groupings above the first: 2^40 leaves.
 SUBTREE_LEVELS, HIGHER_ROUNDS = 10, 3
+#: Leaves that a task numbers.
+NUMBERED_ROWS = 2_000_000
 #: Leaves at either end of a batch that its anchor keeps.
 KEPT_LEAVES = 100
 # Kinds of findings for verdicts.
@@ -50,11 +58,11 @@ def merkle_roots(leaves: DataFrame, batch: str, order: list[str], leaf: str = "l
 
     ``batches`` may name batches besides those with leaves; such a one without leaves has a fixed root and depth 0.
 
-    Nodes are lower-case SHA-256 of the two children's hex. A batch is padded with its last leaf to a power of two; a
+    Leaves are numbered by ``numbered_leaves``. Nodes are lower-case SHA-256 of the two children's hex. A batch is padded with its last leaf to a power of two; a
     single leaf is hashed with itself. Subtrees of ``SUBTREE_LEVELS`` levels are folded within one grouping, so a few
     groupings serve batches of any size.
     """
-    numbered = leaves.withColumn("pos", F.row_number().over(Window.partitionBy(batch).orderBy(*order)) - 1)
+    numbered = numbered_leaves(leaves, batch, order, leaf)
     sizes = leaves.groupBy(batch).agg(F.count("*").alias("leaf_count"))
     depth = F.greatest(F.lit(1), F.ceil(F.log2("leaf_count"))).cast("int")
     sizes = sizes.withColumn("depth", depth)
@@ -88,6 +96,25 @@ def merkle_roots(leaves: DataFrame, batch: str, order: list[str], leaf: str = "l
     return roots.unionByName(empty.select(batch, F.sha2(F.lit(EMPTY_BATCH).cast("binary"), 256).alias("merkle_root"), F.lit(0).cast("long").alias("leaf_count"), F.lit(0).alias("depth")))
 
 
+def numbered_leaves(leaves: DataFrame, batch: str, order: list[str], leaf: str, rows: int = NUMBERED_ROWS) -> DataFrame:
+    """(batch, leaf, pos): each batch's leaves, numbered from 0 in order.
+
+    Leaves are ranged by batch and order into parts of about ``rows`` rows and written so; rows are numbered within a part
+    of a batch, and the counts of the parts before are added. So a task holds a part, however large a batch is. A table of no
+    more than one part is numbered at once. Equal keys of ``order`` are numbered in any order.
+    """
+    own = leaves.select(batch, *order, leaf)
+    parts = -(-own.count() // rows)
+    if parts <= 1:
+        return own.select(batch, leaf, (F.row_number().over(Window.partitionBy(batch).orderBy(*order)) - 1).cast("long").alias("pos"))
+    ranged = written(own.repartitionByRange(parts, batch, *order).withColumn("_part", F.spark_partition_id()), "leaves")
+    counts = ranged.groupBy(batch, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(batch).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = ranged.join(small(counts.select(batch, "_part", before.alias("_before"))), [batch, "_part"])
+    place = F.row_number().over(Window.partitionBy(batch, "_part").orderBy(*order)) - 1
+    return met.select(batch, leaf, (place + F.col("_before")).alias("pos"))
+
+
 def end_leaves(leaves: DataFrame, batch: str, order: str, leaf: str = "leaf", most: int = KEPT_LEAVES) -> DataFrame:
     """(batch, leaves): the first and last leaves of every batch in order, all of a batch of up to twice ``most``.
 
@@ -102,14 +129,26 @@ def end_leaves(leaves: DataFrame, batch: str, order: str, leaf: str = "leaf", mo
 def chain_roots(anchors: DataFrame, table: str = "table_name", order: str = "batch", root: str = "merkle_root") -> DataFrame:
     """Anchors with ``chained``, the SHA-256 of the chained root before and the own root; the first is unchanged (I4).
 
-    A fold over each table's anchors, of which there is one for each batch.
+    A chain is a sequence by nature: each table's anchors, a row for each batch, pass in order through one task, which
+    holds the last root alone.
     """
-    rows = F.array_sort(F.collect_list(F.struct(order, root)))
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x[order].alias(order), F.when(F.size(acc) == 0, x[root]).otherwise(F.sha2(F.concat(F.element_at(acc, -1)["chained"], x[root]), 256)).alias("chained"))))
-    empty = F.array().cast(f"array<struct<{order}:bigint,chained:string>>")
-    folded = anchors.withColumn(order, F.col(order).cast("long")).groupBy(table).agg(F.aggregate(rows, empty, step).alias("_chain"))
-    chain = folded.select(table, F.explode("_chain").alias("_c")).select(table, "_c.*")
-    return anchors.join(chain, [table, order])
+    columns = anchors.columns
+    names, roots = columns.index(table), columns.index(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, first = None, None, True
+        for part in batches:
+            chained = []
+            for name, own in zip(part.column(names).to_pylist(), part.column(roots).to_pylist(), strict=True):
+                if first or name != now:
+                    now, last, first = name, own, False
+                else:
+                    last = None if last is None or own is None else hashlib.sha256((last + own).encode()).hexdigest()
+                chained.append(last)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(chained, pa.string())], names=[*columns, "chained"])
+
+    shape = ", ".join(f"`{n}` {t}" for n, t in [*anchors.dtypes, ("chained", "string")])
+    return anchors.repartition(table).sortWithinPartitions(table, F.col(order).cast("long")).mapInArrow(run, shape)
 
 
 def anchor_table(df: DataFrame, table_name: str, parts: list[str] | str, us: str = "us", key: str = "event_id", seconds: int = 1800) -> DataFrame:
@@ -154,9 +193,12 @@ def evidence_check(alerts: DataFrame, anchors: DataFrame) -> DataFrame:
 def ioc_check(alerts: DataFrame, net: DataFrame, ioc: DataFrame, hours: int = 72) -> DataFrame:
     """Whether an alert's address is an indicator, its flows to indicators and all its flows before it."""
     span = hours * 3_600_000_000
-    flows = interval_join(alerts.select("event_id", "src_ip", "us"), net.select("src_ip", F.col("us").alias("flow_us"), "dst_ip"), ["src_ip"], "us", "flow_us", span)
     values = small(ioc.select(F.col("value").alias("dst_ip"), F.lit(1).alias("_bad")).distinct())
-    counts = flows.join(values, "dst_ip", "left").groupBy("event_id").agg(F.count("*").alias("flows"), F.count("_bad").alias("bad_flows"))
+    real = F.col("src_ip").isNotNull()
+    facts = net.filter(real).select("src_ip", "us", "dst_ip")
+    # running totals of what enters and leaves the span: no alert is paired with its flows
+    changes = [occurrences(facts, "src_ip", "us", span, "flows"), occurrences(facts.join(values, "dst_ip", "left_semi"), "src_ip", "us", span, "bad_flows")]
+    counts = running_totals(alerts.filter(real), "src_ip", "us", changes, span)
     own = alerts.join(values.select(F.col("dst_ip").alias("src_ip"), F.col("_bad").alias("_own")), "src_ip", "left")
     out = own.join(counts, "event_id", "left").select("event_id", F.col("_own").isNotNull().alias("own_match"), F.coalesce("flows", F.lit(0)).alias("flows"), F.coalesce("bad_flows", F.lit(0)).alias("bad_flows"))
     return out.withColumn("corroborated", F.col("own_match") | (F.col("bad_flows") > 0))

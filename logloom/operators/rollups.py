@@ -191,6 +191,59 @@ def agent_radar(df: DataFrame) -> DataFrame:
     return df.agg(F.avg("score").alias("confidence"), (1 - (F.max("score") - F.min("score"))).alias("evenness"), (1 - F.avg(F.abs(F.col("score2") - F.col("score3")))).alias("agreement"), F.avg((F.col("action") == "escalate").cast("double")).alias("escalated"))
 
 
+def attribution_stability(attributions: DataFrame, window: str, feature: str = "feature", value: str = "value") -> DataFrame:
+    """(window, features, stability) of every two successive windows, under the later one: the rank agreement of their features
+    by mean absolute attribution, from -1 to 1 (E25).
+
+    Features that both windows have are ranked anew among these, equal means by name; a single one agrees with itself.
+    Windows follow each other by their order, however far apart. A row for each window and feature is all that is joined.
+    """
+    means = attributions.groupBy(F.col(window).alias("window"), F.col(feature).alias("feature")).agg(F.avg(F.abs(value)).alias("mean"))
+    windows = means.select("window").distinct()
+    # as many rows as there are windows
+    pairs = windows.select("window", F.lag("window").over(Window.orderBy("window")).alias("before")).filter("before is not null")
+    now = means.join(pairs, "window")
+    both = now.join(means.select(F.col("window").alias("before"), "feature", F.col("mean").alias("mean_before")), ["before", "feature"])
+    rank = lambda by: F.row_number().over(Window.partitionBy("window").orderBy(F.desc(by), "feature"))
+    ranked = both.withColumn("_d", (rank("mean") - rank("mean_before")).cast("double"))
+    n = F.count("*")
+    agreement = F.when(n < 2, 1.0).otherwise(1 - 6 * F.sum(F.col("_d") * F.col("_d")) / (n * (n * n - 1)))
+    return ranked.groupBy("window").agg(n.alias("features"), agreement.alias("stability"))
+
+
+def true_positive_fairness(labelled: DataFrame, by: str, label: str = "label", least: int = 10) -> DataFrame:
+    """(groups, spread, fairness): one less the spread of the rates of true positives over groups of ten rows and more; 0.85 where
+    there are fewer than two (E25)."""
+    rates = labelled.groupBy(by).agg(F.count("*").alias("n"), F.avg((F.coalesce(F.col(label), F.lit("")) == "true_positive").cast("double")).alias("rate")).filter(F.col("n") >= least)
+    spread = F.max("rate") - F.min("rate")
+    return rates.agg(F.count("*").alias("groups"), F.coalesce(spread, F.lit(0.0)).alias("spread"), F.when(F.count("*") < 2, 0.85).otherwise(F.greatest(F.lit(0.0), 1 - spread)).alias("fairness"))
+
+
+def radar_rows(confidences: dict[str, tuple[DataFrame, str]], stability: DataFrame, psi: DataFrame, fairness: DataFrame) -> DataFrame:
+    """(agent, measure, value): each agent's mean confidence, at most 1, and for all of them the mean stability of attributions,
+    one less the drift ``psi``, at least 0, and the fairness (E25)."""
+    rows = lambda df, agent, measure, value: df.agg(value.cast("double").alias("value")).select(F.lit(agent).alias("agent"), F.lit(measure).alias("measure"), "value")
+    out = rows(stability, "all", "stability", F.avg("stability"))
+    out = out.unionByName(rows(psi, "all", "drift resistance", F.greatest(F.lit(0.0), 1 - F.max("psi")))).unionByName(rows(fairness, "all", "fairness", F.max("fairness")))
+    for agent, (df, column) in confidences.items():
+        out = out.unionByName(rows(df, agent, "confidence", F.coalesce(F.least(F.avg(column), F.lit(1.0)), F.lit(0.0))))
+    return out
+
+
+def rule_severities(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """(severity, rules, fired, events): active rules of each severity, those whose technique was seen, and rows with it.
+
+    A technique of several rules counts for each of them."""
+    seen = df.groupBy("technique").agg(F.count("*").alias("events"))
+    met = rules.filter("status = 'active'").join(seen, "technique", "left")
+    return met.groupBy("severity").agg(F.count("*").alias("rules"), F.count("events").alias("fired"), F.coalesce(F.sum("events"), F.lit(0)).alias("events"))
+
+
+def top_categories(df: DataFrame, category: str, limit: int = 10) -> DataFrame:
+    """The categories with most rows, empty ones left out."""
+    return df.filter(F.coalesce(F.col(category), F.lit("")) != "").groupBy(F.col(category).alias("category")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(limit)
+
+
 def rule_coverage(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct techniques of the rules that were seen, over all distinct techniques seen."""
     seen = df.select("technique").distinct()

@@ -217,6 +217,65 @@ def e26(spark, d):
     return R.rule_coverage(log_events(spark, d), rules)
 
 
+def attributions(ev):
+    """(us, feature, value) of a linear score's five parts."""
+    parts = {"score": 0.5 * F.col("score"), "score2": 0.45 * F.col("score2"), "score3": 0.44 * F.col("score3"), "value": F.col("value") / 300, "k": F.col("k") / 220}
+    return ev.select("us", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), c.alias("value")) for n, c in parts.items()])).alias("_a")).select("us", "_a.*")
+
+
+STABILITY_SQL = EV_SQL + """, a AS (SELECT us // 86400000000 AS w, unnest([{'f': 'score', 'v': 0.5 * score}, {'f': 'score2', 'v': 0.45 * score2}, {'f': 'score3', 'v': 0.44 * score3}, {'f': 'value', 'v': value / 300}, {'f': 'k', 'v': k / 220}]) AS x FROM ev), m AS (SELECT w, x.f AS f, avg(abs(x.v)) AS mean FROM a GROUP BY ALL),
+p AS (SELECT w, lag(w) OVER (ORDER BY w) AS b FROM (SELECT DISTINCT w FROM m)), j AS (SELECT n.w, row_number() OVER (PARTITION BY n.w ORDER BY n.mean DESC, n.f) - row_number() OVER (PARTITION BY n.w ORDER BY o.mean DESC, n.f) AS d FROM m n JOIN p ON p.w = n.w JOIN m o ON o.w = p.b AND o.f = n.f),
+stable AS (SELECT w AS "window", count(*) AS features, (1 - 6 * sum(d * d) / (count(*) * (count(*) * count(*) - 1)))::DOUBLE AS stability FROM j GROUP BY w)
+"""
+
+
+@query("e25_attribution_stability", STABILITY_SQL + 'SELECT "window", features, round(stability, 6) AS stability FROM stable')
+def e25_stability(spark, d):
+    """Rank agreement of attributions from day to day."""
+    rows = attributions(log_events(spark, d)).withColumn("day", F.floor(F.col("us") / 86_400_000_000))
+    return R.attribution_stability(rows, "day")
+
+
+LABEL_SQL = "CASE WHEN k % 3 = 0 THEN 'true_positive' WHEN user_id % 2 = 0 AND k % 5 = 1 THEN 'true_positive' WHEN k % 7 = 0 THEN 'false_positive' END"
+
+
+@query("e25_fairness", EV_SQL + f", r AS (SELECT host, count(*) AS n, avg(coalesce(({LABEL_SQL}) = 'true_positive', false)::INT) AS rate FROM ev GROUP BY host HAVING count(*) >= 10) SELECT count(*) AS groups, round(max(rate) - min(rate), 6) AS spread, round(greatest(0, 1 - (max(rate) - min(rate))), 6)::DOUBLE AS fairness FROM r")
+def e25_fairness(spark, d):
+    return R.true_positive_fairness(labelled_rows(log_events(spark, d)), "host")
+
+
+def labelled_rows(ev):
+    return ev.withColumn("label", F.expr(LABEL_SQL))
+
+
+@query("e25_radar", STABILITY_SQL + f""", r AS (SELECT host, avg(coalesce(({LABEL_SQL}) = 'true_positive', false)::INT) AS rate FROM ev GROUP BY host HAVING count(*) >= 10), half AS (SELECT (min(us) + max(us)) // 2 AS h FROM ev),
+b AS (SELECT range AS bin, (SELECT count(*) FROM ev, half WHERE us < h AND least(floor(score * 10), 9) = range) AS x, (SELECT count(*) FROM ev, half WHERE us >= h AND least(floor(score * 10), 9) = range) AS y FROM range(10)), q AS (SELECT x / sum(x) OVER () + 1e-6 AS p, y / sum(y) OVER () + 1e-6 AS q FROM b)
+SELECT 'all' AS agent, 'stability' AS measure, round(avg(stability), 6) AS value FROM stable UNION ALL SELECT 'all', 'drift resistance', round(greatest(0, 1 - sum((q - p) * ln(q / p))), 6) FROM q UNION ALL SELECT 'all', 'fairness', round(greatest(0, 1 - (max(rate) - min(rate))), 6) FROM r
+UNION ALL SELECT 'triage', 'confidence', round(avg(score), 6) FROM ev UNION ALL SELECT 'hunter', 'confidence', round(avg(score2), 6) FROM ev WHERE severity >= 3 UNION ALL SELECT 'verifier', 'confidence', round(avg(score3), 6) FROM ev WHERE severity = 4""")
+def e25_radar(spark, d):
+    from logloom.operators.detect import score_psi
+
+    ev = log_events(spark, d)
+    low, high = ev.agg(F.min("us"), F.max("us")).first()
+    middle = (low + high) // 2
+    agents = {"triage": (ev, "score"), "hunter": (ev.filter("severity >= 3"), "score2"), "verifier": (ev.filter("severity = 4"), "score3")}
+    rows = attributions(ev).withColumn("day", F.floor(F.col("us") / 86_400_000_000))
+    return R.radar_rows(agents, R.attribution_stability(rows, "day"), score_psi(ev.filter(F.col("us") < middle), ev.filter(F.col("us") >= middle)), R.true_positive_fairness(labelled_rows(ev), "host"))
+
+
+@query("e26_rule_severities", EV_SQL + """, rules(technique, severity, status) AS (VALUES ('T1110', 3, 'active'), ('T1110', 4, 'active'), ('T1046', 3, 'active'), ('T9999', 3, 'active'), ('T1041', 2, 'draft')), s AS (SELECT technique, count(*) AS n FROM ev GROUP BY technique)
+SELECT severity, count(*) AS rules, count(n) AS fired, coalesce(sum(n), 0)::BIGINT AS events FROM rules LEFT JOIN s USING (technique) WHERE status = 'active' GROUP BY severity""")
+def e26_severities(spark, d):
+    rules = [("T1110", 3, "active"), ("T1110", 4, "active"), ("T1046", 3, "active"), ("T9999", 3, "active"), ("T1041", 2, "draft")]
+    return R.rule_severities(log_events(spark, d), spark.createDataFrame(rules, "technique string, severity int, status string"))
+
+
+@query("e26_top_categories", EV_SQL + ", c AS (SELECT CASE WHEN k % 50 = 0 THEN '' ELSE event_type || '-' || (k % 9) END AS category FROM ev) SELECT category, count(*) AS n FROM c WHERE category <> '' GROUP BY category ORDER BY n DESC, category LIMIT 10")
+def e26_categories(spark, d):
+    category = F.when(F.col("k") % 50 == 0, "").otherwise(F.concat_ws("-", "event_type", (F.col("k") % 9).cast("string")))
+    return R.top_categories(log_events(spark, d).withColumn("category", category), "category")
+
+
 @query("e27_investigation_counts", SCORED_SQL + "SELECT count(*) FILTER (WHERE action = 'monitor') AS open, count(*) FILTER (WHERE action = 'escalate') AS completed, count(*) FILTER (WHERE severity = 4) AS critical, count(*) FILTER (WHERE severity = 3) AS high FROM scored")
 def e27(spark, d):
     status = F.when(F.col("action") == "monitor", "open").when(F.col("action") == "escalate", "completed")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import normalize as N
-from logloom.operators import detect, evidence, investigate, joins, rollups, windows
+from logloom.operators import detect, evidence, investigate, joins, rollups, windows, sweeps
 from logloom.plans import registry
 from logloom.sources import ingest
 
@@ -78,11 +78,11 @@ def test_running_totals_are_trailing_counts(spark):
     left = [(i, draw.choice(["x", "y", "z"]), draw.choice([0, 100, *[u for _, u, _ in facts], *[u + 50 for _, u, _ in facts], *[u + 51 for _, u, _ in facts]])) for i in range(150)]
     f = spark.createDataFrame(facts, "key string, us long, value string")
     a = spark.createDataFrame(left, "event_id int, key string, us long")
-    changes = [joins.occurrences(f, "key", "us", 50, "n"), joins.appearances(f, "key", "value", "us", 50, "distinct")]
-    got = {r.event_id: (r.n, r.distinct) for r in joins.running_totals(a, "key", "us", changes, 50).collect()}
+    changes = [sweeps.occurrences(f, "key", "us", 50, "n"), sweeps.appearances(f, "key", "value", "us", 50, "distinct")]
+    got = {r.event_id: (r.n, r.distinct) for r in sweeps.running_totals(a, "key", "us", changes, 50).collect()}
     near = lambda k, u: [v for key, t, v in facts if key == k and u - 50 <= t <= u]
     assert got == {i: (len(near(k, u)), len({v for v in near(k, u) if v})) for i, k, u in left}
-    assert joins.running_totals(a.filter("false"), "key", "us", changes, 50).count() == 0
+    assert sweeps.running_totals(a.filter("false"), "key", "us", changes, 50).count() == 0
 
 
 def test_leaf_layouts_and_empty_batches(spark):
