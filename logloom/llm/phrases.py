@@ -72,30 +72,34 @@ def count_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
+def join_parts(lefts: pa.Array, left: np.ndarray, rights: pa.Array, right: np.ndarray) -> pa.Array:
+    return pc.binary_join_element_wise(lefts.take(pa.array(left)), rights.take(pa.array(right)), pa.scalar(b" ", pa.binary()))
+
+
 class Known:
     """The symbols of a language that every task knows: words by rank, and for phrases of two and three words the codes
-    (left symbol and right word) by rank; and for each level whether these are all frequent ones."""
+    (left symbol and right word) by rank; and for each level whether these are all frequent ones. All are Arrow and numpy
+    arrays, as the driver holds those of all languages."""
 
-    def __init__(self, words: list[bytes], complete: bool):
+    def __init__(self, words: pa.Array, complete: bool):
         self.words, self.complete = words, [complete]
         self.codes: list[np.ndarray] = []
 
-    def add(self, phrases: list[bytes], complete: bool) -> None:
+    def add(self, phrases: pa.Array, complete: bool) -> None:
         """Phrases of one word more, by rank. Those with a part that is not known stay unknown."""
-        word = {w: i for i, w in enumerate(self.words)}
-        parts = word if not self.codes else {p: i for i, p in enumerate(self.phrases(len(self.codes) + 1))}
-        codes = []
-        for p in phrases:
-            a, _, b = p.rpartition(b" ")
-            if a in parts and b in word:
-                codes.append(parts[a] << 32 | word[b])
-        self.complete.append(complete and len(codes) == len(phrases))
-        self.codes.append(np.array(codes, np.int64))
-
-    def phrases(self, m: int) -> list[bytes]:
-        found = self.words
-        for codes in self.codes[: m - 1]:
-            found = [found[c >> 32] + b" " + self.words[c & 0xFFFFFFFF] for c in codes.tolist()]
+        parts = pc.split_pattern(phrases, b" ", max_splits=1, reverse=True).flatten()
+        first, last = (parts.take(pa.array(np.arange(i, len(parts), 2))) for i in range(2))
+        left, right = pc.index_in(first, self.names()[-1]), pc.index_in(last, self.words)
+        held = pc.and_(left.is_valid(), right.is_valid())
+        left, right = (x.filter(held).to_numpy().astype(np.int64) for x in (left, right))
+        self.complete.append(complete and len(left) == len(phrases))
+        self.codes.append(left << 32 | right)
+
+    def names(self) -> list[pa.Array]:
+        """The symbols of each level as phrases."""
+        found = [self.words]
+        for codes in self.codes:
+            found.append(join_parts(found[-1], codes >> 32, self.words, codes & 0xFFFFFFFF))
         return found
 
 
@@ -103,7 +107,7 @@ class Numbers(dict):
     """Ids of words; -1 for what cannot be frequent, ids behind the known ones for what may be."""
 
     def __init__(self, known: Known):
-        super().__init__(zip(known.words, range(len(known.words)), strict=True))
+        super().__init__(zip(known.words.to_pylist(), range(len(known.words)), strict=True))
         self[BREAK] = -1
         self.complete, self.more = known.complete[0], []
         self.bound = len(known.words)
@@ -128,16 +132,10 @@ class LevelCounter:
         self.known, self.m, self.numbers = known, m, Numbers(known)
         self.order = [np.argsort(c) for c in known.codes]
         self.sorted = [c[o] for c, o in zip(known.codes, self.order, strict=True)]
-        self.names = [pa.array(known.words, pa.binary())]
-        for codes in known.codes:
-            self.names.append(self.join(self.names[-1], codes >> 32, self.names[0], codes & 0xFFFFFFFF))
+        self.names = known.names()
         self.ids: list[np.ndarray] = []
         self.size = 0
 
-    @staticmethod
-    def join(lefts: pa.Array, left: np.ndarray, rights: pa.Array, right: np.ndarray) -> pa.Array:
-        return pc.binary_join_element_wise(lefts.take(pa.array(left)), rights.take(pa.array(right)), pa.scalar(b" ", pa.binary()))
-
     def read(self, text: str) -> None:
         tokens = tokens_of(text)
         self.ids.append(np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens)))
@@ -161,14 +159,14 @@ class LevelCounter:
             if not self.known.complete[level + 1]:
                 more, number = np.unique(codes[~hit], return_inverse=True)
                 symbol[~hit] = len(known) + number
-                names[level + 1] = pa.concat_arrays([names[level + 1], self.join(names[level], more >> 32, words, more & 0xFFFFFFFF)])
+                names[level + 1] = pa.concat_arrays([names[level + 1], join_parts(names[level], more >> 32, words, more & 0xFFFFFFFF)])
             # both the phrase here and the one a word on must be symbols
             place, symbol = place[symbol >= 0], symbol[symbol >= 0]
             on = np.flatnonzero(place[1:] == place[:-1] + 1)
             place, left = place[on], symbol[on]
             right = ids[place + level + 2]
         left, right, counts = count_pairs(left, right)
-        found = self.join(names[self.m - 2], left, words, right)
+        found = join_parts(names[self.m - 2], left, words, right)
         self.ids, self.size = [], 0
         self.numbers.forget()
         return found, counts
@@ -231,8 +229,9 @@ def phrase_counts(texts: DataFrame, known: dict[str, Known], m: int, chunk: int)
     return texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, limit: int) -> tuple[list, bool]:
-    """The rows of a written table with the greatest counts, at most ``limit`` of them, and whether these are all.
+def most_frequent(counts: DataFrame, limit: int) -> tuple[dict[str, pa.Array], bool]:
+    """The phrases of each language in a written table with the greatest counts, at most ``limit`` of them over all
+    languages, by rank, and whether these are all.
 
     Counts are cut at an eighth of a power of two, which a table of some hundred rows tells.
     """
@@ -245,9 +244,10 @@ def most_frequent(counts: DataFrame, limit: int) -> tuple[list, bool]:
         held, cut = held + r["count"], r["bin"]
     complete = cut is None if not bins else cut == bins[-1]["bin"]
     if cut is None:
-        return [], not bins
-    rows = counts.filter(step >= cut).collect()
-    return sorted(rows, key=lambda r: (-r.n, r.lang, r.phrase)), complete
+        return {}, not bins
+    rows = counts.filter(step >= cut).select("lang", F.col("phrase").cast("binary").alias("phrase"), "n").toArrow()
+    rows = rows.sort_by([("n", "descending"), ("phrase", "ascending")])
+    return {g: rows.filter(pc.equal(rows["lang"], g))["phrase"].combine_chunks() for g in pc.unique(rows["lang"]).to_pylist()}, complete
 
 
 def count_levels(texts: DataFrame, min_count: int, max_words: int, max_symbols: int, chunk: int) -> tuple[list[DataFrame], DataFrame]:
@@ -255,19 +255,15 @@ def count_levels(texts: DataFrame, min_count: int, max_words: int, max_symbols:
     words = save(word_counts(texts).filter(F.col("phrase").isNull() | (F.col("n") >= min_count)), "words")
     totals = words.filter("phrase is null").select("lang", "n")
     levels = [words.filter("phrase is not null")]
-    rows, complete = most_frequent(levels[0], max_symbols)
-    known: dict[str, Known] = {r.lang: Known([], complete) for r in (rows if complete else totals.collect())}
-    for r in rows:
-        known[r.lang].words.append(r.phrase.encode())
+    none = pa.array([], pa.binary())
+    found, complete = most_frequent(levels[0], max_symbols)
+    known = {g: Known(found.get(g, none), complete) for g in (found if complete else [r.lang for r in totals.collect()])}
     for m in range(2, max_words + 1):
         levels.append(save(phrase_counts(texts, known, m, chunk).filter(F.col("n") >= min_count), f"phrases{m}"))
         if m < max_words:
-            rows, complete = most_frequent(levels[-1], max_symbols)
-            found: dict[str, list[bytes]] = {}
-            for r in rows:
-                found.setdefault(r.lang, []).append(r.phrase.encode())
+            found, complete = most_frequent(levels[-1], max_symbols)
             for g, k in known.items():
-                k.add(found.get(g, []), complete)
+                k.add(found.get(g, none), complete)
     return levels, totals
 
 

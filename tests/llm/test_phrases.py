@@ -2,11 +2,13 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logloom.llm import phrases
@@ -109,3 +111,18 @@ def test_query_matches_sql(spark):
     want = sorted(con.execute("SELECT lang, rank, phrase, a, l, r, n, score FROM (" + phrases.OP11_SQL + ")").fetchall())
     assert rows_of(phrases.op11_phrases(spark, data)) == want
     assert len(want) > 200
+
+
+def test_driver_holds_few_bytes_a_symbol(spark):
+    """The symbols of a level come to the driver as arrays, not as an object for each: under 100 bytes each at most."""
+    n = 60_000
+    counts = spark.range(n).selectExpr("if(id % 2 = 0, 'en', 'de') as lang", "concat('word', id) as phrase", "100 + id % 50 as n")
+    phrases.most_frequent(counts.limit(10), n)
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    found, complete = phrases.most_frequent(counts, n)
+    held, peak = pa.total_allocated_bytes() - before, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert complete
+    assert len(found) > 0
+    assert held + peak < 100 * n
