@@ -42,8 +42,11 @@ def suppress_duplicates(df: DataFrame, ts: str, keys: list[str], within: str = "
 
 
 def split_late(df: DataFrame, ts: str, as_of: Column, late_seconds: int = 600) -> tuple[DataFrame, DataFrame]:
-    """Rows in time, and those later than the watermark would allow, for a side table."""
-    is_late = F.timestamp_diff("SECOND", F.col(ts), as_of) > late_seconds
+    """Rows in time, and those later than the watermark would allow, for a side table (J10); rows without a time go there too.
+
+    Lateness is told to the microsecond: a difference in seconds drops the part of a second by which a row is late.
+    """
+    is_late = F.coalesce(F.timestamp_diff("MICROSECOND", F.col(ts), as_of) > late_seconds * 1_000_000, F.lit(True))
     return df.filter(~is_late), df.filter(is_late)
 
 

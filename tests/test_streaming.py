@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,16 @@ def test_late_rows_are_those_that_spark_drops(spark, tmp_path):
     side = streams.routed(spark, root)
     assert side.count() == len(rows)
     assert side.filter("late").count() == dropped > 20
+
+
+def test_late_rows_to_the_microsecond(spark, tmp_path):
+    """Rows at the limit, a microsecond and under a second beyond it, and without a time, as the query's SQL counts them."""
+    newest = 1_705_000_000_250_000
+    behind = [0, 864_000_000_000, 864_000_000_001, 864_000_750_000, 864_001_000_000, None]
+    rows = [(i, None if b is None else newest - b) for i, b in enumerate(behind)]
+    frame = spark.createDataFrame(rows, "event_id long, us long").select("event_id", F.timestamp_add("MICROSECOND", "us", F.lit("1970-01-01").cast("timestamp_ntz")).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props"))
+    frame.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = set(con.execute(P.ORACLE_SQL["j10_late_rows"]).fetchall())
+    assert {tuple(r) for r in P.j10(spark, str(tmp_path)).select("late", "n").collect()} == want == {(False, 2), (True, 3), (None, 1)}
