@@ -167,7 +167,12 @@ def mine_templates(df: DataFrame, text: str = "message", similarity: float = 0.4
     ``known`` has the templates of earlier batches (template, place), as ``template_state`` gives them: they stand first, and
     what fits them joins them, so mining goes on from batch to batch. The result does not hang on the order of rows.
     """
-    masked = df.select(S.mask_tokens(F.coalesce(F.col(text), F.lit(""))).alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))
+    return merge_signatures(df.select(S.mask_tokens(F.coalesce(F.col(text), F.lit(""))).alias("signature")), similarity, known)
+
+
+def merge_signatures(df: DataFrame, similarity: float = 0.4, known: DataFrame | None = None) -> DataFrame:
+    """As ``mine_templates``, of messages that are masked already (``signature``)."""
+    masked = df.groupBy("signature").agg(F.count("*").alias("n"))
     split = lambda c: F.split(F.trim(c), r"\s+")
     rows = masked.select("signature", "n", F.lit(None).cast("long").alias("place"), split("signature").alias("words"))
     if known is not None:

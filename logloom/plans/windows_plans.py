@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from logloom.functions import normalize as N
 from logloom.functions import scalar as S
 from logloom.operators import detect as G
 from logloom.operators import windows as W
+from logloom.operators.joins import small
+from logloom.operators.scratch import written
 from logloom.plans.aggregates import SCORED_SQL, bucket_sql, scored
 from logloom.plans.features import ACTION_SQL, WINDOWS_IDS, action_code
 from logloom.plans.joins_plans import HOUR
@@ -54,7 +58,7 @@ def f6(spark, d):
 
 @query("f7_port_entropy", EV_SQL + ", w AS (SELECT event_id, list(dst_port) OVER (PARTITION BY src_ip ORDER BY us, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS p FROM ev), u AS (SELECT event_id, unnest(p) AS x, len(p) AS n FROM w), g AS (SELECT event_id, x, n, count(*) AS m FROM u GROUP BY ALL) SELECT event_id, round(abs(sum(m / n * log2(m / n))), 6) AS port_entropy FROM g GROUP BY event_id")
 def f7(spark, d):
-    return W.port_entropy(log_events(spark, d), "src_ip", ["us", "event_id"]).select("event_id", F.abs("port_entropy").alias("port_entropy"))
+    return W.port_entropy(log_events(spark, d).select("event_id", "src_ip", "us", "dst_port"), "src_ip", ["us", "event_id"]).select("event_id", F.abs("port_entropy").alias("port_entropy"))
 
 
 @query("f8_source_novelty", EV_SQL + f"SELECT event_id, coalesce((us - lag(us) OVER (PARTITION BY host, source ORDER BY us, event_id) > 24 * {HOUR})::INT, 1) AS novelty FROM ev")
@@ -133,15 +137,23 @@ def g2(spark, d):
     ev = ev.withColumn("action_code", action_code(ev)).withColumn("stage", F.element_at(F.create_map(*[F.lit(x) for p in G.STAGE_OF_ACTION.items() for x in p]), F.col("action_code")))
     windows_id, none = F.element_at(F.array(*map(F.lit, WINDOWS_IDS)), F.col("k") % len(WINDOWS_IDS) + 1), F.lit(None).cast("string")
     ev = ev.withColumns({"admin_action": N.admin_action(F.col("message"), windows_id, F.when(F.col("k") % 10 == 3, 10), none, none), "event_risk": N.event_risk(windows_id, F.col("k").cast("double"), F.col("level")), "ioc_match": F.col("user_id") % 17 == 0})
-    ev = W.source_novelty(W.connection_rates(ev, "src_ip").withColumnRenamed("acceleration", "conn_acceleration"), ["host", "source"])
-    for key in ("host", "usr"):
-        ev = W.running_baseline_z(ev, key, ["us", "event_id"]).withColumnRenamed("baseline_z", f"{key}_baseline_z")
-    ev = W.cross_host_count(W.port_entropy(ev, "src_ip", ["us", "event_id"]), seconds=900)
-    mined = G.mine_templates(ev)
+    ev = ev.withColumn("signature", S.mask_tokens(F.coalesce("message", F.lit(""))))
+    # written once: each part below reads the few columns it needs, and no part is worked out anew for the next
+    base = written(ev.withColumn("_row", F.monotonically_increasing_id()), "features")
+    order, of = ["us", "event_id"], lambda *columns: base.select("_row", *columns)
+    mined = written(G.merge_signatures(of("signature")), "templates")
     total = mined.agg(F.sum("n").alias("total"))
     rarity = mined.crossJoin(F.broadcast(total)).select("signature", G.template_rarity(F.col("template_count"), F.col("total")).alias("rarity"))
-    ev = ev.withColumn("signature", S.mask_tokens(F.coalesce("message", F.lit("")))).join(rarity, "signature", "left")
-    return G.features_v7(W.kill_chain(W.ewma_rates(ev, "usr"), "host", "stage"))
+    parts = [
+        W.port_entropy(W.connection_rates(of("src_ip", "dst_port", *order), "src_ip"), "src_ip", order).select("_row", "fast", "slow", F.col("acceleration").alias("conn_acceleration"), "port_entropy"),
+        W.source_novelty(of("host", "source", *order), ["host", "source"]).select("_row", "novelty"),
+        *[W.running_baseline_z(of(key, "score", *order), key, order).select("_row", F.col("baseline_z").alias(f"{key}_baseline_z")) for key in ("host", "usr")],
+        W.cross_host_count(of("us", "host", "score"), seconds=900, row="_row").select("_row", "cross_hosts"),
+        of("signature").join(small(rarity), "signature", "left").select("_row", "rarity"),
+        W.ewma_rates(of("usr", "severity", "event_type", *order), "usr").select("_row", "rate_medium", "error_rate", "unique_actions"),
+        W.kill_chain(of("host", "stage", "score", *order), "host", "stage").select("_row", "chain_stage", "chain_velocity"),
+    ]
+    return G.features_v7(reduce(lambda a, b: a.join(b, "_row", "left"), parts, base.drop("signature")))
 
 
 FUSE_SQL = """, f AS (SELECT *, 0.8 + 0.04 * (0.8 / 0.92) AS wa, 0.12 + 0.04 * (0.12 / 0.92) AS wb, 0.04 AS wc, (score + score2 + score3) / 3 AS m, (user_id % 17 = 0)::INT AS ioc, CASE WHEN user_id % 3 = 0 THEN 1.2 ELSE 1.0 END AS mult FROM ev),

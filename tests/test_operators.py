@@ -1,6 +1,7 @@
 """Decision tables, invariants and batch-stream equality on small frames."""
 
 import hashlib
+import math
 import random
 import uuid
 
@@ -235,3 +236,23 @@ def test_state_is_carried_over_timed_batches(spark, tmp_path):
     whole = windows.running_baseline_z(spark.createDataFrame(rows, schema), "host", ["us", "event_id"])
     want = {r.event_id: r.baseline_z for r in whole.collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - z) < 1e-9 for i, z in want.items())
+
+
+def test_wide_feature_rows_are_made_from_few_scans(spark):
+    """The events are read once and each part once or twice from what that wrote; a part is not worked out anew for the next
+    (the plan scanned the events 200 times before)."""
+    plan = registry.QUERIES["g2_features_v7"](spark, DATA)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "events.parquet" not in plan
+    assert plan.count("FileScan") <= 20
+
+
+def test_port_entropy_by_brute_force(spark):
+    draw = random.Random(5)
+    rows = [(i, draw.choice(("a", "b", None)), draw.randrange(50), draw.choice((22, 53, 80, 443, None))) for i in range(600)]
+    got = {r.event_id: r.port_entropy for r in windows.port_entropy(spark.createDataFrame(rows, "event_id long, src_ip string, us long, dst_port int").repartition(5), "src_ip", ["us", "event_id"], rows=20).collect()}
+    for source in ("a", "b", None):
+        own = sorted((us, i, port) for i, s, us, port in rows if s == source)
+        for at, (_, i, _) in enumerate(own):
+            held = [p for _, _, p in own[max(0, at - 19) : at + 1] if p is not None]
+            want = -sum(held.count(p) / len(held) * math.log2(held.count(p) / len(held)) for p in set(held))
+            assert abs(got[i] - want) < 1e-9
