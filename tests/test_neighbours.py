@@ -74,3 +74,21 @@ def test_vectors_without_a_distance(spark):
     assert found(vectors.vector_search(queries, corpus, 5)) == {1: [(1, 0.0), (2, 5.0)], 2: [(2, 0.0), (1, 5.0)]}
     assert vectors.vector_search(queries, corpus.filter("false"), 5).count() == 0
     assert vectors.vector_search(queries.filter("false"), corpus, 5).count() == 0
+
+
+def test_queries_are_sent_to_blocks_and_not_to_all_cells(spark, monkeypatch):
+    """Where no cell can be ruled out, a query stands once for each block of vectors, not once for each of the cells."""
+    monkeypatch.setattr(neighbours, "BLOCK", 1_000)
+    sent, plain = [], neighbours.written
+
+    def spy(df, label):
+        out = plain(df, label)
+        if label == "asked":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "written", spy)
+    x = np.random.default_rng(7).standard_normal((4_000, 24))
+    out = vectors.find_similar(frame(spark, x.tolist()), F.col("id") % 20 == 0, 5)
+    assert found(out) == brute(x, range(0, len(x), 20), 5, True)
+    assert sum(sent) <= 200 * (2 + 6)  # around each query, and blocks of up to 1,000; there are 62 cells
