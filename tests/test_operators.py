@@ -256,3 +256,45 @@ def test_port_entropy_by_brute_force(spark):
             held = [p for _, _, p in own[max(0, at - 19) : at + 1] if p is not None]
             want = -sum(held.count(p) / len(held) * math.log2(held.count(p) / len(held)) for p in set(held))
             assert abs(got[i] - want) < 1e-9
+
+
+def _history(seed, n=240):
+    draw = random.Random(seed)
+    return [(i, draw.choice(("h1", "h2", "h3", None)), draw.choice(("a", "b", "unknown", None)), draw.choice(("u", "v", None)), draw.choice((None, *[x * 900_000_000 for x in range(40)])), draw.choice(("s", "t", None)), draw.choice(("x", "y", "z", None)), draw.random()) for i in range(n)]
+
+
+HISTORY = "event_id long, host string, src_ip string, usr string, us long, source string, tactic string, score double"
+
+
+def test_campaigns_and_temporal_features_by_pairs(spark):
+    """Against a loop over all pairs: equal times, times just at the span, missing keys, values and times, alerts that are no fact."""
+    span = 3_600_000_000
+    for seed in (1, 2):
+        rows = _history(seed)
+        df = spark.createDataFrame(rows, HISTORY).repartition(3)
+        near = lambda a, f: a[4] is not None and f[4] is not None and a[4] - span <= f[4] <= a[4]
+        got = {r.event_id: (r.hosts, r.tactics, r.host_list) for r in investigate.campaigns(df, df, hours=1, least=0.5, most_hosts=2).collect()}
+        want = {}
+        for a in rows:
+            met = [f for f in rows if a[2] in ("a", "b") and f[2] == a[2] and near(a, f) and f[7] >= 0.5]
+            if met:
+                hosts = sorted({f[1] for f in met} - {None})
+                want[a[0]] = (len(hosts), len({f[6] for f in met} - {None}), hosts[:2])
+        assert got == want
+        got = {r.event_id: (r.escalations, r.sources, r.tactics, round(r.mean_score, 9), r.related) for r in investigate.temporal_features(df, df, hours=1, related=4).collect()}
+        assert got.keys() == {r[0] for r in rows}
+        for a in rows:
+            high = [f for f in rows if a[1] and f[1] == a[1] and near(a, f) and f[7] >= 0.39 and f[0] != a[0]]
+            ip = [f for f in high if a[2] and f[2] == a[2]]
+            both = sorted({(f[4], f[0]) for f in high if (a[2] and f[2] == a[2]) or (a[3] and f[3] == a[3])})[-4:]
+            assert got[a[0]] == (len(ip), len({f[5] for f in ip} - {None}), len({f[6] for f in ip} - {None}), round(sum(f[7] for f in ip) / len(ip), 9) if ip else 0.0, sorted(i for _, i in both))
+
+
+def test_look_backs_make_no_pairs(spark):
+    """300 alerts of one entity at nearly one time: each met the rows before it in a join, before."""
+    df = spark.createDataFrame([(i, "h", "a", "u", i, "s", "x", 0.9) for i in range(300)], HISTORY)
+    for out in (investigate.campaigns(df, df), investigate.temporal_features(df, df)):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan()
+        text = plan.toString()
+        assert "fact_us" not in text and "_right_at" not in text  # no interval join
