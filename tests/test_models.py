@@ -39,6 +39,12 @@ def test_trees_judge_rows_they_have_not_seen(spark):
     assert abs((by_source.recall * rows.groupby("source").label.sum().reindex(by_source.source).to_numpy()).sum() - tp) < 1e-6
 
 
+def test_folds_are_made_once(spark):
+    """Scores and fits read a written table; each worked out the folds from the events before."""
+    plan = registry.QUERIES["m6_cross_validated"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "events.parquet" not in plan
+
+
 def test_labels_that_noise_has_are_not_learned(spark):
     """Out-of-fold scores of labels without any pattern are no better than a guess."""
     draw = np.random.default_rng(1)
